@@ -7,10 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import cost_packing, quality_gbdt, simhash_ring
+from folioscan.llm import ads_search, chat_perspectives, cost_packing, fm_decontam, langid_gru, pii_votes, quality_gbdt, simhash_ring, warc_normalise
 from folioscan.llm.common import table
 
 
+def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_perspectives.digest(chat_perspectives.perspectives(table(spark, sf_dir, "conversations")))
+
+
+def op3_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_normalise.digest(warc_normalise.round_trip(table(spark, sf_dir, "pages")))
+
+
+def op4_langid_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid_gru.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ring.digest(simhash_ring.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -20,10 +32,27 @@ def op6_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_decontam.digest(fm_decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbdt.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_simhash_ring, op6_cost_packing, op8_quality_gbdt)}
+def op9_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_votes.digest(pii_votes.find(table(spark, sf_dir, "documents")))
+
+
+def op10_ads_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ads_search.search(table(spark, sf_dir, "embeddings"), ads_search.multiples())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_chat_perspectives, op3_warc_normalise, op4_langid_gru, op5_simhash_ring, op6_cost_packing, op7_fm_decontam, op8_quality_gbdt, op9_pii_votes, op10_ads_search,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_chat_perspectives": chat_perspectives.ORACLE_SQL}
