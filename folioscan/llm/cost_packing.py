@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,31 +28,76 @@ from folioscan.llm.common import pick, small_batches
 LENGTH = 4096
 END = 2
 BLOCK_TOKENS = 1 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long, cost double"
 
 
+class _Known(dict):
+    """Ids by chunk; remembers which chunks were asked for in vain."""
+
+    def __init__(self):
+        super().__init__()
+        self.asked: list[str] = []
+
+    def __missing__(self, chunk: str) -> None:
+        self.asked.append(chunk)
+
+
+_ENDED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+
+
 class WordTokens:
-    """Ids of texts as the tokenizer gives them. Its pieces never span white space, so the ids of white-space-free chunks are
-    kept; the store of chunks is emptied at ``most`` entries, which changes speed only."""
+    """Ids of texts as the tokenizer gives them. Its pieces never span white space, and it lower-cases, so the ids of
+    white-space-free lower-case chunks are kept, and a word and the stops after it are pieces of their own. The store of
+    chunks is emptied at ``most`` entries, which changes speed only."""
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.whole, self.most, self.known = Tokenizer.from_file(path), most, _Known()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, chunks: list[str]) -> None:
+        for k in range(0, len(chunks), 20_000):
+            part = chunks[k : k + 20_000]
+            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+
+    @staticmethod
+    def chunks(text: str | None) -> list[str]:
+        if text is None:
+            return []
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+            return [text]  # white space to Python, not to the tokenizer
+        if "<|" in text or "\u03a3" in text:  # special tokens are case-sensitive; a sigma's lower case depends on its place
+            return text.split()
+        return text.lower().split()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without special tokens."""
-        split = [[] if x is None else [x] if any(map(x.__contains__, "\x1c\x1d\x1e\x1f")) else x.split() for x in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        known, found = self.known, []
+        for t in texts:
+            words, before = self.chunks(t), len(known.asked)
+            got = list(map(known.__getitem__, words))
+            found.append((got, words if len(known.asked) > before else None))
+        fresh = set(known.asked)
+        known.asked.clear()
+        if fresh:
+            ended = {w: m.groups() for w in fresh if (m := _ENDED.fullmatch(w))}
+            self._learn([w for w in {x for w in fresh for x in ended.get(w, (w,))} if w not in known])
+            known.update((w, known[a] + known[b]) for w, (a, b) in ended.items())
+        return [b"".join(got if words is None else [known[w] if g is None else g for g, w in zip(got, words, strict=True)]) for got, words in found]
+
+
+_READY: dict[str, WordTokens] = {}
+
+
+def tokens_of(path: str) -> WordTokens:
+    """One per Python worker."""
+    if path not in _READY:
+        _READY[path] = WordTokens(path)
+    return _READY[path]
 
 
 def cost_of(n, linear: float, quadratic: float):
@@ -110,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, blocks = WordTokens(tokenizer), TaskContext.get().partitionId(), 0
+        words, part, blocks = tokens_of(tokenizer), TaskContext.get().partitionId(), 0
         ids: list = []
         tokens: list[bytes] = []
         held = 0

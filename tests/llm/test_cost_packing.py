@@ -45,7 +45,7 @@ def test_costs_are_even():
 
 
 def test_chunks_give_the_tokenizers_ids():
-    texts = ["Hello, WORLD's  é x", "", None, "a\x1cb c", "<|endoftext|> x<|startoftext|>y", "é ́a 12,5%", "x" * 5000]
+    texts = ["Hello, WORLD's  é x", "", None, "a\x1cb c", "<|endoftext|> x<|startoftext|>y", "é ́a 12,5%", "x" * 5000, "ΑΣ Σ.", "<|ENDOFTEXT|> İx. it's. don'T! a.b, é̀. ab... x_y. ²³. a1."]
     whole = Tokenizer.from_file(PATH)
     for t, got in zip(texts, C.WordTokens(PATH).encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids
