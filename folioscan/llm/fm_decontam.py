@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioscan.llm.common import as_bytes, groups_of, pick, small_batches, total_bytes
 
@@ -29,7 +30,7 @@ WINDOW = 13
 SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 16 << 20
 SAMPLE = 4
-FOUND = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+ADDED = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 #: ASCII letters in lower case, digits and bytes above 127 stay; all else parts words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -192,11 +193,13 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _pass(docs: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(phrases)  # at most one block of the benchmark
+    names, at_text = docs.columns, docs.columns.index("text")
+    kept = [to_arrow_type(f.dataType) for f in docs.schema.fields[:-3]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (zip(*(b.column(i).to_pylist() for i in range(5)), strict=True) for b in batches)
-        for shard in groups_of(rows, shard_bytes, lambda r: len(r[1] or "")):
-            documents = [words_of(t) for t in as_bytes([r[1] for r in shard])]
+        rows = (zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
+        for shard in groups_of(rows, shard_bytes, lambda r: len(r[at_text] or "")):
+            documents = [words_of(t) for t in as_bytes([r[at_text] for r in shard])]
             at, which, starts = occurrences(documents, sent.value)
             spans: dict[int, list] = {}
             items: dict[int, set] = {}
@@ -216,26 +219,28 @@ def _pass(docs: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
                     spans.setdefault(d, []).append((a - int(starts[d]), b - int(starts[d])))
                 for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
                     items.setdefault(d, set()).update(sent.value.owners[w])
-            full = [_merged([*((s["start"], s["end"]) for s in r[3]), *spans.get(d, [])]) for d, r in enumerate(shard)]
+            full = [_merged([*((s["start"], s["end"]) for s in r[-2]), *spans.get(d, [])]) for d, r in enumerate(shard)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[0] for r in shard], pa.int64()), pa.array([r[1] for r in shard], pa.string()), pa.array([len(x) for x in documents], pa.int64()),
+                    *(pa.array([r[i] for r in shard], t) for i, t in enumerate(kept)), pa.array([len(x) for x in documents], pa.int64()),
                     pa.array([[{"start": a, "end": b} for a, b in s] for s in full], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([sorted({*r[4], *items.get(d, ())}) for d, r in enumerate(shard)], pa.list_(pa.string())),
+                    pa.array([sorted({*r[-1], *items.get(d, ())}) for d, r in enumerate(shard)], pa.list_(pa.string())),
                 ],
-                ["doc_id", "text", "n_words", "spans", "items"],
+                names,
             )
 
-    return docs.mapInArrow(run, FOUND)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, n_words, spans (merged, in words, end exclusive) and items (sorted ids) of every document."""
+    """The columns of docs (with a string column text; n_words, spans and items are replaced), n_words, spans (merged, in words,
+    end exclusive) and items (sorted ids) of every document."""
     small_batches(docs.sparkSession)
     items = pick(benchmark, item_id="string", text="string").filter("text is not null").select(F.coalesce("item_id", F.lit("")).alias("item_id"), "text")
     blocks = -(-total_bytes(items, "text") // block_bytes) or 1
-    none = F.array().cast("array<struct<start:long,end:long>>")
-    found = pick(docs, doc_id="long", text="string").select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items"))
+    empty = [F.lit(0).cast("long"), F.array().cast("array<struct<start:long,end:long>>"), F.array().cast("array<string>")]
+    names = [x.split(" ")[0] for x in ADDED.split(", ")]
+    found = docs.select(*[c for c in docs.columns if c.lower() not in names], *[e.alias(n) for n, e in zip(names, empty, strict=True)])
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         found = _pass(found, Phrases(sorted((r.item_id, r.text) for r in part.collect()), window), shard_bytes)  # bounded by the block

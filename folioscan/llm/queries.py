@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import ads_search, chat_perspectives, cost_packing, fm_decontam, langid_gru, pii_votes, quality_gbdt, simhash_ring, warc_normalise
+from folioscan.llm import ads_search, chat_perspectives, cost_packing, fm_decontam, langid_gru, pii_votes, quality_gbdt, simhash_ring, substring_dedup, warc_normalise
 from folioscan.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_perspectives.digest(chat_perspectives.perspectives(table(spark, sf_dir, "conversations")))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_normalise.digest(warc_normalise.round_trip(table(spark, sf_dir, "pages")))
 
@@ -51,7 +55,7 @@ def op10_ads_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_chat_perspectives, op3_warc_normalise, op4_langid_gru, op5_simhash_ring, op6_cost_packing, op7_fm_decontam, op8_quality_gbdt, op9_pii_votes, op10_ads_search,
+        op1_chat_perspectives, op2_substring_dedup, op3_warc_normalise, op4_langid_gru, op5_simhash_ring, op6_cost_packing, op7_fm_decontam, op8_quality_gbdt, op9_pii_votes, op10_ads_search,
     )
 }
 
