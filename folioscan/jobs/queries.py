@@ -540,3 +540,57 @@ def l2_content_only_report(spark, sf_dir):
     marked, v = _violations(spark, sf_dir)
     content = rules.content_results(marked, rules.with_severity(v, rules.severity_df(spark)))
     return report.report(pairs, None, content, outline.build_outline(ch))
+
+
+@query(
+    f"""WITH {CHAPTERS}, i AS (SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS number FROM ch WHERE seq % 5 = 0)
+SELECT c.doc_id, c.seq, CAST(i.number AS INTEGER) AS number, 'http://x.org/i/' || CAST(i.seq AS VARCHAR) || '.png' AS url, c.title || ' - 图片' || CAST(i.number AS VARCHAR) AS position FROM ch c JOIN i USING (doc_id) WHERE trim(c.title) <> ''"""
+    .replace("c.title ||", _SQUEEZE.format(x="c.title") + " ||").replace("JOIN i USING (doc_id)", "JOIN i ON i.doc_id = c.doc_id")
+)
+def b8_chapter_images(spark, sf_dir):
+    """The pages' only container is the body, so every chapter without a region of its own gets all images of its page."""
+    ch = _chapters(spark, sf_dir)[1]
+    pages = D.html_from_chapters(ch)
+    own = ch.select("doc_id", "seq", T.squeeze(F.col("title")).alias("title"), F.lit("none").alias("html_id"))
+    found = sections.chapter_images(own, html.html_regions(pages), html.html_images(pages), F.lit("http://x.org"))
+    return found.select("doc_id", "seq", "number", "url", "position")
+
+
+@query(
+    f"""WITH {CHAPTERS}, n AS (SELECT doc_id, count(*) AS n_chapters, count(*) FILTER (trim(title) = '') AS n_empty_titles FROM ch WHERE doc_id % 7 <> 0 GROUP BY doc_id)
+SELECT d.doc_id, text IS NOT NULL AND n_chapters IS NOT NULL AS valid, coalesce(n_chapters, 0) AS n_chapters, coalesce(n_empty_titles, 0) AS n_empty_titles, 0 AS n_bad_levels FROM documents d LEFT JOIN n USING (doc_id)"""
+)
+def a6_validated(spark, sf_dir):
+    docs, ch, _ = _chapters(spark, sf_dir)
+    return D.validate_documents(docs.select("doc_id", F.lit("u").alias("url"), F.col("text").alias("html")), ch.filter("doc_id % 7 <> 0"))
+
+
+@query(
+    f"""WITH {CHAPTERS}, {SCORES}, {BEST}, m AS (SELECT b.*, t.level, t.title AS tt, g.title AS gt FROM best b JOIN pairs p USING (pair_id) JOIN ch t ON t.doc_id = p.template_doc_id AND t.seq = b.t_seq JOIN ch g ON g.doc_id = p.target_doc_id AND g.seq = b.g_seq),
+x AS (SELECT *, string_agg(tt || ' → ' || gt, '; ') OVER (PARTITION BY pair_id ORDER BY level, t_seq ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS s FROM m)
+SELECT pair_id, t_seq, '章节层级: H' || CAST(level AS VARCHAR) || chr(10) || '章节位置: 第' || CAST(t_seq + 1 AS VARCHAR) || '个' || coalesce(chr(10) || '同级章节映射: ' || s, '') AS context FROM x"""
+)
+def k3_context(spark, sf_dir):
+    _, ch, pairs, found = _best(spark, sf_dir)
+    rows = mapping.mapping_details(pairs, ch, found)
+    none = F.lit(None).cast("string")
+    return model_io.context_info(rows.select("pair_id", "t_seq", F.col("t_level").alias("level"), none.alias("parent_path"), F.col("t_seq").alias("position"), none.alias("patterns"), "t_title", "g_title"))
+
+
+@query(
+    f"""WITH {CHAPTERS}, {OUTLINE}, rows_ AS (SELECT p.pair_id, o.seq, o.title FROM pairs p JOIN outline o ON o.doc_id = p.template_doc_id), lost AS (SELECT DISTINCT pair_id, title FROM rows_ WHERE (pair_id + seq) % 3 = 0)
+SELECT r.pair_id, r.seq, r.title, CASE WHEN l.title IS NULL THEN 'matched' ELSE 'missing' END AS status FROM rows_ r LEFT JOIN lost l ON l.pair_id = r.pair_id AND l.title = r.title"""
+)
+def d3_outline_status(spark, sf_dir):
+    _, ch, pairs = _chapters(spark, sf_dir)
+    tree = outline.build_outline(ch)
+    lost = pairs.join(tree, F.col("template_doc_id") == F.col("doc_id")).filter((F.col("pair_id") + F.col("seq")) % 3 == 0).select("pair_id", F.col("seq").alias("t_seq"))
+    return report.outline_status(pairs, tree, lost).select("pair_id", "seq", "title", "status")
+
+
+@query()
+def g9_validated_patterns(spark, sf_dir):
+    _, ch, pairs = _chapters(spark, sf_dir)
+    merged = renumber.merge_patterns(renumber.all_patterns(renumber.numbered(pairs, ch)))
+    found = renumber.validate_patterns(merged, pairs, ch)
+    return found.withColumn("affected_levels", F.array_join(F.col("affected_levels").cast("array<string>"), ","))

@@ -16,10 +16,10 @@ META = "doc_id long, title string, description string, author string, keywords a
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "children", "ord")
+    __slots__ = ("tag", "attrs", "children", "ord", "parent")
 
-    def __init__(self, tag: str, attrs: dict, ord: int):
-        self.tag, self.attrs, self.children, self.ord = tag, attrs, [], ord
+    def __init__(self, tag: str, attrs: dict, ord: int, parent: _Node | None = None):
+        self.tag, self.attrs, self.children, self.ord, self.parent = tag, attrs, [], ord, parent
 
     def texts(self) -> Iterator[str]:
         stack = [self]
@@ -51,7 +51,7 @@ class _Tree(HTMLParser):
         known: dict = {}
         for k, v in attrs:
             known[k] = v or ""
-        node = _Node(tag, known, len(self.nodes))
+        node = _Node(tag, known, len(self.nodes), self.open[-1])
         self.nodes.append(node)
         self.open[-1].children.append(node)
         if tag not in VOID:
@@ -72,6 +72,43 @@ class _Tree(HTMLParser):
         self.open[-1].children.append(data)
 
 
+    def ends(self) -> list[int]:
+        """The last node below each node; nodes are numbered as they open."""
+        out = list(range(len(self.nodes)))
+        for node in reversed(self.nodes[1:]):
+            out[node.parent.ord] = max(out[node.parent.ord], out[node.ord])
+        return out
+
+
+def _text_of(x) -> str:
+    return re.sub(r"\s+", " ", x).strip() if isinstance(x, str) else x.text()
+
+
+def image_context(img: _Node) -> str:
+    """The nearest text within three siblings on either side (100 characters each) and the caption of a classed figure or div."""
+    beside = img.parent.children
+    at = next(i for i, x in enumerate(beside) if x is img)
+    before = next((t for x in beside[max(0, at - 3) : at][::-1] if (t := _text_of(x))), "")
+    after = next((t for x in beside[at + 1 : at + 4] if (t := _text_of(x))), "")
+    parts, node = [t[:100] for t in (before, after) if t], img.parent
+    while node is not None and node.tag != "body":
+        if node.tag in ("figure", "div") and node.attrs.get("class"):
+            caption = next((x for x in _below(node) if x.tag in ("figcaption", "caption", "p")), None)
+            if caption is not None and (text := caption.text()):
+                parts.append(text)
+                break
+        node = node.parent
+    return " | ".join(parts)
+
+
+def _below(node: _Node) -> Iterator[_Node]:
+    stack = node.elements()[::-1]
+    while stack:
+        x = stack.pop()
+        yield x
+        stack += x.elements()[::-1]
+
+
 def page_meta_of(tree: _Tree) -> tuple:
     titles = [n for n in tree.nodes if n.tag == "title"]
     found = {"description": "", "author": "", "keywords": [], "language": "zh-CN"}
@@ -118,3 +155,48 @@ def page_meta(pages: DataFrame) -> DataFrame:
             yield _arrow([(d, *page_meta_of(_Tree(p or ""))) for d, p in zip(b.column("doc_id").to_pylist(), b.column("html").to_pylist(), strict=True)], fields)
 
     return pages.select("doc_id", "html").mapInArrow(run, META)
+
+
+IMAGES = "doc_id long, ord int, src string, alt_text string, title string, context string"
+REGIONS = "doc_id long, html_id string, heading string, first int, last int"
+
+
+def html_images(pages: DataFrame) -> DataFrame:
+    """Every image of a page in order, also those without source, which only count."""
+    fields = [("doc_id", pa.int64()), ("ord", pa.int32()), ("src", pa.string()), ("alt_text", pa.string()), ("title", pa.string()), ("context", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc, page in zip(b.column("doc_id").to_pylist(), b.column("html").to_pylist(), strict=True):
+                rows += [(doc, n.ord, n.attrs.get("src", ""), n.attrs.get("alt", ""), n.attrs.get("title", ""), image_context(n)) for n in _Tree(page or "").nodes if n.tag == "img"]
+            yield _arrow(rows, fields)
+
+    return pages.select("doc_id", "html").mapInArrow(run, IMAGES)
+
+
+def html_regions(pages: DataFrame) -> DataFrame:
+    """Where chapters may have their images, as a range of ord: the first element of each id, and for the first heading of each
+    text the nearest section, article, div or body around it (the heading itself if there is none)."""
+    fields = [("doc_id", pa.int64()), ("html_id", pa.string()), ("heading", pa.string()), ("first", pa.int32()), ("last", pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc, page in zip(b.column("doc_id").to_pylist(), b.column("html").to_pylist(), strict=True):
+                tree = _Tree(page or "")
+                ends, ids, texts = tree.ends(), set(), set()
+                for n in tree.nodes[1:]:
+                    if (own := n.attrs.get("id")) and own not in ids:
+                        ids.add(own)
+                        rows.append((doc, own, None, n.ord, ends[n.ord]))
+                    if n.tag in HEADINGS and (text := n.text()) not in texts:
+                        texts.add(text)
+                        box = n.parent
+                        while box is not None and box.tag not in ("section", "article", "div", "body"):
+                            box = box.parent
+                        box = box or n
+                        rows.append((doc, None, text, box.ord, ends[box.ord]))
+            yield _arrow(rows, fields)
+
+    return pages.select("doc_id", "html").mapInArrow(run, REGIONS)

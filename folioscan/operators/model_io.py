@@ -22,6 +22,21 @@ def semantic_requests(pairs: DataFrame, chapters: DataFrame, small: int = 400, m
     return rows.select("pair_id", "batch", F.slice("t", F.col("batch") * F.col("step") + 1, F.col("step")).alias("template_titles"), F.col("g").alias("target_titles"))
 
 
+def context_info(rows: DataFrame, siblings: int = 3) -> DataFrame:
+    """Context lines for each template chapter: level, parent path, 1-based position, patterns and the last mappings before it.
+
+    rows: pair_id, t_seq, level, parent_path, position, patterns (text or null), t_title, g_title (null if unmapped)."""
+    said = F.when(F.col("g_title").isNotNull(), F.concat("t_title", F.lit(" → "), "g_title"))
+    before = F.collect_list(F.coalesce(said, F.lit(""))).over(Window.partitionBy("pair_id").orderBy("level", "t_seq").rowsBetween(-siblings, -1))
+    last = F.array_join(F.filter(before, lambda x: x != ""), "; ")
+    line = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
+    lines = [
+        F.concat(F.lit("章节层级: H"), F.col("level").cast("string")), line("父章节路径: ", F.col("parent_path")), F.concat(F.lit("章节位置: 第"), (F.col("position") + 1).cast("string"), F.lit("个")),
+        line("检测到的重编号模式: ", F.col("patterns")), line("同级章节映射: ", F.col("_last")),
+    ]
+    return rows.withColumn("_last", last).select("pair_id", "t_seq", F.concat_ws("\n", *lines).alias("context"))
+
+
 def parse_score_lines(replies: DataFrame) -> DataFrame:
     """request_id, t, g, score from lines 'T1-G2: 0.9 | ...'; scores are held to 0..1 and a cell's last line wins."""
     pattern = r"T(\d+)-G(\d+):[\s]*([0-9]+(?:\.[0-9]+)?)"

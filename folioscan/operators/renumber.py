@@ -93,3 +93,17 @@ def merge_patterns(patterns: DataFrame) -> DataFrame:
 
 def shift_analysis(merged: DataFrame) -> DataFrame:
     return merged.groupBy("pair_id").agg(F.lit(True).alias("has_shift"), F.count("*").alias("n_patterns"), F.max("confidence").alias("max_confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("affected_levels")))).alias("levels"))
+
+
+def validate_patterns(merged: DataFrame, pairs: DataFrame, chapters: DataFrame, least: float = 0.3) -> DataFrame:
+    """merge_patterns rows with a column valid: confident, with levels; offsets are not 0 and come from one level (so their
+    examples agree); insertions and deletions agree with the chapter counts of the levels."""
+    per = chapters.groupBy("doc_id", "level").agg(F.count("*").alias("n"))
+    levels = merged.filter(F.col("pattern_type").isin("insertion", "deletion")).select("pair_id", "pattern_type", F.explode("affected_levels").alias("level")).join(pairs, "pair_id")
+    side = lambda c, n: per.select(F.col("doc_id").alias(c), "level", F.col("n").alias(n))
+    counts = levels.join(side("template_doc_id", "n_t"), ["template_doc_id", "level"], "left").join(side("target_doc_id", "n_g"), ["target_doc_id", "level"], "left").fillna(0)
+    counts = counts.groupBy("pair_id", "pattern_type").agg((F.sum("n_g") - F.sum("n_t")).alias("grown"))
+    kind = F.col("pattern_type")
+    special = F.when(kind == "offset", F.col("offset_value") != 0).when(kind == "insertion", F.col("grown") > 0).when(kind == "deletion", F.col("grown") < 0).otherwise(F.lit(True))
+    rows = merged.join(counts, ["pair_id", "pattern_type"], "left")
+    return rows.withColumn("valid", (F.col("confidence") >= least) & (F.size("affected_levels") > 0) & F.coalesce(special, F.lit(False))).drop("grown")

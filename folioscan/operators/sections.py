@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscan.functions.urls import absolute_url
+
 AT = ["doc_id", "parent_id"]
 BODY = ("p", "div", "section", "article", "ul", "ol", "table", "pre", "blockquote")
 FAR = (1 << 31) - 1
@@ -58,6 +60,19 @@ def sub_section_content(blocks: DataFrame, subs: DataFrame) -> DataFrame:
     return subs.join(text, [*AT, "idx", "owner"], "left").fillna("", ["content"])
 
 
+def chapter_images(chapters: DataFrame, regions: DataFrame, images: DataFrame, origin=None) -> DataFrame:
+    """doc_id, seq, number, url, alt_text, image_title, context, position: the images in the region of a chapter's id, or else of its
+    title. Chapters that share a container get all its images each. Numbers count images without source, which are left out."""
+    by_id = regions.filter("html_id is not null").select("doc_id", "html_id", F.struct("first", "last").alias("own"))
+    by_title = regions.filter("heading is not null").select("doc_id", F.col("heading").alias("title"), F.struct("first", "last").alias("around"))
+    rows = chapters.select("doc_id", "seq", "title", "html_id").join(by_id, ["doc_id", "html_id"], "left").join(by_title, ["doc_id", "title"], "left")
+    rows = rows.withColumn("at", F.coalesce("own", "around")).filter("at is not null").select("doc_id", "seq", "title", "at.first", "at.last")
+    rows = rows.join(images.withColumnRenamed("title", "image_title"), "doc_id").filter("ord between first and last")
+    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "seq").orderBy("ord"))).filter("src <> ''")
+    url = F.col("src") if origin is None else absolute_url(F.col("src"), origin)
+    return rows.select("doc_id", "seq", "number", url.alias("url"), "alt_text", "image_title", "context", F.concat("title", F.lit(" - 图片"), F.col("number").cast("string")).alias("position"))
+
+
 def page_chapters(blocks: DataFrame, skip_first: bool = True) -> DataFrame:
     """doc_id, seq, title, level, content, position, html_id, parent_path: each h1 section followed by its sub-sections."""
     tops = h1_sections(blocks, skip_first)

@@ -153,3 +153,25 @@ def test_stream_of_chapters(spark, tmp_path):
     chapters(spark, {1: [(1, " "), (5, "deep")]}).write.parquet(f"{tmp_path}/in")
     violations.write_violations(violations.page_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_images_of_chapters(spark):
+    page = """<body><h1>P</h1><div><h1>A</h1><p>before the <b>picture</b></p><img src="/a.png" alt="x"><p>after it</p><img><div class="fig"><img src="b.png" title="t"><p>caption</p></div></div>
+    <section id="s"><img src="//c/d.png"></section><h1 id="s">B</h1><p>text</p></body>"""
+    pages = spark.createDataFrame([(1, page), (2, None)], "doc_id long, html string")
+    own = spark.createDataFrame([(1, 0, "A", ""), (1, 1, "B", "s"), (1, 2, "none", "")], "doc_id long, seq int, title string, html_id string")
+    rows = sections.chapter_images(own, html.html_regions(pages), html.html_images(pages), F.lit("http://h")).orderBy("seq", "number").collect()
+    assert [(x.seq, x.number, x.url, x.position) for x in rows] == [(0, 1, "http://h/a.png", "A - 图片1"), (0, 3, "http://h/b.png", "A - 图片3"), (1, 1, "http://c/d.png", "B - 图片1")]
+    assert rows[0].context == "before the picture | after it" and rows[1].context == "caption | caption" and rows[1].image_title == "t"
+
+
+def test_rules_inventory_and_validation(spark):
+    from folioscan.operators import rules
+
+    by = {(x.category, x.severity): x.n_rules for x in rules.rules_summary(rules.rules_df(spark), rules.severity_df(spark)).collect()}
+    assert by == {("text_rules", "critical"): 1, ("text_rules", "warning"): 7, ("image_rules", "critical"): 1, ("image_rules", "warning"): 7, ("structure_rules", "warning"): 5, ("format_rules", "info"): 2, ("format_rules", "warning"): 3}
+    docs = {1: [(1, f"{i} a") for i in range(1, 6)], 2: [(1, f"{i} a") for i in range(1, 5)]}
+    ch, pairs = chapters(spark, docs), pairs_of(spark, (1, 1, 2))
+    merged = renumber.merge_patterns(renumber.all_patterns(renumber.numbered(pairs, ch)))
+    got = {x.pattern_type: x.valid for x in renumber.validate_patterns(merged, pairs, ch).collect()}
+    assert got == {"deletion": False}
