@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by largest inner product, with an adaptive scan of dimensions.
 
 Vectors are turned by one random rotation and dealt to inverted lists around centroids, which are fitted to a bounded
-sample (``sample`` vectors). A query probes the lists whose centroids have the largest inner product with it. Within a list
-the rotated vectors lie in column blocks: after each block of dimensions the partial inner product plus ``sigmas`` times the
+sample (``sample`` vectors). A query probes the lists whose centroids have the largest inner product with it; how many is
+measured on the sample, so that the probed lists hold a share ``found`` of the true neighbours there: few where vectors form
+clusters, most where they do not. Within a list the rotated vectors lie in column blocks: after each block of dimensions the partial inner product plus ``sigmas`` times the
 deviation that a random rotation leaves for the rest is held against the query's current k-th best score; candidates below
 it are abandoned. Survivors are scored with their original components in double precision.
 
@@ -30,9 +31,9 @@ from folioscan.llm.common import pick, small_batches, written
 K = 20
 EVERY = 20
 SAMPLE = 20_000
-LIST_SIZE = 256
+LIST_SIZE = 1024
 MOST_LISTS = 4096
-PROBES = 48
+FOUND = 0.97
 SIGMAS = 3.0
 COLUMNS = 16
 BLOCK = 2048
@@ -57,6 +58,18 @@ class Lists:
     def place(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([(x[k : k + 4096] @ self.centroids.T).argmax(1) for k in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
+    def needed(self, x: np.ndarray, k: int, found: float, queries: int = 256) -> int:
+        """The fewest lists to probe that hold a share found of the true neighbours, by brute force on some vectors of x."""
+        if len(x) < 2:
+            return len(self.centroids)
+        q = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(np.int64)
+        scores = x[q] @ x.T
+        scores[np.arange(len(q)), q] = -np.inf
+        n = min(k, len(x) - 1)
+        near = self.place(x)[np.argpartition(-scores, n - 1, axis=1)[:, :n]]
+        place = np.argsort(np.argsort(-(x[q] @ self.centroids.T), axis=1, kind="stable"), axis=1)
+        return int(np.quantile(np.take_along_axis(place, near, axis=1), found, method="higher")) + 1
+
     def probe(self, x: np.ndarray, probes: int) -> np.ndarray:
         n = min(probes, len(self.centroids))
         return np.argpartition(-(x @ self.centroids.T), n - 1, axis=1)[:, :n]
@@ -125,7 +138,7 @@ def _matrix(column) -> np.ndarray:
     return np.stack(column.to_list()) if len(column) else np.zeros((0, 0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int = PROBES, sample: int = SAMPLE, block: int = BLOCK, sigmas: float = SIGMAS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None = None, found: float = FOUND, sample: int = SAMPLE, block: int = BLOCK, sigmas: float = SIGMAS) -> DataFrame:
     """query_id, rank, vec_id, score for the k nearest found of every row that is_query (a condition on vec_id) selects."""
     spark = vectors.sparkSession
     small_batches(spark, 4096)
@@ -135,7 +148,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int = PROBE
     result = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], result)
-    lists = Lists(_matrix(some["x"]), max(1, min(MOST_LISTS, total // LIST_SIZE)))
+    fitted = _matrix(some["x"])
+    lists = Lists(fitted, max(1, min(MOST_LISTS, total // LIST_SIZE)))
+    probes = probes or lists.needed(fitted, k, found)
     sent = spark.sparkContext.broadcast(lists)  # at most MOST_LISTS centroids
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +185,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int = PROBE
         return pd.DataFrame({"query_id": own[i], "vec_id": ids[j], "score": s})
 
     at = ["list", "block", "share"]
-    found = asked.groupBy(*at).cogroup(held.groupBy(*at)).applyInPandas(near, "query_id long, vec_id long, score double")
+    near_ones = asked.groupBy(*at).cogroup(held.groupBy(*at)).applyInPandas(near, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near_ones.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def multiples(every: int = EVERY) -> Column:

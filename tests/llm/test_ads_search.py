@@ -38,6 +38,19 @@ def test_recall_and_scores_on_the_table(spark):
         assert all(abs(s - exact[a]) < 1e-12 for a, s in got[q] if a in exact)
 
 
+def test_enough_lists_are_probed_without_clusters():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(12_000, 32))
+    lists = A.Lists(x[:5000], 40)
+    probes, own = lists.needed(x[:5000], 20, 0.97), lists.place(x)
+    s = x[:200] @ x.T
+    s[np.arange(200), np.arange(200)] = -np.inf
+    top = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([np.isin(own[t], p).mean() for t, p in zip(top, lists.probe(x[:200], probes))]) > 0.93
+    clustered = np.repeat(r.normal(size=(40, 32)) * 9, 100, axis=0) + r.normal(size=(4000, 32))
+    assert A.Lists(clustered, 40).needed(clustered, 20, 0.97) < 10
+
+
 def test_edges_ties_and_hot_vector(spark):
     r = np.random.default_rng(1)
     hot = r.normal(size=8).astype(np.float32)
