@@ -23,10 +23,12 @@ that repeat a doc_id remove nothing from each other; texts below ``length`` byte
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +40,18 @@ SEED = 24
 BATCH_BYTES = 6 << 20
 BUCKET_BYTES = 24 << 20
 _PART = 1 << 15
+#: Bytes that one suffix array covers, and bytes of texts that are dealt out together.
+SORTED_BYTES = 1 << 15
+DEALT_BYTES = 32 << 20
+DEALT = "batch long, ids array<long>, sizes array<int>, texts binary"
 LAST = np.iinfo(np.int64).max
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 MESSAGES = "bucket int, batch long, kind int, high binary, low binary, value binary"
-REPLIES = "batch long, kind int, high binary, low binary, value binary"
-#: Kinds of messages. DISTINCT: the reply says that the key has several values. LESS: it gives a smaller value, if there is one.
+REPLIES = "batch long, bucket int, kind int, high binary"
+#: Kinds of messages. Of SHORT ones the reply says that the key has several values; their keys have 31 bits within a bucket, for
+#: a chance equality only makes more to look at. The others' replies name the keys for which another batch has a smaller value.
 ANCHOR, AROUND, HALF, STRING = range(4)
-DISTINCT = (ANCHOR, HALF)
+SHORT = (ANCHOR, HALF)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -120,26 +127,26 @@ def smallest(high: np.ndarray, low: np.ndarray, value: np.ndarray) -> tuple[np.n
     return high[at], low[at], value[at]
 
 
-class Heard:
-    """Replies of one kind, to look keys up in."""
+def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are among some, a sorted array."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
 
-    def __init__(self, high: np.ndarray, low: np.ndarray, value: np.ndarray):
-        order = np.lexsort((low, high))
-        self.high, self.low, self.value = high[order], low[order], value[order]
 
-    def of(self, high: np.ndarray, low: np.ndarray, default: int) -> np.ndarray:
-        """The value for each key, or default."""
-        if not len(self.high):
-            return np.full(len(high), default, np.int64)
-        k = np.minimum(np.searchsorted(self.high, high), len(self.high) - 1)
-        return np.where((self.high[k] == high) & (self.low[k] == low), self.value[k], default)
+def least_of(high: np.ndarray, low: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each entry the smallest value of its key."""
+    order, runs = firsts(high, low, value)
+    out = np.empty(len(value), np.int64)
+    if len(runs):
+        out[order] = np.repeat(value[order[runs]], np.diff(np.concatenate((runs, [len(order)]))))
+    return out
 
 
 class Batch:
     """Some documents as one byte sequence, with their anchors."""
 
-    def __init__(self, ids, texts, length: int):
-        raws = as_bytes(texts)
+    def __init__(self, ids: list, raws: list[bytes], length: int):
         keys = np.array([LAST if i is None else i for i in ids], np.int64)
         order = np.argsort(keys, kind="stable")
         self.ids, self.raws, self.keys, self.length = [ids[k] for k in order], [raws[k] for k in order], keys[order], length
@@ -193,29 +200,46 @@ class Batch:
             out.append((some, *range_hashes(self.words, start[some], np.int64(half + self.seed), salt)))
         return out
 
-    def strings(self, anchors: np.ndarray) -> np.ndarray:
-        """Start places of all strings that hold one of the anchors and lie in its surroundings."""
-        delta = np.zeros(int(self.starts[-1]) + 2, np.int32)
-        last = np.minimum(self.at[anchors], self.right[anchors] - self.length)
-        np.add.at(delta, self.left[anchors], 1)
-        np.add.at(delta, last + 1, -1)
+    def strings(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Start places of all strings that lie in the surroundings of an anchor of left and hold the half to its left, or of one
+        of right and hold the half to its right."""
+        delta, half = np.zeros(int(self.starts[-1]) + 2, np.int32), (self.reach + 1) // 2
+        last = np.minimum(self.at, self.right - self.length)
+        for a, b in ((self.left[left], np.minimum(last, self.at - half)[left]), (np.maximum(self.left, self.at - self.reach + half)[right], last[right])):
+            some = a <= b
+            np.add.at(delta, a[some], 1)
+            np.add.at(delta, b[some] + 1, -1)
         return np.flatnonzero(np.cumsum(delta) > 0)
 
-    def grouped(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys and smallest document of the different strings at places, found in a suffix array of the parts they cover.
+    def grouped(self, places: np.ndarray, most: int = SORTED_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys and smallest document of the different strings at places, found in suffix arrays of the parts they cover.
 
-        Parts that occur several times enter it once, with the smallest document that has them."""
+        Parts that occur several times enter once, with the smallest document that has them. A suffix array covers about
+        ``most`` bytes; strings that several of them hold meet by their keys, as those of different batches do."""
+        none = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if not len(places):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            return none
         cut = np.concatenate(([True], (np.diff(places) > 1) | (np.diff(self.owner[places]) > 0)))
         begin = places[cut]
         end = np.concatenate((places[np.flatnonzero(cut)[1:] - 1], places[-1:])) + self.length
         parts: dict[bytes, int] = {}
         for a, b in zip(begin.tolist(), end.tolist(), strict=True):
             parts.setdefault(self.data[a:b].tobytes(), a)  # documents are in order: the first has the smallest key
+        found, some, size = [], [], 0
+        for part, a in parts.items():
+            some.append((part, a))
+            size += len(part)
+            if size >= most:
+                found.append(self._sorted(some))
+                some, size = [], 0
+        if some:
+            found.append(self._sorted(some))
+        return smallest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def _sorted(self, parts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         text: list[int] = []
         source, inside = [], []
-        for part, a in parts.items():
+        for part, a in parts:
             text += [x + 2 for x in part]
             text.append(1)
             n = len(part)
@@ -257,16 +281,37 @@ class Batch:
         return out
 
 
+def short(high: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 31 bits of a key; the last bit is free."""
+    return ((high % np.uint64(buckets)) << np.uint64(32)) | ((high >> np.uint64(32)) & np.uint64(0xFFFFFFFE))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """The low 48 bits of each number."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<i8").ravel()
+
+
 def _sent(batch: int, parts: list[tuple[int, tuple]], buckets: int) -> pa.Table:
-    """Messages by bucket of their keys."""
+    """Messages by bucket of their keys. Anchors come as short keys whose last bit says that the batch has several documents
+    with them, halves as short keys with the surroundings' name."""
     rows = []
     for kind, (high, low, value) in parts:
-        bucket = (high % np.uint64(buckets)).astype(np.int64)
+        bucket = (high >> np.uint64(32) if kind in SHORT else high % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             at = order[edges[k] : edges[k + 1]]
-            rows.append((k, batch, kind, high[at].tobytes(), b"" if kind == ANCHOR else low[at].tobytes(), value[at].tobytes()))
+            if kind in SHORT:
+                said = high[at].astype(np.uint32).tobytes(), b"", b"" if kind == ANCHOR else _packed(value[at])
+            else:
+                said = high[at].tobytes(), low[at].tobytes(), value[at].tobytes()
+            rows.append((k, batch, kind, *said))
     return _table(rows, [("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("value", pa.binary())])
 
 
@@ -278,58 +323,100 @@ def _table(rows: list[tuple], fields: list[tuple]) -> pa.Table:
 def _received(messages: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Which row each entry came in, and its key and value."""
     rows = [i for i, k in enumerate(messages["kind"].to_pylist()) if k == kind]
-    high = [np.frombuffer(messages["high"][i].as_py(), np.uint64) for i in rows]
-    value = [np.frombuffer(messages["value"][i].as_py(), np.int64) for i in rows]
-    low = [np.zeros(len(h), np.uint32) if kind == ANCHOR else np.frombuffer(messages["low"][i].as_py(), np.uint32) for i, h in zip(rows, high, strict=True)]
+    raw = {c: [messages[c][i].as_py() for i in rows] for c in ("high", "low", "value")}
+    high = [np.frombuffer(x, np.uint32 if kind in SHORT else np.uint64).astype(np.uint64) for x in raw["high"]]
     row = [np.full(len(h), i) for i, h in zip(rows, high, strict=True)]
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(row, np.int64), join(high, np.uint64), join(low, np.uint32), join(value, np.int64)
+    row, high = join(row, np.int64), join(high, np.uint64)
+    if kind == ANCHOR:  # each batch is a value of its own; one with several documents counts as two
+        several = (high & np.uint64(1)) > 0
+        row, high, value = np.concatenate((row, row[several])), np.concatenate((high, high[several])) & ~np.uint64(1), np.concatenate((row, -1 - row[several]))
+        return row, high, np.zeros(len(high), np.uint32), value
+    if kind == HALF:
+        return row, high, np.zeros(len(high), np.uint32), join([_unpacked(x) for x in raw["value"]], np.int64)
+    return row, high, join([np.frombuffer(x, np.uint32) for x in raw["low"]], np.uint32), join([np.frombuffer(x, np.int64) for x in raw["value"]], np.int64)
 
 
 def _meet(messages: pa.Table) -> pa.Table:
     """Replies of one bucket."""
-    out, batches = [], messages["batch"].to_pylist()
+    out, batches, bucket = [], messages["batch"].to_pylist(), messages["bucket"][0].as_py()
     for kind in sorted(set(messages["kind"].to_pylist())):
         row, high, low, value = _received(messages, kind)
         order, runs = firsts(high, low, value)
         sizes = np.diff(np.concatenate((runs, [len(order)])))
         least = np.repeat(value[order[runs]], sizes)
-        if kind in DISTINCT:
-            tell = np.repeat(value[order[runs + sizes - 1]], sizes) > least
-        else:
-            tell = value[order] > least
-        at, said = order[tell], least[tell]
-        by = np.argsort(row[at], kind="stable")
-        at, said = at[by], said[by]
-        for r in np.unique(row[at]).tolist():
-            a, b = np.searchsorted(row[at], [r, r + 1])
-            own = at[a:b]
-            out.append((batches[r], kind, high[own].tobytes(), b"" if kind == ANCHOR else low[own].tobytes(), b"" if kind in DISTINCT else said[a:b].tobytes()))
-    return _table(out, [("batch", pa.int64()), ("kind", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("value", pa.binary())])
-
-
-def _heard(replies: pa.Table, kind: int) -> Heard:
+        tell = np.repeat(value[order[runs + sizes - 1]], sizes) > least if kind in SHORT else value[order] > least
+        at = order[tell]
+        at = at[np.argsort(row[at], kind="stable")]
+        edges = np.flatnonzero(np.concatenate(([True], row[at][1:] != row[at][:-1]))) if len(at) else np.zeros(0, np.int64)
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=False):
+            own, batch = at[a:b], batches[row[at[a]]]
+            keys = np.unique(high[own])
+            out.append((batch, bucket, kind, (keys.astype(np.uint32) if kind in SHORT else keys).tobytes()))
+    return _table(out, [("batch", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("high", pa.binary())])
+
+
+def _heard(replies: pa.Table, kind: int) -> np.ndarray:
+    """The keys that replies of a kind name, in order; short ones with their bucket."""
     some = replies.filter(pa.compute.equal(replies["kind"], kind))
-    high = np.frombuffer(b"".join(some["high"].to_pylist()), np.uint64)
-    low = np.zeros(len(high), np.uint32) if kind == ANCHOR else np.frombuffer(b"".join(some["low"].to_pylist()), np.uint32)
-    value = np.ones(len(high), np.int64) if kind in DISTINCT else np.frombuffer(b"".join(some["value"].to_pylist()), np.int64)
-    return Heard(high, low, value)
+    if kind in SHORT:
+        keys = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(k << 32) for x, k in zip(some["high"].to_pylist(), some["bucket"].to_pylist(), strict=True)]
+        return np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    return np.sort(np.frombuffer(b"".join(some["high"].to_pylist()), np.uint64))
+
 
+def _shared(batch: Batch, replies: pa.Table, buckets: int) -> None:
+    """Goes on with the anchors that several documents have."""
+    batch.choose(among(short(batch.hash, buckets), _heard(replies, ANCHOR)))
 
-def _settled(batch: Batch, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor: surroundings also in a smaller document; that document's key; anchor to look at by strings."""
+
+def _settled(batch: Batch, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each shared anchor whether its surroundings are also in a smaller document; and the strings to look at otherwise.
+
+    Another batch's smaller document is smaller than all of this batch that have the key."""
+    _shared(batch, replies, buckets)
     high, low = batch.around()
     own = batch.keys[batch.doc]
-    order, runs = firsts(high, low, own)
-    least = np.empty(len(own), np.int64)
-    if len(runs):
-        least[order] = np.repeat(own[order[runs]], np.diff(np.concatenate((runs, [len(order)]))))
-    least = np.minimum(least, _heard(replies, AROUND).of(high, low, LAST))
-    open_ = np.zeros(len(own), bool)
-    half = _heard(replies, HALF)
-    for some, h, l in batch.halves():
-        open_[some] |= half.of(h, l, 0) > 0
-    return least < own, least, open_ & (least == own)
+    gone = (least_of(high, low, own) < own) | among(high, _heard(replies, AROUND))
+    half, look = _heard(replies, HALF), []
+    for some, h, _ in batch.halves():
+        look.append(some[among(short(h, buckets), half) & ~gone[some]])
+    return gone, batch.strings(*look)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of a partition by batch: ids, lengths and the compressed texts, one after the other."""
+    held: dict[int, tuple[list, list]] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        rows = [(k, ids, [len(r) for r in raws], zstandard.ZstdCompressor(3).compress(b"".join(raws))) for k, (ids, raws) in held.items()]
+        fields = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields, strict=True)], ["batch", "ids", "sizes", "texts"])
+
+    for b in batches:
+        for k, i, raw in zip(b.column("batch").to_pylist(), b.column("doc_id").to_pylist(), as_bytes(b.column("text").to_pylist()), strict=True):
+            ids, raws = held.setdefault(k, ([], []))
+            ids.append(i)
+            raws.append(raw)
+            size += len(raw) + 64
+        if size >= DEALT_BYTES:
+            yield flush()
+            held.clear()
+            size = 0
+    if held:
+        yield flush()
+
+
+def _batch(t: pa.Table, length: int) -> Batch:
+    ids, raws = [], []
+    for own, sizes, texts in zip(t["ids"].to_pylist(), t["sizes"].to_pylist(), t["texts"].to_pylist(), strict=True):
+        ids += own
+        joined, at = zstandard.ZstdDecompressor().decompress(texts, max_output_size=max(1, sum(sizes))), 0
+        for n in sizes:
+            raws.append(joined[at : at + n])
+            at += n
+    return Batch(ids, raws, length)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -338,53 +425,51 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BAT
     rows = pick(docs, doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = total_bytes(rows, "text")
     batches, buckets = max(1, -(-size // batch_bytes)), max(1, -(-size // bucket_bytes))
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), "doc_id", "text").groupBy("batch")
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), "doc_id", "text").mapInArrow(_dealt, DEALT).groupBy("batch")
     meet = lambda messages: messages.groupBy("bucket").applyInArrow(_meet, REPLIES)
 
-    def build(t: pa.Table) -> Batch:
-        return Batch(t["doc_id"].to_pylist(), t["text"].to_pylist(), length)
-
     def anchors(t: pa.Table) -> pa.Table:
-        batch = build(t)
-        found = extremes(batch.hash, np.zeros(len(batch.hash), np.uint32), batch.keys[batch.doc])
-        return _sent(t["batch"][0].as_py(), [(ANCHOR, found)], buckets)
+        batch = _batch(t, length)
+        order = np.argsort(batch.hash, kind="stable")
+        h, doc = batch.hash[order], batch.doc[order]
+        runs = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        several = np.maximum.reduceat(doc, runs) > np.minimum.reduceat(doc, runs) if len(h) else h > 0
+        high = short(h[runs], buckets) | several.astype(np.uint64)
+        return _sent(t["batch"][0].as_py(), [(ANCHOR, (high, None, None))], buckets)
 
     def surroundings(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _sent(0, [], buckets)
-        batch = build(t)
-        batch.choose(_heard(replies, ANCHOR).of(batch.hash, np.zeros(len(batch.hash), np.uint32), 0) > 0)
+        batch = _batch(t, length)
+        _shared(batch, replies, buckets)
         high, low = batch.around()
-        name = (high >> np.uint64(1)).astype(np.int64)
-        halves = [(HALF, extremes(h, l, name[some])) for some, h, l in batch.halves()]
+        name = (high >> np.uint64(16)).astype(np.int64)
+        halves = [(HALF, extremes(short(h, buckets), np.zeros(len(h), np.uint32), name[some])) for some, h, _ in batch.halves()]
         return _sent(t["batch"][0].as_py(), [(AROUND, smallest(high, low, batch.keys[batch.doc])), *halves], buckets)
 
     def strings(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _sent(0, [], buckets)
-        batch = build(t)
-        _, _, look = _settled(batch, replies)
-        return _sent(t["batch"][0].as_py(), [(STRING, batch.grouped(batch.strings(np.flatnonzero(look))))], buckets)
+        batch = _batch(t, length)
+        _, places = _settled(batch, replies, buckets)
+        return _sent(t["batch"][0].as_py(), [(STRING, batch.grouped(places))], buckets)
 
     def cut(t: pa.Table, replies: pa.Table) -> pa.Table:
         done = []
         if t.num_rows:
-            batch = build(t)
-            gone, _, look = _settled(batch, replies)
-            places = batch.strings(np.flatnonzero(look))
+            batch = _batch(t, length)
+            gone, places = _settled(batch, replies, buckets)
             high, low = range_hashes(batch.words, places, np.int64(length), 4)
             own = batch.keys[batch.owner[places]]
-            mine = Heard(*smallest(high, low, own))
-            least = np.minimum(mine.of(high, low, LAST), _heard(replies, STRING).of(high, low, LAST))
-            hit = places[least < own]
+            hit = places[(least_of(high, low, own) < own) | among(high, _heard(replies, STRING))]
             done = batch.covered([(batch.left[gone], batch.right[gone]), (hit, hit + length)])
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return _table(done, [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", spans)])
 
     first = meet(dealt.applyInArrow(anchors, MESSAGES))
     second = meet(dealt.cogroup(first.groupBy("batch")).applyInArrow(surroundings, MESSAGES))
-    third = meet(dealt.cogroup(second.groupBy("batch")).applyInArrow(strings, MESSAGES))
-    return dealt.cogroup(second.unionByName(third).groupBy("batch")).applyInArrow(cut, RESULT)
+    third = meet(dealt.cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(strings, MESSAGES))
+    return dealt.cogroup(first.unionByName(second).unionByName(third).groupBy("batch")).applyInArrow(cut, RESULT)
 
 
 def digest(found: DataFrame) -> DataFrame:

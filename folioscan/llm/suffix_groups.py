@@ -26,6 +26,7 @@ def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[int], list[int]]
     for c, s in start.items():
         size[s] = sizes[c]
     group = [start[c] for c in text]
+    group.append(-1)  # where pointers end: place -1 lies in a group below all others
     order, place, free = [0] * n, [0] * n, dict(start)
     for i, c in enumerate(text):
         k = free[c]
@@ -33,58 +34,68 @@ def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[int], list[int]]
         free[c] = k + 1
     prev = [-1] * n
     end = n
-    while end > 0:
+    while end:
         first = group[order[end - 1]]
-        here = order[first:end]
-        if len(here) == 1:
+        if end - first == 1:
             # one suffix: only its previous smaller one grows, and moves to the end of its group
-            s = here[0]
+            s = order[first]
             p = s - 1
-            while p >= 0 and group[p] >= first:
+            while group[p] >= first:
                 p = prev[p]
             prev[s] = p
+            end = first
             if p >= 0:
                 g = group[p]
-                m = size[g]
-                if m > 1:
-                    last = g + m - 1
-                    k, other = place[p], order[last]
-                    order[k], place[other] = other, k
-                    order[last], place[p] = p, last
-                    size[g], size[last], group[p] = m - 1, 1, last
-            end = first
+                m = size[g] - 1
+                if m:
+                    last = g + m
+                    other = order[last]
+                    if other != p:
+                        k = place[p]
+                        order[k], place[other] = other, k
+                        order[last], place[p] = p, last
+                    size[g], size[last], group[p] = m, 1, last
             continue
-        here.sort()
         followers: dict[int, int] = {}
-        for s in here:  # from left to right: a pointer that ends in this same group goes on to that suffix's own
+        for s in sorted(order[first:end]):  # from left to right: a pointer that ends in this same group goes on to that suffix's own
             p = s - 1
-            while p >= 0 and group[p] > first:
+            while group[p] > first:
                 p = prev[p]
-            if p >= 0 and group[p] == first:
+            if group[p] == first:
                 p = prev[p]
             prev[s] = p
-            if p >= 0:
-                followers[p] = followers.get(p, 0) + 1
+            if p in followers:
+                followers[p] += 1
+            else:
+                followers[p] = 1
+        end = first
+        followers.pop(-1, None)
         by_count: dict[int, list[int]] = {}
         for p, k in followers.items():
-            by_count.setdefault(k, []).append(p)
+            if k in by_count:
+                by_count[k].append(p)
+            else:
+                by_count[k] = [p]
         # those with the most followers leave first and take the last places of what is left of their groups
         for k in sorted(by_count, reverse=True):
             moved: dict[int, int] = {}
             for p in by_count[k]:
                 g = group[p]
-                last = g + size[g] - 1
-                at, other = place[p], order[last]
-                order[at], place[other] = other, at
-                order[last], place[p] = p, last
-                size[g] -= 1
+                m = size[g] - 1
+                last = g + m
+                other = order[last]
+                if other != p:
+                    at = place[p]
+                    order[at], place[other] = other, at
+                    order[last], place[p] = p, last
+                size[g] = m
                 moved[g] = moved.get(g, 0) + 1
-            fresh = {g: (g + size[g], m) for g, m in moved.items()}
+            fresh = {g: g + size[g] for g in moved}
             for p in by_count[k]:
-                group[p] = fresh[group[p]][0]
-            for new, m in fresh.values():
-                size[new] = m
-        end = first
+                group[p] = fresh[group[p]]
+            for g, m in moved.items():
+                size[fresh[g]] = m
+    group.pop()
     return order, group, prev
 
 
@@ -93,12 +104,14 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     n = len(text)
     if not n:
         return []
-    order, group, prev = lyndon_groups(text)
-    out, free, placed = [-1] * n, list(range(n)), bytearray(n)
-    out[0], placed[n - 1] = n - 1, 1
+    _, group, prev = lyndon_groups(text)
+    free = list(range(n))
+    out = [n - 1] * n
+    placed = bytearray(n + 1)
+    placed[n - 1] = placed[n] = 1  # the last stands for place -1, where pointers end
     for i in range(n):
         p = out[i] - 1
-        while p >= 0 and not placed[p]:
+        while not placed[p]:
             g = group[p]
             k = free[g]
             out[k] = p
