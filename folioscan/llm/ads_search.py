@@ -7,6 +7,8 @@ clusters, most where they do not. Within a list the rotated vectors lie in colum
 deviation that a random rotation leaves for the rest is held against the query's current k-th best score; candidates below
 it are abandoned. Survivors are scored with their original components in double precision.
 
+The sample's own k best for a query set its first bar, and count as found.
+
 Large lists are cut into blocks of about ``block`` vectors, each with the list's queries in blocks of as many, so a list
 that holds a third of all vectors is many tasks. Each gives k rows a query at most; the last step keeps the k best.
 
@@ -58,6 +60,28 @@ class Lists:
     def place(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([(x[k : k + 4096] @ self.centroids.T).argmax(1) for k in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
+    def keep(self, x: np.ndarray, ids: np.ndarray) -> Lists:
+        """Keeps the sample itself: its best scores are a first bar for every query."""
+        self.x, self.ids = x, ids
+        return self
+
+    def first(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, list, list]:
+        """For each query the k-th best score in the sample (or minus infinity), and the k best ids and scores there."""
+        bars, ids, scores = np.full(len(queries), -np.inf), [], []
+        for i, q in enumerate(queries):
+            if i % 256 == 0:
+                block = queries[i : i + 256] @ self.x.T
+            row = np.where(self.ids == own[i], -np.inf, block[i % 256])
+            n = min(k, len(row))
+            at = np.argpartition(-row, n - 1)[:n]
+            at = at[row[at] > -np.inf]
+            exact = np.einsum("ij,ij->i", np.broadcast_to(q, (len(at), len(q))), self.x[at])
+            if len(at) == k:
+                bars[i] = exact.min()
+            ids.append(self.ids[at].tolist())
+            scores.append(exact.tolist())
+        return bars, ids, scores
+
     def needed(self, x: np.ndarray, k: int, found: float, queries: int = 256) -> int:
         """The fewest lists to probe that hold a share found of the true neighbours, by brute force on some vectors of x."""
         if len(x) < 2:
@@ -80,7 +104,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: np.ndarray, rotation: np.ndarray, k: int = K, sigmas: float = SIGMAS, columns: int = COLUMNS):
+def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: np.ndarray, rotation: np.ndarray, k: int = K, sigmas: float = SIGMAS, columns: int = COLUMNS, bars: np.ndarray | None = None):
     """(query, place, score) of at most k vectors for each query, abandoned ones left out. own: the queries' ids."""
     d = vectors.shape[1]
     q, x = (queries.astype(np.float32) @ rotation), (vectors.astype(np.float32) @ rotation)
@@ -91,6 +115,7 @@ def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: np.ndar
     seeds = min(len(x), 4 * k)
     start = np.sort(queries @ vectors[:seeds].T, axis=1)
     bar = start[:, -k - 1] if seeds > k else np.full(len(q), -np.inf)  # of k others at least; one may be the query itself
+    bar = bar if bars is None else np.maximum(bar, bars)
     for lo in range(0, len(x), 512):
         hi = min(len(x), lo + 512)
         done = cuts[0] if cuts else d
@@ -112,12 +137,14 @@ def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: np.ndar
                 i, j, part = i[keep], j[keep], part[keep]
         other = ids[j] != own[i]
         i, j = i[other], j[other]
-        yield i, j, exact(i, j)
+        score = exact(i, j)
+        good = score >= bar[i] - 1e-9
+        yield i[good], j[good], score[good]
 
 
-def scanned(queries, vectors, ids, own, rotation, k: int = K, sigmas: float = SIGMAS, columns: int = COLUMNS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scanned(queries, vectors, ids, own, rotation, k: int = K, sigmas: float = SIGMAS, columns: int = COLUMNS, bars=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of what scan leaves, by query."""
-    parts = list(scan(queries, vectors, ids, own, rotation, k, sigmas, columns))
+    parts = list(scan(queries, vectors, ids, own, rotation, k, sigmas, columns, bars))
     i, j, s = (np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, np.int64) for n in range(3))
     order = np.lexsort((ids[j], -s, i))
     i, j, s = i[order], j[order], s[order]
@@ -151,7 +178,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
     fitted = _matrix(some["x"])
     lists = Lists(fitted, max(1, min(MOST_LISTS, total // LIST_SIZE)))
     probes = probes or lists.needed(fitted, k, found)
-    sent = spark.sparkContext.broadcast(lists)  # at most MOST_LISTS centroids
+    sent = spark.sparkContext.broadcast(lists.keep(fitted, some["vec_id"].to_numpy()))  # at most MOST_LISTS centroids and the sample
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,16 +189,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at = sent.value.probe(np.array(b.column("x").to_pylist()).reshape(b.num_rows, -1), probes)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.tolist(), pa.list_(pa.int64()))], ["vec_id", "x", "lists"])
+                x = np.array(b.column("x").to_pylist()).reshape(b.num_rows, -1)
+                bars, ids, scores = sent.value.first(x, b.column("vec_id").to_numpy(), k)
+                longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
+                more = [pa.array(sent.value.probe(x, probes).tolist(), longs), pa.array(bars), pa.array(ids, longs), pa.array(scores, doubles)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], ["vec_id", "x", "lists", "bar", "ids", "scores"])
 
     placed = written(rows.mapInArrow(place, "vec_id long, x array<double>, list long"), "placed")
     sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row per list
-    asked = rows.filter(is_query).mapInArrow(probe, "vec_id long, x array<double>, lists array<long>")
-    asked = asked.select("vec_id", "x", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list")
+    queries = written(rows.filter(is_query).mapInArrow(probe, "vec_id long, x array<double>, lists array<long>, bar double, ids array<long>, scores array<double>"), "queries")
+    asked = queries.select("vec_id", "x", "bar", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list")
     per_list = asked.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("shares"))
     asked = asked.join(F.broadcast(per_list), "list").withColumn("share", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("shares")).cast("int"))
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "share", "vec_id", "x")
+    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "share", "vec_id", "x", "bar")
     held = placed.join(F.broadcast(sizes), "list").join(F.broadcast(per_list), "list")
     held = held.withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.col("blocks")).cast("int"))
     held = held.select("list", "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vec_id", "x")
@@ -181,11 +211,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
         if left.empty or right.empty:
             return none
         own, ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        i, j, s = scanned(_matrix(left["x"]), _matrix(right["x"]), ids, own, sent.value.rotation, k, sigmas)
+        i, j, s = scanned(_matrix(left["x"]), _matrix(right["x"]), ids, own, sent.value.rotation, k, sigmas, bars=left["bar"].to_numpy())
         return pd.DataFrame({"query_id": own[i], "vec_id": ids[j], "score": s})
 
     at = ["list", "block", "share"]
     near_ones = asked.groupBy(*at).cogroup(held.groupBy(*at)).applyInPandas(near, "query_id long, vec_id long, score double")
+    at_first = queries.select(F.col("vec_id").alias("query_id"), F.explode(F.arrays_zip("ids", "scores")).alias("n")).select("query_id", F.col("n.ids").alias("vec_id"), F.col("n.scores").alias("score"))
+    near_ones = near_ones.unionByName(at_first).distinct()  # the sample's best are candidates like others, met once
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near_ones.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
