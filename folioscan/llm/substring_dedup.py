@@ -41,7 +41,7 @@ BATCH_BYTES = 6 << 20
 BUCKET_BYTES = 24 << 20
 _PART = 1 << 15
 #: Bytes that one suffix array covers, and bytes of texts that are dealt out together.
-SORTED_BYTES = 1 << 15
+SORTED_BYTES = 1 << 14
 DEALT_BYTES = 32 << 20
 DEALT = "batch long, ids array<long>, sizes array<int>, texts binary"
 LAST = np.iinfo(np.int64).max
@@ -76,8 +76,7 @@ def _sliding(x: np.ndarray, width: int, f, edge: int) -> np.ndarray:
     while have < width:
         step = min(have, width - have)
         out[:-step] = f(out[:-step], out[step:])
-        if step:
-            out[-step:] = f(out[-step:], np.uint64(edge))
+        out[-step:] = f(out[-step:], x.dtype.type(edge))
         have += step
     return out
 
@@ -155,18 +154,22 @@ class Batch:
         data = np.frombuffer(b"".join(self.raws) + bytes(length + 64), np.uint8)
         self.data, n = data, int(self.starts[-1])
         self.words = _words(data)
-        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        cut_off = np.zeros(n, bool)  # where a string would leave its document
+        short_of = self.starts[1:, None] - np.arange(1, length)
+        cut_off[short_of[short_of >= self.starts[:-1, None]]] = True
         seed, reach = min(SEED, length), length - min(SEED, length)
         found, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for lo in range(0, n, _PART):  # small parts stay in the processor's caches
             hi, a, b = min(n, lo + _PART), max(0, lo - reach), min(n, lo + _PART + reach)
-            h = self._seeds(a, b, seed)
-            low = _sliding(h, reach + 1, np.minimum, np.iinfo(np.uint64).max)[: hi - a]
-            low[np.arange(a, hi) + length > self.starts[1:][self.owner[a:hi]]] = 0  # not a string inside one document
+            full = self._seeds(a, b, seed)
+            h = (full >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            low = _sliding(h, reach + 1, np.minimum, np.iinfo(np.uint32).max)[: hi - a]
+            low[cut_off[a:hi]] = 0
             high = _sliding(low[::-1].copy(), reach + 1, np.maximum, 0)[::-1]
             at = np.flatnonzero(h[lo - a : hi - a] == high[lo - a :]) + lo
             found.append(at)
-            hashes.append(h[at - a])
+            hashes.append(full[at - a])
         self.at, self.hash = np.concatenate(found), np.concatenate(hashes)
         doc = self.owner[self.at]
         self.doc, self.reach, self.seed = doc, reach, seed
@@ -237,16 +240,13 @@ class Batch:
         return smallest(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     def _sorted(self, parts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        text: list[int] = []
-        source, inside = [], []
+        text, source, inside = [], [], []
         for part, a in parts:
-            text += [x + 2 for x in part]
-            text.append(1)
             n = len(part)
+            text += [np.frombuffer(part, np.uint8).astype(np.int64) + 2, np.ones(1, np.int64)]
             source.append(np.arange(a, a + n + 1))
             inside.append(np.arange(n + 1) <= n - self.length)
-        text.append(0)
-        order = np.array(suffix_array(text))[1:]
+        order = np.array(suffix_array(np.concatenate([*text, np.zeros(1, np.int64)])))[1:]
         order = order[np.concatenate(inside)[order]]
         at = np.concatenate(source)[order]
         same = np.ones(len(at) - 1, bool)
@@ -430,7 +430,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BAT
 
     def anchors(t: pa.Table) -> pa.Table:
         batch = _batch(t, length)
-        order = np.argsort(batch.hash, kind="stable")
+        order = np.argsort(batch.hash)
         h, doc = batch.hash[order], batch.doc[order]
         runs = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
         several = np.maximum.reduceat(doc, runs) > np.minimum.reduceat(doc, runs) if len(h) else h > 0

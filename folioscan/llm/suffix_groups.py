@@ -11,27 +11,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+
 
 def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[int], list[int]]:
     """First phase: (order by group, each suffix's group start in it, each suffix's previous smaller suffix or -1)."""
     n = len(text)
-    sizes: dict[int, int] = {}
-    for c in text:
-        sizes[c] = sizes.get(c, 0) + 1
-    start, at = {}, 0
-    for c in sorted(sizes):
-        start[c] = at
-        at += sizes[c]
-    size = [0] * (n + 1)
-    for c, s in start.items():
-        size[s] = sizes[c]
-    group = [start[c] for c in text]
+    symbols = np.asarray(text, np.int64)
+    by = np.argsort(symbols, kind="stable")
+    begins = np.flatnonzero(np.concatenate(([True], symbols[by][1:] != symbols[by][:-1]))) if n else np.zeros(0, np.int64)
+    counts = np.diff(np.concatenate((begins, [n])))
+    sizes, groups, places = np.zeros(n + 1, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+    sizes[begins] = counts
+    groups[by], places[by] = np.repeat(begins, counts), np.arange(n)
+    order, place, group, size = by.tolist(), places.tolist(), groups.tolist(), sizes.tolist()
     group.append(-1)  # where pointers end: place -1 lies in a group below all others
-    order, place, free = [0] * n, [0] * n, dict(start)
-    for i, c in enumerate(text):
-        k = free[c]
-        order[k], place[i] = i, k
-        free[c] = k + 1
     prev = [-1] * n
     end = n
     while end:
