@@ -3,9 +3,10 @@
 Vectors are turned by one random rotation and dealt to inverted lists around centroids, which are fitted to a bounded
 sample (``sample`` vectors). A query probes the lists whose centroids have the largest inner product with it; how many is
 measured on the sample, so that the probed lists hold a share ``found`` of the true neighbours there: few where vectors form
-clusters, most where they do not. Within a list the rotated vectors lie in column blocks: after each block of dimensions the partial inner product plus ``sigmas`` times the
-deviation that a random rotation leaves for the rest is held against the query's current k-th best score; candidates below
-it are abandoned. Survivors are scored with their original components in double precision.
+clusters, most where they do not. Within a list the rotated vectors lie in column blocks: after each block of dimensions the
+squared distance so far between the directions of candidate and query is held against the share that a random rotation
+leaves there, ``sigmas`` deviations above its mean, of the distance at which the query's current k-th best score is reached;
+candidates beyond it are abandoned. Survivors are scored with their original components in double precision.
 
 The sample's own k best for a query set its first bar, and count as found.
 
@@ -104,52 +105,67 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def share(done: int, d: int, sigmas: float) -> float:
+    """The largest share of a squared length that done of d randomly rotated dimensions are taken to hold: sigmas deviations over the mean."""
+    return min(1.0, done / d + sigmas * float(np.sqrt(2 * done * (d - done) / (d * d * (d + 2)))))
+
+
 def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: np.ndarray, rotation: np.ndarray, k: int = K, sigmas: float = SIGMAS, columns: int = COLUMNS, bars: np.ndarray | None = None):
-    """(query, place, score) of at most k vectors for each query, abandoned ones left out. own: the queries' ids."""
+    """(query, place, score) of vectors that reach each query's bar, 512 vectors at a time, abandoned ones left out. own: the queries' ids.
+
+    The difference e of the directions of query and vector has a squared length of at most 2 - 2 bar / (|q| |x|) if the vector
+    reaches the bar, and of it share() lies in the first dimensions: what shows more there is abandoned. All pairs get a
+    further block at once, by a matrix product, until few are left. Send the k-th best scores so far to raise the bars."""
     d = vectors.shape[1]
-    q, x = (queries.astype(np.float32) @ rotation), (vectors.astype(np.float32) @ rotation)
-    cuts = list(range(columns, d, columns))
-    rest_q = {c: np.sqrt((q[:, c:] ** 2).sum(1)) for c in cuts}
-    rest_x = {c: np.sqrt((x[:, c:] ** 2).sum(1)) for c in cuts}
-    exact = lambda i, j: np.einsum("ij,ij->i", queries[i], vectors[j])
-    seeds = min(len(x), 4 * k)
-    start = np.sort(queries @ vectors[:seeds].T, axis=1)
-    bar = start[:, -k - 1] if seeds > k else np.full(len(q), -np.inf)  # of k others at least; one may be the query itself
+    long_q, long_x = np.linalg.norm(queries, axis=1), np.linalg.norm(vectors, axis=1)
+    q, x = (queries / long_q[:, None]).astype(np.float32) @ rotation, (vectors / long_x[:, None]).astype(np.float32) @ rotation
+    cuts = [*range(columns, d, columns), d]
+    half_q = {c: (q[:, :c] ** 2).sum(1) / 2 - share(c, d, sigmas) - np.float32(2e-5) for c in cuts}
+    half_x = {c: (x[:, :c] ** 2).sum(1) / 2 for c in cuts}
+    seeds = queries @ vectors[: 4 * k].T
+    seeds[ids[None, : 4 * k] == own[:, None]] = -np.inf
+    bar = np.sort(seeds, axis=1)[:, -k] if seeds.shape[1] >= k else np.full(len(q), -np.inf)
     bar = bar if bars is None else np.maximum(bar, bars)
     for lo in range(0, len(x), 512):
-        hi = min(len(x), lo + 512)
-        done = cuts[0] if cuts else d
-        part = q[:, :done] @ x[lo:hi, :done].T
-        if cuts:
-            could = part + sigmas / np.sqrt(d - done) * rest_q[done][:, None] * rest_x[done][None, lo:hi]
-            i, j = np.nonzero(could >= bar[:, None] - 1e-5)
-            part = part[i, j]
-        else:
-            i, j = (m.ravel() for m in np.indices(part.shape))
-            part = part.ravel()
-        j = j + lo
+        hi, done, part = min(len(x), lo + 512), 0, np.float32(0)
+        at = bar / long_q
+        for c in cuts:
+            part = part + q[:, done:c] @ x[lo:hi, done:c].T
+            done = c
+            keep = part >= half_q[c][:, None] + half_x[c][None, lo:hi] + (share(c, d, sigmas) * at)[:, None] / long_x[None, lo:hi]
+            if 8 * np.count_nonzero(keep) <= keep.size:
+                break
+        keep &= ids[None, lo:hi] != own[:, None]
+        i, j = np.nonzero(keep)
+        part, j = part[i, j], j + lo
         while done < d and len(i):
-            step = min(columns, d - done)
-            part = part + np.einsum("ij,ij->i", q[i, done : done + step], x[j, done : done + step])
-            done += step
-            if done < d:
-                keep = part + sigmas / np.sqrt(d - done) * rest_q[done][i] * rest_x[done][j] >= bar[i] - 1e-5
-                i, j, part = i[keep], j[keep], part[keep]
-        other = ids[j] != own[i]
-        i, j = i[other], j[other]
-        score = exact(i, j)
-        good = score >= bar[i] - 1e-9
-        yield i[good], j[good], score[good]
+            c = min(done + columns, d)
+            part = part + np.einsum("ij,ij->i", q[i, done:c], x[j, done:c])
+            done = c
+            keep = part >= half_q[c][i] + half_x[c][j] + share(c, d, sigmas) * at[i] / long_x[j]
+            i, j, part = i[keep], j[keep], part[keep]
+        score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", queries[i[n : n + 65536]], vectors[j[n : n + 65536]]) for n in range(0, len(i), 65536))])
+        good = score >= bar[i] - 1e-9 * long_q[i] * long_x[j]
+        higher = yield i[good], j[good], score[good]
+        bar = bar if higher is None else np.maximum(bar, higher)
 
 
 def scanned(queries, vectors, ids, own, rotation, k: int = K, sigmas: float = SIGMAS, columns: int = COLUMNS, bars=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of what scan leaves, by query."""
-    parts = list(scan(queries, vectors, ids, own, rotation, k, sigmas, columns, bars))
-    i, j, s = (np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, np.int64) for n in range(3))
-    order = np.lexsort((ids[j], -s, i))
-    i, j, s = i[order], j[order], s[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)
-    return i[rank < k], j[rank < k], s[rank < k]
+    """The k best of what scan leaves, by query; equal scores go to smaller ids."""
+    i, j, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    parts, bar = scan(queries, vectors, ids, own, rotation, k, sigmas, columns, bars), None
+    while True:
+        try:
+            more = parts.send(bar)
+        except StopIteration:
+            return i, j, s
+        i, j, s = (np.concatenate(two) for two in zip((i, j, s), more, strict=True))
+        order = np.lexsort((ids[j], -s, i))
+        i, j, s = i[order], j[order], s[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j, s, rank = i[rank < k], j[rank < k], s[rank < k], rank[rank < k]
+        bar = np.full(len(queries), -np.inf)
+        bar[i[rank == k - 1]] = s[rank == k - 1]
 
 
 def usable(vectors: DataFrame) -> DataFrame:

@@ -64,3 +64,27 @@ def test_edges_ties_and_hot_vector(spark):
     assert A.search(spark.createDataFrame([], SCHEMA), A.multiples()).count() == 0
     few = found(A.search(spark.createDataFrame(good[:4], SCHEMA), A.multiples()))
     assert [a for a, _ in few[0]] == [3, 2, 1] or len(few[0]) == 3
+
+
+def test_groups_of_copies_stay_in_the_scan():
+    r = np.random.default_rng(5)
+    x = np.repeat(r.normal(size=(60, 64)), 200, axis=0) + 0.35 * r.normal(size=(12_000, 64))
+    x = r.permutation(x / np.linalg.norm(x, axis=1, keepdims=True))
+    ids, rotation = np.arange(len(x)), A.Lists(x[:500], 1).rotation
+    q, sample = np.arange(0, len(x), 60), x[:3000]
+    bars, _, _ = A.Lists(sample, 1).keep(sample, ids[:3000]).first(x[q], ids[q], 20)
+    i, j, _ = A.scanned(x[q], x, ids, ids[q], rotation, bars=bars)
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    top = np.argsort(-s, axis=1)[:, :20]
+    recall = np.mean([np.isin(t, j[i == n]).mean() for n, t in enumerate(top)])
+    assert recall > 0.98, recall
+
+
+def test_equal_scores_beyond_the_sample_go_to_smaller_ids(spark):
+    r = np.random.default_rng(6)
+    hot = (3 * r.normal(size=64)).astype(np.float32).tolist()
+    rows = [(i, hot if i % 4 else r.normal(size=64).astype(np.float32).tolist(), "", 0) for i in range(1200)]
+    got = found(A.search(spark.createDataFrame(rows, SCHEMA), A.F.col("vec_id").isin(1, 30, 1199), sample=200, block=100))
+    for n in (1, 30, 1199):
+        assert [a for a, _ in got[n]] == [i for i in range(40) if i % 4 and i != n][:20]
