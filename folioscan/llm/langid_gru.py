@@ -1,7 +1,7 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time on windows of a bounded sample: at most ``per_lang``
-documents for each of the ``langs`` most frequent languages. It labels every byte position: two GRUs read a window forwards
+documents for each language that has a row to learn from. It labels every byte position: two GRUs read a window forwards
 and backwards, and a softmax over both states gives each position's language probabilities. A document's probabilities are
 the mean over all its positions; whole texts are read, in windows of ``window`` bytes, each from a zero state.
 
@@ -25,7 +25,6 @@ from folioscan.llm.common import as_bytes, is_held_out, pick, small_batches
 HIDDEN = 8
 WINDOW = 64
 PER_LANG = 400
-LANGS = 64
 SNIPPET = 600
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -195,11 +194,11 @@ class ByteGRU:
         return out / np.maximum(sizes, 1)[:, None]
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, langs: int = LANGS) -> ByteGRU | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG) -> ByteGRU | None:
     """Trains on documents that are not held out; None if no document has a language."""
     rows = pick(docs, doc_id="long", text="string", lang="string")
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id"), 3, 1) & (F.length("text") > 0))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
+    counts = rows.groupBy("lang").count().collect()  # a row per language
     if not counts:
         return None
     names = sorted(r["lang"] for r in counts)

@@ -48,3 +48,8 @@ def test_edges(spark):
     assert {(r.lang_pred, r.score) for r in L.identify(spark.createDataFrame(rows, SCHEMA)).collect()} == {("und", 0.0)}
     got = L.identify(spark.createDataFrame([*rows, (6, "word " * 90_000, "xx", "", ""), (9, "word", "xx", "", "")], SCHEMA)).collect()
     assert sorted(r.lang_pred for r in got) == ["und"] * 3 + ["xx"] * 4
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(i, f"text of language {i % 70}", f"l{i % 70:02}", "", "") for i in range(420)] + [(i, "rare words", "rare", "", "") for i in range(1000, 1006)]
+    assert L.fit(spark.createDataFrame(rows, SCHEMA)).langs == [*(f"l{i:02}" for i in range(70)), "rare"]
