@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -32,62 +33,90 @@ CACHE_WORDS = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long, cost double"
 
 
-class _Known(dict):
-    """Ids by chunk; remembers which chunks were asked for in vain."""
-
-    def __init__(self):
-        super().__init__()
-        self.asked: list[str] = []
-
-    def __missing__(self, chunk: str) -> None:
-        self.asked.append(chunk)
-
-
-_ENDED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+#: Letters whose lower case is one letter wherever they stand and that normal forms leave alone, and the stops after them.
+_LETTERS = "".join(chr(c) for c in range(256) if chr(c).isalpha() and chr(c) not in "ªµº")
+_PLAIN, _STOPS = re.compile(f"[{_LETTERS}]+"), ".,;:!?"
 
 
 class WordTokens:
-    """Ids of texts as the tokenizer gives them. Its pieces never span white space, and it lower-cases, so the ids of
-    white-space-free lower-case chunks are kept, and a word and the stops after it are pieces of their own. The store of
-    chunks is emptied at ``most`` entries, which changes speed only."""
+    """Ids of texts as the tokenizer gives them. Its pieces never span ASCII white space and no step of it looks across one, so
+    a text's ids are those of its chunks between white space, one after the other. A plain word goes to the tokenizer in lower
+    case and without the stops after it, which are a piece of their own; any other chunk goes as it is. The stores of ids are
+    emptied at ``most`` entries, which changes speed only."""
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole, self.most, self.known = Tokenizer.from_file(path), most, _Known()
-
-    def _learn(self, chunks: list[str]) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.most = Tokenizer.from_file(path), most
+        self.bare = Tokenizer(self.whole.model)  # without its other steps, for words that are as these would leave them
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in _LETTERS.lower()}
+        vocabulary = self.whole.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[n for w, n in vocabulary.items() if w.endswith("</w>")]] = True
+        self._clear()
+        probe = ["x" + c + "y" for c in _LETTERS]
+        self.plain = self._words([w.lower() for w in probe]) == self._chunks(probe) == self._chunks([w.lower() for w in probe])
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of lower-case plain letters: many at a time, straight to the model."""
+        out = []
+        for k in range(0, len(words), 1000):
+            some = words[k : k + 1000]
+            found = self.bare.encode_batch_fast([" ".join(some).translate(self.letters)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, np.uint32)
+            ends, ids = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist(), ids.tobytes()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        out = []
         for k in range(0, len(chunks), 20_000):
-            part = chunks[k : k + 20_000]
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-
-    @staticmethod
-    def chunks(text: str | None) -> list[str]:
-        if text is None:
-            return []
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return [text]  # white space to Python, not to the tokenizer
-        if "<|" in text or "\u03a3" in text:  # special tokens are case-sensitive; a sigma's lower case depends on its place
-            return text.split()
-        return text.lower().split()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, without special tokens."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, found = self.known, []
-        for t in texts:
-            words, before = self.chunks(t), len(known.asked)
-            got = list(map(known.__getitem__, words))
-            found.append((got, words if len(known.asked) > before else None))
-        fresh = set(known.asked)
-        known.asked.clear()
+            out += [np.array(e.ids, np.uint32).tobytes() for e in self.whole.encode_batch_fast(chunks[k : k + 20_000], add_special_tokens=False)]
+        return out
+
+    def _numbers(self, strings: pa.Array) -> np.ndarray:
+        """Each string's place in the store; unknown ones are learnt."""
+        coded = strings.dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # without a scalar object for each
+        found = list(map(self.number.get, known))
+        fresh = [c for c, n in zip(known, found, strict=True) if n is None]
         if fresh:
-            ended = {w: m.groups() for w in fresh if (m := _ENDED.fullmatch(w))}
-            self._learn([w for w in {x for w in fresh for x in ended.get(w, (w,))} if w not in known])
-            known.update((w, known[a] + known[b]) for w, (a, b) in ended.items())
-        return [b"".join(got if words is None else [known[w] if g is None else g for g, w in zip(got, words, strict=True)]) for got, words in found]
+            words = [w for w in fresh if self.plain and _PLAIN.fullmatch(w)]
+            plain = set(words)
+            others = [c for c in fresh if c not in plain]
+            own, first = self._words(words) + self._chunks(others), len(self.ends) - 1
+            self.number.update(zip(words + others, range(first, first + len(own)), strict=True))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(x) // 4 for x in own])))
+            self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(own), np.uint32)))
+            found = list(map(self.number.get, known))
+        return np.array(found, np.int64)[coded.indices.to_numpy()]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other and without special tokens, and where each text's begin (and the last ends)."""
+        if len(self.number) > self.most or len(self.ids) > 4 * self.most:
+            self._clear()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        if not len(coded):
+            return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
+        chunk = coded.dictionary
+        stem = pc.utf8_rtrim(chunk, _STOPS)
+        plain = pc.match_substring_regex(stem, f"^[{_LETTERS}]+$") if self.plain else pa.repeat(False, len(chunk))
+        stops = pc.if_else(plain, pc.utf8_ltrim(chunk, _LETTERS), "")
+        stem = pc.if_else(plain, pc.utf8_lower(stem), chunk)
+        part = np.stack((self._numbers(stem), self._numbers(stops)), 1)[coded.indices.to_numpy()].ravel()
+        size = self.ends[part + 1] - self.ends[part]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(self.ends[part] - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, ends[2 * bounds]
 
 
 _READY: dict[str, WordTokens] = {}
@@ -177,10 +206,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
             })
 
         for b in batches:
-            for i, t in zip(b.column("doc_id").to_pylist(), words.encode(b.column("text").to_pylist()), strict=True):
+            found, bounds = words.encode(b.column("text"))
+            for i, lo, hi in zip(b.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 ids.append(i)
-                tokens.append(t + last)
-                held += len(t) // 4 + 1
+                tokens.append(found[lo:hi].astype("<u4").tobytes() + last)
+                held += hi - lo + 1
                 if held >= block_tokens:
                     yield block()
                     ids.clear(), tokens.clear()
