@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, if others differ from them by case alone."""
+    rows = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return rows.select(*[rows[f"c{df.columns.index(n)}"].alias(n) for n in names])
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast to the given types; columns that clash in name or case never reach the operators."""
-    fields = {f.name: f for f in df.schema.fields}
-    return df.select(*[df[f"`{fields[name].name}`"].cast(kind).alias(name) for name, kind in columns.items()])
+    return only(df, *columns).select(*[F.col(name).cast(kind).alias(name) for name, kind in columns.items()])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,11 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+class Stored(NamedTuple):
+    """A Parquet table in the shared folder, to be dropped when nothing reads it any more."""
+
+    rows: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        context = self.rows.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, what: str) -> Stored:
     """Cuts the lineage: the rows as a Parquet table in the shared folder. Lost executors only repeat tasks."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Stored(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    return stored(df, what).rows
 
 
 def small_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
