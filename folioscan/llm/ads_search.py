@@ -8,14 +8,16 @@ squared distance so far between the directions of candidate and query is held ag
 leaves there, ``sigmas`` deviations above its mean, of the distance at which the query's current k-th best score is reached;
 candidates beyond it are abandoned. Survivors are scored with their original components in double precision.
 
-The sample's own k best for a query set its first bar, and count as found.
+A query first scans the nearest list; the k-th best score found there is its bar in the other lists. Every answer comes from
+such a scan: the sample only fits the centroids and the number of lists to probe.
 
 Large lists are cut into blocks of about ``block`` vectors, each with the list's queries in blocks of as many, so a list
 that holds a third of all vectors is many tasks. Each gives k rows a query at most; the last step keeps the k best.
 
 Defined results: vectors that are null, zero, of another length than most vectors, or that hold null or non-finite
 components take no part; null ids take no part; equal scores go to the smaller vec_id; a vec_id that repeats with other
-rows is a candidate once per different vector; an empty table gives an empty result.
+rows is a candidate once per different vector, and as a query gets one list, the best for any of its vectors; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,28 +63,6 @@ class Lists:
     def place(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([(x[k : k + 4096] @ self.centroids.T).argmax(1) for k in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
-    def keep(self, x: np.ndarray, ids: np.ndarray) -> Lists:
-        """Keeps the sample itself: its best scores are a first bar for every query."""
-        self.x, self.ids = x, ids
-        return self
-
-    def first(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, list, list]:
-        """For each query the k-th best score in the sample (or minus infinity), and the k best ids and scores there."""
-        bars, ids, scores = np.full(len(queries), -np.inf), [], []
-        for i, q in enumerate(queries):
-            if i % 256 == 0:
-                block = queries[i : i + 256] @ self.x.T
-            row = np.where(self.ids == own[i], -np.inf, block[i % 256])
-            n = min(k, len(row))
-            at = np.argpartition(-row, n - 1)[:n]
-            at = at[row[at] > -np.inf]
-            exact = np.einsum("ij,ij->i", np.broadcast_to(q, (len(at), len(q))), self.x[at])
-            if len(at) == k:
-                bars[i] = exact.min()
-            ids.append(self.ids[at].tolist())
-            scores.append(exact.tolist())
-        return bars, ids, scores
-
     def needed(self, x: np.ndarray, k: int, found: float, queries: int = 256) -> int:
         """The fewest lists to probe that hold a share found of the true neighbours, by brute force on some vectors of x."""
         if len(x) < 2:
@@ -96,8 +76,10 @@ class Lists:
         return int(np.quantile(np.take_along_axis(place, near, axis=1), found, method="higher")) + 1
 
     def probe(self, x: np.ndarray, probes: int) -> np.ndarray:
-        n = min(probes, len(self.centroids))
-        return np.argpartition(-(x @ self.centroids.T), n - 1, axis=1)[:, :n]
+        """The lists with the nearest centroids, nearest first."""
+        n, near = min(probes, len(self.centroids)), -(x @ self.centroids.T)
+        at = np.argpartition(near, n - 1, axis=1)[:, :n]
+        return np.take_along_axis(at, np.argsort(np.take_along_axis(near, at, axis=1), axis=1, kind="stable"), axis=1)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -194,7 +176,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
     fitted = _matrix(some["x"])
     lists = Lists(fitted, max(1, min(MOST_LISTS, total // LIST_SIZE)))
     probes = probes or lists.needed(fitted, k, found)
-    sent = spark.sparkContext.broadcast(lists.keep(fitted, some["vec_id"].to_numpy()))  # at most MOST_LISTS centroids and the sample
+    sent = spark.sparkContext.broadcast(lists)  # at most MOST_LISTS centroids
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,21 +188,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
         for b in batches:
             if b.num_rows:
                 x = np.array(b.column("x").to_pylist()).reshape(b.num_rows, -1)
-                bars, ids, scores = sent.value.first(x, b.column("vec_id").to_numpy(), k)
-                longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
-                more = [pa.array(sent.value.probe(x, probes).tolist(), longs), pa.array(bars), pa.array(ids, longs), pa.array(scores, doubles)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *more], ["vec_id", "x", "lists", "bar", "ids", "scores"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.probe(x, probes).tolist(), pa.list_(pa.int64()))], ["vec_id", "x", "lists"])
 
     placed = written(rows.mapInArrow(place, "vec_id long, x array<double>, list long"), "placed")
     sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row per list
-    queries = written(rows.filter(is_query).mapInArrow(probe, "vec_id long, x array<double>, lists array<long>, bar double, ids array<long>, scores array<double>"), "queries")
-    asked = queries.select("vec_id", "x", "bar", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list")
-    per_list = asked.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("shares"))
-    asked = asked.join(F.broadcast(per_list), "list").withColumn("share", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("shares")).cast("int"))
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "share", "vec_id", "x", "bar")
-    held = placed.join(F.broadcast(sizes), "list").join(F.broadcast(per_list), "list")
-    held = held.withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.col("blocks")).cast("int"))
-    held = held.select("list", "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vec_id", "x")
+    queries = written(rows.filter(is_query).mapInArrow(probe, "vec_id long, x array<double>, lists array<long>"), "queries")
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
@@ -230,10 +202,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
         i, j, s = scanned(_matrix(left["x"]), _matrix(right["x"]), ids, own, sent.value.rotation, k, sigmas, bars=left["bar"].to_numpy())
         return pd.DataFrame({"query_id": own[i], "vec_id": ids[j], "score": s})
 
-    at = ["list", "block", "share"]
-    near_ones = asked.groupBy(*at).cogroup(held.groupBy(*at)).applyInPandas(near, "query_id long, vec_id long, score double")
-    at_first = queries.select(F.col("vec_id").alias("query_id"), F.explode(F.arrays_zip("ids", "scores")).alias("n")).select("query_id", F.col("n.ids").alias("vec_id"), F.col("n.scores").alias("score"))
-    near_ones = near_ones.unionByName(at_first).distinct()  # the sample's best are candidates like others, met once
+    def scans(asked: DataFrame) -> DataFrame:
+        """The k best of each part of a list, for queries (vec_id, x, bar) and the list that each asks."""
+        asked = asked.join(F.broadcast(sizes), "list")
+        per_list = asked.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("shares"))  # a row per list
+        asked = asked.join(F.broadcast(per_list), "list").withColumn("share", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("shares")).cast("int"))
+        asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "share", "vec_id", "x", "bar")
+        held = placed.join(F.broadcast(sizes), "list").join(F.broadcast(per_list), "list")
+        held = held.withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.col("blocks")).cast("int"))
+        held = held.select("list", "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vec_id", "x")
+        at = ["list", "block", "share"]
+        return asked.groupBy(*at).cogroup(held.groupBy(*at)).applyInPandas(near, "query_id long, vec_id long, score double")
+
+    first = written(scans(queries.select("vec_id", "x", F.lit(float("-inf")).alias("bar"), F.element_at("lists", 1).alias("list"))), "first-scans")
+    best_first = first.select("query_id", "score", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))).alias("n")).filter(F.col("n") == k)
+    bars = queries.join(best_first.select(F.col("query_id").alias("vec_id"), F.col("score").alias("bar")), "vec_id", "left")
+    rest = bars.select("vec_id", "x", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"), F.explode(F.slice("lists", 2, F.size("lists"))).alias("list"))
+    near_ones = first.unionByName(scans(rest)) if probes > 1 else first
+    near_ones = near_ones.distinct()  # an id with several vectors may meet the same candidate again
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near_ones.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from folioscan.llm.common import as_bytes, groups_of, pick, small_batches, total_bytes
+from folioscan.llm.common import as_bytes, only, pick, small_batches, stored, total_bytes
 
 WINDOW = 13
 SHARD_BYTES = 8 << 20
@@ -191,15 +190,26 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(docs: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(phrases)  # at most one block of the benchmark
-    names, at_text = docs.columns, docs.columns.index("text")
-    kept = [to_arrow_type(f.dataType) for f in docs.schema.fields[:-3]]
+def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.Table]:
+    """Batches in tables of about shard_bytes; one batch may be larger than that."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= shard_bytes:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _pass(docs: DataFrame, sent, shard_bytes: int) -> DataFrame:
+    """Adds what a block of phrases hits; only the texts, spans and items become Python objects."""
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
-        for shard in groups_of(rows, shard_bytes, lambda r: len(r[at_text] or "")):
-            documents = [words_of(t) for t in as_bytes([r[at_text] for r in shard])]
+        for shard in _shards(batches, shard_bytes):
+            documents = [words_of(t) for t in as_bytes(shard["text"].to_pylist())]
             at, which, starts = occurrences(documents, sent.value)
             spans: dict[int, list] = {}
             items: dict[int, set] = {}
@@ -219,15 +229,12 @@ def _pass(docs: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
                     spans.setdefault(d, []).append((a - int(starts[d]), b - int(starts[d])))
                 for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
                     items.setdefault(d, set()).update(sent.value.owners[w])
-            full = [_merged([*((s["start"], s["end"]) for s in r[-2]), *spans.get(d, [])]) for d, r in enumerate(shard)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array([r[i] for r in shard], t) for i, t in enumerate(kept)), pa.array([len(x) for x in documents], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in s] for s in full], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([sorted({*r[-1], *items.get(d, ())}) for d, r in enumerate(shard)], pa.list_(pa.string())),
-                ],
-                names,
-            )
+            full = [_merged([*((s["start"], s["end"]) for s in had), *spans.get(d, [])]) for d, had in enumerate(shard["spans"].to_pylist())]
+            added = [
+                pa.array([len(x) for x in documents], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in full], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                pa.array([sorted({*had, *items.get(d, ())}) for d, had in enumerate(shard["items"].to_pylist())], pa.list_(pa.string())),
+            ]
+            yield from pa.table([*shard.columns[:-3], *added], names=names).to_batches()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -240,10 +247,20 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_by
     blocks = -(-total_bytes(items, "text") // block_bytes) or 1
     empty = [F.lit(0).cast("long"), F.array().cast("array<struct<start:long,end:long>>"), F.array().cast("array<string>")]
     names = [x.split(" ")[0] for x in ADDED.split(", ")]
-    found = docs.select(*[c for c in docs.columns if c.lower() not in names], *[e.alias(n) for n, e in zip(names, empty, strict=True)])
+    texts = [c for c in docs.columns if c == "text" or c.lower() not in (*names, "text")]  # a column TEXT beside text is left out
+    found = only(docs, *texts).select(*texts, *[e.alias(n) for n, e in zip(names, empty, strict=True)])
+    last = None
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        found = _pass(found, Phrases(sorted((r.item_id, r.text) for r in part.collect()), window), shard_bytes)  # bounded by the block
+        phrases = Phrases(sorted((r.item_id, r.text) for r in part.collect()), window)  # bounded by the block
+        sent = docs.sparkSession.sparkContext.broadcast(phrases)
+        found = _pass(found, sent, shard_bytes)
+        if k < blocks - 1:  # workers and driver hold one block at a time
+            held = stored(found, "pass")
+            sent.destroy()
+            if last:
+                last.drop()
+            found, last = held.rows, held
     return found
 
 

@@ -14,6 +14,7 @@ searched each; null ids stay; an empty table gives an empty result; without cand
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,27 +90,47 @@ def valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it inside of its own functions on arrays."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of integers (from 0) the fold of all before it. Blocks of about n^(1/3) keep this far from quadratic."""
+
+    def blocks(v: Column) -> Column:
+        n, zero = F.size(v), F.lit(0)
+        width = F.greatest(F.lit(1), F.cbrt(n).cast("int"))
+        folded = F.transform(F.sequence(zero, ((n - 1) / width).cast("int")), lambda b: F.aggregate(F.slice(v, b * width + 1, width), zero, fold))
+        before = let(folded, lambda f: F.transform(f, lambda _, b: F.aggregate(F.slice(f, F.lit(1), b), zero, fold)))
+        each = let(F.struct(width.alias("w"), before.alias("before")), lambda x: F.transform(v, lambda _, i: F.aggregate(F.slice(v, i - i % x["w"] + 1, i % x["w"]), F.element_at(x["before"], (i / x["w"]).cast("int") + 1), fold)))
+        return F.when(n == 0, F.array().cast("array<int>")).otherwise(each)
+
+    return let(values, blocks)
+
+
 def hits(text: Column, pattern: str, needs: str | None) -> Column:
     """Matches in order: start, end, text, up to CONTEXT characters before, one after."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    both = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("before"), found.alias("hit"), F.slice(pieces, 2, F.size(found)).alias("after"))
-    kind = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
 
-    def add(acc, x):
-        a = acc["at"] + F.length(x["before"])
-        b = a + F.length(x["hit"])
-        span = F.struct(a.alias("start"), b.alias("end"), x["hit"].alias("hit"), F.substring(x["before"], -CONTEXT, CONTEXT).alias("before"), F.substring(x["after"], 1, 1).alias("after"))
-        return F.struct(b.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def spans(x: Column) -> Column:
+        steps = F.transform(x["found"], lambda h, i: F.length(F.element_at(x["pieces"], i + 1)) + F.length(h))
+
+        def span(h: Column, i: Column, at: Column) -> Column:
+            before, after = F.element_at(x["pieces"], i + 1), F.element_at(x["pieces"], i + 2)
+            a = F.element_at(at, i + 1) + F.length(before)
+            return F.struct(a.alias("start"), (a + F.length(h)).alias("end"), h.alias("hit"), F.substring(before, -CONTEXT, CONTEXT).alias("before"), F.substring(after, 1, 1).alias("after"))
+
+        return let(running(steps, lambda n, v: n + v), lambda at: F.transform(x["found"], lambda h, i: span(h, i, at)))
 
-    spans = F.aggregate(both, zero, add, lambda acc: acc["spans"])
     there = F.lit(True)
     if needs:
         there = F.lit(False)
         for n in needs.split("|"):
             there = there | F.contains(text, F.lit(n))
-    return F.when(there & F.rlike(text, F.lit(pattern)), spans).otherwise(F.array().cast(kind))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string,before:string,after:string>>")
+    return F.when(there & F.rlike(text, F.lit(pattern)), let(F.struct(found.alias("found"), pieces.alias("pieces")), spans)).otherwise(none)
 
 
 def votes(kind: str, x: Column, strict: Column) -> list[Column]:
@@ -219,9 +240,26 @@ def decide(found: DataFrame, model: SpanClassifier, threshold: float = THRESHOLD
     """Columns base and spans: arrays of (start, kind, end) in order, instead of cands."""
     bare = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
     rows = found.withColumn("base", F.array_sort(F.transform(F.filter("cands", lambda c: c["strict"] == 1), bare)))
-    free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    more = F.filter("cands", lambda c: (c["strict"] == -1) & (model.score(c) >= threshold) & free(c))
-    return rows.withColumn("spans", F.array_sort(F.array_union("base", F.transform(more, bare)))).drop("cands")
+    more = F.filter("cands", lambda c: (c["strict"] == -1) & (model.score(c) >= threshold))
+    for k in range(len(KINDS)):
+        own = F.filter("base", lambda b, k=k: b["kind"] == k)
+        more = let(F.struct(own.alias("base"), more.alias("cands")), lambda x: F.when(F.size(x["base"]) == 0, x["cands"]).otherwise(F.filter(x["cands"], lambda c: ~meets(c, x["base"]))))
+    return rows.withColumn("spans", F.array_sort(F.concat("base", F.array_distinct(F.transform(more, bare))))).drop("cands")
+
+
+def meets(span: Column, others: Column) -> Column:
+    """Whether a span overlaps one of a non-empty array of spans that are in order and apart: it can only be the last that starts
+    before the span's end, found by halving."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(others) + 1)).cast("int"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = ((at["low"] + at["high"]) / 2).cast("int")
+        left = F.element_at(others, middle + 1)["start"] < span["end"]
+        more = at["low"] < at["high"]
+        return F.struct(F.when(more & left, middle + 1).otherwise(at["low"]).alias("low"), F.when(more & ~left, middle).otherwise(at["high"]).alias("high"))
+
+    before = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(others).alias("high")), halve, lambda at: at["low"])
+    return let(before, lambda n: F.when(n == 0, F.lit(False)).otherwise(F.element_at(others, F.greatest(n, F.lit(1)))["end"] > span["start"]))
 
 
 def listed(spans: str) -> Column:
@@ -240,13 +278,23 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
-def masked(text: Column, spans: Column) -> Column:
+def masked(text: Column, spans: Column, width: int = 1024) -> Column:
     """The text with each run of overlapping spans replaced by the first one's kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(acc, s):
-        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], put).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(spans, zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+
+    def piece(x: Column, a: Column, b: Column) -> Column:
+        """Characters from a to b, out of the blocks that hold them."""
+        first, last = (a / width).cast("int"), (F.greatest(b - 1, a) / width).cast("int")
+        return F.substring(F.array_join(F.slice(x["blocks"], first + 1, last - first + 1), ""), a % width + 1, b - a)
+
+    def joined(x: Column) -> Column:
+        # x.spans: those that begin a run, with stop, where the run before ends; a last one closes the text
+        put = F.transform(x["spans"], lambda s: F.concat(piece(x, s["stop"], s["start"]), F.coalesce(F.element_at(names, s["kind"] + 1), F.lit(""))))
+        return F.array_join(put, "")
+
+    ends = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    with_stops = let(ends, lambda at: F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.element_at(at, i + 1).alias("stop"))))
+    opening = F.filter(with_stops, lambda s: s["start"] >= s["stop"])
+    final = F.struct(F.length(text).alias("start"), F.lit(None).cast("int").alias("kind"), F.array_max(F.transform(spans, lambda s: s["end"])).alias("stop"))
+    return let(F.struct(blocks.alias("blocks"), F.concat(opening, F.array(final)).alias("spans")), joined)

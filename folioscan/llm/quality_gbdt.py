@@ -138,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Boosted
 
     small_batches(docs.sparkSession)
     sample = pick(docs, doc_id="long", text="string").join(F.broadcast(marks), "doc_id")  # at most max_rows ids
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("marks").alias("marks"))  # and as many rows
     rows = sample.mapInArrow(stats, "doc_id long, marks array<int>, x array<float>").toPandas().sort_values("doc_id", kind="stable")
     x = [v for v, m in zip(rows["x"], rows["marks"], strict=True) for _ in m]
     y = [q for m in rows["marks"] for q in m]

@@ -46,10 +46,12 @@ def marked(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, html, first: the page_id of the response with this payload (null where the page is a response)."""
     rows = pick(pages, page_id="long", url="string", html="string").withColumn("html", F.coalesce("html", F.lit("")))
     rows = rows.withColumn("payload", F.sha2(F.col("html").cast("binary"), 256))
-    first = rows.filter(F.octet_length("html") >= least).groupBy("payload").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    joined = rows.join(first, "payload", "left")
-    other = F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))
-    return joined.select("page_id", "url", "html", F.when(F.col("first").isNotNull() & other, F.col("first")).alias("first"))
+    keys = rows.filter(F.octet_length("html") >= least).select("page_id", "payload")
+    first = keys.groupBy("payload").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+    # ids and digests alone are decided; pages then meet the verdict by their own id, so a popular payload is spread
+    revisits = keys.join(first, "payload").filter("page_id is null or page_id > first").select(F.col("page_id").alias("id"), F.col("payload").alias("digest"), "first").distinct()
+    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("payload") == F.col("digest")), "left")
+    return joined.select("page_id", "url", "html", "first")
 
 
 def _header(value) -> str:
@@ -125,7 +127,7 @@ def records_in(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes,
         at = 0
         while (end := held.find(b"\r\n\r\n", at)) >= 0:
             lines = held[at:end].decode().split("\r\n")
-            header = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            header = {k.lower(): v.removeprefix(" ") for k, _, v in (x.partition(":") for x in lines[1:])}
             stop = end + 4 + int(header["content-length"])
             if len(held) < stop + 4:
                 break
@@ -175,7 +177,7 @@ def read_back(normalised: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for archive, idx in zip(b.column("archive").to_pylist(), b.column("idx").to_pylist(), strict=True):
                 with fs.open_input_stream(idx) as file:
-                    lines = file.read().decode().splitlines()
+                    lines = file.read().decode().split("\n")[:-1]  # addresses may hold other line separators
                 rows = []
                 with fs.open_input_file(archive) as file:
                     for line in lines:

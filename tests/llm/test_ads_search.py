@@ -38,6 +38,16 @@ def test_recall_and_scores_on_the_table(spark):
         assert all(abs(s - exact[a]) < 1e-12 for a, s in got[q] if a in exact)
 
 
+def test_recall_with_a_sample_of_a_tenth(spark):
+    r = np.random.default_rng(8)
+    x = np.repeat(r.normal(size=(30, 32)), 100, axis=0) + r.normal(size=(3000, 32))
+    rows = [(i, v, "", 0) for i, v in enumerate(x.tolist())]
+    df, want = spark.createDataFrame(rows, SCHEMA), plain(rows, 20)
+    share = lambda got: np.mean([len({a for a, _ in want[q]} & {a for a, _ in got.get(q, [])}) / 20 for q in want])
+    assert share(found(A.search(df, A.multiples(), sample=300))) >= 0.9
+    assert share(found(A.search(df, A.multiples(), sample=300, sigmas=-99))) < 0.5  # what the scan abandons comes from nowhere else
+
+
 def test_enough_lists_are_probed_without_clusters():
     r = np.random.default_rng(3)
     x = r.normal(size=(12_000, 32))
@@ -71,9 +81,10 @@ def test_groups_of_copies_stay_in_the_scan():
     x = np.repeat(r.normal(size=(60, 64)), 200, axis=0) + 0.35 * r.normal(size=(12_000, 64))
     x = r.permutation(x / np.linalg.norm(x, axis=1, keepdims=True))
     ids, rotation = np.arange(len(x)), A.Lists(x[:500], 1).rotation
-    q, sample = np.arange(0, len(x), 60), x[:3000]
-    bars, _, _ = A.Lists(sample, 1).keep(sample, ids[:3000]).first(x[q], ids[q], 20)
-    i, j, _ = A.scanned(x[q], x, ids, ids[q], rotation, bars=bars)
+    q = np.arange(0, len(x), 60)
+    first = x[q] @ x[:3000].T
+    first[q[:, None] == ids[:3000]] = -np.inf
+    i, j, _ = A.scanned(x[q], x, ids, ids[q], rotation, bars=np.sort(first, axis=1)[:, -20])
     s = x[q] @ x.T
     s[np.arange(len(q)), q] = -np.inf
     top = np.argsort(-s, axis=1)[:, :20]

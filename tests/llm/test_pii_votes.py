@@ -81,3 +81,23 @@ def test_no_python_in_the_plan_and_empty(spark):
     assert V.find(empty).count() == 0
     plan = V.digest(V.decide(V.candidates(empty.select("doc_id", "text")), V.SpanClassifier([])))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    parts = [f"10.0.{i // 250}.{i % 250}" if i % 2 else f"u{i}@h{i}.org" if i % 4 else "999.1.2.3" for i in range(20_000)]
+    docs = [(0, " ".join(parts), "", "", ""), (1, ",".join(f"1.2.3.4@b.c{i}" for i in range(500)), "", "", "")]
+    df = spark.createDataFrame(docs, SCHEMA)
+    began = time.time()
+    found = V.find(df)
+    check(found, docs)
+    rows = df.select("doc_id", "text").join(found, "doc_id").select("doc_id", "text", "spans", V.masked(F.col("text"), F.col("spans")).alias("m")).collect()
+    assert time.time() - began < 60
+    for r in rows:
+        out, at = [], 0
+        for a, k, b in r.spans:
+            if a >= at:
+                out += [r.text[at:a], f"[{V.KINDS[k].upper()}]"]
+            at = max(at, b)
+        assert r.m == "".join(out) + r.text[at:]
