@@ -41,7 +41,7 @@ def _jaccard(a: str, b: str) -> str:
 CHAPTERS = f"""
 lines AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
 flat AS (SELECT doc_id, source, unnest(range(len(ls))) AS i, unnest(ls) AS content FROM lines),
-ch AS (SELECT doc_id, source, CAST(i AS INTEGER) AS seq, CAST({_LEVELS}[i % {len(_LEVELS)} + 1] AS INTEGER) AS level, content, CAST(i AS INTEGER) AS position,
+ch AS (SELECT doc_id, source, CAST(i AS INTEGER) AS seq, CAST({_LEVELS}[(i + doc_id) % {len(_LEVELS)} + 1] AS INTEGER) AS level, content, CAST(i AS INTEGER) AS position,
   CAST(i + 1 + doc_id % 3 AS VARCHAR) || '. ' || array_to_string(string_split(content, ' ')[1:4], ' ') AS title FROM flat),
 pairs AS (SELECT d.doc_id AS pair_id, t.m AS template_doc_id, d.doc_id AS target_doc_id
   FROM documents d JOIN (SELECT source, min(doc_id) AS m FROM documents GROUP BY source) t USING (source) WHERE d.doc_id > t.m)
@@ -57,12 +57,46 @@ sims AS (SELECT pair_id, t.seq AS t_seq, g.seq AS g_seq, t.level AS t_level, g.l
   {_jaccard('t.words', 'g.words')} AS content_sim,
   CASE WHEN n <= 1 THEN 1 ELSE greatest(0, 1 - abs(t.position - g.position) / (n - 1)) END AS position_sim, CASE WHEN t.level = g.level THEN 1::DOUBLE ELSE 0 END AS structure_sim
   FROM pairs p JOIN feats t ON t.doc_id = p.template_doc_id JOIN feats g ON g.doc_id = p.target_doc_id JOIN (SELECT doc_id, count(*) AS n FROM ch GROUP BY doc_id) c ON c.doc_id = p.template_doc_id),
-based AS (SELECT *, title_sim AS semantic, title_sim * 0.3::DOUBLE + content_sim * 0.2::DOUBLE + position_sim * 0.2::DOUBLE + structure_sim * 0.3::DOUBLE AS b FROM sims),
-scores AS (SELECT * EXCLUDE (b), CASE WHEN semantic >= 0.85 THEN b * 0.2::DOUBLE + semantic * 0.8::DOUBLE WHEN semantic >= 0.7 THEN b * 0.4::DOUBLE + semantic * 0.6::DOUBLE
+based AS MATERIALIZED (SELECT *, title_sim AS semantic, title_sim * 0.3::DOUBLE + content_sim * 0.2::DOUBLE + position_sim * 0.2::DOUBLE + structure_sim * 0.3::DOUBLE AS b FROM sims),
+scores AS MATERIALIZED (SELECT * EXCLUDE (b), CASE WHEN semantic >= 0.85 THEN b * 0.2::DOUBLE + semantic * 0.8::DOUBLE WHEN semantic >= 0.7 THEN b * 0.4::DOUBLE + semantic * 0.6::DOUBLE
   WHEN semantic > 0 THEN b * 0.6::DOUBLE + semantic * 0.4::DOUBLE ELSE b END AS overall FROM based)
 """
 
 
+NUMBERED = r"""
+nums AS (SELECT doc_id, level, seq, regexp_extract(title, '([0-9]+(?:\.[0-9]+)*)', 1) AS number FROM ch WHERE regexp_matches(title, '[0-9]')),
+numb AS (SELECT *, CAST(string_split(number, '.')[-1] AS BIGINT) AS last, len(string_split(number, '.')) AS depth FROM nums),
+tn AS (SELECT p.pair_id, n.* FROM pairs p JOIN numb n ON n.doc_id = p.template_doc_id), gn AS (SELECT p.pair_id, n.* FROM pairs p JOIN numb n ON n.doc_id = p.target_doc_id),
+cnt AS (SELECT pair_id, level, n_t, n_g FROM (SELECT pair_id, level, count(*) AS n_t FROM tn GROUP BY ALL) JOIN (SELECT pair_id, level, count(*) AS n_g FROM gn GROUP BY ALL) USING (pair_id, level))
+"""
+PATTERNS = """
+o AS (SELECT pair_id, level, g.last - t.last AS off, count(*) AS n, min(t.seq * 1000000 + g.seq) AS f, list(t.number || '>' || g.number ORDER BY t.seq, g.seq)[1:3] AS ex FROM tn t JOIN gn g USING (pair_id, level, depth) GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY pair_id, level) AS total, row_number() OVER (PARTITION BY pair_id, level ORDER BY n DESC, f) AS k FROM o),
+offs AS (SELECT pair_id, level, 'offset' AS pattern_type, off AS offset_value, n / total AS confidence, ex, 'H' || level || ' 章节编号整体偏移 ' || CASE WHEN off > 0 THEN '+' ELSE '' END || off AS said FROM r JOIN cnt USING (pair_id, level) WHERE k = 1 AND n_t >= 2 AND n_g >= 2 AND n / total >= 0.6 AND off <> 0),
+seqs AS (SELECT pair_id, level, t.l AS t, g.l AS g FROM (SELECT pair_id, level, list(last ORDER BY seq) AS l FROM tn GROUP BY ALL) t JOIN (SELECT pair_id, level, list(last ORDER BY seq) AS l FROM gn GROUP BY ALL) g USING (pair_id, level)),
+moves AS (SELECT *, list_filter(list_zip(t, g), lambda x: x[1] <> x[2]) AS moved FROM seqs WHERE len(t) >= 3 AND len(t) = len(g) AND list_sort(t) = list_sort(g) AND t <> g),
+reo AS (SELECT pair_id, level, 'reorder' AS pattern_type, 0 AS offset_value, 1 - len(moved) / len(t) AS confidence, list_transform(moved[1:3], lambda x: x[1] || '>' || x[2]) AS ex, 'H' || level || ' 章节顺序重新排列' AS said FROM moves),
+dt AS (SELECT DISTINCT pair_id, level, number FROM tn), dg AS (SELECT DISTINCT pair_id, level, number FROM gn),
+nt AS (SELECT pair_id, level, count(*) AS n FROM dt GROUP BY ALL), ng AS (SELECT pair_id, level, count(*) AS n FROM dg GROUP BY ALL),
+fresh AS (SELECT pair_id, level, list(number ORDER BY string_split(number, '.')::BIGINT[]) AS l FROM dg ANTI JOIN dt USING (pair_id, level, number) GROUP BY ALL), gone AS (SELECT pair_id, level, list(number ORDER BY string_split(number, '.')::BIGINT[]) AS l FROM dt ANTI JOIN dg USING (pair_id, level, number) GROUP BY ALL),
+ins AS (SELECT pair_id, level, 'insertion' AS pattern_type, 0 AS offset_value, len(l) / n AS confidence, list_transform(l[1:3], lambda x: '>' || x) AS ex, 'H' || level || ' 插入了 ' || len(l) || ' 个新章节' AS said FROM fresh JOIN ng USING (pair_id, level) JOIN cnt USING (pair_id, level) WHERE n_g > n_t AND n_t >= 2),
+del AS (SELECT pair_id, level, 'deletion' AS pattern_type, 0 AS offset_value, len(l) / n AS confidence, list_transform(l[1:3], lambda x: x || '>') AS ex, 'H' || level || ' 删除了 ' || len(l) || ' 个章节' AS said FROM gone JOIN nt USING (pair_id, level) JOIN cnt USING (pair_id, level) WHERE n_t > n_g AND n_g >= 2),
+patterns AS MATERIALIZED (SELECT pair_id, level, pattern_type, CAST(offset_value AS BIGINT) AS offset_value, CAST(confidence AS DOUBLE) AS confidence, ex, said
+  FROM (SELECT * FROM offs UNION ALL SELECT * FROM reo WHERE confidence >= 0.3 UNION ALL SELECT * FROM ins WHERE confidence >= 0.1 UNION ALL SELECT * FROM del WHERE confidence >= 0.1))
+"""
+MIXED = """
+per AS (SELECT doc_id, level, count(*) AS n, min(seq) AS first FROM ch GROUP BY ALL),
+both_levels AS (SELECT pair_id, t.level, t.n AS a, g.n AS b, t.first FROM pairs p JOIN per t ON t.doc_id = p.template_doc_id JOIN per g ON g.doc_id = p.target_doc_id AND g.level = t.level),
+mixed AS (SELECT pair_id, 'mixed' AS pattern_type, list(level ORDER BY first) FILTER (a <> b) AS levels FROM both_levels GROUP BY pair_id HAVING bool_or(b > a) AND bool_or(b < a))
+"""
+MERGED = """
+merged0 AS (SELECT pair_id, pattern_type, list(level ORDER BY level) AS levels, avg(confidence) AS confidence, CASE WHEN count(*) = 1 THEN first(offset_value) ELSE 0 END AS offset_value, flatten(list(ex ORDER BY level))[1:5] AS ex, string_agg(said, '; ' ORDER BY level) AS said
+    FROM patterns GROUP BY ALL
+  UNION ALL SELECT pair_id, pattern_type, levels, 0.7, 0, [], '检测到混合重编号模式，影响层级: [' || array_to_string(levels, ', ') || ']' FROM mixed),
+merged AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY round(confidence, 9) DESC, CASE WHEN pattern_type <> 'mixed' THEN levels[1] END NULLS LAST, list_position(['offset', 'reorder', 'insertion', 'deletion', 'mixed'], pattern_type)) AS rank FROM merged0)
+"""
+
+
 def _chapters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return docs, D.chapters_from_documents(docs), D.check_pairs(docs)
@@ -203,14 +237,16 @@ def e12_pair_scores(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CHAPTERS}, {SCORES}, given AS (SELECT pair_id, t_seq, g_seq, least(1, (t_seq + g_seq) % 5 / 3::DOUBLE) AS s FROM scores WHERE (t_seq * 7 + g_seq) % 3 = 0),
-j AS (SELECT b.*, coalesce(g.s, 0) AS sem FROM based b LEFT JOIN given g USING (pair_id, t_seq, g_seq))
+    f"""WITH {CHAPTERS}, {SCORES}, j AS (SELECT *, CASE WHEN (t_seq * 7 + g_seq) % 3 = 0 THEN least(1, (t_seq + g_seq) % 5 / 3::DOUBLE) ELSE 0 END AS sem FROM based)
 SELECT pair_id, t_seq, g_seq, CASE WHEN sem >= 0.85 THEN b * 0.2::DOUBLE + sem * 0.8::DOUBLE WHEN sem >= 0.7 THEN b * 0.4::DOUBLE + sem * 0.6::DOUBLE WHEN sem > 0 THEN b * 0.6::DOUBLE + sem * 0.4::DOUBLE ELSE b END AS overall FROM j"""
 )
 def e14_given_scores(spark, sf_dir):
+    """Given scores for every third cell, from the chapters' numbers."""
     _, ch, pairs = _chapters(spark, sf_dir)
-    cells = S.pair_scores(pairs, ch, "none").select("pair_id", "t_seq", "g_seq").filter((F.col("t_seq") * 7 + F.col("g_seq")) % 3 == 0)
-    given = cells.withColumn("score", (F.col("t_seq") + F.col("g_seq")) % 5 / F.lit(3.0))
+    sizes = ch.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+    cells = pairs.join(sizes.select(F.col("doc_id").alias("template_doc_id"), F.col("n").alias("t")), "template_doc_id").join(sizes.select(F.col("doc_id").alias("target_doc_id"), F.col("n").alias("g")), "target_doc_id")
+    cells = cells.select("pair_id", "g", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("t_seq")).select("pair_id", "t_seq", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("g_seq"))
+    given = cells.filter((F.col("t_seq") * 7 + F.col("g_seq")) % 3 == 0).withColumn("score", (F.col("t_seq") + F.col("g_seq")) % 5 / F.lit(3.0))
     return S.pair_scores(pairs, ch, given).select("pair_id", "t_seq", "g_seq", "overall")
 
 
@@ -219,32 +255,74 @@ def _mapped(spark, sf_dir):
     return docs, ch, pairs, mapping.map_chapters(pairs, ch, S.pair_scores(pairs, ch))
 
 
-@query()
+#: The greedy mapping as a walk over a pair's template chapters by level, with the targets used so far.
+GREEDY = """
+cand AS (SELECT pair_id, t_seq, list({'g': g_seq, 'l': g_level, 's': overall} ORDER BY overall DESC, g_level, g_seq) AS cs FROM scores WHERE abs(t_level - g_level) <= 2 AND overall >= 0.4 GROUP BY ALL),
+tgt AS (SELECT pair_id, list({'g': g.seq, 'l': g.level}) AS gs FROM pairs p JOIN ch g ON g.doc_id = p.target_doc_id GROUP BY ALL),
+ord AS (SELECT p.pair_id, t.seq AS t_seq, t.level, cs, gs, row_number() OVER (PARTITION BY p.pair_id ORDER BY t.level, t.seq) AS k FROM pairs p JOIN ch t ON t.doc_id = p.template_doc_id
+  LEFT JOIN cand c ON c.pair_id = p.pair_id AND c.t_seq = t.seq LEFT JOIN tgt ON tgt.pair_id = p.pair_id),
+walk AS (
+  SELECT pair_id, 0::BIGINT AS k, NULL::INTEGER AS t_seq, NULL::INTEGER AS g_seq, false AS crossed, []::INTEGER[] AS used FROM pairs
+  UNION ALL
+  SELECT pair_id, k, t_seq, coalesce(same, far), same IS NULL AND far IS NOT NULL, CASE WHEN coalesce(same, far) IS NULL THEN used ELSE list_append(used, coalesce(same, far)) END FROM (
+    SELECT *, CASE WHEN one_away THEN list_filter(open, lambda c: abs(c.l - level) = 1 AND c.s >= 0.6)[1].g ELSE list_filter(open, lambda c: abs(c.l - level) = 2 AND c.l > 0 AND c.s >= 0.6)[1].g END AS far FROM (
+      SELECT *, list_filter(open, lambda c: c.l = level)[1].g AS same, len(list_filter(gs, lambda x: abs(x.l - level) = 1 AND NOT list_contains(used, x.g))) > 0 AS one_away FROM (
+        SELECT o.pair_id, o.k, o.t_seq, o.level, o.gs, w.used, list_filter(o.cs, lambda c: NOT list_contains(w.used, c.g)) AS open FROM walk w JOIN ord o ON o.pair_id = w.pair_id AND o.k = w.k + 1)))),
+conf AS (SELECT *, least(1, greatest(0, title_sim * 0.4::DOUBLE + content_sim * 0.3::DOUBLE + position_sim * 0.2::DOUBLE + structure_sim * 0.1::DOUBLE)) AS c FROM scores),
+mapped AS MATERIALIZED (SELECT w.pair_id, w.t_seq, w.g_seq, CASE WHEN w.g_seq IS NULL THEN 'none' WHEN crossed THEN 'semantic' WHEN overall >= 0.95 THEN 'exact' WHEN title_sim >= 0.8 THEN 'similar' WHEN overall >= 0.6 THEN 'semantic'
+    WHEN position_sim >= 0.7 THEN 'positional' ELSE 'none' END AS match_type, coalesce(c, 0) AS confidence, CASE WHEN coalesce(c, 0) >= 0.8 THEN 'high' WHEN coalesce(c, 0) >= 0.5 THEN 'medium' ELSE 'low' END AS confidence_level,
+    coalesce(title_sim, 0) AS title_sim, coalesce(content_sim, 0) AS content_sim, coalesce(position_sim, 0) AS position_sim, coalesce(structure_sim, 0) AS structure_sim
+  FROM walk w LEFT JOIN conf s ON s.pair_id = w.pair_id AND s.t_seq = w.t_seq AND s.g_seq = w.g_seq WHERE w.k > 0)
+"""
+_MAPPED = f"WITH RECURSIVE {CHAPTERS}, {SCORES}, {GREEDY}"
+
+
+@query(f"{_MAPPED} SELECT * FROM mapped")
 def f1_mappings(spark, sf_dir):
     return _mapped(spark, sf_dir)[3]
 
 
-@query()
+@query(f"{_MAPPED} SELECT p.pair_id, g.seq AS g_seq, g.title, g.level FROM pairs p JOIN ch g ON g.doc_id = p.target_doc_id ANTI JOIN mapped m ON m.pair_id = p.pair_id AND m.g_seq = g.seq")
 def f4_h3_unmapped_targets(spark, sf_dir):
     _, ch, pairs, found = _mapped(spark, sf_dir)
     return mapping.unmapped_targets(pairs, ch, found)
 
 
-@query()
+_SUMMARY = f"""count(*) AS total, {', '.join(f"count(*) FILTER (match_type = '{k}') AS n_{k}" for k in ('exact', 'similar', 'semantic', 'positional', 'none'))},
+  round(avg(confidence), 6) AS overall_confidence, {', '.join(f"count(*) FILTER (confidence_level = '{k}') AS n_{k}" for k in ('high', 'medium', 'low'))}"""
+
+
+@query(
+    f"""{_MAPPED}, {NUMBERED}, {PATTERNS}, {MIXED}, {MERGED}, np AS (SELECT pair_id, count(*) AS n FROM merged GROUP BY ALL), sizes AS (SELECT pair_id, count(*) AS n FROM pairs p JOIN ch ON doc_id = target_doc_id GROUP BY ALL),
+s AS (SELECT pair_id, {_SUMMARY}, count(g_seq) AS n_mapped, count(*) - count(g_seq) AS n_failed, count(g_seq) / count(*) AS mapping_rate FROM mapped GROUP BY pair_id)
+SELECT s.*, total + coalesce(sizes.n, 0) - n_mapped AS n_targets, coalesce(np.n, 0) AS n_patterns FROM s LEFT JOIN sizes USING (pair_id) LEFT JOIN np USING (pair_id)"""
+)
 def f5_f7_mapping_summary(spark, sf_dir):
-    return mapping.mapping_summary(_mapped(spark, sf_dir)[3])
+    _, ch, pairs, found = _mapped(spark, sf_dir)
+    return mapping.mapping_summary(found, pairs, ch, renumber.detect_patterns(pairs, ch)).withColumn("overall_confidence", F.round("overall_confidence", 6))
 
 
-@query()
+@query(
+    f"""{_MAPPED} SELECT m.*, t.title AS t_title, t.level AS t_level, g.title AS g_title, g.level AS g_level FROM mapped m JOIN pairs p USING (pair_id) JOIN ch t ON t.doc_id = p.template_doc_id AND t.seq = m.t_seq
+LEFT JOIN ch g ON g.doc_id = p.target_doc_id AND g.seq = m.g_seq"""
+)
 def f8_mapping_details(spark, sf_dir):
     _, ch, pairs, found = _mapped(spark, sf_dir)
     return mapping.mapping_details(pairs, ch, found)
 
 
-@query()
+_VERDICTS = f"""verdicts AS (SELECT p.pair_id, p.target_doc_id, p.template_doc_id, coalesce(n_missing, 0) AS n_missing, coalesce(n.n, 0) - coalesce(n_used, 0) AS n_extra,
+    CASE WHEN n.n IS NULL THEN 1 ELSE coalesce(j.n, 0) + 2 - coalesce(r.n, 0) END AS n_issues, coalesce(similarity, 0) AS similarity
+  FROM pairs p LEFT JOIN (SELECT pair_id, count(*) FILTER (match_type = 'none' OR g_seq IS NULL OR confidence = 0) AS n_missing, count(g_seq) AS n_used, avg(confidence) AS similarity FROM mapped GROUP BY ALL) m USING (pair_id)
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM ch GROUP BY ALL) n ON n.doc_id = p.target_doc_id
+  LEFT JOIN (SELECT o.doc_id, count(*) AS n FROM outline o JOIN ch q ON q.doc_id = o.doc_id AND q.seq = o.parent_seq WHERE o.level > q.level + 1 GROUP BY ALL) j ON j.doc_id = p.target_doc_id
+  LEFT JOIN (SELECT doc_id, max(CASE WHEN contains({_clean('title')}, '可靠性') THEN 1 ELSE 0 END) + max(CASE WHEN contains({_clean('title')}, '安全性') THEN 1 ELSE 0 END) AS n FROM ch WHERE level BETWEEN 1 AND 3 GROUP BY ALL) r ON r.doc_id = p.target_doc_id)"""
+
+
+@query(f"{_MAPPED}, {OUTLINE}, {_VERDICTS} SELECT pair_id, n_missing, n_extra, n_issues, round(similarity, 6) AS similarity, n_missing <= 3 AND n_issues = 0 AS passed FROM verdicts")
 def h6_structure_verdict(spark, sf_dir):
     docs, ch, pairs, found = _mapped(spark, sf_dir)
-    return structure.check_structure(docs, pairs, ch, found)
+    return structure.check_structure(docs, pairs, ch, found).withColumn("similarity", F.round("similarity", 6))
 
 
 #: The best target of each template chapter, as a mapping that SQL can make too.
@@ -271,11 +349,10 @@ def e9_e11_best_targets(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CHAPTERS}, {SCORES}, {BEST} SELECT pair_id, count(*) AS total, {', '.join(f"count(*) FILTER (match_type = '{k}') AS n_{k}" for k in ('exact', 'similar', 'semantic', 'positional', 'none'))},
-  round(avg(confidence), 6) AS overall_confidence, {', '.join(f"count(*) FILTER (confidence_level = '{k}') AS n_{k}" for k in ('high', 'medium', 'low'))} FROM best GROUP BY pair_id"""
+    f"""WITH {CHAPTERS}, {SCORES}, {BEST} SELECT pair_id, {_SUMMARY} FROM best GROUP BY pair_id"""
 )
 def f6_summary_of_best(spark, sf_dir):
-    return mapping.mapping_summary(_best(spark, sf_dir)[3]).drop("n_mapped", "mapping_rate").withColumn("overall_confidence", F.round("overall_confidence", 6))
+    return mapping.mapping_summary(_best(spark, sf_dir)[3]).drop("n_mapped", "n_failed", "mapping_rate").withColumn("overall_confidence", F.round("overall_confidence", 6))
 
 
 @query(
@@ -302,48 +379,37 @@ def f3_enhanced(spark, sf_dir):
     return mapping.enhance_mappings(none, cand, t, g).select("pair_id", "t_seq", "g_seq", "match_type")
 
 
-NUMBERED = r"""
-nums AS (SELECT doc_id, level, seq, regexp_extract(title, '([0-9]+(?:\.[0-9]+)*)', 1) AS number FROM ch WHERE regexp_matches(title, '[0-9]')),
-numb AS (SELECT *, CAST(string_split(number, '.')[-1] AS BIGINT) AS last, len(string_split(number, '.')) AS depth FROM nums),
-tn AS (SELECT p.pair_id, n.* FROM pairs p JOIN numb n ON n.doc_id = p.template_doc_id), gn AS (SELECT p.pair_id, n.* FROM pairs p JOIN numb n ON n.doc_id = p.target_doc_id),
-cnt AS (SELECT pair_id, level, n_t, n_g FROM (SELECT pair_id, level, count(*) AS n_t FROM tn GROUP BY ALL) JOIN (SELECT pair_id, level, count(*) AS n_g FROM gn GROUP BY ALL) USING (pair_id, level))
-"""
-
-
-@query(
-    f"""WITH {CHAPTERS}, {NUMBERED},
-o AS (SELECT pair_id, level, g.last - t.last AS off, count(*) AS n, min(t.seq * 1000000 + g.seq) AS f FROM tn t JOIN gn g USING (pair_id, level, depth) GROUP BY ALL),
-r AS (SELECT *, sum(n) OVER (PARTITION BY pair_id, level) AS total, row_number() OVER (PARTITION BY pair_id, level ORDER BY n DESC, f) AS k FROM o),
-offs AS (SELECT pair_id, level, 'offset' AS pattern_type, off AS offset_value, n / total AS confidence FROM r JOIN cnt USING (pair_id, level) WHERE k = 1 AND n_t >= 2 AND n_g >= 2 AND n / total >= 0.6 AND off <> 0),
-seqs AS (SELECT pair_id, level, t.l AS t, g.l AS g FROM (SELECT pair_id, level, list(last ORDER BY seq) AS l FROM tn GROUP BY ALL) t JOIN (SELECT pair_id, level, list(last ORDER BY seq) AS l FROM gn GROUP BY ALL) g USING (pair_id, level)),
-reo AS (SELECT pair_id, level, 'reorder' AS pattern_type, 0 AS offset_value, 1 - len(list_filter(list_zip(t, g), lambda x: x[1] <> x[2])) / len(t) AS confidence FROM seqs WHERE len(t) >= 3 AND len(t) = len(g) AND list_sort(t) = list_sort(g) AND t <> g),
-ins AS (SELECT pair_id, level, 'insertion' AS pattern_type, 0 AS offset_value, (SELECT count(DISTINCT number) FROM gn WHERE gn.pair_id = cnt.pair_id AND gn.level = cnt.level AND number NOT IN (SELECT number FROM tn WHERE tn.pair_id = cnt.pair_id AND tn.level = cnt.level))
-  / (SELECT count(DISTINCT number) FROM gn WHERE gn.pair_id = cnt.pair_id AND gn.level = cnt.level) AS confidence FROM cnt WHERE n_g > n_t AND n_t >= 2),
-del AS (SELECT pair_id, level, 'deletion' AS pattern_type, 0 AS offset_value, (SELECT count(DISTINCT number) FROM tn WHERE tn.pair_id = cnt.pair_id AND tn.level = cnt.level AND number NOT IN (SELECT number FROM gn WHERE gn.pair_id = cnt.pair_id AND gn.level = cnt.level))
-  / (SELECT count(DISTINCT number) FROM tn WHERE tn.pair_id = cnt.pair_id AND tn.level = cnt.level) AS confidence FROM cnt WHERE n_t > n_g AND n_g >= 2)
-SELECT pair_id, level, pattern_type, CAST(offset_value AS BIGINT) AS offset_value, CAST(confidence AS DOUBLE) AS confidence FROM (SELECT * FROM offs UNION ALL SELECT * FROM reo WHERE confidence >= 0.3 UNION ALL SELECT * FROM ins WHERE confidence >= 0.1 UNION ALL SELECT * FROM del WHERE confidence >= 0.1)"""
-)
+@query(f"WITH {CHAPTERS}, {NUMBERED}, {PATTERNS} SELECT pair_id, level, pattern_type, offset_value, confidence, array_to_string(ex, ',') AS examples, said AS description FROM patterns")
 def g2_g5_patterns(spark, sf_dir):
     _, ch, pairs = _chapters(spark, sf_dir)
-    return renumber.all_patterns(renumber.numbered(pairs, ch))
+    return renumber.all_patterns(renumber.numbered(pairs, ch)).withColumn("examples", _examples())
 
 
-@query(
-    f"""WITH {CHAPTERS}, n AS (SELECT doc_id, level, count(*) AS n FROM ch GROUP BY ALL),
-j AS (SELECT pair_id, t.level, t.n AS a, g.n AS b FROM pairs p JOIN n t ON t.doc_id = p.template_doc_id JOIN n g ON g.doc_id = p.target_doc_id AND g.level = t.level)
-SELECT pair_id, 'mixed' AS pattern_type, array_to_string(list(level ORDER BY level) FILTER (a <> b), ',') AS levels FROM j GROUP BY pair_id HAVING bool_or(b > a) AND bool_or(b < a)"""
-)
+def _examples():
+    return F.array_join(F.transform("examples", lambda e: F.concat(e["t"], F.lit(">"), e["g"])), ",")
+
+
+def _listed(levels: str):
+    return F.array_join(F.col(levels).cast("array<string>"), ",")
+
+
+@query(f"WITH {CHAPTERS}, {MIXED} SELECT pair_id, pattern_type, array_to_string(levels, ',') AS levels FROM mixed")
 def g6_mixed_patterns(spark, sf_dir):
     _, ch, pairs = _chapters(spark, sf_dir)
-    found = renumber.mixed_patterns(pairs, ch)
-    return found.select("pair_id", "pattern_type", F.array_join(F.col("affected_levels").cast("array<string>"), ",").alias("levels"))
+    return renumber.mixed_patterns(pairs, ch).select("pair_id", "pattern_type", _listed("affected_levels").alias("levels"))
+
+
+_MERGED = f"WITH {CHAPTERS}, {NUMBERED}, {PATTERNS}, {MIXED}, {MERGED}"
 
 
-@query()
+@query(
+    f"""{_MERGED}, m AS (SELECT pair_id, count(*) AS n, max(confidence) AS c, list_sort(list_distinct(flatten(list(levels)))) AS ls, string_agg(said, '; ' ORDER BY rank) AS s FROM merged GROUP BY ALL)
+SELECT pair_id, n IS NOT NULL AS has_shift, coalesce(n, 0) AS n_patterns, round(coalesce(c, 0), 6) AS max_confidence, coalesce(array_to_string(ls, ','), '') AS levels, coalesce(s, '') AS summary FROM pairs LEFT JOIN m USING (pair_id)"""
+)
 def g7_g8_shift_analysis(spark, sf_dir):
     _, ch, pairs = _chapters(spark, sf_dir)
-    found = renumber.shift_analysis(renumber.merge_patterns(renumber.all_patterns(renumber.numbered(pairs, ch))))
-    return found.select("pair_id", "has_shift", "n_patterns", "max_confidence", F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"))
+    found = renumber.shift_analysis(pairs, renumber.detect_patterns(pairs, ch))
+    return found.select("pair_id", "has_shift", "n_patterns", F.round("max_confidence", 6).alias("max_confidence"), _listed("levels").alias("levels"), "summary")
 
 
 @query(
@@ -375,7 +441,12 @@ def h7_tree_missing(spark, sf_dir):
     return tree_match.tree_missing(pairs, outline.build_outline(ch))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {CHAPTERS}, {OUTLINE}, {_CLEANED}, {_DESCENT.format(left='target_doc_id', right='template_doc_id').replace('RECURSIVE_BODY', 'w')},
+below AS (SELECT pair_id, l_parent AS seq FROM w WHERE depth > 0 AND r_parent IS NULL UNION ALL SELECT b.pair_id, o.seq FROM below b JOIN pairs p USING (pair_id) JOIN outline o ON o.doc_id = p.target_doc_id AND o.parent_seq = b.seq),
+named AS (SELECT doc_id, seq, min(seq) OVER (PARTITION BY doc_id, title) AS first FROM ch)
+SELECT pair_id, n.first AS seq FROM below JOIN pairs p USING (pair_id) JOIN named n ON n.doc_id = p.target_doc_id AND n.seq = below.seq"""
+)
 def h8_tree_extra(spark, sf_dir):
     _, ch, pairs = _chapters(spark, sf_dir)
     return tree_match.tree_extra(pairs, outline.build_outline(ch))
@@ -410,7 +481,13 @@ def i3_truncated(spark, sf_dir):
     return docs.select("doc_id", assemble.truncate_at_lines(F.col("text"), 900).alias("text"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS c FROM documents), x AS (SELECT doc_id, c, string_split(c, chr(10) || chr(10)) AS ps FROM d WHERE length(c) > 1000),
+f AS (SELECT doc_id, 1 AS i, 1 AS part, length(ps[1]) AS n FROM x UNION ALL
+  SELECT f.doc_id, i + 1, CASE WHEN n + length(ps[i + 1]) > 1000 THEN part + 1 ELSE part END, CASE WHEN n + length(ps[i + 1]) > 1000 THEN length(ps[i + 1]) ELSE n + length(ps[i + 1]) END FROM f JOIN x ON x.doc_id = f.doc_id WHERE i < len(ps))
+SELECT doc_id, 0 AS seq, CAST(part AS INTEGER) AS part, 'Doc (第' || part || '部分)' AS title, string_agg(ps[i], chr(10) || chr(10) ORDER BY i) AS text FROM f JOIN x USING (doc_id) GROUP BY doc_id, part
+UNION ALL SELECT doc_id, 0, 0, 'Doc', c FROM d WHERE length(c) <= 1000 OR c IS NULL"""
+)
 def i4_split_parts(spark, sf_dir):
     docs = _chapters(spark, sf_dir)[0].select("doc_id", F.lit(0).alias("seq"), F.lit("Doc").alias("title"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"))
     return assemble.split_chapters(docs, 1000)
@@ -522,7 +599,12 @@ def k6_violation_blocks(spark, sf_dir):
     return model_io.parse_violations(replies).select("request_id", F.col("block").cast("int").alias("block"), "rule", "content", "suggestion")
 
 
-@query()
+@query(
+    f"""{_MAPPED}, {OUTLINE}, {_VERDICTS}, {_MARKED}, vc AS (SELECT doc_id, count(*) AS n FROM v GROUP BY doc_id), cc AS (SELECT doc_id, count(*) AS n FROM ch GROUP BY doc_id), tops AS (SELECT doc_id, count(*) AS n FROM outline WHERE parent_seq IS NULL GROUP BY ALL),
+x AS (SELECT pair_id, n_missing + coalesce(vc.n, 0) AS issues, coalesce(tops.n, 0) + coalesce(cc.n, 0) * 26 AS checks, n_missing <= 3 AND n_issues = 0 AND coalesce(vc.n, 0) = 0 AS ok
+  FROM verdicts LEFT JOIN vc ON vc.doc_id = target_doc_id LEFT JOIN cc ON cc.doc_id = target_doc_id LEFT JOIN tops ON tops.doc_id = template_doc_id)
+SELECT pair_id, CAST(issues AS BIGINT) AS total_issues, CAST(checks AS BIGINT) AS total_checks, CASE WHEN checks > 0 THEN round((checks - issues) / checks * 100, 1) ELSE 100 END AS pass_rate, ok AS overall_passed FROM x"""
+)
 def l1_report(spark, sf_dir):
     docs, ch, pairs, found = _mapped(spark, sf_dir)
     marked, v = _violations(spark, sf_dir)
@@ -588,9 +670,13 @@ def d3_outline_status(spark, sf_dir):
     return report.outline_status(pairs, tree, lost).select("pair_id", "seq", "title", "status")
 
 
-@query()
+@query(
+    f"""{_MERGED}, lv AS (SELECT pair_id, pattern_type, unnest(levels) AS level FROM merged WHERE pattern_type IN ('insertion', 'deletion')),
+grown AS (SELECT lv.pair_id, pattern_type, sum(coalesce(g.n, 0)) - sum(coalesce(t.n, 0)) AS d FROM lv JOIN pairs p USING (pair_id) LEFT JOIN per t ON t.doc_id = p.template_doc_id AND t.level = lv.level LEFT JOIN per g ON g.doc_id = p.target_doc_id AND g.level = lv.level GROUP BY ALL)
+SELECT pair_id, pattern_type, array_to_string(levels, ',') AS affected_levels, round(confidence, 6) AS confidence, CAST(offset_value AS BIGINT) AS offset_value, array_to_string(ex, ',') AS examples, said AS description, CAST(rank AS INTEGER) AS rank,
+  confidence >= 0.3 AND CASE pattern_type WHEN 'offset' THEN offset_value <> 0 AND len(ex) >= 2 WHEN 'insertion' THEN d > 0 WHEN 'deletion' THEN d < 0 ELSE true END AS valid FROM merged LEFT JOIN grown USING (pair_id, pattern_type)"""
+)
 def g9_validated_patterns(spark, sf_dir):
     _, ch, pairs = _chapters(spark, sf_dir)
-    merged = renumber.merge_patterns(renumber.all_patterns(renumber.numbered(pairs, ch)))
-    found = renumber.validate_patterns(merged, pairs, ch)
-    return found.withColumn("affected_levels", F.array_join(F.col("affected_levels").cast("array<string>"), ","))
+    found = renumber.validate_patterns(renumber.detect_patterns(pairs, ch), pairs, ch)
+    return found.withColumns({"affected_levels": _listed("affected_levels"), "examples": _examples(), "confidence": F.round("confidence", 6)})

@@ -2,65 +2,88 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.operators import similarity as S
 
-PICKED = "pair_id long, t_seq int, g_seq int, crossed boolean"
-
-
-def _greedy(t_level: np.ndarray, g_level: np.ndarray, score: np.ndarray, cfg: S.MappingConfig) -> list[tuple[int, int, bool]]:
-    """(template, target or -1, crossed). Levels go up, templates in order; the best free target of the same level wins, the
-    first on ties; if none reaches the threshold, targets of the next levels up and down, at a higher one."""
-    free, out = np.ones(len(g_level), bool), []
-    for t in np.lexsort((np.arange(len(t_level)), t_level)).tolist():
-        level, crossed = t_level[t], False
-        some = np.flatnonzero(free & (g_level == level) & (score[t] >= cfg.similarity))
-        if not len(some):
-            crossed = True
-            near = np.concatenate([np.flatnonzero(free & (g_level == k)) for k in (level - 1, level + 1)])
-            if not len(near):
-                near = np.concatenate([np.flatnonzero(free & (g_level == k)) for k in (level - 2, level + 2) if k > 0])
-            some = near[score[t, near] >= cfg.semantic]
-        g = int(some[score[t, some].argmax()]) if len(some) else -1
-        if g >= 0:
-            free[g] = False
-        out.append((t, g, crossed and g >= 0))
-    return out
+SIMS = ["title_sim", "content_sim", "position_sim", "structure_sim"]
+PICKED = "pair_id long, t_seq int, g_seq int, crossed boolean, score double, title_sim double, content_sim double, position_sim double, structure_sim double"
+
+
+class Greedy:
+    """The choices of one pair. Template chapters come by level, then in order; ``held`` is the number of targets per level."""
+
+    def __init__(self, held: dict[int, int], cfg: S.MappingConfig):
+        self.free, self.used, self.cfg = dict(held), set(), cfg
+
+    def choose(self, level: int, overall: list[float], levels: list[int], seqs: list[int]) -> tuple[int, bool]:
+        """(place of the choice or -1, crossed) among candidates that come by falling score, then by seq.
+
+        The best free target of the same level wins, the first on ties; if none reaches the threshold, targets of the next
+        levels up and down (two away if those have none free), at a higher one."""
+        for k, score in enumerate(overall):
+            if score < self.cfg.similarity:
+                break
+            if levels[k] == level and seqs[k] not in self.used:
+                return self._take(k, levels, seqs), False
+        near = [x for x in (level - 1, level + 1) if self.free.get(x, 0) > 0] or [x for x in (level - 2, level + 2) if x > 0]
+        best = -1
+        for k, score in enumerate(overall):
+            if score < self.cfg.semantic or best >= 0 and score < overall[best]:
+                break
+            if levels[k] in near and seqs[k] not in self.used and (best < 0 or levels[k] < levels[best]):
+                best = k
+        return (self._take(best, levels, seqs), True) if best >= 0 else (-1, False)
+
+    def _take(self, k: int, levels: list[int], seqs: list[int]) -> int:
+        self.used.add(seqs[k])
+        self.free[levels[k]] -= 1
+        return k
 
 
 def map_chapters(pairs: DataFrame, chapters: DataFrame, scores: DataFrame, cfg: S.MappingConfig = S.CONFIG) -> DataFrame:
     """mappings: pair_id, t_seq, g_seq (null if none), match_type, confidence, confidence_level and the similarities.
 
-    Each choice depends on the ones before it, so a pair is one group; only scores that can win and the levels of both
-    outlines go into it."""
-    levels = chapters.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "level"))), lambda x: x["level"]).alias("levels"))
-    outlines = pairs.join(levels.select(F.col("doc_id").alias("template_doc_id"), F.col("levels").alias("t_levels")), "template_doc_id")
-    outlines = outlines.join(levels.select(F.col("doc_id").alias("target_doc_id"), F.col("levels").alias("g_levels")), "target_doc_id", "left").select("pair_id", "t_levels", "g_levels")
-    strong = scores.filter((F.col("overall") >= min(cfg.similarity, cfg.semantic)) & (F.abs(F.col("t_level") - F.col("g_level")) <= 2))
-
-    def choose(outline: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in outline.itertuples():
-            t, g = np.asarray(row.t_levels), np.asarray(row.g_levels if row.g_levels is not None else [], int)
-            score = np.full((len(t), len(g)), -1.0)
-            score[some["t_seq"], some["g_seq"]] = some["overall"]
-            out += [(row.pair_id, a, b, c) for a, b, c in _greedy(t, g, score, cfg)]
-        found = pd.DataFrame(out, columns=["pair_id", "t_seq", "g_seq", "crossed"])
-        found["g_seq"] = found["g_seq"].astype("Int32").where(found["g_seq"] >= 0)
-        return found
-
-    some = strong.select(F.col("pair_id").alias("of_pair"), "t_seq", "g_seq", "overall")
-    chosen = outlines.groupBy("pair_id").cogroup(some.groupBy("of_pair")).applyInPandas(choose, PICKED)
-    sims = ["title_sim", "content_sim", "position_sim", "structure_sim"]
-    rows = chosen.join(scores.select("pair_id", "t_seq", "g_seq", *sims, F.col("overall").alias("score")), ["pair_id", "t_seq", "g_seq"], "left")
-    own = F.coalesce(S.confidence(*map(F.col, sims)), F.lit(0.0))
+    Each choice depends on the ones before it, so a pair's template chapters go one after the other through sorted partitions;
+    a row holds only the scores that can win, and of a pair only the used targets are kept."""
+    least = min(cfg.similarity, cfg.semantic)
+    cand = F.struct((-F.col("overall")).alias("o"), "g_seq", "g_level", *SIMS)
+    strong = F.when((F.col("overall") >= least) & (F.abs(F.col("t_level") - F.col("g_level")) <= 2), cand)
+    cands = scores.groupBy("pair_id", "t_seq").agg(F.array_sort(F.collect_list(strong)).alias("c"))
+    held = chapters.groupBy("doc_id", "level").agg(F.count("*").cast("int").alias("n")).groupBy(F.col("doc_id").alias("target_doc_id"))
+    held = held.agg(F.array_sort(F.collect_list(F.struct("level", "n"))).alias("held"))
+    asked = S.with_template(pairs.select("pair_id", "template_doc_id", "target_doc_id"), chapters.select("doc_id", F.col("seq").alias("t_seq"), F.col("level").alias("t_level")))
+    rows = asked.join(held, "target_doc_id", "left").select("pair_id", "t_seq", "t_level", "held").join(cands, ["pair_id", "t_seq"], "left")
+    flat = [F.col(f"c.{f}").alias(f) for f in ("o", "g_seq", "g_level", *SIMS)]
+    rows = rows.repartition("pair_id").sortWithinPartitions("pair_id", "t_level", "t_seq")
+    rows = rows.select("pair_id", "t_seq", "t_level", F.col("held.level").alias("levels"), F.col("held.n").alias("counts"), *flat)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, pair_of = None, None
+        for b in batches:
+            col = {n: b.column(n) for n in b.schema.names}
+            picked: list[tuple] = []
+            for i, (at, t, level) in enumerate(zip(col["pair_id"].to_pylist(), col["t_seq"].to_pylist(), col["t_level"].to_pylist(), strict=True)):
+                if pair is None or at != pair_of:
+                    held_here = dict(zip(col["levels"][i].as_py() or (), col["counts"][i].as_py() or (), strict=True))
+                    pair, pair_of = Greedy(held_here, cfg), at
+                overall = [-x for x in col["o"][i].as_py() or ()]
+                k, crossed = pair.choose(level, overall, col["g_level"][i].as_py() or (), col["g_seq"][i].as_py() or ())
+                picked.append((at, t, None, False, *[None] * 5) if k < 0 else (at, t, col["g_seq"][i][k].as_py(), crossed, overall[k], *[col[f][i][k].as_py() for f in SIMS]))
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.float64()] * 5]
+            names = ["pair_id", "t_seq", "g_seq", "crossed", "score", *SIMS]
+            columns = list(zip(*picked, strict=True)) if picked else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    chosen = rows.mapInArrow(run, PICKED)
+    own = F.coalesce(S.confidence(*map(F.col, SIMS)), F.lit(0.0))
     kind = F.when(F.col("g_seq").isNull(), "none").when(F.col("crossed"), "semantic").otherwise(S.match_type(F.col("score"), F.col("title_sim"), F.col("position_sim"), cfg))
-    return rows.select("pair_id", "t_seq", "g_seq", kind.alias("match_type"), own.alias("confidence"), S.confidence_level(own).alias("confidence_level"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in sims])
+    return chosen.select("pair_id", "t_seq", "g_seq", kind.alias("match_type"), own.alias("confidence"), S.confidence_level(own).alias("confidence_level"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in SIMS])
 
 
 def enhance_mappings(mappings: DataFrame, candidates: DataFrame, chapters_t: DataFrame, chapters_g: DataFrame, least: float = 0.4) -> DataFrame:
@@ -82,14 +105,24 @@ def unmapped_targets(pairs: DataFrame, chapters: DataFrame, mappings: DataFrame)
     return rows.join(mappings.filter("g_seq is not null").select("pair_id", "g_seq"), ["pair_id", "g_seq"], "left_anti").select("pair_id", "g_seq", "title", "level")
 
 
-def mapping_summary(mappings: DataFrame) -> DataFrame:
-    """Per pair: total, count per type, mean confidence, successes, rate and confidence histogram."""
+def mapping_summary(mappings: DataFrame, pairs: DataFrame | None = None, chapters: DataFrame | None = None, patterns: DataFrame | None = None) -> DataFrame:
+    """Per pair: total, count per type, mean confidence, successes, failures, rate and confidence histogram.
+
+    With pairs and chapters also n_targets, the mappings and the targets that none of them has; with merged renumbering
+    patterns their number."""
     kinds = [F.count_if(F.col("match_type") == k).alias(f"n_{k}") for k in ("exact", "similar", "semantic", "positional", "none")]
     hit = F.count_if(F.col("g_seq").isNotNull())
-    return mappings.groupBy("pair_id").agg(
-        F.count("*").alias("total"), *kinds, F.avg("confidence").alias("overall_confidence"), hit.alias("n_mapped"), (hit / F.count("*")).alias("mapping_rate"),
-        *[F.count_if(F.col("confidence_level") == k).alias(f"n_{k}") for k in ("high", "medium", "low")],
+    found = mappings.groupBy("pair_id").agg(
+        F.count("*").alias("total"), *kinds, F.avg("confidence").alias("overall_confidence"), hit.alias("n_mapped"), (F.count("*") - hit).alias("n_failed"), (hit / F.count("*")).alias("mapping_rate"),
+        *[F.count_if(F.col("confidence_level") == k).alias(f"n_{k}") for k in ("high", "medium", "low")], F.count_distinct("g_seq").alias("_used"),
     )
+    if pairs is not None and chapters is not None:
+        per_doc = chapters.groupBy(F.col("doc_id").alias("target_doc_id")).agg(F.count("*").alias("_n"))
+        sizes = pairs.select("pair_id", "target_doc_id").join(per_doc, "target_doc_id").drop("target_doc_id")
+        found = found.join(sizes, "pair_id", "left").withColumn("n_targets", F.col("total") + F.coalesce("_n", F.lit(0)) - F.col("_used")).drop("_n")
+    if patterns is not None:
+        found = found.join(patterns.groupBy("pair_id").agg(F.count("*").alias("n_patterns")), "pair_id", "left").fillna(0, ["n_patterns"])
+    return found.drop("_used")
 
 
 def mapping_details(pairs: DataFrame, chapters: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -101,4 +134,8 @@ def mapping_details(pairs: DataFrame, chapters: DataFrame, mappings: DataFrame)
 
 def missing_chapters(mappings: DataFrame) -> DataFrame:
     """Template chapters of type none, without target or without confidence."""
-    return mappings.filter((F.col("match_type") == "none") | F.col("g_seq").isNull() | (F.col("confidence") == 0)).select("pair_id", "t_seq", "match_type")
+    return mappings.filter(is_missing()).select("pair_id", "t_seq", "match_type")
+
+
+def is_missing() -> Column:
+    return (F.col("match_type") == "none") | F.col("g_seq").isNull() | (F.col("confidence") == 0)

@@ -1,17 +1,33 @@
 """Patterns of renumbered chapters between a template and a target, per pair and level.
 
 All patterns start from numbered(): the chapters of both sides whose titles hold a number. Offsets are counted from
-histograms of (depth, last number), so no product of chapters is formed."""
+histograms of (depth, last number), so no product of chapters is formed. Examples are (template number, target number);
+those of insertions and deletions are the smallest numbers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions.titles import number_sequence
 
 KEYS = ["pair_id", "level"]
+COLUMNS = [*KEYS, "pattern_type", "offset_value", "confidence", "examples", "description"]
+#: Types in the order in which a level's patterns are looked for.
+TYPES = ("offset", "reorder", "insertion", "deletion", "mixed")
+EXAMPLES, MERGED_EXAMPLES = 3, 5
+
+
+def _example(t: Column, g: Column) -> Column:
+    return F.struct(t.alias("t"), g.alias("g"))
+
+
+def _first(rows: DataFrame, keys: list[str], order: list[str], example: Column, most: int = EXAMPLES) -> DataFrame:
+    """The first examples of each key; at most ``most`` rows of a key are gathered."""
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    few = rows.withColumn("_i", number).filter(F.col("_i") <= most).groupBy(*keys)
+    return few.agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", example.alias("e")))), lambda x: x["e"]).alias("examples"))
 
 
 def numbered(pairs: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -37,7 +53,13 @@ def offset_patterns(rows: DataFrame, least: int = 2, share: float = 0.6) -> Data
     best = by.withColumn("total", F.sum("n").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "first"))).filter("rank = 1")
     found = best.join(level_counts(rows), KEYS).filter((F.col("n_t") >= least) & (F.col("n_g") >= least))
     found = found.withColumn("confidence", F.col("n") / F.col("total")).filter((F.col("confidence") >= share) & (F.col("offset_value") != 0))
-    return found.select(*KEYS, F.lit("offset").alias("pattern_type"), "offset_value", "confidence")
+    # only the first chapters of a number can be in the first examples
+    early = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*KEYS, "depth", "last", "side").orderBy("seq"))).filter(F.col("_k") <= EXAMPLES)
+    one = lambda s, *more: early.filter(F.col("side") == s).select(*KEYS, "depth", F.col("seq").alias(f"{s}_seq"), F.col("number").alias(f"{s}_number"), *more)
+    met = found.select(*KEYS, "offset_value").join(one("t", F.col("last").alias("t_last")), KEYS).withColumn("last", F.col("t_last") + F.col("offset_value")).join(one("g", "last"), [*KEYS, "depth", "last"])
+    text = F.concat(F.lit("H"), "level", F.lit(" 章节编号整体偏移 "), F.when(F.col("offset_value") > 0, "+").otherwise(""), F.col("offset_value"))
+    found = found.join(_first(met, KEYS, ["t_seq", "g_seq"], _example(F.col("t_number"), F.col("g_number"))), KEYS)
+    return found.withColumns({"pattern_type": F.lit("offset"), "description": text}).select(*COLUMNS)
 
 
 def reorder_patterns(rows: DataFrame, least: int = 3, share: float = 0.3) -> DataFrame:
@@ -45,20 +67,26 @@ def reorder_patterns(rows: DataFrame, least: int = 3, share: float = 0.3) -> Dat
     order = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("seq", "last")))), lambda x: x["last"]).alias(s)
     both = rows.groupBy(*KEYS).agg(order("t"), order("g"))
     both = both.filter((F.size("t") >= least) & (F.size("t") == F.size("g")) & (F.array_sort("t") == F.array_sort("g")) & (F.col("t") != F.col("g")))
-    moved = F.size(F.filter(F.zip_with("t", "g", lambda a, b: a != b), lambda x: x))
-    found = both.withColumn("confidence", 1.0 - moved / F.size("t")).filter(F.col("confidence") >= share)
-    return found.select(*KEYS, F.lit("reorder").alias("pattern_type"), F.lit(0).cast("long").alias("offset_value"), "confidence")
+    moved = F.filter(F.zip_with("t", "g", lambda a, b: _example(a.cast("string"), b.cast("string"))), lambda x: x["t"] != x["g"])
+    found = both.withColumn("moved", moved).withColumn("confidence", 1.0 - F.size("moved") / F.size("t")).filter(F.col("confidence") >= share)
+    text = F.concat(F.lit("H"), "level", F.lit(" 章节顺序重新排列"))
+    return found.withColumns({"pattern_type": F.lit("reorder"), "offset_value": F.lit(0).cast("long"), "examples": F.slice("moved", 1, EXAMPLES), "description": text}).select(*COLUMNS)
 
 
 def _only(rows: DataFrame, here: str, there: str, kind: str, share: float) -> DataFrame:
-    numbers = rows.select("side", *KEYS, "number").distinct()
+    numbers = rows.select("side", *KEYS, "nums", "number").distinct()
     own = numbers.filter(F.col("side") == here).drop("side")
-    new = own.join(numbers.filter(F.col("side") == there).drop("side"), [*KEYS, "number"], "left_anti").groupBy(*KEYS).agg(F.count("*").alias("n_new"))
+    new = own.join(numbers.filter(F.col("side") == there).select(*KEYS, "number"), [*KEYS, "number"], "left_anti")
     counts = own.groupBy(*KEYS).agg(F.count("*").alias("n_own"))
-    found = new.join(counts, KEYS).join(level_counts(rows), KEYS).filter(F.col(f"n_{here}") > F.col(f"n_{there}"))
+    found = new.groupBy(*KEYS).agg(F.count("*").alias("n_new")).join(counts, KEYS).join(level_counts(rows), KEYS).filter(F.col(f"n_{here}") > F.col(f"n_{there}"))
     # levels with fewer than two numbers on a side are not compared
     found = found.filter((F.col("n_t") >= 2) & (F.col("n_g") >= 2)).withColumn("confidence", F.col("n_new") / F.col("n_own")).filter(F.col("confidence") >= share)
-    return found.select(*KEYS, F.lit(kind).alias("pattern_type"), F.lit(0).cast("long").alias("offset_value"), "confidence")
+    none = F.lit("")
+    example = _example(none, F.col("number")) if here == "g" else _example(F.col("number"), none)
+    said = (" 插入了 ", " 个新章节") if here == "g" else (" 删除了 ", " 个章节")
+    text = F.concat(F.lit("H"), "level", F.lit(said[0]), "n_new", F.lit(said[1]))
+    found = found.join(_first(new, KEYS, ["nums"], example), KEYS)
+    return found.withColumns({"pattern_type": F.lit(kind), "offset_value": F.lit(0).cast("long"), "description": text}).select(*COLUMNS)
 
 
 def insertion_patterns(rows: DataFrame, share: float = 0.1) -> DataFrame:
@@ -70,40 +98,60 @@ def deletion_patterns(rows: DataFrame, share: float = 0.1) -> DataFrame:
 
 
 def mixed_patterns(pairs: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Among levels that both sides have, some grew and some shrank."""
-    per = chapters.groupBy("doc_id", "level").agg(F.count("*").alias("n"))
-    t = pairs.join(per.select(F.col("doc_id").alias("template_doc_id"), "level", F.col("n").alias("n_t")), "template_doc_id").select("pair_id", "level", "n_t")
+    """Among levels that both sides have, some grew and some shrank. Levels come in the template's order."""
+    per = chapters.groupBy("doc_id", "level").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    t = pairs.join(per.select(F.col("doc_id").alias("template_doc_id"), "level", F.col("n").alias("n_t"), "first"), "template_doc_id").select("pair_id", "level", "n_t", "first")
     g = pairs.join(per.select(F.col("doc_id").alias("target_doc_id"), "level", F.col("n").alias("n_g")), "target_doc_id").select("pair_id", "level", "n_g")
-    levels = F.array_sort(F.collect_list(F.when(F.col("n_t") != F.col("n_g"), F.col("level"))))
+    levels = F.transform(F.array_sort(F.collect_list(F.when(F.col("n_t") != F.col("n_g"), F.struct("first", "level")))), lambda x: x["level"])
     found = t.join(g, KEYS).groupBy("pair_id").agg(F.max(F.col("n_g") > F.col("n_t")).alias("grew"), F.max(F.col("n_g") < F.col("n_t")).alias("shrank"), levels.alias("affected_levels"))
-    return found.filter("grew and shrank").select("pair_id", F.lit("mixed").alias("pattern_type"), "affected_levels", F.lit(0.7).alias("confidence"))
+    text = F.concat(F.lit("检测到混合重编号模式，影响层级: ["), F.array_join(F.col("affected_levels").cast("array<string>"), ", "), F.lit("]"))
+    return found.filter("grew and shrank").select("pair_id", F.lit("mixed").alias("pattern_type"), "affected_levels", F.lit(0.7).alias("confidence"), text.alias("description"))
 
 
 def all_patterns(rows: DataFrame) -> DataFrame:
     return offset_patterns(rows).unionByName(reorder_patterns(rows)).unionByName(insertion_patterns(rows)).unionByName(deletion_patterns(rows))
 
 
-def merge_patterns(patterns: DataFrame) -> DataFrame:
-    """One row per pair and type; several levels lose their offset."""
-    return patterns.groupBy("pair_id", "pattern_type").agg(
-        F.array_sort(F.collect_set("level")).alias("affected_levels"), F.avg("confidence").alias("confidence"),
-        F.when(F.count("*") == 1, F.first("offset_value")).otherwise(F.lit(0)).alias("offset_value"),
+def merge_patterns(patterns: DataFrame, mixed: DataFrame | None = None) -> DataFrame:
+    """One row per pair and type; several levels lose their offset and keep the first examples. ``rank`` goes by confidence,
+    then by the order in which the types were found."""
+    by_level = F.array_sort(F.collect_list(F.struct("level", "examples", "description")))
+    merged = patterns.groupBy("pair_id", "pattern_type").agg(
+        F.array_sort(F.collect_set("level")).alias("affected_levels"), F.avg("confidence").alias("confidence"), F.when(F.count("*") == 1, F.first("offset_value")).otherwise(F.lit(0)).alias("offset_value"), by_level.alias("x"),
     )
+    examples = F.slice(F.flatten(F.transform("x", lambda p: p["examples"])), 1, MERGED_EXAMPLES)
+    merged = merged.select("pair_id", "pattern_type", "affected_levels", "confidence", "offset_value", examples.alias("examples"), F.array_join(F.transform("x", lambda p: p["description"]), "; ").alias("description"))
+    if mixed is not None:
+        none = F.array().cast(merged.schema["examples"].dataType)
+        merged = merged.unionByName(mixed.select("pair_id", "pattern_type", "affected_levels", "confidence", F.lit(0).cast("long").alias("offset_value"), none.alias("examples"), "description"))
+    place = F.array_position(F.array(*map(F.lit, TYPES)), F.col("pattern_type"))
+    first = F.when(F.col("pattern_type") == "mixed", F.lit(None)).otherwise(F.element_at("affected_levels", 1))
+    return merged.withColumn("rank", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("confidence"), F.asc_nulls_last(first), place)))
+
+
+def detect_patterns(pairs: DataFrame, chapters: DataFrame) -> DataFrame:
+    return merge_patterns(all_patterns(numbered(pairs, chapters)), mixed_patterns(pairs, chapters))
 
 
-def shift_analysis(merged: DataFrame) -> DataFrame:
-    return merged.groupBy("pair_id").agg(F.lit(True).alias("has_shift"), F.count("*").alias("n_patterns"), F.max("confidence").alias("max_confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("affected_levels")))).alias("levels"))
+def shift_analysis(pairs: DataFrame, merged: DataFrame) -> DataFrame:
+    """Per pair: whether there is any pattern, how many, the largest confidence, all levels and the descriptions by rank."""
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "description"))), lambda x: x["description"]), "; ")
+    levels = F.array_sort(F.array_distinct(F.flatten(F.collect_list("affected_levels"))))
+    found = merged.groupBy("pair_id").agg(F.count("*").alias("n_patterns"), F.max("confidence").alias("max_confidence"), levels.alias("levels"), said.alias("summary"))
+    rows = pairs.select("pair_id").join(found, "pair_id", "left").fillna(0, ["n_patterns", "max_confidence"]).fillna("", ["summary"])
+    return rows.withColumn("has_shift", F.col("n_patterns") > 0).withColumn("levels", F.coalesce("levels", F.array().cast("array<int>")))
 
 
 def validate_patterns(merged: DataFrame, pairs: DataFrame, chapters: DataFrame, least: float = 0.3) -> DataFrame:
-    """merge_patterns rows with a column valid: confident, with levels; offsets are not 0 and come from one level (so their
-    examples agree); insertions and deletions agree with the chapter counts of the levels."""
+    """merge_patterns rows with a column valid: confident, with levels; offsets are not 0 and have two examples or more, all of
+    that offset; insertions and deletions agree with the chapter counts of the levels."""
     per = chapters.groupBy("doc_id", "level").agg(F.count("*").alias("n"))
     levels = merged.filter(F.col("pattern_type").isin("insertion", "deletion")).select("pair_id", "pattern_type", F.explode("affected_levels").alias("level")).join(pairs, "pair_id")
     side = lambda c, n: per.select(F.col("doc_id").alias(c), "level", F.col("n").alias(n))
     counts = levels.join(side("template_doc_id", "n_t"), ["template_doc_id", "level"], "left").join(side("target_doc_id", "n_g"), ["target_doc_id", "level"], "left").fillna(0)
     counts = counts.groupBy("pair_id", "pattern_type").agg((F.sum("n_g") - F.sum("n_t")).alias("grown"))
-    kind = F.col("pattern_type")
-    special = F.when(kind == "offset", F.col("offset_value") != 0).when(kind == "insertion", F.col("grown") > 0).when(kind == "deletion", F.col("grown") < 0).otherwise(F.lit(True))
+    kind, last = F.col("pattern_type"), lambda x: F.element_at(F.split(x, r"\."), -1).cast("long")
+    of_offset = F.forall("examples", lambda e: (e["t"] == "") | (e["g"] == "") | (F.size(F.split(e["t"], r"\.")) != F.size(F.split(e["g"], r"\."))) | (last(e["g"]) - last(e["t"]) == F.col("offset_value")))
+    special = F.when(kind == "offset", (F.col("offset_value") != 0) & (F.size("examples") >= 2) & of_offset).when(kind == "insertion", F.col("grown") > 0).when(kind == "deletion", F.col("grown") < 0).otherwise(F.lit(True))
     rows = merged.join(counts, ["pair_id", "pattern_type"], "left")
     return rows.withColumn("valid", (F.col("confidence") >= least) & (F.size("affected_levels") > 0) & F.coalesce(special, F.lit(False))).drop("grown")

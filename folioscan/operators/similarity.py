@@ -6,9 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioscan.functions import titles as T
 
+SALTS = 32
+BLOCK = 1024
+
 
 @dataclass(frozen=True)
 class MappingConfig:
@@ -51,15 +55,29 @@ def features(chapters: DataFrame) -> DataFrame:
     return rows.withColumn("title_words", T.keywords(F.col("clean")))
 
 
-def pair_scores(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame = "text", cfg: MappingConfig = CONFIG) -> DataFrame:
+def with_template(pairs: DataFrame, rows: DataFrame, salts: int = SALTS) -> DataFrame:
+    """pairs with each of the template's rows (doc_id and others). One template may serve a third of all pairs, so pairs are dealt
+    to ``salts`` parts and the rows of templates, which are few, go to each of them."""
+    templates = rows.join(pairs.select(F.col("template_doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    templates = templates.withColumnRenamed("doc_id", "template_doc_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("pair_id"), F.lit(salts)).cast("int"))
+    return dealt.join(templates, ["template_doc_id", "salt"]).drop("salt")
+
+
+def pair_scores(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame = "text", cfg: MappingConfig = CONFIG, block: int = BLOCK) -> DataFrame:
     """pair_id, t_seq, g_seq, both levels, the four similarities, the semantic score and overall.
 
-    semantic: 'text' takes the title similarity, 'none' 0, a DataFrame (pair_id, t_seq, g_seq, score) its scores."""
+    semantic: 'text' takes the title similarity, 'none' 0, a DataFrame (pair_id, t_seq, g_seq, score) its scores. The join is
+    on the target and blocks of ``block`` of its chapters, so a very long document is several tasks."""
     known = features(chapters)
-    side = lambda p: known.select(*[F.col(c).alias(f"{p}_{c}") for c in known.columns])
-    counts = chapters.groupBy(F.col("doc_id").alias("template_doc_id")).agg(F.count("*").alias("n"))
-    rows = pairs.join(counts, "template_doc_id").join(side("g"), F.col("target_doc_id") == F.col("g_doc_id")).join(side("t"), F.col("template_doc_id") == F.col("t_doc_id"))
-    rows = rows.select(
+    counts = chapters.groupBy("doc_id").agg(F.count("*").alias("n"))
+    blocks = counts.select(F.col("doc_id").alias("target_doc_id"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    asked = pairs.select("pair_id", "template_doc_id", "target_doc_id").join(blocks, "target_doc_id")
+    t = known.join(counts, "doc_id").select("doc_id", "n", *[F.col(c).alias(f"t_{c}") for c in known.columns[1:]])
+    t = with_template(asked, t).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1
+    g = known.select(F.col("doc_id").alias("target_doc_id"), F.floor(number / block).cast("int").alias("block"), *[F.col(c).alias(f"g_{c}") for c in known.columns[1:]])
+    rows = t.join(g, ["target_doc_id", "block"]).select(
         "pair_id", "t_seq", "g_seq", "t_level", "g_level",
         T.title_similarity(F.col("t_clean"), F.col("g_clean"), F.col("t_title_words"), F.col("g_title_words")).alias("title_sim"), T.jaccard(F.col("t_words"), F.col("g_words")).alias("content_sim"),
         T.position_similarity(F.col("t_position"), F.col("g_position"), F.col("n")).alias("position_sim"), F.when(F.col("t_level") == F.col("g_level"), 1.0).otherwise(0.0).alias("structure_sim"),

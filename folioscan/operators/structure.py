@@ -30,13 +30,12 @@ def check_structure(documents: DataFrame, pairs: DataFrame, chapters: DataFrame,
     """Per pair: n_missing, n_extra, n_issues (level jumps of the target and missing required chapters), similarity, passed.
 
     A pair whose target has no chapters fails with all of the template's missing and similarity 0."""
-    missing = M.missing_chapters(mappings).groupBy("pair_id").agg(F.count("*").alias("n_missing"))
-    score = mappings.groupBy("pair_id").agg(F.avg("confidence").alias("similarity"), F.count_if(F.col("g_seq").isNotNull()).alias("n_used"))
+    score = mappings.groupBy("pair_id").agg(F.count_if(M.is_missing()).alias("n_missing"), F.avg("confidence").alias("similarity"), F.count_if(F.col("g_seq").isNotNull()).alias("n_used"))
     per_doc = chapters.groupBy("doc_id").agg(F.count("*").alias("n"))
     jumps = O.level_issues(O.build_outline(chapters)).groupBy("doc_id").agg(F.count("*").alias("n_jumps"))
     critical = missing_critical(documents, chapters, required).groupBy("doc_id").agg(F.count("*").alias("n_critical"))
     target = documents.select("doc_id").join(per_doc, "doc_id", "left").join(jumps, "doc_id", "left").join(critical, "doc_id", "left").fillna(0)
-    rows = pairs.join(target, F.col("target_doc_id") == F.col("doc_id")).join(missing, "pair_id", "left").join(score, "pair_id", "left").fillna(0)
+    rows = pairs.join(target, F.col("target_doc_id") == F.col("doc_id")).join(score, "pair_id", "left").fillna(0)
     issues = F.when(F.col("n") == 0, 1).otherwise(F.col("n_jumps") + F.col("n_critical"))
     rows = rows.select("pair_id", "n_missing", (F.col("n") - F.col("n_used")).alias("n_extra"), issues.cast("long").alias("n_issues"), "similarity")
     return rows.withColumn("passed", (F.col("n_missing") <= most_missing) & (F.col("n_issues") == 0))

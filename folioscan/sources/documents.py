@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Levels that the adapter gives to a document's lines, over and over; 2 to 4 is a jump.
+#: Levels that the adapter gives to a document's lines, over and over from a place that its id chooses; 2 to 4 is a jump.
 LEVELS = (1, 2, 3, 2, 4, 1, 3)
 
 
@@ -38,7 +38,7 @@ def validate_documents(documents: DataFrame, chapters: DataFrame) -> DataFrame:
 def chapters_from_documents(documents: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """A chapter per line: doc_id, source, seq, title (a number and the line's first four words), level, content, position."""
     lines = documents.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("seq", "content"))
-    level = F.element_at(F.array(*map(F.lit, levels)), F.col("seq") % len(levels) + 1)
+    level = F.element_at(F.array(*map(F.lit, levels)), ((F.col("seq") + F.col("doc_id")) % len(levels) + 1).cast("int"))
     number = (F.col("seq") + 1 + F.col("doc_id") % 3).cast("string")
     title = F.concat(number, F.lit(". "), F.array_join(F.slice(F.split("content", " ", -1), 1, 4), " "))
     return lines.select("doc_id", "source", "seq", title.alias("title"), level.alias("level"), "content", F.col("seq").alias("position"))

@@ -3,7 +3,6 @@
 import random
 from collections import Counter
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from folioscan.operators import assemble, html, mapping, outline, renumber, sections, structure, tree_match
@@ -59,7 +58,11 @@ def test_greedy_against_plain_loop():
     for _ in range(400):
         t, g = ([r.randrange(1, 6) for _ in range(r.randrange(1, 9))] for _ in range(2))
         score = [[r.choice([0.1, 0.4, 0.5, 0.6, 0.6, 0.9]) for _ in g] for _ in t]
-        got = {a: (b, c) for a, b, c in mapping._greedy(np.array(t), np.array(g), np.array(score), S.CONFIG)}
+        pair, got = mapping.Greedy(Counter(g), S.CONFIG), {}
+        for a in sorted(range(len(t)), key=lambda a: (t[a], a)):
+            order = sorted((b for b in range(len(g)) if score[a][b] >= 0.4 and abs(t[a] - g[b]) <= 2), key=lambda b: (-score[a][b], b))
+            k, crossed = pair.choose(t[a], [score[a][b] for b in order], [g[b] for b in order], order)
+            got[a] = (order[k] if k >= 0 else -1, crossed)
         assert got == plain_greedy(t, g, score)
 
 
