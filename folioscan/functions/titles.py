@@ -37,8 +37,8 @@ def keywords(text: Column, least: int = 2, stop_words: tuple[str, ...] = STOP_WO
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of arrays without repeats; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
+    both = F.size(F.array_intersect(a, b))  # outside of any condition, so that it is worked out once
+    return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))
 
 
 def title_similarity(a: Column, b: Column, words_a: Column | None = None, words_b: Column | None = None, inclusion: float = 0.8) -> Column:

@@ -102,6 +102,26 @@ def _chapters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return docs, D.chapters_from_documents(docs), D.check_pairs(docs)
 
 
+def _marked(ch: DataFrame) -> DataFrame:
+    """Chapters with blank titles, a fifth level and code fences here and there."""
+    return ch.select(
+        "doc_id", "seq", F.when(F.col("seq") % 6 == 5, " ").otherwise(F.col("title")).alias("title"), F.when(F.col("seq") % 9 == 4, 5).otherwise(F.col("level")).alias("level"),
+        F.when(F.col("seq") % 4 == 1, F.concat(F.lit("```\n"), "content", F.lit("\n```py\n```"))).otherwise(F.col("content")).alias("content"),
+    )
+
+
+_MARKED = f"""
+v AS (SELECT doc_id, seq, '{rules.TITLE_RULE}' AS rule, 0 AS number FROM ch WHERE seq % 6 = 5 OR trim(title) = ''
+  UNION ALL SELECT doc_id, seq, '{rules.LEVEL_RULE}', 0 FROM ch WHERE seq % 9 = 4
+  UNION ALL SELECT doc_id, seq, '{rules.FENCE_RULE}', unnest([1, 2]) FROM ch WHERE seq % 4 = 1)
+"""
+
+
+def _violations(spark, sf_dir):
+    ch = _marked(_chapters(spark, sf_dir)[1])
+    return ch, rules.title_violations(ch).unionByName(rules.code_fence_violations(ch))
+
+
 def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
@@ -190,23 +210,60 @@ SELECT s.doc_id, CAST(s.owner * 100 + s.i AS INTEGER) AS position, s.title, s.le
 FROM s LEFT JOIN body USING (doc_id, seq) LEFT JOIN path USING (doc_id, seq)"""
 )
 def b4_b6_sub_sections(spark, sf_dir):
-    blocks = _blocks(spark, sf_dir)
-    subs = sections.sub_sections(blocks, sections.h1_sections(blocks))
-    return sections.sub_section_content(blocks, subs).select("doc_id", F.col("position").cast("int").alias("position"), "title", "level", "content", "parent_path")
+    return sections.sub_sections(_blocks(spark, sf_dir)).select("doc_id", "position", "title", "level", "content", "parent_path")
 
 
-@query(r"""SELECT page_id AS doc_id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title FROM pages""")
+@query(
+    r"""SELECT page_id AS doc_id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title, CASE WHEN page_id % 2 = 0 THEN url ELSE '' END AS description, CASE WHEN page_id % 3 = 0 THEN 'A "B"' ELSE '' END AS author,
+  CASE WHEN page_id % 4 = 0 THEN 'x|' || regexp_extract(url, '//([^/]*)', 1) ELSE '' END AS keywords, CASE WHEN page_id % 5 = 0 THEN 'en' WHEN page_id % 5 = 1 THEN 'fr' ELSE 'zh-CN' END AS language FROM pages"""
+)
 def b2_page_meta(spark, sf_dir):
+    """The pages with meta elements put in by page_id."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    has = lambda k, r, text: F.when(F.col("page_id") % k == r, text).otherwise("")
+    meta = F.concat(
+        has(2, 0, F.concat(F.lit('<META NAME="Description" content="'), D.escape(F.col("url")), F.lit('">'))), has(3, 0, F.lit('<meta name=author content="A &quot;B&quot;">')),
+        has(4, 0, F.concat(F.lit('<meta content=" x , '), F.regexp_extract("url", "//([^/]*)", 1), F.lit('" name="keywords"/>'))), has(5, 0, F.lit('<meta name="language" content="en">')), has(5, 1, F.lit('<meta http-equiv="Content-Language" content="fr">')),
+    )
+    pages = pages.select(F.col("page_id").alias("doc_id"), F.concat(F.regexp_extract("html", "(?s)^(.*?)<title>", 1), meta, F.regexp_extract("html", "(?s)(<title>.*)$", 1)).alias("html"))
+    return html.page_meta(pages).withColumn("keywords", F.array_join("keywords", "|"))
+
+
+@query(
+    r"""WITH p AS (SELECT page_id AS doc_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS head, regexp_extract(html, '(?s)</h1>(.*?)</article>', 1) AS body FROM pages),
+t AS (SELECT doc_id, unnest([1, 2]) AS part, unnest([head, body]) AS x FROM p),
+c AS (SELECT doc_id, part, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS x FROM t)
+SELECT a.doc_id, 0 AS position, a.x AS title, b.x AS content FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.part = 2 WHERE a.part = 1 AND a.x <> '' AND b.x <> ''"""
+)
+def b1_b3_pages(spark, sf_dir):
+    """The pages as they are: one h1 each, whose paragraphs lie in one another."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), "html")
-    return html.page_meta(pages).select("doc_id", "title")
+    return sections.h1_sections(html.html_blocks(pages), skip_first=False).select("doc_id", "position", "title", "content")
+
+
+_SIZES = f"""count(*) AS n_chapters, CAST(sum(length(content)) AS BIGINT) AS content_length, max(level) AS max_level,
+  CAST(floor(sum(length(content)) / count(*)) AS BIGINT) AS avg_length, {', '.join(f'count(*) FILTER (level = {k}) AS h{k}' for k in range(1, 7))}, count(*) FILTER (seq % 5 = 0) AS n_images"""
+
+
+def _images(ch: DataFrame) -> DataFrame:
+    """The images of the composed pages: one at every fifth chapter."""
+    return ch.filter("seq % 5 = 0").select("doc_id", F.concat(F.lit("/i/"), F.col("seq"), F.lit(".png")).alias("url"))
+
+
+@query(f"WITH {CHAPTERS}, s AS (SELECT doc_id, {_SIZES} FROM ch GROUP BY doc_id) SELECT d.doc_id, coalesce(source, '未知文档') AS title, 'u' || d.doc_id AS url, s.* EXCLUDE (doc_id) REPLACE (coalesce(n_chapters, 0) AS n_chapters) FROM documents d JOIN s USING (doc_id)")
+def c1_document_summary(spark, sf_dir):
+    docs, ch, _ = _chapters(spark, sf_dir)
+    known = docs.filter("text is not null").select("doc_id", F.col("source").alias("title"), F.concat(F.lit("u"), "doc_id").alias("url"))
+    return outline.document_summary(ch, known, _images(ch))
 
 
 @query(
-    f"""WITH {CHAPTERS} SELECT doc_id, count(*) AS n_chapters, CAST(sum(length(content)) AS BIGINT) AS content_length, max(level) AS max_level,
-  CAST(floor(sum(length(content)) / count(*)) AS BIGINT) AS avg_length, {', '.join(f'count(*) FILTER (level = {k}) AS h{k}' for k in range(1, 7))} FROM ch GROUP BY doc_id"""
+    f"""WITH {CHAPTERS}, {_MARKED}, s AS (SELECT doc_id, {_SIZES} FROM ch GROUP BY doc_id), bad AS (SELECT doc_id, count(DISTINCT seq) AS b FROM v GROUP BY doc_id)
+SELECT s.*, coalesce(b, 0) AS chapters_with_violations, n_chapters - coalesce(b, 0) AS chapters_without_violations FROM s LEFT JOIN bad USING (doc_id)"""
 )
-def c1_c3_document_summary(spark, sf_dir):
-    return outline.document_summary(_chapters(spark, sf_dir)[1])
+def c3_statistics(spark, sf_dir):
+    ch = _chapters(spark, sf_dir)[1]
+    return report.detailed_statistics(ch, rules.chapter_results(*_violations(spark, sf_dir)), _images(ch))
 
 
 @query(
@@ -366,7 +423,7 @@ def f4_unmapped_by_best(spark, sf_dir):
 
 @query(
     f"""WITH {CHAPTERS}, cand AS (SELECT pair_id, t.seq AS t_seq, g.seq AS g_seq, (t.seq * 3 + g.seq * 5) % 10 / 10::DOUBLE AS score FROM pairs p JOIN ch t ON t.doc_id = p.template_doc_id JOIN ch g ON g.doc_id = p.target_doc_id
-  WHERE abs(t.level - g.level) <= 1 AND t.seq % 2 = 1), pick AS (SELECT *, row_number() OVER (PARTITION BY pair_id, t_seq ORDER BY score DESC, g_seq) AS n FROM cand WHERE score >= 0.4)
+  WHERE abs(t.level - g.level) <= 1), pick AS (SELECT *, row_number() OVER (PARTITION BY pair_id, t_seq ORDER BY score DESC, g_seq) AS n FROM cand WHERE score >= 0.4)
 SELECT p.pair_id, t.seq AS t_seq, k.g_seq, CASE WHEN k.g_seq IS NULL THEN 'none' ELSE 'semantic' END AS match_type FROM pairs p JOIN ch t ON t.doc_id = p.template_doc_id LEFT JOIN pick k ON k.pair_id = p.pair_id AND k.t_seq = t.seq AND k.n = 1"""
 )
 def f3_enhanced(spark, sf_dir):
@@ -374,7 +431,7 @@ def f3_enhanced(spark, sf_dir):
     t = pairs.join(ch, F.col("template_doc_id") == F.col("doc_id")).select("pair_id", "seq", "level")
     g = pairs.join(ch, F.col("target_doc_id") == F.col("doc_id")).select("pair_id", "seq", "level")
     none = t.select("pair_id", F.col("seq").alias("t_seq"), F.lit(None).cast("int").alias("g_seq"), F.lit("none").alias("match_type"))
-    cells = t.select("pair_id", F.col("seq").alias("t_seq")).filter("t_seq % 2 = 1").join(g.select("pair_id", F.col("seq").alias("g_seq")), "pair_id")
+    cells = t.select("pair_id", F.col("seq").alias("t_seq")).join(g.select("pair_id", F.col("seq").alias("g_seq")), "pair_id")
     cand = cells.withColumn("score", (F.col("t_seq") * 3 + F.col("g_seq") * 5) % 10 / F.lit(10.0))
     return mapping.enhance_mappings(none, cand, t, g).select("pair_id", "t_seq", "g_seq", "match_type")
 
@@ -473,49 +530,29 @@ def i2_combined(spark, sf_dir):
 @query(
     """WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 x AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS s FROM l), r AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM x),
-k AS (SELECT doc_id, coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (n <= 900), '') AS kept FROM r GROUP BY doc_id)
-SELECT l.doc_id, CASE WHEN length(text) <= 900 THEN text ELSE kept || chr(10) || chr(10) || '[注意: 内容因长度限制被截断，原长度: ' || length(text) || ' 字符，截断后: ' || length(kept) || ' 字符]' END AS text FROM l JOIN k USING (doc_id)"""
+k AS (SELECT doc_id, coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (n <= 32000), '') AS kept FROM r GROUP BY doc_id)
+SELECT l.doc_id, CASE WHEN length(text) <= 32000 THEN text ELSE kept || chr(10) || chr(10) || '[注意: 内容因长度限制被截断，原长度: ' || length(text) || ' 字符，截断后: ' || length(kept) || ' 字符]' END AS text FROM l JOIN k USING (doc_id)"""
 )
 def i3_truncated(spark, sf_dir):
     docs = _chapters(spark, sf_dir)[0].filter("text is not null")
-    return docs.select("doc_id", assemble.truncate_at_lines(F.col("text"), 900).alias("text"))
+    return docs.select("doc_id", assemble.truncate_at_lines(F.col("text"), 32_000).alias("text"))
 
 
 @query(
-    """WITH RECURSIVE d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS c FROM documents), x AS (SELECT doc_id, c, string_split(c, chr(10) || chr(10)) AS ps FROM d WHERE length(c) > 1000),
+    """WITH RECURSIVE d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS c FROM documents), x AS (SELECT doc_id, c, string_split(c, chr(10) || chr(10)) AS ps FROM d WHERE length(c) > 64000),
 f AS (SELECT doc_id, 1 AS i, 1 AS part, length(ps[1]) AS n FROM x UNION ALL
-  SELECT f.doc_id, i + 1, CASE WHEN n + length(ps[i + 1]) > 1000 THEN part + 1 ELSE part END, CASE WHEN n + length(ps[i + 1]) > 1000 THEN length(ps[i + 1]) ELSE n + length(ps[i + 1]) END FROM f JOIN x ON x.doc_id = f.doc_id WHERE i < len(ps))
+  SELECT f.doc_id, i + 1, CASE WHEN n + length(ps[i + 1]) > 64000 THEN part + 1 ELSE part END, CASE WHEN n + length(ps[i + 1]) > 64000 THEN length(ps[i + 1]) ELSE n + length(ps[i + 1]) END FROM f JOIN x ON x.doc_id = f.doc_id WHERE i < len(ps))
 SELECT doc_id, 0 AS seq, CAST(part AS INTEGER) AS part, 'Doc (第' || part || '部分)' AS title, string_agg(ps[i], chr(10) || chr(10) ORDER BY i) AS text FROM f JOIN x USING (doc_id) GROUP BY doc_id, part
-UNION ALL SELECT doc_id, 0, 0, 'Doc', c FROM d WHERE length(c) <= 1000 OR c IS NULL"""
+UNION ALL SELECT doc_id, 0, 0, 'Doc', c FROM d WHERE length(c) <= 64000 OR c IS NULL"""
 )
 def i4_split_parts(spark, sf_dir):
     docs = _chapters(spark, sf_dir)[0].select("doc_id", F.lit(0).alias("seq"), F.lit("Doc").alias("title"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"))
-    return assemble.split_chapters(docs, 1000)
+    return assemble.split_chapters(docs, 64_000)
 
 
-@query(f"WITH {CHAPTERS}, s AS (SELECT doc_id, CAST(sum(length(content)) AS BIGINT) AS total_length FROM ch GROUP BY doc_id) SELECT doc_id, total_length, total_length > 6000 AS chunked, CASE WHEN total_length > 6000 THEN 6000 ELSE 3000 END AS most FROM s")
+@query(f"WITH {CHAPTERS}, s AS (SELECT doc_id, CAST(sum(length(content)) AS BIGINT) AS total_length FROM ch GROUP BY doc_id) SELECT doc_id, total_length, total_length > 64000 AS chunked, CASE WHEN total_length > 64000 THEN 64000 ELSE 32000 END AS most FROM s")
 def i5_chunk_mode(spark, sf_dir):
-    return assemble.chunk_mode(_chapters(spark, sf_dir)[1], 6000, 3000)
-
-
-def _marked(ch: DataFrame) -> DataFrame:
-    """Chapters with blank titles, a fifth level and code fences here and there."""
-    return ch.select(
-        "doc_id", "seq", F.when(F.col("seq") % 6 == 5, " ").otherwise(F.col("title")).alias("title"), F.when(F.col("seq") % 9 == 4, 5).otherwise(F.col("level")).alias("level"),
-        F.when(F.col("seq") % 4 == 1, F.concat(F.lit("```\n"), "content", F.lit("\n```py\n```"))).otherwise(F.col("content")).alias("content"),
-    )
-
-
-_MARKED = f"""
-v AS (SELECT doc_id, seq, '{rules.TITLE_RULE}' AS rule, 0 AS number FROM ch WHERE seq % 6 = 5 OR trim(title) = ''
-  UNION ALL SELECT doc_id, seq, '{rules.LEVEL_RULE}', 0 FROM ch WHERE seq % 9 = 4
-  UNION ALL SELECT doc_id, seq, '{rules.FENCE_RULE}', unnest([1, 2]) FROM ch WHERE seq % 4 = 1)
-"""
-
-
-def _violations(spark, sf_dir):
-    ch = _marked(_chapters(spark, sf_dir)[1])
-    return ch, rules.title_violations(ch).unionByName(rules.code_fence_violations(ch))
+    return assemble.chunk_mode(_chapters(spark, sf_dir)[1])
 
 
 @query(f"WITH {CHAPTERS}, {_MARKED} SELECT * FROM v")
@@ -557,24 +594,27 @@ def j8_regex_rules(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CHAPTERS}, n AS (SELECT doc_id, count(*) AS n FROM ch GROUP BY doc_id), p AS (SELECT pair_id, t.n AS t, g.n AS g FROM pairs JOIN n t ON t.doc_id = template_doc_id JOIN n g ON g.doc_id = target_doc_id WHERE t.n * g.n <= 2000),
-b AS (SELECT *, CASE WHEN t * g <= 100 THEN t ELSE 10 END AS step FROM p), x AS (SELECT *, unnest(range(CAST(ceil(t / step) AS BIGINT))) AS batch FROM b)
+    f"""WITH {CHAPTERS}, n AS (SELECT doc_id, count(*) AS n FROM ch GROUP BY doc_id), p AS (SELECT pair_id, t.n AS t, g.n AS g FROM pairs JOIN n t ON t.doc_id = template_doc_id JOIN n g ON g.doc_id = target_doc_id WHERE t.n * g.n <= 10000),
+b AS (SELECT *, CASE WHEN t * g <= 400 THEN t ELSE 10 END AS step FROM p), x AS (SELECT *, unnest(range(CAST(ceil(t / step) AS BIGINT))) AS batch FROM b)
 SELECT pair_id, CAST(batch AS INTEGER) AS batch, CAST(least(step, t - batch * step) AS INTEGER) AS n_template, CAST(g AS INTEGER) AS n_target FROM x"""
 )
 def k1_semantic_requests(spark, sf_dir):
     _, ch, pairs = _chapters(spark, sf_dir)
-    return model_io.semantic_requests(pairs, ch, 100, 2000).select("pair_id", "batch", F.size("template_titles").alias("n_template"), F.size("target_titles").alias("n_target"))
+    return model_io.semantic_requests(pairs, ch).select("pair_id", "batch", F.size("template_titles").alias("n_template"), F.size("target_titles").alias("n_target"))
 
 
 @query(
-    f"""WITH {CHAPTERS}, c AS (SELECT doc_id, seq, CAST(seq % 3 + 1 AS INTEGER) AS t, CAST(seq % 2 + 1 AS INTEGER) AS g, (seq * 37 + doc_id) % 150 / 100::DOUBLE AS s FROM ch)
-SELECT doc_id AS request_id, t, g, least(1, arg_max(s, seq)) AS score FROM c GROUP BY ALL"""
+    f"""WITH {CHAPTERS}, c AS (SELECT doc_id, seq, CAST(seq % 5 + 1 AS INTEGER) AS t, CAST(seq % 3 + 1 AS INTEGER) AS g, (seq * 37 + doc_id) % 150 / 100::DOUBLE AS s FROM ch WHERE seq % 4 <> 3)
+SELECT doc_id AS request_id, t, g, least(1, arg_max(s, seq)) AS score, arg_max('r' || seq, seq) AS reason FROM c WHERE t <= 4 AND g <= 2 GROUP BY ALL"""
 )
 def k4_score_lines(spark, sf_dir):
+    """A reply per document, with a score before the marker, fences, cells out of bounds and lines that only mention a score."""
     ch = _chapters(spark, sf_dir)[1]
-    said = F.concat(F.lit("T"), F.col("seq") % 3 + 1, F.lit("-G"), F.col("seq") % 2 + 1, F.lit(": "), ((F.col("seq") * 37 + F.col("doc_id")) % 150 / 100).cast("string"), F.lit(" | 原因：x"))
-    replies = ch.groupBy(F.col("doc_id").alias("request_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", said.alias("s")))), lambda x: x["s"]), "\n").alias("text"))
-    return model_io.parse_score_lines(replies)
+    line = F.concat(F.lit("T"), F.col("seq") % 5 + 1, F.lit("-G"), F.col("seq") % 3 + 1, F.lit(": "), ((F.col("seq") * 37 + F.col("doc_id")) % 150 / 100).cast("string"), F.lit(" | 原因：r"), "seq", F.lit("  "))
+    said = F.when(F.col("seq") % 4 == 3, F.concat(F.lit("note that "), line)).otherwise(F.concat(F.lit("  "), line))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", said.alias("s")))), lambda x: x["s"]), "\n")
+    text = F.concat(F.lit("T1-G1: 0.2 | 原因：before\nSIMILARITY_MATRIX:\n```\n"), lines, F.lit("\n```\nT1-G1: 0.3"))
+    return model_io.parse_score_lines(ch.groupBy(F.col("doc_id").alias("request_id")).agg(F.lit(4).alias("n_t"), F.lit(2).alias("n_g"), text.alias("text")))
 
 
 @query(
@@ -589,32 +629,37 @@ def k5_candidates(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CHAPTERS}, c AS (SELECT doc_id, seq, trim(content) AS t FROM ch WHERE doc_id % 5 <> 0)
-SELECT doc_id AS request_id, seq + 1 AS block, 'r' || CAST(seq AS VARCHAR) AS rule, t AS content, CASE WHEN seq % 2 = 0 THEN '请根据规范要求进行修改' ELSE 'fix' END AS suggestion FROM c WHERE t <> ''"""
+    f"""WITH {CHAPTERS}, c AS (SELECT doc_id, seq, trim(content || CASE WHEN seq % 5 = 2 THEN ' 图' ELSE '' END) AS t FROM ch)
+SELECT doc_id AS request_id, seq + 1 AS block, 'r' || CAST(seq AS VARCHAR) AS rule, t AS content, CASE WHEN seq % 2 = 0 THEN '请根据规范要求进行修改' ELSE 'fix' END AS suggestion,
+  CASE WHEN seq % 3 = 0 THEN 'p' || seq ELSE '章节: c' || doc_id END AS position, CASE WHEN contains(t, '图') THEN 'image' ELSE 'text' END AS content_type FROM c WHERE t <> ''"""
 )
 def k6_violation_blocks(spark, sf_dir):
-    ch = _chapters(spark, sf_dir)[1].filter("doc_id % 5 <> 0")
-    said = F.concat_ws("\n", F.concat(F.lit("违规项"), F.col("seq") + 1), F.lit("规范: old"), F.concat(F.lit("规范: r"), F.col("seq")), F.concat(F.lit("内容: "), "content"), F.when(F.col("seq") % 2 == 1, "建议: fix"))
+    ch = _chapters(spark, sf_dir)[1]
+    said = F.concat_ws("\n", F.concat(F.lit("违规项"), F.col("seq") + 1), F.lit("规范: old"), F.concat(F.lit("规范: r"), F.col("seq")), F.concat(F.lit("内容: "), "content", F.when(F.col("seq") % 5 == 2, " 图").otherwise("")), F.when(F.col("seq") % 2 == 1, "建议: fix"), F.when(F.col("seq") % 3 == 0, F.concat(F.lit("位置: p"), "seq")))
     replies = ch.groupBy(F.col("doc_id").alias("request_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", said.alias("s")))), lambda x: x["s"]), "\n").alias("text"))
-    return model_io.parse_violations(replies).select("request_id", F.col("block").cast("int").alias("block"), "rule", "content", "suggestion")
+    replies = replies.withColumn("title", F.concat(F.lit("c"), "request_id"))
+    return model_io.parse_violations(replies).withColumn("block", F.col("block").cast("int"))
 
 
 @query(
     f"""{_MAPPED}, {OUTLINE}, {_VERDICTS}, {_MARKED}, vc AS (SELECT doc_id, count(*) AS n FROM v GROUP BY doc_id), cc AS (SELECT doc_id, count(*) AS n FROM ch GROUP BY doc_id), tops AS (SELECT doc_id, count(*) AS n FROM outline WHERE parent_seq IS NULL GROUP BY ALL),
-x AS (SELECT pair_id, n_missing + coalesce(vc.n, 0) AS issues, coalesce(tops.n, 0) + coalesce(cc.n, 0) * 26 AS checks, n_missing <= 3 AND n_issues = 0 AND coalesce(vc.n, 0) = 0 AS ok
-  FROM verdicts LEFT JOIN vc ON vc.doc_id = target_doc_id LEFT JOIN cc ON cc.doc_id = target_doc_id LEFT JOIN tops ON tops.doc_id = template_doc_id)
-SELECT pair_id, CAST(issues AS BIGINT) AS total_issues, CAST(checks AS BIGINT) AS total_checks, CASE WHEN checks > 0 THEN round((checks - issues) / checks * 100, 1) ELSE 100 END AS pass_rate, ok AS overall_passed FROM x"""
+x AS (SELECT pair_id, n_missing + coalesce(vc.n, 0) AS issues, coalesce(tops.n, 0) + coalesce(cc.n, 0) * 26 AS checks, n_missing <= 3 AND n_issues = 0 AS s_ok, coalesce(vc.n, 0) = 0 AS c_ok, n_missing, n_extra, similarity, coalesce(vc.n, 0) AS vn,
+    (SELECT count(*) FROM ch WHERE ch.doc_id = template_doc_id) AS tn, coalesce(cc.n, 0) AS gn FROM verdicts LEFT JOIN vc ON vc.doc_id = target_doc_id LEFT JOIN cc ON cc.doc_id = target_doc_id LEFT JOIN tops ON tops.doc_id = template_doc_id)
+SELECT pair_id, CAST(issues AS BIGINT) AS total_issues, CAST(checks AS BIGINT) AS total_checks, CASE WHEN checks > 0 THEN round((checks - issues) / checks * 100, 1) ELSE 100 END AS pass_rate, s_ok AND c_ok AS overall_passed, s_ok AS structure_passed, c_ok AS content_passed,
+  tn AS template_chapters, gn AS total_chapters, n_missing, n_extra, vn AS n_violations, 0 AS n_critical, vn AS n_warning, 0 AS n_info, round(round(similarity, 6) * 100, 1) AS structure_similarity FROM x"""
 )
 def l1_report(spark, sf_dir):
     docs, ch, pairs, found = _mapped(spark, sf_dir)
     marked, v = _violations(spark, sf_dir)
     content = rules.content_results(marked, rules.with_severity(v, rules.severity_df(spark)))
-    return report.report(pairs, structure.check_structure(docs, pairs, ch, found), content, outline.build_outline(ch))
+    verdicts = structure.check_structure(docs, pairs, ch, found).withColumn("similarity", F.round("similarity", 6))
+    return report.report(pairs, verdicts, content, outline.build_outline(ch))
 
 
 @query(
     f"""WITH {CHAPTERS}, {OUTLINE}, {_MARKED}, vc AS (SELECT doc_id, count(*) AS n FROM v GROUP BY doc_id), cc AS (SELECT doc_id, count(*) AS n FROM ch GROUP BY doc_id)
-SELECT pair_id, coalesce(vc.n, 0) AS total_issues, cc.n * 26 AS total_checks, round((cc.n * 26 - coalesce(vc.n, 0)) / (cc.n * 26) * 100, 1) AS pass_rate, coalesce(vc.n, 0) = 0 AS overall_passed
+SELECT pair_id, coalesce(vc.n, 0) AS total_issues, cc.n * 26 AS total_checks, round((cc.n * 26 - coalesce(vc.n, 0)) / (cc.n * 26) * 100, 1) AS pass_rate, coalesce(vc.n, 0) = 0 AS overall_passed, true AS structure_passed, coalesce(vc.n, 0) = 0 AS content_passed,
+  (SELECT count(*) FROM ch WHERE ch.doc_id = template_doc_id) AS template_chapters, cc.n AS total_chapters, 0 AS n_missing, 0 AS n_extra, coalesce(vc.n, 0) AS n_violations, 0 AS n_critical, coalesce(vc.n, 0) AS n_warning, 0 AS n_info, 100.0::DOUBLE AS structure_similarity
 FROM pairs p JOIN cc ON cc.doc_id = p.target_doc_id LEFT JOIN vc ON vc.doc_id = p.target_doc_id"""
 )
 def l2_content_only_report(spark, sf_dir):
@@ -639,12 +684,12 @@ def b8_chapter_images(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CHAPTERS}, n AS (SELECT doc_id, count(*) AS n_chapters, count(*) FILTER (trim(title) = '') AS n_empty_titles FROM ch WHERE doc_id % 7 <> 0 GROUP BY doc_id)
+    f"""WITH {CHAPTERS}, n AS (SELECT doc_id, count(*) AS n_chapters, count(*) FILTER (trim(title) = '') AS n_empty_titles FROM ch WHERE length(content) > 60 GROUP BY doc_id)
 SELECT d.doc_id, text IS NOT NULL AND n_chapters IS NOT NULL AS valid, coalesce(n_chapters, 0) AS n_chapters, coalesce(n_empty_titles, 0) AS n_empty_titles, 0 AS n_bad_levels FROM documents d LEFT JOIN n USING (doc_id)"""
 )
 def a6_validated(spark, sf_dir):
     docs, ch, _ = _chapters(spark, sf_dir)
-    return D.validate_documents(docs.select("doc_id", F.lit("u").alias("url"), F.col("text").alias("html")), ch.filter("doc_id % 7 <> 0"))
+    return D.validate_documents(docs.select("doc_id", F.lit("u").alias("url"), F.col("text").alias("html")), ch.filter("length(content) > 60"))
 
 
 @query(
@@ -659,15 +704,23 @@ def k3_context(spark, sf_dir):
     return model_io.context_info(rows.select("pair_id", "t_seq", F.col("t_level").alias("level"), none.alias("parent_path"), F.col("t_seq").alias("position"), none.alias("patterns"), "t_title", "g_title"))
 
 
+_DEPTHS = """depths AS (SELECT c.doc_id, c.seq, c.title, (SELECT count(*) FROM ch p WHERE p.doc_id = c.doc_id AND p.seq < c.seq AND p.level < c.level
+  AND NOT EXISTS (SELECT 1 FROM ch y WHERE y.doc_id = c.doc_id AND y.seq > p.seq AND y.seq < c.seq AND y.level <= p.level)) AS depth FROM ch c)"""
+
+
 @query(
-    f"""WITH {CHAPTERS}, {OUTLINE}, rows_ AS (SELECT p.pair_id, o.seq, o.title FROM pairs p JOIN outline o ON o.doc_id = p.template_doc_id), lost AS (SELECT DISTINCT pair_id, title FROM rows_ WHERE (pair_id + seq) % 3 = 0)
-SELECT r.pair_id, r.seq, r.title, CASE WHEN l.title IS NULL THEN 'matched' ELSE 'missing' END AS status FROM rows_ r LEFT JOIN lost l ON l.pair_id = r.pair_id AND l.title = r.title"""
+    f"""{_MAPPED}, {_DEPTHS}, t AS (SELECT pair_id, d.* FROM pairs JOIN depths d ON d.doc_id = template_doc_id), g AS (SELECT pair_id, d.* FROM pairs JOIN depths d ON d.doc_id = target_doc_id),
+lost AS (SELECT DISTINCT m.pair_id, title FROM mapped m JOIN t ON t.pair_id = m.pair_id AND t.seq = m.t_seq WHERE match_type = 'none' OR g_seq IS NULL OR confidence = 0),
+more AS (SELECT DISTINCT pair_id, title FROM g ANTI JOIN mapped m ON m.pair_id = g.pair_id AND m.g_seq = g.seq)
+SELECT 'template' AS side, pair_id, seq, title, depth, CASE WHEN l.title IS NULL THEN 'matched' ELSE 'missing' END AS status FROM t LEFT JOIN lost l USING (pair_id, title)
+UNION ALL SELECT 'target', pair_id, seq, title, depth, CASE WHEN l.title IS NULL THEN 'matched' ELSE 'extra' END FROM g LEFT JOIN more l USING (pair_id, title)"""
 )
 def d3_outline_status(spark, sf_dir):
-    _, ch, pairs = _chapters(spark, sf_dir)
+    _, ch, pairs, found = _mapped(spark, sf_dir)
     tree = outline.build_outline(ch)
-    lost = pairs.join(tree, F.col("template_doc_id") == F.col("doc_id")).filter((F.col("pair_id") + F.col("seq")) % 3 == 0).select("pair_id", F.col("seq").alias("t_seq"))
-    return report.outline_status(pairs, tree, lost).select("pair_id", "seq", "title", "status")
+    one = report.outline_status(pairs, tree, mapping.missing_chapters(found)).withColumn("side", F.lit("template"))
+    two = report.target_status(pairs, tree, mapping.unmapped_targets(pairs, ch, found)).withColumn("side", F.lit("target"))
+    return one.unionByName(two).withColumn("depth", F.col("depth").cast("long"))
 
 
 @query(
@@ -680,3 +733,99 @@ def g9_validated_patterns(spark, sf_dir):
     _, ch, pairs = _chapters(spark, sf_dir)
     found = renumber.validate_patterns(renumber.detect_patterns(pairs, ch), pairs, ch)
     return found.withColumns({"affected_levels": _listed("affected_levels"), "examples": _examples(), "confidence": F.round("confidence", 6)})
+
+
+@query("SELECT 'p' || page_id AS url, html FROM pages")
+def a1_read_pages(spark, sf_dir):
+    """The table of pages through the reader, with the page number as the address."""
+    return D.read_pages(spark, f"{sf_dir}/pages.parquet", url_column="page_id").select(F.concat(F.lit("p"), F.col("url").cast("string")).alias("url"), "html")
+
+
+@query(f"WITH {CHAPTERS}, {_DEPTHS.replace('depths', 'd0')}, anc AS (SELECT c.doc_id, c.seq, p.title, p.seq AS pseq FROM ch c JOIN ch p ON p.doc_id = c.doc_id AND p.seq < c.seq AND p.level < c.level WHERE NOT EXISTS (SELECT 1 FROM ch y WHERE y.doc_id = c.doc_id AND y.seq > p.seq AND y.seq < c.seq AND y.level <= p.level)), up AS (SELECT doc_id, seq, string_agg(title, ' > ' ORDER BY pseq) AS b FROM anc GROUP BY ALL) SELECT c.doc_id, c.seq, coalesce(b, '') AS breadcrumb FROM ch c LEFT JOIN up USING (doc_id, seq)")
+def b7_breadcrumbs(spark, sf_dir):
+    return outline.breadcrumbs(_chapters(spark, sf_dir)[1])
+
+
+@query(
+    f"""WITH {CHAPTERS}, c AS (SELECT doc_id, seq, {_SQUEEZE.format(x='title')} AS t, {_SQUEEZE.format(x='content')} AS x FROM ch)
+SELECT doc_id, '/i/' || seq || '.png' AS src, 'picture' AS alt_text, substr(x, 1, 100) || ' | ' || substr(t, 1, 100) AS context FROM c WHERE seq % 5 = 0 AND x <> '' AND t <> ''"""
+)
+def b9_image_context(spark, sf_dir):
+    """Images that stand between the chapter's text and its title."""
+    ch = _chapters(spark, sf_dir)[1].filter("seq % 5 = 0")
+    body = F.concat(F.lit("<body><p>"), D.escape(F.col("content")), F.lit('</p><img src="/i/'), "seq", F.lit('.png" alt="picture"><h2>'), D.escape(F.col("title")), F.lit("</h2></body>"))
+    both = (T.squeeze(F.col("content")) != "") & (T.squeeze(F.col("title")) != "")
+    return html.html_images(ch.filter(both).select("doc_id", body.alias("html"))).select("doc_id", "src", "alt_text", "context")
+
+
+@query(
+    f"""WITH {CHAPTERS}, t AS (SELECT doc_id, seq, title AS a, lead(title) OVER (PARTITION BY doc_id ORDER BY seq) AS b FROM ch), c AS (SELECT *, {_clean('a')} AS x, {_clean('b')} AS y FROM t WHERE b IS NOT NULL)
+SELECT doc_id, seq, x = y OR contains(x, y) OR contains(y, x) OR (length(x) > 3 AND length(y) > 3 AND seq % 2 = 0) AS similar FROM c"""
+)
+def e15_similar_titles(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    ch = _chapters(spark, sf_dir)[1].withColumn("b", F.lead("title").over(Window.partitionBy("doc_id").orderBy("seq"))).filter("b is not null")
+    return ch.select("doc_id", "seq", T.is_similar_title(F.col("title"), F.col("b"), F.col("seq") % 2 == 0).alias("similar"))
+
+
+@query(
+    f"""WITH {CHAPTERS}, x AS (SELECT doc_id, seq, 'd' || seq % 3 AS said FROM ch WHERE seq % 5 = 0 AND seq % 3 < 2)
+SELECT doc_id, seq, '# 章节: ' || c.title || chr(10) || '层级: H' || level || chr(10) || chr(10) || '## 图像内容' || chr(10) || '### 图片 1' || chr(10) || '**位置**: p' || seq || chr(10) || '**图像描述**: ' || said || chr(10) AS combined FROM x JOIN ch c USING (doc_id, seq)"""
+)
+def i1_i2_described_images(spark, sf_dir):
+    """Descriptions come from a table of addresses; images that it does not hold are dropped."""
+    ch = _chapters(spark, sf_dir)[1]
+    images = ch.filter("seq % 5 = 0").select("doc_id", "seq", F.concat(F.lit("u"), F.col("seq") % 3).alias("url"), F.concat(F.lit("p"), "seq").alias("position"))
+    known = ch.select(F.concat(F.lit("u"), F.col("seq") % 3).alias("url"), F.concat(F.lit("d"), F.col("seq") % 3).alias("description")).filter("url <> 'u2'").distinct()
+    none = F.lit(None).cast("string")
+    rows = assemble.attach_descriptions(images, known).select("doc_id", "seq", F.array(F.struct("position", none.alias("alt_text"), none.alias("title"), none.alias("context"), "description")).alias("images"))
+    rows = rows.join(ch, ["doc_id", "seq"])
+    return rows.select("doc_id", "seq", assemble.combine_content(F.col("title"), F.col("level"), none, none, F.col("images")).alias("combined"))
+
+
+@query(
+    f"""WITH {CHAPTERS}, n AS (SELECT doc_id, sum(length(content)) > 64000 AS chunked FROM ch GROUP BY doc_id),
+b AS (SELECT doc_id, seq, title, CASE WHEN chunked THEN 64000 ELSE 32000 END AS most, '# 章节: ' || title || chr(10) || '层级: H' || level || chr(10) || chr(10) || CASE WHEN content <> '' THEN '## 文本内容' || chr(10) || content || chr(10) ELSE '' END AS c FROM ch JOIN n USING (doc_id)),
+l AS (SELECT *, string_split(c, chr(10)) AS ls FROM b WHERE length(c) > most), x AS (SELECT *, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS s FROM l),
+r AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY doc_id, seq ORDER BY i) AS n FROM x), k AS (SELECT doc_id, seq, coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (n <= most), '') AS kept FROM r GROUP BY ALL)
+SELECT doc_id, seq, 0 AS part, title, CASE WHEN kept IS NULL THEN CASE WHEN content_empty THEN rtrim(c, chr(10)) || chr(10) ELSE c END ELSE kept || chr(10) || chr(10) || '[注意: 内容因长度限制被截断，原长度: ' || length(c) || ' 字符，截断后: ' || length(kept) || ' 字符]' END AS text
+FROM (SELECT b.*, ch.content = '' AS content_empty FROM b JOIN ch USING (doc_id, seq)) b LEFT JOIN k USING (doc_id, seq)"""
+)
+def i5_integrated(spark, sf_dir):
+    ch = _chapters(spark, sf_dir)[1].withColumn("parent_path", F.lit(None).cast("string"))
+    return assemble.integrate(ch)
+
+
+@query(
+    f"WITH {CHAPTERS}, {_MARKED} SELECT doc_id, rule, count(*) AS n_violations FROM v GROUP BY ALL"
+)
+def j6_rule_counts(spark, sf_dir):
+    return rules.rule_counts(_violations(spark, sf_dir)[1])
+
+
+@query(
+    f"""WITH {CHAPTERS}, {_MARKED}, r AS (SELECT * FROM (VALUES {', '.join(f"('{r}', '{c}')" for c, rs in rules.RULES.items() for r in rs)}) t(rule, category)), s AS (SELECT * FROM (VALUES {', '.join(f"('{r}', '{c}')" for c, rs in rules.SEVERITY.items() for r in rs)}) t(rule, severity))
+SELECT category, coalesce(severity, 'warning') AS severity, count(DISTINCT r.rule) AS n_rules FROM r LEFT JOIN s USING (rule) JOIN v USING (rule) GROUP BY ALL"""
+)
+def j7_rules_found(spark, sf_dir):
+    """The inventory of the rules that some document breaks."""
+    broken = _violations(spark, sf_dir)[1].select("rule").distinct()
+    return rules.rules_summary(rules.rules_df(spark).join(broken, "rule"), rules.severity_df(spark))
+
+
+@query(
+    f"""WITH {CHAPTERS} SELECT doc_id, string_agg('T' || (seq + 1) || ': ' || title, chr(10) ORDER BY seq) AS listed, count(*) FILTER (contains(content || CASE WHEN seq % 3 = 0 THEN ' 是' ELSE '' END, '是')) AS n_yes FROM ch GROUP BY doc_id"""
+)
+def k2_k7_lists_and_answers(spark, sf_dir):
+    ch = _chapters(spark, sf_dir)[1]
+    answer = model_io.parse_yes_no(F.concat("content", F.when(F.col("seq") % 3 == 0, " 是").otherwise("")))
+    rows = ch.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "title"))), lambda x: x["title"]).alias("titles"), F.count_if(answer).alias("n_yes"))
+    return rows.select("doc_id", model_io.render_list(F.col("titles"), "T").alias("listed"), "n_yes")
+
+
+@query(f"WITH {CHAPTERS} SELECT DISTINCT t.title AS title1, g.title AS title2 FROM pairs JOIN ch t ON t.doc_id = template_doc_id JOIN ch g ON g.doc_id = target_doc_id AND g.seq = t.seq")
+def k8_title_pairs(spark, sf_dir):
+    _, ch, pairs = _chapters(spark, sf_dir)
+    t = S.with_template(pairs, ch.select("doc_id", "seq", F.col("title").alias("title1")))
+    return model_io.distinct_title_pairs(t.join(ch.select(F.col("doc_id").alias("target_doc_id"), "seq", F.col("title").alias("title2")), ["target_doc_id", "seq"]))

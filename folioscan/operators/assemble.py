@@ -27,7 +27,7 @@ def combine_content(title: Column, level: Column, parent_path: Column, content:
     return F.concat_ws("\n", *lines)
 
 
-def truncate_at_lines(text: Column, most: int) -> Column:
+def truncate_at_lines(text: Column, most: int | Column) -> Column:
     """Whole lines while they fit, counting a line end each, then a notice with both lengths."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("lines"), F.lit(True).alias("open"))
 
@@ -41,10 +41,10 @@ def truncate_at_lines(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(kept, notice))
 
 
-def split_chapters(chapters: DataFrame, most: int, separator: str = "\n\n") -> DataFrame:
+def split_chapters(chapters: DataFrame, most: int | Column, separator: str = "\n\n") -> DataFrame:
     """A row per part: paragraphs fill a part up to most characters (separators not counted); an oversized one stays whole.
 
-    Chapters that fit are part 0 under their own title."""
+    Chapters that fit are part 0 under their own title. A column images stays with the first part; other parts have none."""
     kind = "array<struct<n:int,text:string>>"
 
     def add(acc, p):
@@ -55,13 +55,26 @@ def split_chapters(chapters: DataFrame, most: int, separator: str = "\n\n") -> D
 
     parts = F.transform(F.aggregate(F.split("content", separator, -1), F.array().cast(kind), add), lambda x: x["text"])
     large = F.length("content") > most
-    rows = chapters.select("doc_id", "seq", "title", large.alias("large"), F.posexplode(F.when(large, parts).otherwise(F.array("content"))).alias("i", "text"))
+    images = ["images"] if "images" in chapters.columns else []
+    rows = chapters.select("doc_id", "seq", "title", *images, large.alias("large"), F.posexplode(F.when(large, parts).otherwise(F.array("content"))).alias("i", "text"))
     part = F.when(F.col("large"), F.col("i") + 1).otherwise(0)
     title = F.when(F.col("large"), F.concat("title", F.lit(" (第"), part.cast("string"), F.lit("部分)"))).otherwise(F.col("title"))
-    return rows.select("doc_id", "seq", part.alias("part"), title.alias("title"), "text")
+    own = [F.when(F.col("i") == 0, F.col("images")).otherwise(F.array().cast(rows.schema["images"].dataType)).alias("images") for _ in images]
+    return rows.select("doc_id", "seq", part.alias("part"), title.alias("title"), "text", *own)
 
 
 def chunk_mode(chapters: DataFrame, limit: int = 64_000, plain: int = 32_000) -> DataFrame:
     """Per document: whether its content needs chunks, and the length that then holds for a chapter."""
     total = F.sum(F.length("content"))
     return chapters.groupBy("doc_id").agg(total.alias("total_length"), (total > limit).alias("chunked"), F.when(total > limit, limit).otherwise(plain).alias("most"))
+
+
+def integrate(chapters: DataFrame, limit: int = 64_000, plain: int = 32_000) -> DataFrame:
+    """doc_id, seq, part, title, text: combined texts, cut at lines to ``plain`` characters; in documents with more than ``limit``
+    characters of content, to ``limit``, and what is still longer (by the notice) is split at paragraphs.
+
+    chapters: doc_id, seq, title, level, content, parent_path."""
+    mode = chunk_mode(chapters, limit, plain)
+    text = combine_content(F.col("title"), F.col("level"), F.col("parent_path"), F.col("content"))
+    rows = chapters.select("doc_id", "seq", "title", text.alias("content")).join(mode, "doc_id").withColumn("content", truncate_at_lines(F.col("content"), F.col("most")))
+    return split_chapters(rows.filter("chunked"), limit).unionByName(rows.filter("not chunked").select("doc_id", "seq", F.lit(0).alias("part"), "title", F.col("content").alias("text")))

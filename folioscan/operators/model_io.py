@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Fixed value.
+SCORE_MARKER = "SIMILARITY_MATRIX:"
+
+
 def render_list(items: Column, prefix: str) -> Column:
     """Numbered lines: prefix1: ..., prefix2: ..."""
     return F.array_join(F.transform(items, lambda x, i: F.concat(F.lit(prefix), (i + 1).cast("string"), F.lit(": "), x)), "\n")
@@ -38,12 +42,20 @@ def context_info(rows: DataFrame, siblings: int = 3) -> DataFrame:
 
 
 def parse_score_lines(replies: DataFrame) -> DataFrame:
-    """request_id, t, g, score from lines 'T1-G2: 0.9 | ...'; scores are held to 0..1 and a cell's last line wins."""
-    pattern = r"T(\d+)-G(\d+):[\s]*([0-9]+(?:\.[0-9]+)?)"
-    rows = replies.select("request_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "said")).filter(F.rlike("said", F.lit(pattern)))
+    """request_id, t, g, score, reason from lines 'T1-G2: 0.9 | 原因：...' after the marker; a cell's last line wins.
+
+    replies: request_id, n_t, n_g (titles asked about; cells beyond them are ignored) and text. Scores are held to 0..1. A score
+    that is no number ends the reply."""
+    after = F.element_at(F.split("text", SCORE_MARKER, 2), 2)
+    pattern = r"^T([0-9]+)-G([0-9]+):[\s\p{Z}]*([0-9.]+)[\s\p{Z}]*\|[\s\p{Z}]*原因：(.+)"
+    rows = replies.filter(F.contains("text", F.lit(SCORE_MARKER))).select("request_id", "n_t", "n_g", F.posexplode(F.split(after, "\n", -1)).alias("line", "said"))
+    rows = rows.withColumn("said", F.regexp_replace("said", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).filter(F.rlike("said", F.lit(pattern)))
     part = lambda i: F.regexp_extract("said", pattern, i)
-    rows = rows.select("request_id", "line", part(1).cast("int").alias("t"), part(2).cast("int").alias("g"), F.least(F.lit(1.0), part(3).cast("double")).alias("score"))
-    return rows.groupBy("request_id", "t", "g").agg(F.max_by("score", "line").alias("score"))
+    rows = rows.select("request_id", "n_t", "n_g", "line", part(1).try_cast("int").alias("t"), part(2).try_cast("int").alias("g"), part(3).try_cast("double").alias("score"), F.trim(part(4)).alias("reason"))
+    bad = F.min(F.when(F.col("score").isNull(), F.col("line"))).over(Window.partitionBy("request_id"))
+    rows = rows.withColumn("bad", bad).filter("bad is null or line < bad").filter("t between 1 and n_t and g between 1 and n_g")
+    best = rows.groupBy("request_id", "t", "g").agg(F.max_by(F.struct("score", "reason"), "line").alias("x"))
+    return best.select("request_id", "t", "g", F.least(F.lit(1.0), "x.score").alias("score"), "x.reason")
 
 
 def parse_candidates(replies: DataFrame) -> DataFrame:
@@ -56,8 +68,10 @@ def parse_candidates(replies: DataFrame) -> DataFrame:
 
 
 def parse_violations(replies: DataFrame) -> DataFrame:
-    """Violations from blocks of keyed lines; a line that starts with 违规项 opens a block, a repeated key overwrites."""
-    lines = replies.filter(~F.contains("text", F.lit("未发现违规项"))).select("request_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "said"))
+    """Violations from blocks of keyed lines; a line that starts with 违规项 opens a block, a repeated key overwrites.
+
+    replies: request_id, text and, for violations that name no position, the chapter's title."""
+    lines = replies.filter(~F.contains("text", F.lit("未发现违规项"))).select("request_id", "title", F.posexplode(F.split("text", "\n", -1)).alias("line", "said"))
     lines = lines.withColumn("said", F.trim("said"))
     opens = F.startswith("said", F.lit("违规项"))
     block = F.sum(opens.cast("int")).over(Window.partitionBy("request_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
@@ -65,7 +79,8 @@ def parse_violations(replies: DataFrame) -> DataFrame:
     key = F.coalesce(*[F.when(F.startswith("said", F.lit(p)), F.lit(k)) for k, p in keys.items()])
     rows = lines.withColumn("block", block).withColumn("key", key).filter("key is not null").withColumn("value", F.trim(F.substring("said", 4, 1 << 30)))
     last = [F.coalesce(F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("line"))), F.lit("")).alias(k) for k in keys]
-    found = rows.groupBy("request_id", "block").agg(*last).filter("rule <> '' and content <> ''")
+    found = rows.groupBy("request_id", "block").agg(*last, F.first("title").alias("title")).filter("rule <> '' and content <> ''")
+    found = found.withColumn("position", F.when(F.col("position") == "", F.concat(F.lit("章节: "), "title")).otherwise(F.col("position"))).drop("title")
     return found.withColumn("content_type", F.when(F.contains("content", F.lit("图")), "image").otherwise("text")).withColumn("suggestion", F.when(F.col("suggestion") == "", "请根据规范要求进行修改").otherwise(F.col("suggestion")))
 
 

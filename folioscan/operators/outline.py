@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LEVELS = 6
+#: Fixed value.
+NO_TITLE = "未知文档"
 
 
 def build_outline(chapters: DataFrame, levels: int = LEVELS) -> DataFrame:
@@ -41,9 +43,20 @@ def outline_summary(outline: DataFrame) -> DataFrame:
     return outline.select("doc_id", "seq", "level", "depth").join(children, ["doc_id", "seq"], "left").fillna(0, ["n_children"])
 
 
-def document_summary(chapters: DataFrame) -> DataFrame:
-    """Per document: chapters, content length, largest level, chapters per level."""
+def breadcrumbs(chapters: DataFrame) -> DataFrame:
+    """doc_id, seq, breadcrumb: the titles above a chapter, outer to inner."""
+    return build_outline(chapters).select("doc_id", "seq", F.col("path").alias("breadcrumb"))
+
+
+def document_summary(chapters: DataFrame, documents: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """Per document: chapters, content length, largest level, average length, chapters per level; with images (doc_id and a row
+    per image) their number, with documents (doc_id, title, url) also these, for documents without chapters too."""
     levels = [F.count_if(F.col("level") == k).alias(f"h{k}") for k in range(1, LEVELS + 1)]
-    return chapters.groupBy("doc_id").agg(
+    found = chapters.groupBy("doc_id").agg(
         F.count("*").alias("n_chapters"), F.sum(F.length("content")).alias("content_length"), F.max("level").alias("max_level"), F.floor(F.sum(F.length("content")) / F.count("*")).alias("avg_length"), *levels
     )
+    if documents is not None:
+        found = documents.select("doc_id", F.coalesce("title", F.lit(NO_TITLE)).alias("title"), "url").join(found, "doc_id", "left").fillna(0, [c for c in found.columns if c != "doc_id"])
+    if images is not None:
+        found = found.join(images.groupBy("doc_id").agg(F.count("*").alias("n_images")), "doc_id", "left").fillna(0, ["n_images"])
+    return found

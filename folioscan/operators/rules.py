@@ -25,6 +25,7 @@ SEVERITY = {
 }
 TITLE_RULE, LEVEL_RULE, FENCE_RULE = "每个章节必须有明确的标题", "子章节层级不应超过4级", "代码块必须指定编程语言"
 IMAGE_RULE, ALT_RULE = "图片必须有相关的文字说明或说明文字", "所有图表必须有清晰的标题和编号"
+MOST_REGEX_RULES = 10_000
 N_RULES = sum(map(len, RULES.values()))
 
 
@@ -57,13 +58,16 @@ def code_fence_violations(chapters: DataFrame) -> DataFrame:
 
 
 def regex_rule_violations(chapters: DataFrame, rules: DataFrame) -> DataFrame:
-    """Chapters whose content a rule's pattern (name, pattern, severity) finds; the rules are a small table that a user writes."""
+    """Chapters whose content a rule's pattern (name, pattern, severity) finds; the rules are a small table that a user writes,
+    and one of over MOST_REGEX_RULES rows is refused."""
+    if rules.count() > MOST_REGEX_RULES:
+        raise ValueError(f"more than {MOST_REGEX_RULES} rules")
     return chapters.select("doc_id", "seq", "content").join(F.broadcast(rules), F.rlike("content", F.col("pattern"))).select("doc_id", "seq", F.col("name").alias("rule"), "severity")
 
 
 def with_severity(violations: DataFrame, severity: DataFrame) -> DataFrame:
     """By exact rule text; a rule that the table does not hold is a warning."""
-    return violations.join(F.broadcast(severity), "rule", "left").fillna("warning", ["severity"])
+    return violations.join(severity, "rule", "left").fillna("warning", ["severity"])
 
 
 def chapter_results(chapters: DataFrame, violations: DataFrame) -> DataFrame:
@@ -79,5 +83,10 @@ def content_results(chapters: DataFrame, violations: DataFrame) -> DataFrame:
     return rows.withColumn("passed", F.col("n_violations") == 0)
 
 
+def rule_counts(violations: DataFrame) -> DataFrame:
+    """Per document and rule: how often it is violated."""
+    return violations.groupBy("doc_id", "rule").agg(F.count("*").alias("n_violations"))
+
+
 def rules_summary(rules: DataFrame, severity: DataFrame) -> DataFrame:
     return with_severity(rules, severity).groupBy("category", "severity").agg(F.count("*").alias("n_rules"))

@@ -1,4 +1,4 @@
-"""Blocks to chapters: h1 sections and the sections below them, by interval joins inside a parent."""
+"""Blocks to chapters: h1 sections and the sections below them, by windows inside a parent."""
 
 from __future__ import annotations
 
@@ -10,54 +10,59 @@ from folioscan.functions.urls import absolute_url
 
 AT = ["doc_id", "parent_id"]
 BODY = ("p", "div", "section", "article", "ul", "ol", "table", "pre", "blockquote")
-FAR = (1 << 31) - 1
 
 
-def _h1(blocks: DataFrame, skip_first: bool) -> DataFrame:
-    """All h1 with their number, and the place of the next one beside them."""
-    heads = blocks.filter("tag = 'h1'")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - (2 if skip_first else 1)
-    end = F.coalesce(F.lead("idx").over(Window.partitionBy(*AT).orderBy("idx")), F.lit(FAR))
-    return heads.select(*AT, F.col("idx").alias("start"), "ord", F.col("text").alias("title"), F.col("html_id"), number.alias("position"), end.alias("end"))
+def _placed(blocks: DataFrame, skip_first: bool) -> DataFrame:
+    """Blocks with the nearest h1 before them under the same parent (top: position, idx, ord, title, html_id), and without the others."""
+    is_h1 = F.col("tag") == "h1"
+    number = F.sum(is_h1.cast("int")).over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)) - (2 if skip_first else 1)
+    head = F.when(is_h1, F.struct(F.col("_number").cast("int").alias("position"), "idx", "ord", F.col("text").alias("title"), "html_id"))
+    top = F.last(head, ignorenulls=True).over(Window.partitionBy(*AT).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    return blocks.withColumn("_number", number).withColumn("top", top).filter("top is not null").drop("_number")
 
 
 def h1_sections(blocks: DataFrame, skip_first: bool = True) -> DataFrame:
     """doc_id, position, title, level, content, html_id: an h1 with the texts beside it up to the next one; empty ones go."""
-    heads = _h1(blocks, skip_first).filter("position >= 0 and title <> ''")
-    texts = blocks.filter("text <> ''").select(*AT, "idx", "text")
-    rows = heads.join(texts, AT).filter("idx > start and idx < end").groupBy("doc_id", "position", "title", "html_id").agg(F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("x"))
+    rows = _placed(blocks, skip_first).filter("tag <> 'h1' and text <> '' and top.position >= 0 and top.title <> ''")
+    rows = rows.groupBy("doc_id", "top.position", "top.title", "top.html_id").agg(F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("x"))
     return rows.select("doc_id", "position", "title", F.lit(1).alias("level"), F.array_join(F.transform("x", lambda t: t["text"]), "\n").alias("content"), "html_id")
 
 
-def sub_sections(blocks: DataFrame, sections: DataFrame, skip_first: bool = True) -> DataFrame:
-    """The h2 to h6 beside each section's h1, which is the first h1 of the page with that title."""
-    first = F.row_number().over(Window.partitionBy("doc_id", "title").orderBy("ord"))
-    heads = _h1(blocks, skip_first).withColumn("_n", first).filter("_n = 1").select("doc_id", "title", "parent_id", "start", "end")
-    owners = sections.select("doc_id", "title", F.col("position").alias("owner")).join(heads, ["doc_id", "title"]).withColumnRenamed("title", "owner_title")
-    subs = blocks.filter(F.col("tag").isin("h2", "h3", "h4", "h5", "h6")).select(*AT, "idx", F.substring("tag", 2, 1).cast("int").alias("level"), F.col("text").alias("title"), "html_id")
-    rows = owners.join(subs, AT).filter("idx > start and idx < end")
-    order = Window.partitionBy("doc_id", "owner").orderBy("idx")
-    rows = rows.withColumn("i", F.row_number().over(order) - 1).filter("title <> ''")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    last = F.array_compact(F.array(*[F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.struct("idx", "title", "level")), ignorenulls=True).over(before)) for k in range(2, 6)]))
+def sub_sections(blocks: DataFrame, skip_first: bool = True) -> DataFrame:
+    """The h2 to h6 beside each section's h1, which is the first h1 of the page with that title, with parent_path and content.
+
+    Content: body elements of over five characters up to a heading of its own or a smaller level, or to another element whose
+    name starts with h. Windows find which sections are open at each element, so blocks are read once and nothing is joined."""
+    rows = _placed(blocks, skip_first).withColumn("top_idx", F.col("top.idx")).withColumn("top_title", F.col("top.title"))
+    of_top, of_title = Window.partitionBy(*AT, "top_idx"), Window.partitionBy("doc_id", "top_title")
+    full = F.max((F.col("tag") != "h1") & (F.col("text") != "")).over(of_top) & (F.col("top.position") >= 0) & (F.col("top_title") != "")
+    rows = rows.withColumn("full", full)
+    rows = rows.withColumns({"owners": F.sort_array(F.collect_set(F.when(F.col("full"), F.col("top.position"))).over(of_title)), "first": F.min("top.ord").over(of_title)}).filter(F.col("top.ord") == F.col("first"))
+    level = F.when(F.col("tag").isin("h2", "h3", "h4", "h5", "h6"), F.substring("tag", 2, 1).cast("int"))
+    rank = F.when(F.startswith("tag", F.lit("h")), F.coalesce(F.try_to_number(F.substring("tag", 2, 1), F.lit("9")).cast("int"), F.lit(0)))
+    rows = rows.withColumns({"level": level, "rank": rank})
+    before = of_top.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda cond, value: F.last(F.when(cond, value), ignorenulls=True).over(before)
+    named = F.col("text") != ""
+    heads = [last((F.col("level") == k) & named, F.struct("idx", F.col("text").alias("title"), "level")) for k in range(2, 6)]
+    opened = [(last(F.col("level") == k, F.col("idx")), last(F.col("rank") <= k, F.col("idx"))) for k in range(2, 7)]
+    rows = rows.withColumns({
+        "i": F.count("level").over(before), **{f"_h{k}": h for k, h in enumerate(heads, 2)}, **{f"_o{k}": o for k, (o, _) in enumerate(opened, 2)}, **{f"_s{k}": s for k, (_, s) in enumerate(opened, 2)},
+    })
+    chain = F.array_compact(F.array(*[F.when(F.col("level") > k, F.col(f"_h{k}")) for k in range(2, 6)]))
     # walking back, each step takes the nearest earlier section of a smaller level than the one taken before
     near = F.filter("_l", lambda x: ~F.exists("_l", lambda y: (y["level"] < x["level"]) & (y["idx"] > x["idx"])))
-    rows = rows.withColumn("_l", last).withColumn("_l", F.sort_array(near, asc=False))
-    rows = rows.withColumn("_t", F.transform("_l", lambda x: x["title"]))
-    rows = rows.withColumn("parent_path", F.concat_ws(" > ", "owner_title", F.array_join("_t", " > ")))
-    rows = rows.withColumn("parent_path", F.when(F.size("_t") == 0, F.col("owner_title")).otherwise(F.col("parent_path")))
-    return rows.select(*AT, "idx", "owner", (F.col("owner") * 100 + F.col("i")).alias("position"), "title", "level", "html_id", "parent_path")
-
-
-def sub_section_content(blocks: DataFrame, subs: DataFrame) -> DataFrame:
-    """subs with content: body elements of over five characters up to a heading of its own or a smaller level, or to another
-    element whose name starts with h."""
-    ends = blocks.filter(F.startswith("tag", F.lit("h"))).select(*AT, F.col("idx").alias("at"), F.coalesce(F.try_to_number(F.substring("tag", 2, 1), F.lit("9")).cast("int"), F.lit(0)).alias("rank"))
-    stop = subs.join(ends, AT).filter("at > idx and rank <= level").groupBy(*AT, "idx", "owner").agg(F.min("at").alias("stop"))
-    body = blocks.filter(F.col("tag").isin(*BODY) & (F.length("text") > 5)).select(*AT, F.col("idx").alias("b"), F.col("text").alias("t"))
-    rows = subs.join(stop, [*AT, "idx", "owner"], "left").fillna(FAR, ["stop"]).join(body, AT).filter("b > idx and b < stop")
-    text = rows.groupBy(*AT, "idx", "owner").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "t"))), lambda x: x["t"]), "\n\n").alias("content"))
-    return subs.join(text, [*AT, "idx", "owner"], "left").fillna("", ["content"])
+    rows = rows.withColumn("_l", chain).withColumn("_t", F.transform(F.sort_array(near, asc=False), lambda x: x["title"]))
+    is_body = F.col("tag").isin(*BODY) & (F.length("text") > 5)
+    inside = F.array_compact(F.array(*[F.when(F.col(f"_o{k}") == F.col(f"_s{k}"), F.col(f"_o{k}")) for k in range(2, 7)]))
+    keys = F.when(F.col("level").isNotNull() & named, F.array("idx")).when(is_body, inside)
+    head = F.when(F.col("level").isNotNull(), F.struct("i", F.col("text").alias("title"), "level", "html_id", F.col("_t").alias("up"), F.col("top_title").alias("owner_title"), "owners"))
+    rows = rows.select(*AT, F.explode(keys).alias("at"), head.alias("head"), F.when(is_body, F.struct("idx", "text")).alias("body"))
+    rows = rows.groupBy(*AT, F.col("at").alias("idx")).agg(F.max("head").alias("head"), F.sort_array(F.collect_list("body")).alias("x")).filter("head is not null")
+    path = F.concat_ws(" > ", F.array("head.owner_title"), F.col("head.up"))
+    return rows.select(*AT, "idx", F.explode("head.owners").alias("owner"), "head", path.alias("parent_path"), F.array_join(F.transform("x", lambda t: t["text"]), "\n\n").alias("content")).select(
+        *AT, "idx", "owner", (F.col("owner") * 100 + F.col("head.i")).cast("int").alias("position"), "head.title", "head.level", "head.html_id", "parent_path", "content"
+    )
 
 
 def chapter_images(chapters: DataFrame, regions: DataFrame, images: DataFrame, origin=None) -> DataFrame:
@@ -76,7 +81,7 @@ def chapter_images(chapters: DataFrame, regions: DataFrame, images: DataFrame, o
 def page_chapters(blocks: DataFrame, skip_first: bool = True) -> DataFrame:
     """doc_id, seq, title, level, content, position, html_id, parent_path: each h1 section followed by its sub-sections."""
     tops = h1_sections(blocks, skip_first)
-    subs = sub_section_content(blocks, sub_sections(blocks, tops, skip_first))
+    subs = sub_sections(blocks, skip_first)
     a = tops.select("doc_id", F.col("position").alias("owner"), F.lit(-1).alias("idx"), "title", "level", "content", "position", "html_id", F.lit("").alias("parent_path"))
     rows = a.unionByName(subs.select(*a.columns))
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("owner", "idx")) - 1
