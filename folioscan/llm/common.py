@@ -64,9 +64,9 @@ def small_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def total_bytes(df: DataFrame, column: str) -> int:
-    """Sum of the column's UTF-8 lengths; one row comes to the driver."""
-    return df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+def total_bytes(df: DataFrame, column: str, per_row: int = 0) -> int:
+    """Sum of the column's UTF-8 lengths and ``per_row`` bytes for each row; one row comes to the driver."""
+    return df.agg(F.sum(F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + per_row)).first()[0] or 0
 
 
 def is_held_out(doc_id: Column, mod: int, rest: int) -> Column:

@@ -4,7 +4,8 @@ A byte goes if it lies in a string of ``length`` bytes that also starts in a doc
 dealt by hash to batches of about ``batch_bytes``, and batches learn about each other in three rounds of small messages:
 
 1. Every string of ``length`` bytes holds an anchor: the place of the smallest hash among its strings of ``SEED`` bytes. Equal
-   strings have equal anchors at equal places. Batches report anchor hashes and hear which ones several documents have.
+   strings have equal anchors at equal places. They are found once, before texts are dealt out, and travel as a bit for each
+   byte. Batches report anchor hashes and hear which ones several documents have.
 2. For those they report a hash of the anchor's surroundings (all bytes that a string with this anchor can hold) with the
    smallest doc_id, and hashes of the anchor with the half of the remaining bytes to its left and to its right: a string
    always holds one of the two. Where surroundings also occur in a smaller document, all strings with the anchor go.
@@ -14,7 +15,8 @@ dealt by hash to batches of about ``batch_bytes``, and batches learn about each
    strings with the smallest doc_id of each, hear where another batch has a smaller one, then mark and cut.
 
 Nothing is dropped or capped, and no key's messages grow with the number of documents in a batch: a batch sends two entries
-at most for a key. Batches and buckets of messages grow in number with the input. Keys have 96 bits in rounds 2 and 3.
+at most for a key. Batches and buckets of messages grow in number with the input, documents counting 64 bytes besides their
+text. Keys have 96 bits in rounds 2 and 3, in messages and replies; equal keys are taken for equal strings.
 
 Defined results: a null text is empty; a null doc_id counts as larger than all others, so its strings remove nothing; rows
 that repeat a doc_id remove nothing from each other; texts below ``length`` bytes stay whole; an empty table gives no rows.
@@ -43,11 +45,12 @@ _PART = 1 << 15
 #: Bytes that one suffix array covers, and bytes of texts that are dealt out together.
 SORTED_BYTES = 1 << 14
 DEALT_BYTES = 32 << 20
-DEALT = "batch long, ids array<long>, sizes array<int>, texts binary"
+DEALT = "batch long, ids array<long>, sizes array<int>, texts binary, anchors binary"
+DOCUMENT_BYTES = 64
 LAST = np.iinfo(np.int64).max
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 MESSAGES = "bucket int, batch long, kind int, high binary, low binary, value binary"
-REPLIES = "batch long, bucket int, kind int, high binary"
+REPLIES = "batch long, bucket int, kind int, high binary, low binary"
 #: Kinds of messages. Of SHORT ones the reply says that the key has several values; their keys have 31 bits within a bucket, for
 #: a chance equality only makes more to look at. The others' replies name the keys for which another batch has a smaller value.
 ANCHOR, AROUND, HALF, STRING = range(4)
@@ -142,48 +145,66 @@ def least_of(high: np.ndarray, low: np.ndarray, value: np.ndarray) -> np.ndarray
     return out
 
 
+def among_full(high: np.ndarray, low: np.ndarray, some: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which keys of 96 bits are among some, sorted by their high parts."""
+    found, at = np.zeros(len(high), bool), np.searchsorted(some[0], high)
+    live = np.flatnonzero(at < len(some[0]))
+    while len(live):
+        live = live[some[0][at[live]] == high[live]]
+        found[live] = some[1][at[live]] == low[live]
+        at[live] += 1
+        live = live[~found[live] & (at[live] < len(some[0]))]
+    return found
+
+
+def _mixed_seeds(words: np.ndarray, at, seed: int) -> np.ndarray:
+    """Nonzero hashes of the strings of seed bytes; at(k) gives the words k bytes further on."""
+    if seed < 8:
+        return _mix(_mix(at(0) & np.uint64((1 << 8 * seed) - 1)) * _A) | np.uint64(1)
+    h = at(0) * _A
+    for k in [*range(8, seed - 7, 8), *([seed - 8] if seed % 8 else [])]:
+        h = (h ^ (h >> np.uint64(31)) ^ at(k)) * _C
+    return _mix(_mix(h) * _A) | np.uint64(1)
+
+
+def anchors_of(raws: list[bytes], length: int) -> np.ndarray:
+    """For each byte of the documents, one after the other, whether an anchor starts there."""
+    sizes = np.array([len(r) for r in raws], np.int64)
+    ends = np.cumsum(sizes)
+    n = int(ends[-1]) if len(raws) else 0
+    words = _words(np.frombuffer(b"".join(raws) + bytes(length + 64), np.uint8))
+    cut_off = np.zeros(n, bool)  # where a string would leave its document
+    short_of = ends[:, None] - np.arange(1, length)
+    cut_off[short_of[short_of >= (ends - sizes)[:, None]]] = True
+    seed, reach, found = min(SEED, length), length - min(SEED, length), np.zeros(n, bool)
+    for lo in range(0, n, _PART):  # small parts stay in the processor's caches
+        hi, a, b = min(n, lo + _PART), max(0, lo - reach), min(n, lo + _PART + reach)
+        h = (_mixed_seeds(words, lambda k, a=a, b=b: words[a + k : b + k], seed) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        low = _sliding(h, reach + 1, np.minimum, np.iinfo(np.uint32).max)[: hi - a]
+        low[cut_off[a:hi]] = 0
+        high = _sliding(low[::-1].copy(), reach + 1, np.maximum, 0)[::-1]
+        found[lo:hi] = h[lo - a : hi - a] == high[lo - a :]
+    return found
+
+
 class Batch:
     """Some documents as one byte sequence, with their anchors."""
 
-    def __init__(self, ids: list, raws: list[bytes], length: int):
+    def __init__(self, ids: list, raws: list[bytes], anchors: list[np.ndarray], length: int):
         keys = np.array([LAST if i is None else i for i in ids], np.int64)
         order = np.argsort(keys, kind="stable")
         self.ids, self.raws, self.keys, self.length = [ids[k] for k in order], [raws[k] for k in order], keys[order], length
         sizes = np.array([len(r) for r in self.raws], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(sizes)))
-        data = np.frombuffer(b"".join(self.raws) + bytes(length + 64), np.uint8)
-        self.data, n = data, int(self.starts[-1])
-        self.words = _words(data)
+        self.data = np.frombuffer(b"".join(self.raws) + bytes(length + 64), np.uint8)
+        self.words = _words(self.data)
         self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        cut_off = np.zeros(n, bool)  # where a string would leave its document
-        short_of = self.starts[1:, None] - np.arange(1, length)
-        cut_off[short_of[short_of >= self.starts[:-1, None]]] = True
-        seed, reach = min(SEED, length), length - min(SEED, length)
-        found, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for lo in range(0, n, _PART):  # small parts stay in the processor's caches
-            hi, a, b = min(n, lo + _PART), max(0, lo - reach), min(n, lo + _PART + reach)
-            full = self._seeds(a, b, seed)
-            h = (full >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-            low = _sliding(h, reach + 1, np.minimum, np.iinfo(np.uint32).max)[: hi - a]
-            low[cut_off[a:hi]] = 0
-            high = _sliding(low[::-1].copy(), reach + 1, np.maximum, 0)[::-1]
-            at = np.flatnonzero(h[lo - a : hi - a] == high[lo - a :]) + lo
-            found.append(at)
-            hashes.append(full[at - a])
-        self.at, self.hash = np.concatenate(found), np.concatenate(hashes)
-        doc = self.owner[self.at]
-        self.doc, self.reach, self.seed = doc, reach, seed
-        self.left = np.maximum(self.at - reach, self.starts[doc])
-        self.right = np.minimum(self.at + length, self.starts[doc + 1])
-
-    def _seeds(self, a: int, b: int, seed: int) -> np.ndarray:
-        """Nonzero hashes of the strings of seed bytes from a up to b."""
-        if seed < 8:
-            return _mix(_mix(self.words[a:b] & np.uint64((1 << 8 * seed) - 1)) * _A) | np.uint64(1)
-        h = self.words[a:b] * _A
-        for k in [*range(8, seed - 7, 8), *([seed - 8] if seed % 8 else [])]:
-            h = (h ^ (h >> np.uint64(31)) ^ self.words[a + k : b + k]) * _C
-        return _mix(_mix(h) * _A) | np.uint64(1)
+        self.seed, self.reach = min(SEED, length), length - min(SEED, length)
+        self.at = np.flatnonzero(np.concatenate([np.zeros(0, bool), *(anchors[k] for k in order)]))
+        self.hash = _mixed_seeds(self.words, lambda k: self.words[self.at + k], self.seed)
+        self.doc = self.owner[self.at]
+        self.left = np.maximum(self.at - self.reach, self.starts[self.doc])
+        self.right = np.minimum(self.at + length, self.starts[self.doc + 1])
 
     def choose(self, which: np.ndarray) -> None:
         """Goes on with some anchors only."""
@@ -351,23 +372,29 @@ def _meet(messages: pa.Table) -> pa.Table:
         edges = np.flatnonzero(np.concatenate(([True], row[at][1:] != row[at][:-1]))) if len(at) else np.zeros(0, np.int64)
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=False):
             own, batch = at[a:b], batches[row[at[a]]]
-            keys = np.unique(high[own])
-            out.append((batch, bucket, kind, (keys.astype(np.uint32) if kind in SHORT else keys).tobytes()))
-    return _table(out, [("batch", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("high", pa.binary())])
+            said = (np.unique(high[own]).astype(np.uint32).tobytes(), b"") if kind in SHORT else (high[own].tobytes(), low[own].tobytes())
+            out.append((batch, bucket, kind, *said))
+    return _table(out, [("batch", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("high", pa.binary()), ("low", pa.binary())])
+
+
+def _heard_short(replies: pa.Table, kind: int) -> np.ndarray:
+    """The short keys that replies of a kind name, with their bucket, in order."""
+    some = replies.filter(pa.compute.equal(replies["kind"], kind))
+    keys = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(k << 32) for x, k in zip(some["high"].to_pylist(), some["bucket"].to_pylist(), strict=True)]
+    return np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
-def _heard(replies: pa.Table, kind: int) -> np.ndarray:
-    """The keys that replies of a kind name, in order; short ones with their bucket."""
+def _heard(replies: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that replies of a kind name, by their high parts."""
     some = replies.filter(pa.compute.equal(replies["kind"], kind))
-    if kind in SHORT:
-        keys = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(k << 32) for x, k in zip(some["high"].to_pylist(), some["bucket"].to_pylist(), strict=True)]
-        return np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-    return np.sort(np.frombuffer(b"".join(some["high"].to_pylist()), np.uint64))
+    high, low = np.frombuffer(b"".join(some["high"].to_pylist()), np.uint64), np.frombuffer(b"".join(some["low"].to_pylist()), np.uint32)
+    order = np.argsort(high, kind="stable")
+    return high[order], low[order]
 
 
 def _shared(batch: Batch, replies: pa.Table, buckets: int) -> None:
     """Goes on with the anchors that several documents have."""
-    batch.choose(among(short(batch.hash, buckets), _heard(replies, ANCHOR)))
+    batch.choose(among(short(batch.hash, buckets), _heard_short(replies, ANCHOR)))
 
 
 def _settled(batch: Batch, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -377,29 +404,35 @@ def _settled(batch: Batch, replies: pa.Table, buckets: int) -> tuple[np.ndarray,
     _shared(batch, replies, buckets)
     high, low = batch.around()
     own = batch.keys[batch.doc]
-    gone = (least_of(high, low, own) < own) | among(high, _heard(replies, AROUND))
-    half, look = _heard(replies, HALF), []
+    gone = (least_of(high, low, own) < own) | among_full(high, low, _heard(replies, AROUND))
+    half, look = _heard_short(replies, HALF), []
     for some, h, _ in batch.halves():
         look.append(some[among(short(h, buckets), half) & ~gone[some]])
     return gone, batch.strings(*look)
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of a partition by batch: ids, lengths and the compressed texts, one after the other."""
+def _dealt(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Documents of a partition by batch: ids, lengths, the compressed texts, one after the other, and their anchors as bits."""
     held: dict[int, tuple[list, list]] = {}
     size = 0
 
     def flush() -> pa.RecordBatch:
-        rows = [(k, ids, [len(r) for r in raws], zstandard.ZstdCompressor(3).compress(b"".join(raws))) for k, (ids, raws) in held.items()]
-        fields = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields, strict=True)], ["batch", "ids", "sizes", "texts"])
+        rows, squeeze = [], zstandard.ZstdCompressor(3).compress
+        marks = anchors_of([r for _, raws in held.values() for r in raws], length)
+        at = 0
+        for k, (ids, raws) in held.items():
+            n = sum(map(len, raws))
+            rows.append((k, ids, [len(r) for r in raws], squeeze(b"".join(raws)), squeeze(np.packbits(marks[at : at + n]).tobytes())))
+            at += n
+        fields = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields, strict=True)], ["batch", "ids", "sizes", "texts", "anchors"])
 
     for b in batches:
         for k, i, raw in zip(b.column("batch").to_pylist(), b.column("doc_id").to_pylist(), as_bytes(b.column("text").to_pylist()), strict=True):
             ids, raws = held.setdefault(k, ([], []))
             ids.append(i)
             raws.append(raw)
-            size += len(raw) + 64
+            size += len(raw) + DOCUMENT_BYTES
         if size >= DEALT_BYTES:
             yield flush()
             held.clear()
@@ -409,23 +442,27 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(t: pa.Table, length: int) -> Batch:
-    ids, raws = [], []
-    for own, sizes, texts in zip(t["ids"].to_pylist(), t["sizes"].to_pylist(), t["texts"].to_pylist(), strict=True):
+    ids, raws, anchors = [], [], []
+    loosen = zstandard.ZstdDecompressor().decompress
+    for own, sizes, texts, marks in zip(*(t[c].to_pylist() for c in ("ids", "sizes", "texts", "anchors")), strict=True):
         ids += own
-        joined, at = zstandard.ZstdDecompressor().decompress(texts, max_output_size=max(1, sum(sizes))), 0
+        n, at = sum(sizes), 0
+        joined = loosen(texts, max_output_size=max(1, n))
+        bits = np.unpackbits(np.frombuffer(loosen(marks, max_output_size=max(1, -(-n // 8))), np.uint8), count=n).view(bool)
         for n in sizes:
             raws.append(joined[at : at + n])
+            anchors.append(bits[at : at + n])
             at += n
-    return Batch(ids, raws, length)
+    return Batch(ids, raws, anchors, length)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document; see RESULT. spans are byte positions of the removed runs."""
     small_batches(docs.sparkSession)
     rows = pick(docs, doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = total_bytes(rows, "text")
+    size = total_bytes(rows, "text", DOCUMENT_BYTES)
     batches, buckets = max(1, -(-size // batch_bytes)), max(1, -(-size // bucket_bytes))
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), "doc_id", "text").mapInArrow(_dealt, DEALT).groupBy("batch")
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), "doc_id", "text").mapInArrow(lambda parts: _dealt(parts, length), DEALT).groupBy("batch")
     meet = lambda messages: messages.groupBy("bucket").applyInArrow(_meet, REPLIES)
 
     def anchors(t: pa.Table) -> pa.Table:
@@ -461,7 +498,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BAT
             gone, places = _settled(batch, replies, buckets)
             high, low = range_hashes(batch.words, places, np.int64(length), 4)
             own = batch.keys[batch.owner[places]]
-            hit = places[(least_of(high, low, own) < own) | among(high, _heard(replies, STRING))]
+            hit = places[(least_of(high, low, own) < own) | among_full(high, low, _heard(replies, STRING))]
             done = batch.covered([(batch.left[gone], batch.right[gone]), (hit, hit + length)])
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return _table(done, [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", spans)])

@@ -4,7 +4,8 @@ First phase: suffixes start in groups by first symbol. Groups are taken from the
 up, along pointers, its previous smaller suffix, whose prefix grows by the group's prefix. Suffixes that grow move to new
 groups behind the rest of theirs, those with more such followers further back. When all groups are done, each group shares
 its longest Lyndon prefix. Second phase: going up through the order, the suffix that ends where a placed suffix starts is the
-next of its group, so every group comes out sorted without new names for its members. Both phases take linear time.
+next of its group, so every group comes out sorted without new names for its members. The second phase takes linear time,
+the first too but for putting each group's members in text order, which sorts them.
 """
 
 from __future__ import annotations

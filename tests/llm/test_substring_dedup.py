@@ -51,3 +51,18 @@ def test_on_documents(spark, sf):
 
 def test_empty(spark):
     assert D.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_empty_texts_are_many_batches(spark):
+    rows = [(i, "") for i in range(300)] + [(i, "x" * (i % 3)) for i in range(300, 400)]
+    df = spark.createDataFrame([(i, t, "", 0) for i, t in rows], SCHEMA)
+    assert D.remove_repeats(df, 50, 2000, 2000).count() == 400
+
+
+def test_keys_of_96_bits():
+    import numpy as np
+
+    high, low = np.array([5, 5, 7, 9, 1], np.uint64), np.array([1, 2, 3, 4, 5], np.uint32)
+    some = np.array([5, 5, 5, 9], np.uint64), np.array([7, 2, 3, 0], np.uint32)
+    assert D.among_full(high, low, some).tolist() == [False, True, False, False, False]
+    assert not D.among_full(high, low, (some[0][:0], some[1][:0])).any()
