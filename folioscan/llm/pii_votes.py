@@ -3,9 +3,12 @@
 Candidates are the matches of four base patterns (e-mail, IP address, card, phone), valid or not, and of looser patterns.
 Five labelers vote 1, 0 or -1 on each: the strict pattern with its checks, a gazetteer (top-level domains, issuer prefixes,
 calling codes), cue words before the span, the characters around it, and its format. Over all candidates of the corpus the
-vote patterns are counted (at most 4 x 3^5 rows); on these counts expectation-maximisation estimates how reliable each
-labeler is for each kind, and a logistic span classifier is trained on the resulting probabilities. Valid base spans stay
-whatever it says; other candidates are added where it gives at least ``threshold`` and no base span overlaps.
+vote patterns are counted; on these counts expectation-maximisation estimates how reliable each labeler is for each kind. A
+logistic span classifier is trained on the resulting probabilities. It sees the span itself (length, share of digits,
+separators, the characters on both sides, in bins) and all votes but the strict one, which it has to make up for from these.
+Valid base spans stay whatever it says; other candidates are added where it gives at least ``threshold`` and no base span
+overlaps. What the driver gets are counts of patterns, at most 4 x 3^5 x 720 rows however large the corpus is; some hundreds
+occur.
 
 Positions are code points, end exclusive. Defined results: a null text is an empty one and has no spans; repeated rows are
 searched each; null ids stay; an empty table gives an empty result; without candidates there is nothing to learn or add.
@@ -23,6 +26,8 @@ from folioscan.llm.common import pick, written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("strict", "listed", "cued", "parted", "shaped")
+#: What the classifier sees of a span, and the number of bins of each.
+FEATURES = {"size": 5, "share": 4, "parts": 4, "left": 3, "right": 3}
 THRESHOLD = 0.5
 
 #: Same matches as the plain forms below; possessive parts and the look-behinds only spare the engine repeated scans.
@@ -150,17 +155,31 @@ def votes(kind: str, x: Column, strict: Column) -> list[Column]:
     return [sign(strict), listed, cued, parted, shaped]
 
 
+def _binned(value: Column, *edges) -> Column:
+    """How many of the edges the value reaches."""
+    out = F.lit(0)
+    for e in edges:
+        out = out + (value >= e).cast("int")
+    return out
+
+
+def features(x: Column) -> list[Column]:
+    hit, beside = x["hit"], lambda c: F.when(c == "", 0).when(F.rlike(c, F.lit(r"[\p{L}\p{N}_]")), 2).when(F.rlike(c, F.lit(r"\s")), 0).otherwise(1)
+    n, bare = F.length(hit), F.length(F.regexp_replace(hit, r"[^\p{L}\p{N}]", ""))
+    return [_binned(n, 8, 13, 17, 25), _binned(F.length(digits(hit)) / n, 0.25, 0.6, 0.9), _binned(n - bare, 1, 3, 5), beside(F.substring(x["before"], -1, 1)), beside(x["after"])]
+
+
 def _voter(k: int, loose: bool):
     def span(x: Column) -> Column:
         strict = F.lit(False) if loose else valid(KINDS[k], x["hit"])
-        named = [v.cast("int").alias(n) for n, v in zip(LABELERS, votes(KINDS[k], x, strict), strict=True)]
+        named = [v.cast("int").alias(n) for n, v in zip([*LABELERS, *FEATURES], [*votes(KINDS[k], x, strict), *features(x)], strict=True)]
         return F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), *named)
 
     return span
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """docs with a column cands: kind (its number), start, end, base, and a vote of each labeler."""
+    """docs with a column cands: kind (its number), start, end, a vote of each labeler and the features."""
     docs = docs.withColumn("_t", F.coalesce("text", F.lit("")))
     parts = []
     for k, kind in enumerate(KINDS):
@@ -196,34 +215,52 @@ def estimate(counts: list[tuple], rounds: int = 40) -> dict[tuple, float]:
 
 
 class SpanClassifier:
-    """Logistic weights for each (kind, labeler, vote), trained on the estimated probabilities."""
+    """Logistic weights for each (kind, input, value), trained on the estimated probabilities; inputs are INPUTS.
 
-    def __init__(self, counts: list[tuple], rounds: int = 300, rate: float = 0.5, ridge: float = 1e-3):
-        target = estimate(counts)
+    counts: rows (kind, votes..., features..., n)."""
+
+    INPUTS = (*LABELERS[1:], *FEATURES)
+
+    def __init__(self, counts: list[tuple], rounds: int = 150, rate: float = 0.6, ridge: float = 1e-3):
+        nv, per_votes = len(LABELERS), {}
+        for c in counts:
+            per_votes[c[: 1 + nv]] = per_votes.get(c[: 1 + nv], 0) + c[-1]
+        target = estimate([(*k, n) for k, n in per_votes.items()])
         self.weights: dict[tuple, float] = {}
         for kind in sorted({c[0] for c in counts}):
-            rows = [(c[1:-1], math.sqrt(c[-1]), target[c[:-1]]) for c in counts if c[0] == kind]
-            total = sum(n for _, n, _ in rows)
-            w = {(kind,): 0.0} | {(kind, i, x): 0.0 for v, _, _ in rows for i, x in enumerate(v)}
+            wanted: dict[tuple, list[float]] = {}
+            for c in counts:
+                if c[0] == kind:
+                    at = wanted.setdefault(c[2:-1], [0.0, 0.0])
+                    at[0] += c[-1] ** 0.5
+                    at[1] += c[-1] ** 0.5 * target[c[: 1 + nv]]
+            total = sum(n for n, _ in wanted.values())
+            rows = [([(kind, i, x) for i, x in enumerate(v)], n / total, q / n) for v, (n, q) in wanted.items()]
+            w = {(kind,): 0.0} | dict.fromkeys((k for keys, _, _ in rows for k in keys), 0.0)
             for _ in range(rounds):
                 slope = {k: ridge * x for k, x in w.items()}
-                for v, n, q in rows:
-                    s = w[kind,] + sum(w[kind, i, x] for i, x in enumerate(v))
-                    d = n / total * (1 / (1 + math.exp(max(-60.0, min(60.0, -s)))) - q)
+                for keys, n, q in rows:
+                    s = w[kind,] + sum(w[k] for k in keys)
+                    d = n * (1 / (1 + math.exp(max(-60.0, min(60.0, -s)))) - q)
                     slope[kind,] += d
-                    for i, x in enumerate(v):
-                        slope[kind, i, x] += d
+                    for k in keys:
+                        slope[k] += d
                 w = {k: x - rate * slope[k] for k, x in w.items()}
             self.weights |= w
 
+    def probability(self, kind: int, values: tuple) -> float:
+        """As score, for one span; values in the order of INPUTS."""
+        s = self.weights.get((kind,), -60.0) + sum(self.weights.get((kind, i, x), 0.0) for i, x in enumerate(values))
+        return 1 / (1 + math.exp(max(-60.0, min(60.0, -s))))
+
     def score(self, cand: Column) -> Column:
         """Probability as an expression on a candidate; 0 for kinds never seen."""
         out = F.lit(0.0)
         for k in range(len(KINDS)):
             if (k,) in self.weights:
                 s = F.lit(self.weights[k,])
-                for i, name in enumerate(LABELERS):
-                    for x in (-1, 0, 1):
+                for i, name in enumerate(self.INPUTS):
+                    for x in range(FEATURES[name]) if name in FEATURES else (-1, 0, 1):
                         if (k, i, x) in self.weights:
                             s = s + F.when(cand[name] == x, self.weights[k, i, x]).otherwise(0.0)
                 out = F.when(cand["kind"] == k, 1 / (1 + F.exp(-s))).otherwise(out)
@@ -231,9 +268,10 @@ class SpanClassifier:
 
 
 def fit(found: DataFrame) -> SpanClassifier:
-    """From the vote patterns of all candidates of a table with cands; the counts are at most 4 x 3^5 rows."""
-    c = found.select(F.explode("cands").alias("c")).select("c.kind", *[f"c.{n}" for n in LABELERS])
-    return SpanClassifier([tuple(r) for r in c.groupBy("kind", *LABELERS).agg(F.count("*").alias("n")).orderBy("kind", *LABELERS).collect()])
+    """From the patterns of all candidates of a table with cands; their number is bounded by the bins."""
+    names = [*LABELERS, *FEATURES]
+    c = found.select(F.explode("cands").alias("c")).select("c.kind", *[f"c.{n}" for n in names])
+    return SpanClassifier([tuple(r) for r in c.groupBy("kind", *names).agg(F.count("*").alias("n")).orderBy("kind", *names).collect()])
 
 
 def decide(found: DataFrame, model: SpanClassifier, threshold: float = THRESHOLD) -> DataFrame:
@@ -242,7 +280,7 @@ def decide(found: DataFrame, model: SpanClassifier, threshold: float = THRESHOLD
     rows = found.withColumn("base", F.array_sort(F.transform(F.filter("cands", lambda c: c["strict"] == 1), bare)))
     more = F.filter("cands", lambda c: (c["strict"] == -1) & (model.score(c) >= threshold))
     for k in range(len(KINDS)):
-        own = F.filter("base", lambda b, k=k: b["kind"] == k)
+        own = F.filter("base", lambda b: b["kind"] == k)  # noqa: B023
         more = let(F.struct(own.alias("base"), more.alias("cands")), lambda x: F.when(F.size(x["base"]) == 0, x["cands"]).otherwise(F.filter(x["cands"], lambda c: ~meets(c, x["base"]))))
     return rows.withColumn("spans", F.array_sort(F.concat("base", F.array_distinct(F.transform(more, bare))))).drop("cands")
 
@@ -280,7 +318,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def masked(text: Column, spans: Column, width: int = 1024) -> Column:
     """The text with each run of overlapping spans replaced by the first one's kind in brackets."""
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    names = F.array(F.lit(""), *[F.lit(f"[{k.upper()}]") for k in KINDS])
     blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
 
     def piece(x: Column, a: Column, b: Column) -> Column:
@@ -289,12 +327,12 @@ def masked(text: Column, spans: Column, width: int = 1024) -> Column:
         return F.substring(F.array_join(F.slice(x["blocks"], first + 1, last - first + 1), ""), a % width + 1, b - a)
 
     def joined(x: Column) -> Column:
-        # x.spans: those that begin a run, with stop, where the run before ends; a last one closes the text
-        put = F.transform(x["spans"], lambda s: F.concat(piece(x, s["stop"], s["start"]), F.coalesce(F.element_at(names, s["kind"] + 1), F.lit(""))))
+        # x.spans: those that begin a run, with stop, where the run before ends; a last one, of kind -1, closes the text
+        put = F.transform(x["spans"], lambda s: F.concat(piece(x, s["stop"], s["start"]), F.element_at(names, s["kind"] + 2)))
         return F.array_join(put, "")
 
     ends = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
     with_stops = let(ends, lambda at: F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.element_at(at, i + 1).alias("stop"))))
     opening = F.filter(with_stops, lambda s: s["start"] >= s["stop"])
-    final = F.struct(F.length(text).alias("start"), F.lit(None).cast("int").alias("kind"), F.array_max(F.transform(spans, lambda s: s["end"])).alias("stop"))
+    final = F.struct(F.length(text).alias("start"), F.lit(-1).alias("kind"), F.array_max(F.transform(spans, lambda s: s["end"])).alias("stop"))
     return let(F.struct(blocks.alias("blocks"), F.concat(opening, F.array(final)).alias("spans")), joined)

@@ -76,6 +76,26 @@ def test_estimation_finds_the_reliable_labeler():
     assert q[0, 1, 1, 1, -1, -1] > 0.95 and q[0, -1, -1, -1, 1, 1] < 0.05
 
 
+def test_the_classifier_beats_the_votes_it_learns_from():
+    """Noisy labelers, and features that tell more than any of them: spans that look alike share what their votes say."""
+    r = random.Random(7)
+    counts, truth = {}, {}
+    for _ in range(6000):
+        y = r.random() < 0.5
+        v = tuple((1 if (y if r.random() < 0.68 else not y) else -1) for _ in V.LABELERS)
+        f = tuple(min(n - 1, (2 if y else 0) + r.randrange(2)) if i < 3 else r.randrange(n) for i, n in enumerate(V.FEATURES.values()))
+        key = (0, *v, *f)
+        counts[key] = counts.get(key, 0) + 1
+        truth.setdefault(key, [0, 0])[y] += 1
+    votes = {}
+    for k, n in counts.items():
+        votes[k[: 1 + len(v)]] = votes.get(k[: 1 + len(v)], 0) + n
+    model, posterior = V.SpanClassifier([(*k, n) for k, n in counts.items()]), V.estimate([(*k, n) for k, n in votes.items()])
+    right = lambda says: sum(t[says(k) >= 0.5] for k, t in truth.items()) / 6000
+    by_votes, by_model = right(lambda k: posterior[k[: 1 + len(v)]]), right(lambda k: model.probability(0, k[2:]))
+    assert by_model > by_votes + 0.03, (by_model, by_votes)
+
+
 def test_no_python_in_the_plan_and_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert V.find(empty).count() == 0
