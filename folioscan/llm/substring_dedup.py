@@ -307,6 +307,18 @@ def short(high: np.ndarray, buckets: int) -> np.ndarray:
     return ((high % np.uint64(buckets)) << np.uint64(32)) | ((high >> np.uint64(32)) & np.uint64(0xFFFFFFFE))
 
 
+def _coded(x: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers, or the steps between them, with all first bytes first, compressed."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if rising else x
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def _decoded(raw: bytes, dtype, rising: bool = False) -> np.ndarray:
+    raw, size = zstandard.ZstdDecompressor().decompress(raw), np.dtype(dtype).itemsize
+    x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    return np.cumsum(x, dtype=dtype) if rising else x
+
+
 def _packed(x: np.ndarray) -> bytes:
     """The low 48 bits of each number."""
     return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
@@ -329,9 +341,9 @@ def _sent(batch: int, parts: list[tuple[int, tuple]], buckets: int) -> pa.Table:
         for k in np.flatnonzero(np.diff(edges)).tolist():
             at = order[edges[k] : edges[k + 1]]
             if kind in SHORT:
-                said = high[at].astype(np.uint32).tobytes(), b"", b"" if kind == ANCHOR else _packed(value[at])
+                said = _coded(high[at].astype(np.uint32), True), b"", b"" if kind == ANCHOR else _packed(value[at])
             else:
-                said = high[at].tobytes(), low[at].tobytes(), value[at].tobytes()
+                said = _coded(high[at], True), low[at].tobytes(), _coded(value[at])
             rows.append((k, batch, kind, *said))
     return _table(rows, [("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("value", pa.binary())])
 
@@ -345,7 +357,7 @@ def _received(messages: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np
     """Which row each entry came in, and its key and value."""
     rows = [i for i, k in enumerate(messages["kind"].to_pylist()) if k == kind]
     raw = {c: [messages[c][i].as_py() for i in rows] for c in ("high", "low", "value")}
-    high = [np.frombuffer(x, np.uint32 if kind in SHORT else np.uint64).astype(np.uint64) for x in raw["high"]]
+    high = [_decoded(x, np.uint32 if kind in SHORT else np.uint64, True).astype(np.uint64) for x in raw["high"]]
     row = [np.full(len(h), i) for i, h in zip(rows, high, strict=True)]
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
     row, high = join(row, np.int64), join(high, np.uint64)
@@ -355,7 +367,7 @@ def _received(messages: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np
         return row, high, np.zeros(len(high), np.uint32), value
     if kind == HALF:
         return row, high, np.zeros(len(high), np.uint32), join([_unpacked(x) for x in raw["value"]], np.int64)
-    return row, high, join([np.frombuffer(x, np.uint32) for x in raw["low"]], np.uint32), join([np.frombuffer(x, np.int64) for x in raw["value"]], np.int64)
+    return row, high, join([np.frombuffer(x, np.uint32) for x in raw["low"]], np.uint32), join([_decoded(x, np.int64) for x in raw["value"]], np.int64)
 
 
 def _meet(messages: pa.Table) -> pa.Table:
@@ -372,7 +384,7 @@ def _meet(messages: pa.Table) -> pa.Table:
         edges = np.flatnonzero(np.concatenate(([True], row[at][1:] != row[at][:-1]))) if len(at) else np.zeros(0, np.int64)
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=False):
             own, batch = at[a:b], batches[row[at[a]]]
-            said = (np.unique(high[own]).astype(np.uint32).tobytes(), b"") if kind in SHORT else (high[own].tobytes(), low[own].tobytes())
+            said = (_coded(np.unique(high[own]).astype(np.uint32), True), b"") if kind in SHORT else (_coded(high[own], True), low[own].tobytes())
             out.append((batch, bucket, kind, *said))
     return _table(out, [("batch", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("high", pa.binary()), ("low", pa.binary())])
 
@@ -380,14 +392,15 @@ def _meet(messages: pa.Table) -> pa.Table:
 def _heard_short(replies: pa.Table, kind: int) -> np.ndarray:
     """The short keys that replies of a kind name, with their bucket, in order."""
     some = replies.filter(pa.compute.equal(replies["kind"], kind))
-    keys = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(k << 32) for x, k in zip(some["high"].to_pylist(), some["bucket"].to_pylist(), strict=True)]
+    keys = [_decoded(x, np.uint32, True).astype(np.uint64) | np.uint64(k << 32) for x, k in zip(some["high"].to_pylist(), some["bucket"].to_pylist(), strict=True)]
     return np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
 def _heard(replies: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """The keys that replies of a kind name, by their high parts."""
     some = replies.filter(pa.compute.equal(replies["kind"], kind))
-    high, low = np.frombuffer(b"".join(some["high"].to_pylist()), np.uint64), np.frombuffer(b"".join(some["low"].to_pylist()), np.uint32)
+    high = np.concatenate([np.zeros(0, np.uint64), *(_decoded(x, np.uint64, True) for x in some["high"].to_pylist())])
+    low = np.frombuffer(b"".join(some["low"].to_pylist()), np.uint32)
     order = np.argsort(high, kind="stable")
     return high[order], low[order]
 
