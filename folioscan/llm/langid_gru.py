@@ -1,9 +1,11 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time on windows of a bounded sample: at most ``per_lang``
-documents for each language that has a row to learn from. It labels every byte position: two GRUs read a window forwards
-and backwards, and a softmax over both states gives each position's language probabilities. A document's probabilities are
-the mean over all its positions; whole texts are read, in windows of ``window`` bytes, each from a zero state.
+The network is trained in numpy by backpropagation through time on windows of a bounded sample: a stretch of at most
+``snippet`` characters, from a place that the id chooses, of each of at most ``per_lang`` documents for each language that has
+a row to learn from. It labels every byte position: two GRUs read the text forwards and backwards, and a softmax over both
+states gives each position's language probabilities. A document's probabilities are the mean over all its positions. Whole
+texts are read, many windows of ``window`` bytes side by side; each takes up the states that the ``context`` bytes before it
+and after it lead to, by which the part of a state that comes from further away has faded.
 
 Defined results: a null text or one without letters is ``und`` with score 0; without any usable label every text is; rows
 with a null lang or doc_id are never learnt from when the id is null or held out; repeated rows are labelled each; an empty
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.common import as_bytes, is_held_out, pick, small_batches
 
-HIDDEN = 8
-WINDOW = 64
+HIDDEN = 12
+WINDOW = 192
+CONTEXT = 64
 PER_LANG = 400
 SNIPPET = 600
 LETTER = re.compile(r"[^\W\d_]")
@@ -103,7 +106,7 @@ class ByteGRU:
         self._back("b", x[::-1], keep_b, slope[::-1, :, self.hidden :], grad)
         return loss, grad
 
-    def train(self, texts: list[bytes], labels: np.ndarray, steps: int = 260, batch: int = 128, width: int = 40, rate: float = 0.02, seed: int = 5) -> ByteGRU:
+    def train(self, texts: list[bytes], labels: np.ndarray, steps: int = 320, batch: int = 128, width: int = 64, rate: float = 0.02, seed: int = 5) -> ByteGRU:
         """Adam on random windows; every language is drawn equally often."""
         r = np.random.default_rng(seed)
         by = [[np.frombuffer(t, np.uint8) for t, y in zip(texts, labels, strict=True) if y == k and len(t)] for k in range(len(self.langs))]
@@ -129,14 +132,14 @@ class ByteGRU:
                 self.p[k] -= now * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)
         return self
 
-    def _states(self, d: str, x: np.ndarray, here: np.ndarray | None) -> list[np.ndarray]:
-        """As _read, for use: states (H, N) in single precision; here (T, N) is 0 at padding, where the state stays zero."""
+    def _states(self, d: str, x: np.ndarray, here: list[np.ndarray | None]) -> list[np.ndarray]:
+        """As _read, for use: states (H, N) in single precision; where here (a row for each step, or None) is 0 the state is zero."""
         n, f = self.hidden, np.float32
         half = np.concatenate((np.full(2 * n, 0.5), np.ones(n)))
         e, u, v = (self.p[f"e{d}"] * half).T.astype(f), (self.p[f"u{d}"] * 0.5).T.astype(f).copy(), self.p[f"v{d}"].T.astype(f).copy()
         e, h, out = np.ascontiguousarray(e), np.zeros((n, x.shape[1]), f), []
         g, a, rh, c = (np.empty((k * n, x.shape[1]), f) for k in (3, 2, 1, 1))
-        for t, row in enumerate(x):
+        for row, there in zip(x, here, strict=True):
             np.take(e, row, axis=1, out=g, mode="clip")
             np.matmul(u, h, out=a)
             a += g[: 2 * n]
@@ -150,52 +153,57 @@ class ByteGRU:
             c -= h
             c *= a[:n]
             h = h + c
-            if here is not None:
-                h *= here[t]
+            if there is not None:
+                h *= there
             out.append(h)
         return out
 
-    def windows(self, x: np.ndarray, here: np.ndarray | None) -> np.ndarray:
-        """Sums over positions (C, N) of the label probabilities of windows x (T, N)."""
-        f, b = self._states("f", x, here), self._states("b", x[::-1], None if here is None else here[::-1])[::-1]
-        n = self.hidden
+    def windows(self, x: np.ndarray, here: list[np.ndarray | None], context: int) -> np.ndarray:
+        """Sums (C, N) of the label probabilities of windows x (T, N) over their positions but the first and last ``context``."""
+        last, n = len(x) - context, self.hidden
+        f = self._states("f", x[:last], here[:last])[context:]
+        b = self._states("b", x[context:][::-1], here[context:][::-1])[::-1]
         wf, wb = (np.ascontiguousarray(self.p["w"][k].T.astype(np.float32)) for k in (slice(n), slice(n, None)))
         bias, total = self.p["b"].astype(np.float32)[:, None], np.zeros((len(self.langs), x.shape[1]), np.float32)
-        for t in range(len(x)):
+        for t, there in enumerate(here[context:last]):
             prob = wf @ f[t]
             prob += wb @ b[t]
             prob += bias
             np.clip(prob, -40, 40, out=prob)
             np.exp(prob, out=prob)
             prob /= prob.sum(0)
-            total += prob if here is None else prob * here[t]
+            total += prob if there is None else prob * there
         return total
 
-    def documents(self, raws: list[bytes], window: int = WINDOW, block: int = 2048) -> np.ndarray:
+    def documents(self, raws: list[bytes], window: int = WINDOW, context: int = CONTEXT, block: int = 1024) -> np.ndarray:
         """Mean label probabilities (documents, C); zero rows for empty texts."""
         out = np.zeros((len(raws), len(self.langs)))
         sizes = np.fromiter(map(len, raws), np.int64, len(raws))
-        data = np.concatenate((np.frombuffer(b"".join(raws), np.uint8), np.zeros(window, np.uint8)))
+        data = np.concatenate((np.frombuffer(b"".join(raws), np.uint8), np.zeros(1, np.uint8)))
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(raws) else np.zeros(0, np.int64)
         full, rest = sizes // window, sizes % window
         doc = np.repeat(np.arange(len(raws)), full)
-        at = np.repeat(starts - window * np.concatenate(([0], np.cumsum(full)[:-1])), full) + window * np.arange(full.sum()) if len(doc) else np.zeros(0, np.int64)
-        for k in range(0, len(doc), block):
-            x = data[at[k : k + block, None] + np.arange(window)].T
-            np.add.at(out, doc[k : k + block], self.windows(np.ascontiguousarray(x).astype(np.intp), None).T)
+        at = window * (np.arange(len(doc)) - np.repeat(np.concatenate(([0], np.cumsum(full)[:-1])), full)) if len(doc) else np.zeros(0, np.int64)
+        self._add(out, data, starts, sizes, doc, at, np.full(len(doc), window), context, block)
         doc = np.flatnonzero(rest)
         doc = doc[np.argsort(rest[doc], kind="stable")]
-        for k in range(0, len(doc), block):
-            d = doc[k : k + block]
-            width = int(rest[d].max())
-            x = data[(starts + window * full)[d][:, None] + np.arange(width)].T
-            here = (np.arange(width)[:, None] < rest[d]).astype(np.float32)
-            np.add.at(out, d, self.windows(np.ascontiguousarray(x).astype(np.intp), here).T)
+        self._add(out, data, starts, sizes, doc, window * full[doc], rest[doc], context, block)
         return out / np.maximum(sizes, 1)[:, None]
 
+    def _add(self, out: np.ndarray, data, starts, sizes, doc, at, width, context: int, block: int) -> None:
+        """Adds the windows of the documents doc, from byte at and of the given widths, to their rows."""
+        for k in range(0, len(doc), block):
+            d, a, w = doc[k : k + block], at[k : k + block], width[k : k + block]
+            place = a + np.arange(-context, int(w.max()) + context)[:, None]
+            inside = (place >= 0) & (place < sizes[d])
+            here = [None if row.all() else row.astype(np.float32) for row in inside]
+            x = data[np.where(inside, starts[d] + place, len(data) - 1)].astype(np.intp)
+            np.add.at(out, d, self.windows(x, here, context).T)
+
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG) -> ByteGRU | None:
-    """Trains on documents that are not held out; None if no document has a language."""
+def fit(docs: DataFrame, per_lang: int = PER_LANG, snippet: int = SNIPPET) -> ByteGRU | None:
+    """Trains on documents that are not held out; None if no document has a language. At most 3 * per_lang stretches of a
+    language come to the driver."""
     rows = pick(docs, doc_id="long", text="string", lang="string")
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id"), 3, 1) & (F.length("text") > 0))
     counts = rows.groupBy("lang").count().collect()  # a row per language
@@ -204,8 +212,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> ByteGRU | None:
     names = sorted(r["lang"] for r in counts)
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(2.0 * per_lang / r["count"])) for r in counts])
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - SNIPPET, F.lit(1)))
-    some = rows.filter(drawn < share).select("doc_id", "lang", F.substring("text", start.cast("int"), F.lit(SNIPPET)).alias("text"))
+    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - snippet, F.lit(1)))
+    some = rows.filter(drawn < share).select("doc_id", "lang", F.substring("text", start.cast("int"), F.lit(snippet)).alias("text"))
     small_batches(docs.sparkSession)
     got = some.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(3 * per_lang * len(names)).collect()  # bounded
     texts, labels, used = [], [], dict.fromkeys(names, 0)

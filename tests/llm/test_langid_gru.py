@@ -23,17 +23,28 @@ def test_gradients_against_differences():
 
 
 def test_use_matches_training_pass():
+    """Each window's states are those of reading it with its context; with a context as long as the text, those of the whole text."""
     net = L.ByteGRU(["a", "b"], hidden=4)
-    raws = [b"hello world, this is", b"", b"x", bytes(range(50, 90))]
-    got = net.documents(raws, window=8)
-    for raw, row in zip(raws, got):
-        want = np.zeros(2)
-        for k in range(0, len(raw), 8):
-            x = np.frombuffer(raw[k : k + 8], np.uint8)[:, None].astype(int)
-            f, b = net._read("f", x)[0], net._read("b", x[::-1])[0][::-1]
-            e = np.exp(np.concatenate((f, b), 2) @ net.p["w"] + net.p["b"])
-            want += (e / e.sum(2, keepdims=True)).sum((0, 1))
-        assert np.allclose(row, want / max(1, len(raw)), atol=1e-4)
+    raws = [b"hello world, this is", b"", b"x", bytes(range(50, 90)), b"12345678"]
+    for context in (0, 3, 64):
+        got = net.documents(raws, window=8, context=context)
+        for raw, row in zip(raws, got):
+            want = np.zeros(2)
+            for k in range(0, len(raw), 8):
+                end = min(k + 8, len(raw))
+                a, b = max(0, k - context), min(len(raw), end + context)
+                x = np.frombuffer(raw[a:b], np.uint8)[:, None].astype(int)
+                f, g = net._read("f", x[: end - a])[0][k - a :], net._read("b", x[k - a :][::-1])[0][::-1][: end - k]
+                e = np.exp(np.concatenate((f, g), 2) @ net.p["w"] + net.p["b"])
+                want += (e / e.sum(2, keepdims=True)).sum((0, 1))
+            assert np.allclose(row, want / max(1, len(raw)), atol=1e-4)
+
+
+def test_states_from_further_away_have_faded(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    net = L.fit(docs)
+    raws = [r.text.encode()[:4000] for r in docs.filter("length(text) > 3000").limit(8).collect()]
+    assert np.abs(net.documents(raws) - net.documents(raws, window=4000)).max() < 0.01
 
 
 def test_held_out_accuracy(spark):
