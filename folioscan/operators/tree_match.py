@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions.titles import clean_title
+from folioscan.operators.similarity import with_template
 
 DEPTHS = 6
 ROOT = -1
@@ -21,15 +22,18 @@ def tree_descent(pairs: DataFrame, outline: DataFrame, left: str, right: str, de
 
     Each child of a matched node takes the first similar child of the node it was matched with; several may take the same."""
     nodes = outline.select("doc_id", "seq", F.coalesce("parent_seq", F.lit(ROOT)).alias("parent"), clean_title(F.col("title")).alias("clean"))
-    one = pairs.select("pair_id", F.col(left).alias("doc_id")).join(nodes, "doc_id").select("pair_id", F.col("seq").alias("l_seq"), F.col("parent").alias("l_parent"), F.col("clean").alias("l_clean"))
-    two = pairs.select("pair_id", F.col(right).alias("doc_id")).join(nodes, "doc_id").select("pair_id", F.col("seq").alias("r_seq"), F.col("parent").alias("r_parent"), F.col("clean").alias("r_clean"))
+
+    def side(doc: str, p: str) -> DataFrame:
+        rows = with_template(pairs, nodes) if doc == "template_doc_id" else pairs.select("pair_id", F.col(doc).alias("doc_id")).join(nodes, "doc_id")
+        return rows.select("pair_id", *[F.col(c).alias(f"{p}_{c}") for c in ("seq", "parent", "clean")])
+
+    one, two = side(left, "l"), side(right, "r")
     front, found = pairs.select("pair_id", F.lit(ROOT).alias("l_parent"), F.lit(ROOT).alias("r_parent")), None
     for _ in range(depths):
-        children = one.join(front, ["pair_id", "l_parent"])
-        hits = children.join(two, ["pair_id", "r_parent"]).filter(_similar()).groupBy("pair_id", "l_seq").agg(F.min("r_seq").alias("match"))
-        step = children.join(hits, ["pair_id", "l_seq"], "left").select("pair_id", F.col("l_seq").alias("seq"), "match")
+        met = one.join(front, ["pair_id", "l_parent"]).join(two, ["pair_id", "r_parent"], "left")
+        step = met.groupBy("pair_id", F.col("l_seq").alias("seq")).agg(F.min(F.when(_similar(), F.col("r_seq"))).alias("match"))
         found = step if found is None else found.unionByName(step)
-        front = hits.select("pair_id", F.col("l_seq").alias("l_parent"), F.col("match").alias("r_parent"))
+        front = step.filter("match is not null").select("pair_id", F.col("seq").alias("l_parent"), F.col("match").alias("r_parent"))
     return found
 
 
