@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from folioscan.llm.common import pick, shared_dir, small_batches, written
 
 ARCHIVE_BYTES = 32 << 20
-LEVEL = 1
+LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long, target string, intact boolean"
