@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,24 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return stored(df, what).rows
 
 
+def placed(df: DataFrame, groups: Sequence[str], order: Sequence[str], what: str) -> Stored:
+    """The rows with place, from 0, in their group by ``order`` (nulls first). Rows are dealt by ranges of group and order, so a
+    group of any size is sorted by many tasks; what its earlier ranges hold is counted and added. Equal rows are split as well."""
+    keys = [*groups, *order]
+    ranged = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*keys, "_row").sortWithinPartitions(*keys, "_row").drop("_row")
+    ranges = stored(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), f"{what}-ranges")
+    rows = ranges.rows
+    counts = rows.groupBy("_part", *groups).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], (before - F.col("_first")).alias("_shift"))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(groups):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    found = stored(rows.join(counts, same).withColumn("place", F.col("_at") + F.col("_shift")).select(*df.columns, "place"), what)
+    ranges.drop()
+    return found
+
+
 def small_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
     """Bounds what one Arrow batch holds, for tables in which some texts are very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -77,6 +96,12 @@ def is_held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
+def crc32_sql(number: str) -> str:
+    """DuckDB's expression for the unsigned crc32 of a number's decimal text."""
+    step = "list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))"
+    return f"xor(list_reduce([4294967295] || list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: ascii(x)), lambda c, b: {step}), 4294967295)"
+
+
 def groups_of(batches: Iterable, limit: int, size) -> Iterator[list]:
     """Rows of Arrow batches in lists of about limit bytes; one row may be larger than that."""
     held, total = [], 0
