@@ -8,7 +8,7 @@ it, so a text's ids are those of its chunks (markers and what follows them) one
    neighbours and each distinct one is segmented once.
 3. Ids go back to the batches, are decoded once for each of a batch's chunks, and ids and texts are joined by position.
 
-Sorting spills, so no task holds more than one batch (32 MB of text, or one longer text), its chunks and their ids, whatever the
+Sorting spills, so no task holds more than one batch (16 MB of text, or one longer text), its chunks and their ids, whatever the
 number of distinct chunks. A chunk in every batch is one row a batch. Batches are made twice, from two reads of the same rows; that
 both agree is checked by their chunks' crc32, and a difference is an error.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from folioscan.llm.common import pick, small_batches, total_bytes
 
 MARK = "▁"
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 PART_BYTES = 512 << 20
 LEAST_PARTS = 64
 DOCS_A_ROW = 256
@@ -116,17 +117,16 @@ def coded(docs: DataFrame, what: str, parts: int, batch_bytes: int = BATCH_BYTES
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         sizes: list[np.ndarray] = []
-        flat: list[pa.Array] = []
+        found: list[np.ndarray] = []
         held, made = 0, 0
+        known: dict[str, int] = defaultdict(lambda: len(known))
 
         def one() -> Iterator[pa.RecordBatch]:
             number = (TaskContext.get().partitionId() << 24) + made
-            known = pa.chunked_array(flat, pa.large_string()).combine_chunks().dictionary_encode()
-            codes = known.indices.to_numpy().astype(np.int64)
-            chunks = [c.encode() for c in known.dictionary.to_pylist()]
+            chunks = [c.encode() for c in known]
             part = np.array([zlib.crc32(c) for c in chunks], np.int64) % parts
-            order = sorted(range(len(chunks)), key=chunks.__getitem__)  # by part, then by text
-            order = np.array(order, np.int64)[np.argsort(part[order], kind="stable")] if len(chunks) else np.zeros(0, np.int64)
+            order = np.array(sorted(range(len(chunks)), key=chunks.__getitem__), np.int64)
+            order = order[np.argsort(part[order], kind="stable")]  # by part, then by text
             sign = 0
             for i in order.tolist():
                 sign = zlib.crc32(chunks[i], sign)
@@ -136,8 +136,8 @@ def coded(docs: DataFrame, what: str, parts: int, batch_bytes: int = BATCH_BYTES
                 for block in np.split(order, cuts) if len(order) else []:
                     yield _rows([(number, 1, int(part[block[0]]), sign, _pack([chunks[i] for i in block.tolist()]), None, None)])
                 return
-            rank = np.empty(len(chunks), np.int64)
-            rank[np.argsort(-np.bincount(codes, minlength=len(chunks)), kind="stable")] = np.arange(len(chunks))
+            codes, rank = np.concatenate(found), np.empty(len(chunks), np.uint32)
+            rank[np.argsort(-np.bincount(codes, minlength=len(chunks)), kind="stable")] = np.arange(len(chunks), dtype=np.uint32)
             yield _rows([(number, 0, -1, sign, _planes(rank[order]), None, None)])
             codes, all_sizes = rank[codes], np.concatenate(sizes)
             ends = np.concatenate(([0], np.cumsum(all_sizes)))
@@ -146,16 +146,18 @@ def coded(docs: DataFrame, what: str, parts: int, batch_bytes: int = BATCH_BYTES
                 yield _rows([(number, 2, a // DOCS_A_ROW, sign, _planes(codes[ends[a] : ends[b]]), ids[a:b], all_sizes[a:b].tolist())])
 
         for b in batches:
-            found, counts, order = split(b.column("text"))
+            flat, counts, order = split(b.column("text"))
             doc_ids = b.column("doc_id").to_pylist()
             ids += [doc_ids[i] for i in order.tolist()]
             sizes.append(counts)
-            flat.append(found)
-            held += found.nbytes
+            coded_here = flat.dictionary_encode()
+            numbers = np.fromiter(map(known.__getitem__, coded_here.dictionary.to_pylist()), np.uint32, len(coded_here.dictionary))
+            found.append(numbers[coded_here.indices.to_numpy()])
+            held += int(pc.sum(pc.binary_length(flat)).as_py() or 0) + len(flat)
             if held >= batch_bytes:
                 yield from one()
                 held, made = 0, made + 1
-                ids.clear(), sizes.clear(), flat.clear()
+                ids.clear(), sizes.clear(), found.clear(), known.clear()
         if ids:
             yield from one()
 
@@ -230,8 +232,11 @@ def joined(docs: DataFrame, answers: DataFrame, model: str) -> DataFrame:
                         own = np.array([len(x) // 4 for x in by_code], np.int64)
                         ids = np.frombuffer(b"".join(by_code), "<u4").astype(np.int32)
                         starts = np.concatenate(([0], np.cumsum(own)))
-                        lists = [ids[x:y].tolist() for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                        table, got = (own, starts[:-1], ids, known.decode(lists) if lists else []), []
+                        texts, cuts = [], starts.tolist()
+                        for k in range(0, len(own), 20_000):
+                            few = min(k + 20_000, len(own))
+                            texts += known.decode([ids[x:y].tolist() for x, y in zip(cuts[k:few], cuts[k + 1 : few + 1], strict=True)])
+                        table, got = (own, starts[:-1], ids, texts), []
                     yield from _whole(doc_ids, np.array(sizes, np.int64), _codes(data), *table)
 
     def _whole(doc_ids, sizes, codes, own, starts, ids, texts) -> Iterator[pa.RecordBatch]:
