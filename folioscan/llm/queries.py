@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import ads_search, chat_perspectives, cost_packing, fm_decontam, langid_gru, merkle_manifest, piece_table, pii_votes, quality_gbdt, simhash_ring, substring_dedup, warc_normalise
+from folioscan.llm import ads_search, chat_perspectives, cost_packing, fm_decontam, langid_gru, merkle_manifest, piece_table, pii_votes, prefix_trie, quality_gbdt, simhash_ring, substring_dedup, warc_normalise
 from folioscan.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op11_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table.digest(piece_table.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.prove(merkle_manifest.build(table(spark, sf_dir, "documents"), merkle_manifest.lower_fifth))
 
@@ -63,8 +67,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_chat_perspectives, op2_substring_dedup, op3_warc_normalise, op4_langid_gru, op5_simhash_ring, op6_cost_packing, op7_fm_decontam, op8_quality_gbdt, op9_pii_votes, op10_ads_search, op11_piece_table, op13_merkle_manifest,
+        op1_chat_perspectives, op2_substring_dedup, op3_warc_normalise, op4_langid_gru, op5_simhash_ring, op6_cost_packing, op7_fm_decontam, op8_quality_gbdt, op9_pii_votes, op10_ads_search, op11_piece_table, op12_prefix_trie, op13_merkle_manifest,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_perspectives": chat_perspectives.ORACLE_SQL, "op13_merkle_manifest": merkle_manifest.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_perspectives": chat_perspectives.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_merkle_manifest": merkle_manifest.ORACLE_SQL}
