@@ -279,6 +279,53 @@ def d1_c2_outline(spark, sf_dir):
     return rows.select("doc_id", "seq", "level", "parent_seq", "path", F.col("depth").cast("long").alias("depth"), "n_children")
 
 
+#: Chapters with levels from 0 to 9, by their place and the length of their text.
+_ANY = CHAPTERS.replace(f"CAST({_LEVELS}[(i + doc_id) % {len(_LEVELS)} + 1] AS INTEGER) AS level", "CAST((i * 7 + doc_id + length(content)) % 10 AS INTEGER) AS level")
+
+
+def _any_levels(ch: DataFrame) -> DataFrame:
+    return ch.withColumn("level", ((F.col("seq") * 7 + F.col("doc_id") + F.length("content")) % 10).cast("int"))
+
+
+@query(
+    f"""WITH {_ANY}, {OUTLINE}, kids AS (SELECT doc_id, parent_seq AS seq, count(*) AS n_children FROM outline WHERE parent_seq IS NOT NULL GROUP BY ALL),
+anc AS (SELECT c.doc_id, c.seq, p.title, p.seq AS pseq FROM ch c JOIN ch p ON p.doc_id = c.doc_id AND p.seq < c.seq AND p.level < c.level
+  WHERE NOT EXISTS (SELECT 1 FROM ch y WHERE y.doc_id = c.doc_id AND y.seq > p.seq AND y.seq < c.seq AND y.level <= p.level)),
+path AS (SELECT doc_id, seq, string_agg(title, ' > ' ORDER BY pseq) AS path, count(*) AS depth FROM anc GROUP BY ALL),
+below AS (SELECT doc_id, pseq AS seq, max(seq) AS last FROM anc GROUP BY ALL)
+SELECT o.doc_id, o.seq, o.level, o.parent_seq, coalesce(path, '') AS path, coalesce(depth, 0) AS depth, coalesce(n_children, 0) AS n_children, o.seq AS pre, coalesce(last, o.seq) AS end_place
+FROM outline o LEFT JOIN kids USING (doc_id, seq) LEFT JOIN path USING (doc_id, seq) LEFT JOIN below USING (doc_id, seq)"""
+)
+def d1_any_levels(spark, sf_dir):
+    """Levels 0 to 9: any of them is a parent, and descendants are a range of places."""
+    tree = outline.build_outline(_any_levels(_chapters(spark, sf_dir)[1]))
+    rows = tree.select("doc_id", "seq", "parent_seq", "path", "pre", F.col("end").alias("end_place")).join(outline.outline_summary(tree), ["doc_id", "seq"])
+    return rows.select("doc_id", "seq", "level", "parent_seq", "path", F.col("depth").cast("long").alias("depth"), "n_children", "pre", "end_place")
+
+
+@query(
+    f"""WITH {_ANY}, d AS (SELECT c.doc_id, c.seq, c.level, count(p.seq) AS depth FROM ch c LEFT JOIN ch p ON p.doc_id = c.doc_id AND p.seq < c.seq AND p.level < c.level
+  AND NOT EXISTS (SELECT 1 FROM ch y WHERE y.doc_id = c.doc_id AND y.seq > p.seq AND y.seq < c.seq AND y.level <= p.level) GROUP BY ALL),
+l AS (SELECT doc_id, level, count(*) AS n, max(depth) AS d FROM d GROUP BY ALL)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS total, max(level) AS max_level, max(d) AS max_depth, string_agg(level || ':' || n, ',' ORDER BY level) AS levels FROM l GROUP BY doc_id"""
+)
+def c2_outline_profile(spark, sf_dir):
+    found = outline.outline_profile(outline.build_outline(_any_levels(_chapters(spark, sf_dir)[1])))
+    entries = F.transform(F.map_entries("levels"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string")))
+    return found.withColumns({"levels": F.array_join(entries, ","), "max_depth": F.col("max_depth").cast("long")})
+
+
+@query(
+    f"""WITH {_ANY}, {OUTLINE}, anc AS (SELECT c.doc_id, c.seq, p.title, p.seq AS pseq FROM ch c JOIN ch p ON p.doc_id = c.doc_id AND p.seq < c.seq AND p.level < c.level
+  WHERE NOT EXISTS (SELECT 1 FROM ch y WHERE y.doc_id = c.doc_id AND y.seq > p.seq AND y.seq < c.seq AND y.level <= p.level)),
+path AS (SELECT doc_id, seq, string_agg(title, ' > ' ORDER BY pseq) AS path FROM anc GROUP BY ALL)
+SELECT o.doc_id, o.seq, '章节层级跳跃: ' || path || ' > ' || o.title || ' (从 H' || p.level || ' 跳到 H' || o.level || ')' AS issue
+FROM outline o JOIN ch p ON p.doc_id = o.doc_id AND p.seq = o.parent_seq JOIN path ON path.doc_id = o.doc_id AND path.seq = o.seq WHERE o.level > p.level + 1"""
+)
+def d2_issue_texts(spark, sf_dir):
+    return outline.level_issues(outline.build_outline(_any_levels(_chapters(spark, sf_dir)[1])))
+
+
 @query(
     f"""WITH {CHAPTERS}, {OUTLINE} SELECT o.doc_id, o.seq, p.level AS parent_level, o.level FROM outline o JOIN ch p ON p.doc_id = o.doc_id AND p.seq = o.parent_seq WHERE o.level > p.level + 1"""
 )
@@ -498,6 +545,15 @@ def h7_tree_missing(spark, sf_dir):
     return tree_match.tree_missing(pairs, outline.build_outline(ch))
 
 
+@query(
+    f"WITH RECURSIVE {_ANY}, {OUTLINE}, {_CLEANED}, {_DESCENT.format(left='template_doc_id', right='target_doc_id').replace('RECURSIVE_BODY', 'w')} SELECT pair_id, l_parent AS seq, r_parent AS match FROM w WHERE depth > 0"
+)
+def h7_descent_any_levels(spark, sf_dir):
+    """Every template chapter that the descent reaches, with its match, on outlines of levels 0 to 9."""
+    _, ch, pairs = _chapters(spark, sf_dir)
+    return tree_match.tree_descent(pairs, outline.build_outline(_any_levels(ch)), "template_doc_id", "target_doc_id").select("pair_id", "seq", "match")
+
+
 @query(
     f"""WITH RECURSIVE {CHAPTERS}, {OUTLINE}, {_CLEANED}, {_DESCENT.format(left='target_doc_id', right='template_doc_id').replace('RECURSIVE_BODY', 'w')},
 below AS (SELECT pair_id, l_parent AS seq FROM w WHERE depth > 0 AND r_parent IS NULL UNION ALL SELECT b.pair_id, o.seq FROM below b JOIN pairs p USING (pair_id) JOIN outline o ON o.doc_id = p.target_doc_id AND o.parent_seq = b.seq),

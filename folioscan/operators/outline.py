@@ -1,33 +1,77 @@
-"""Outlines of documents by windows; all share one shuffle by doc_id."""
+"""Outlines of documents: one walk over chapters in order gives parents, ancestors and ranges of descendants."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 LEVELS = 6
 #: Fixed value.
 NO_TITLE = "未知文档"
+_ANCESTORS = pa.list_(pa.struct([("seq", pa.int32()), ("title", pa.string()), ("level", pa.int32())]))
+OUTLINE = "doc_id long, seq int, title string, level int, parent_seq int, parent_level int, ancestors array<struct<seq:int,title:string,level:int>>, pre int, end int"
+_SCHEMA = pa.schema([
+    ("doc_id", pa.int64()), ("seq", pa.int32()), ("title", pa.string()), ("level", pa.int32()), ("parent_seq", pa.int32()), ("parent_level", pa.int32()), ("ancestors", _ANCESTORS), ("pre", pa.int32()), ("end", pa.int32()),
+])
 
 
-def build_outline(chapters: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """chapters with parent_seq (null at the root), ancestors (outer to inner), path and depth.
-
-    The parent is the nearest preceding chapter of smaller level; walking up from it gives the ancestors."""
-    before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == k, F.struct("seq", "title", "level")), ignorenulls=True).over(before).alias(f"_{k}") for k in range(1, levels + 1)]
-    rows = chapters.select("*", *last)
-    chain = F.filter(F.array(*[F.when(F.col("level") > k, F.col(f"_{k}")) for k in range(1, levels + 1)]), lambda x: x.isNotNull())
-    rows = rows.withColumn("_chain", chain)
-    # a chapter is still open if no later one of its own or a smaller level stands between
-    own = F.filter("_chain", lambda x: ~F.exists("_chain", lambda y: (y["level"] < x["level"]) & (y["seq"] > x["seq"])))
-    rows = rows.withColumn("ancestors", F.transform(own, lambda x: F.struct(x["seq"].alias("seq"), x["title"].alias("title"), x["level"].alias("level"))))
-    rows = rows.drop("_chain", *[f"_{k}" for k in range(1, levels + 1)])
-    parent = F.try_element_at("ancestors", F.lit(-1))
-    return rows.select(
-        "*", parent["seq"].alias("parent_seq"), parent["level"].alias("parent_level"), F.array_join(F.transform("ancestors", lambda x: x["title"]), " > ").alias("path"), F.size("ancestors").alias("depth")
-    )
+class Stack:
+    """The open chapters of one document, outer to inner. A chapter closes those of its own or a larger level."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple] = []  # (row, ancestors)
+        self.pre = 0
+
+    def add(self, seq: int, title: str | None, level: int | None) -> list[tuple]:
+        """The rows (seq to end) of the chapters that this one closes. A null level closes all and has no parent."""
+        closed = []
+        while self.open and (level is None or self.open[-1][0][2] is not None and self.open[-1][0][2] >= level):
+            closed.append(self._close())
+        above = [*self.open[-1][1], self.open[-1][0][:3]] if self.open else []
+        parent = above[-1] if above else (None, None, None)
+        self.open.append(((seq, title, level, parent[0], parent[2]), above, self.pre))
+        self.pre += 1
+        return closed
+
+    def rest(self) -> list[tuple]:
+        return [self._close() for _ in range(len(self.open))]
+
+    def _close(self) -> tuple:
+        row, above, pre = self.open.pop()
+        return (*row, [{"seq": s, "title": t, "level": k} for s, t, k in above], pre, self.pre - 1)
+
+
+def build_outline(chapters: DataFrame) -> DataFrame:
+    """doc_id, seq, title and level of each chapter with parent_seq and parent_level (null at the top), ancestors (outer to inner),
+    path, depth, pre (its place from 0) and end (the place of its last descendant, its own if it has none).
+
+    The parent is the nearest preceding chapter of smaller level, whatever the levels are; a chapter without level stands at the top
+    and is a parent of whatever follows. Documents go in order through sorted partitions; of one only the open chapters are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, stack = None, None
+        for b in batches:
+            rows: list[tuple] = []
+            for at, seq, title, level in zip(*[b.column(c).to_pylist() for c in ("doc_id", "seq", "title", "level")], strict=True):
+                if stack is None or at != doc:
+                    rows += [(doc, *r) for r in stack.rest()] if stack else []
+                    doc, stack = at, Stack()
+                rows += [(doc, *r) for r in stack.add(seq, title, level)]
+            if rows:
+                yield _batch(rows)
+        if stack:
+            yield _batch([(doc, *r) for r in stack.rest()])
+
+    narrow = chapters.select(F.col("doc_id").cast("long"), F.col("seq").cast("int"), F.col("title").cast("string"), F.col("level").cast("int"))
+    rows = narrow.repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInArrow(run, OUTLINE)
+    return rows.select("*", F.array_join(F.transform("ancestors", lambda x: x["title"]), " > ", "").alias("path"), F.size("ancestors").alias("depth"))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
 def level_issues(outline: DataFrame) -> DataFrame:
@@ -43,6 +87,13 @@ def outline_summary(outline: DataFrame) -> DataFrame:
     return outline.select("doc_id", "seq", "level", "depth").join(children, ["doc_id", "seq"], "left").fillna(0, ["n_children"])
 
 
+def outline_profile(outline: DataFrame) -> DataFrame:
+    """Per document: total, max_level, max_depth, and the number of chapters of each level that occurs, as a map."""
+    per = outline.groupBy("doc_id", "level").agg(F.count("*").alias("n"), F.max("depth").alias("d"))
+    levels = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("level", "n")))))
+    return per.groupBy("doc_id").agg(F.sum("n").alias("total"), F.max("level").alias("max_level"), F.max("d").alias("max_depth"), levels.alias("levels"))
+
+
 def breadcrumbs(chapters: DataFrame) -> DataFrame:
     """doc_id, seq, breadcrumb: the titles above a chapter, outer to inner."""
     return build_outline(chapters).select("doc_id", "seq", F.col("path").alias("breadcrumb"))
