@@ -4,12 +4,12 @@ In a model none of whose pieces has a whitespace marker behind another character
 it, so a text's ids are those of its chunks (markers and what follows them) one after the other. Other models are refused.
 
 1. Each task codes batches of texts: every chunk as its number among the batch's chunks.
-2. A batch's distinct chunks go, packed by part of their hash, to one place each; sorted there, equal chunks of all batches are
-   neighbours and each distinct one is segmented once.
+2. A batch's distinct chunks go, packed by part of their hash, to one place each; there the chunks of all batches become one table,
+   and each distinct one is segmented once.
 3. Ids go back to the batches, are decoded once for each of a batch's chunks, and ids and texts are joined by position.
 
-Sorting spills, so no task holds more than one batch (16 MB of text, or one longer text), its chunks and their ids, whatever the
-number of distinct chunks. A chunk in every batch is one row a batch. Batches are made twice, from two reads of the same rows; that
+A task holds one batch (16 MB of text, or one longer text) or one part, of which there is one for 256 MB of text: the chunks of at
+most that much text, were they all distinct. A chunk that is in every batch is one entry a batch. Batches are made twice, from two reads of the same rows; that
 both agree is checked by their chunks' crc32, and a difference is an error.
 
 Defined results: a null text is an empty one and has no ids; null and repeated ids are rows like others; the marker character itself
@@ -35,7 +35,7 @@ from folioscan.llm.common import pick, small_batches, total_bytes
 
 MARK = "▁"
 BATCH_BYTES = 16 << 20
-PART_BYTES = 512 << 20
+PART_BYTES = 256 << 20
 LEAST_PARTS = 64
 DOCS_A_ROW = 256
 CHUNK = re.compile(" +[^ ]*")
@@ -95,16 +95,24 @@ def _codes(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
-def _pack(chunks: list[bytes]) -> bytes:
-    sizes = np.array([len(c) for c in chunks], "<u4")
-    return zstandard.compress(np.array([len(chunks)], "<u4").tobytes() + sizes.tobytes() + b"".join(chunks), 3)
+def _ends(strings: pa.Array) -> np.ndarray:
+    """Where each string of a large_binary array begins, and the last ends."""
+    held = strings.buffers()[1]
+    return np.frombuffer(held, np.int64)[strings.offset : strings.offset + len(strings) + 1] if held and held.size else np.zeros(1, np.int64)
 
 
-def _unpack(data: bytes) -> list[bytes]:
+def _pack(strings: pa.Array) -> bytes:
+    """A large_binary array: number of strings, their lengths, their bytes."""
+    ends = _ends(strings)
+    body = memoryview(strings.buffers()[2] or b"")[int(ends[0]) : int(ends[-1])]
+    return zstandard.compress(np.array([len(strings), *np.diff(ends)], "<u4").tobytes() + body.tobytes(), 3)
+
+
+def _unpacked(data: bytes) -> pa.Array:
     data = zstandard.decompress(data)
     n = int(np.frombuffer(data, "<u4", 1)[0])
-    ends = (4 + 4 * n + np.cumsum(np.frombuffer(data, "<u4", n, 4).astype(np.int64))).tolist()
-    return [data[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
+    ends = np.concatenate(([0], np.cumsum(np.frombuffer(data, "<u4", n, 4).astype(np.int64))))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[4 + 4 * n :])])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -119,25 +127,24 @@ def coded(docs: DataFrame, what: str, parts: int, batch_bytes: int = BATCH_BYTES
         sizes: list[np.ndarray] = []
         found: list[np.ndarray] = []
         held, made = 0, 0
-        known: dict[str, int] = defaultdict(lambda: len(known))
+        known: dict[bytes, int] = defaultdict(lambda: len(known))
 
         def one() -> Iterator[pa.RecordBatch]:
             number = (TaskContext.get().partitionId() << 24) + made
-            chunks = [c.encode() for c in known]
-            part = np.array([zlib.crc32(c) for c in chunks], np.int64) % parts
-            order = np.array(sorted(range(len(chunks)), key=chunks.__getitem__), np.int64)
+            chunks = pa.array(list(known), pa.large_binary())
+            part = np.fromiter(map(zlib.crc32, known), np.int64, len(known)) % parts
+            order = pc.sort_indices(chunks).to_numpy().astype(np.int64)
             order = order[np.argsort(part[order], kind="stable")]  # by part, then by text
-            sign = 0
-            for i in order.tolist():
-                sign = zlib.crc32(chunks[i], sign)
+            chunks = chunks.take(pa.array(order))
+            sign = zlib.crc32(_pack(chunks))
             if what == "chunks":
-                at = part[order]
-                cuts = np.flatnonzero(np.diff(at)) + 1
-                for block in np.split(order, cuts) if len(order) else []:
-                    yield _rows([(number, 1, int(part[block[0]]), sign, _pack([chunks[i] for i in block.tolist()]), None, None)])
+                cuts = np.flatnonzero(np.diff(part[order])) + 1
+                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)], strict=True):
+                    if hi > lo:
+                        yield _rows([(number, 1, int(part[order[lo]]), sign, _pack(chunks[lo:hi]), None, None)])
                 return
-            codes, rank = np.concatenate(found), np.empty(len(chunks), np.uint32)
-            rank[np.argsort(-np.bincount(codes, minlength=len(chunks)), kind="stable")] = np.arange(len(chunks), dtype=np.uint32)
+            codes, rank = np.concatenate(found), np.empty(len(order), np.uint32)
+            rank[np.argsort(-np.bincount(codes, minlength=len(order)), kind="stable")] = np.arange(len(order), dtype=np.uint32)
             yield _rows([(number, 0, -1, sign, _planes(rank[order]), None, None)])
             codes, all_sizes = rank[codes], np.concatenate(sizes)
             ends = np.concatenate(([0], np.cumsum(all_sizes)))
@@ -150,7 +157,7 @@ def coded(docs: DataFrame, what: str, parts: int, batch_bytes: int = BATCH_BYTES
             doc_ids = b.column("doc_id").to_pylist()
             ids += [doc_ids[i] for i in order.tolist()]
             sizes.append(counts)
-            coded_here = flat.dictionary_encode()
+            coded_here = flat.cast(pa.large_binary()).dictionary_encode()
             numbers = np.fromiter(map(known.__getitem__, coded_here.dictionary.to_pylist()), np.uint32, len(coded_here.dictionary))
             found.append(numbers[coded_here.indices.to_numpy()])
             held += int(pc.sum(pc.binary_length(flat)).as_py() or 0) + len(flat)
@@ -165,47 +172,34 @@ def coded(docs: DataFrame, what: str, parts: int, batch_bytes: int = BATCH_BYTES
 
 
 def replies(chunks: DataFrame, model: str) -> DataFrame:
-    """The ids of every batch's chunks, part by part. All steps but the first stay inside their partition."""
+    """The ids of every batch's chunks, part by part; equal chunks of all batches are one entry of a part's table."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for number, part, sign, data in zip(*[b.column(c).to_pylist() for c in ("batch", "part", "sign", "data")], strict=True):
-                found = _unpack(data)
-                for k in range(0, len(found), 10_000):
-                    some = found[k : k + 10_000]
-                    n = len(some)
-                    yield pa.RecordBatch.from_pydict({
-                        "chunk": pa.array(some, pa.binary()).cast(pa.string()), "batch": pa.array([number] * n, pa.int64()), "part": pa.array([part] * n, pa.int32()), "sign": pa.array([sign] * n, pa.int64()),
-                        "place": pa.array(range(k, k + n), pa.int32()),
-                    })
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = processor(model), (None, b"")
-        for b in batches:
-            runs = pc.run_end_encode(b.column("chunk"))  # equal chunks are neighbours
-            values, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
-            fresh = values if values[:1] != [last[0]] else values[1:]
-            ids = [np.array(x, "<u4").tobytes() for x in segment(known, fresh)]
-            ids = ids if len(ids) == len(values) else [last[1], *ids]
-            last = (values[-1], ids[-1]) if values else last
-            each = pa.array(ids, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), np.diff(np.concatenate(([0], ends))))))
-            yield pa.RecordBatch.from_arrays([each, *[b.column(c) for c in ("batch", "part", "sign", "place")]], ["ids", "batch", "part", "sign", "place"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, packs = None, []
         for b in batches:
-            for at, ids in zip(zip(*[b.column(c).to_pylist() for c in ("batch", "part", "sign")], strict=True), b.column("ids").to_pylist(), strict=True):
-                if at != key:
-                    if held:
-                        yield _rows([(key[0], 1, key[1], key[2], _pack(held), None, None)])
-                    key, held = at, []
-                held.append(ids)
-        if held:
-            yield _rows([(key[0], 1, key[1], key[2], _pack(held), None, None)])
-
-    rows = chunks.select("batch", "part", "sign", "data").repartition("part").mapInArrow(unpack, "chunk string, batch long, part int, sign long, place int")
-    rows = rows.sortWithinPartitions("chunk").mapInArrow(once, "ids binary, batch long, part int, sign long, place int")
-    return rows.sortWithinPartitions("batch", "part", "place").mapInArrow(pack, ROWS)
+            for at, number, sign, data in zip(*[b.column(c).to_pylist() for c in ("part", "batch", "sign", "data")], strict=True):
+                if at != part and packs:
+                    yield from _answers(part, packs, processor(model))
+                    packs = []
+                part = at
+                packs.append((number, sign, data))
+        if packs:
+            yield from _answers(part, packs, processor(model))
+
+    return chunks.select("part", "batch", "sign", "data").repartition("part").sortWithinPartitions("part", "batch").mapInArrow(run, ROWS)
+
+
+def _answers(part: int, packs: list[tuple[int, int, bytes]], model) -> Iterator[pa.RecordBatch]:
+    """One part: the distinct chunks of all its packs are segmented, then every pack gets the ids of its own."""
+    strings = [_unpacked(data) for _, _, data in packs]
+    bounds = np.cumsum([0, *map(len, strings)])
+    known = pa.chunked_array(strings, pa.large_binary()).combine_chunks().dictionary_encode()
+    ids: list[bytes] = []
+    for k in range(0, len(known.dictionary), 20_000):
+        ids += [np.array(x, "<u4").tobytes() for x in segment(model, known.dictionary[k : k + 20_000].cast(pa.large_string()).to_pylist())]
+    own, places = pa.array(ids, pa.large_binary()), known.indices
+    for (number, sign, _), a, b in zip(packs, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield _rows([(number, 1, part, sign, _pack(own.take(places[a:b])), None, None)])
 
 
 def joined(docs: DataFrame, answers: DataFrame, model: str) -> DataFrame:
@@ -221,17 +215,17 @@ def joined(docs: DataFrame, answers: DataFrame, model: str) -> DataFrame:
                 if number != batch or said != sign:
                     raise RuntimeError("two reads of the documents differ")
                 if kind == 1:
-                    got += _unpack(data)
+                    got.append(_unpacked(data))
                 elif kind == 2:
                     if table is None:
-                        if len(got) != len(order):
+                        if sum(map(len, got)) != len(order):
                             raise RuntimeError("two reads of the documents differ")
-                        by_code = [b""] * len(got)
-                        for i, x in zip(order.tolist(), got, strict=True):
-                            by_code[i] = x
-                        own = np.array([len(x) // 4 for x in by_code], np.int64)
-                        ids = np.frombuffer(b"".join(by_code), "<u4").astype(np.int32)
-                        starts = np.concatenate(([0], np.cumsum(own)))
+                        place = np.empty(len(order), np.int64)
+                        place[order] = np.arange(len(order))
+                        by_code = pa.chunked_array(got, pa.large_binary()).combine_chunks().take(pa.array(place))
+                        starts = _ends(by_code) // 4
+                        own = np.diff(starts)
+                        ids = np.frombuffer(by_code.buffers()[2] or b"", "<u4").astype(np.int32)
                         texts, cuts = [], starts.tolist()
                         for k in range(0, len(own), 20_000):
                             few = min(k + 20_000, len(own))
@@ -256,7 +250,7 @@ def joined(docs: DataFrame, answers: DataFrame, model: str) -> DataFrame:
 def encode(docs: DataFrame, model: str, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, ids and the text decoded from them. ``model``: path of a model file that every executor has."""
     processor(model)
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, rows=8192)
     parts = max(LEAST_PARTS, -(-total_bytes(docs, "text") // part_bytes))
     return joined(coded(docs, "docs", parts, batch_bytes), replies(coded(docs, "chunks", parts, batch_bytes), model), model)
 
