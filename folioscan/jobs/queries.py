@@ -356,7 +356,7 @@ def e14_given_scores(spark, sf_dir):
 
 def _mapped(spark, sf_dir):
     docs, ch, pairs = _chapters(spark, sf_dir)
-    return docs, ch, pairs, mapping.map_chapters(pairs, ch, S.pair_scores(pairs, ch))
+    return docs, ch, pairs, mapping.map_chapters(pairs, ch, S.strong_scores(pairs, ch))
 
 
 #: The greedy mapping as a walk over a pair's template chapters by level, with the targets used so far.

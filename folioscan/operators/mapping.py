@@ -49,12 +49,10 @@ class Greedy:
 def map_chapters(pairs: DataFrame, chapters: DataFrame, scores: DataFrame, cfg: S.MappingConfig = S.CONFIG) -> DataFrame:
     """mappings: pair_id, t_seq, g_seq (null if none), match_type, confidence, confidence_level and the similarities.
 
-    Each choice depends on the ones before it, so a pair's template chapters go one after the other through sorted partitions;
+    scores: rows of pair_scores or strong_scores. Each choice depends on the ones before it, so a pair's template chapters go one after the other through sorted partitions;
     a row holds only the scores that can win, and of a pair only the used targets are kept."""
-    least = min(cfg.similarity, cfg.semantic)
     cand = F.struct((-F.col("overall")).alias("o"), "g_seq", "g_level", *SIMS)
-    strong = F.when((F.col("overall") >= least) & (F.abs(F.col("t_level") - F.col("g_level")) <= 2), cand)
-    cands = scores.groupBy("pair_id", "t_seq").agg(F.array_sort(F.collect_list(strong)).alias("c"))
+    cands = scores.filter(S.is_strong(cfg)).groupBy("pair_id", "t_seq").agg(F.array_sort(F.collect_list(cand)).alias("c"))
     held = chapters.groupBy("doc_id", "level").agg(F.count("*").cast("int").alias("n")).groupBy(F.col("doc_id").alias("target_doc_id"))
     held = held.agg(F.array_sort(F.collect_list(F.struct("level", "n"))).alias("held"))
     asked = S.with_template(pairs.select("pair_id", "template_doc_id", "target_doc_id"), chapters.select("doc_id", F.col("seq").alias("t_seq"), F.col("level").alias("t_level")))
@@ -128,7 +126,8 @@ def mapping_summary(mappings: DataFrame, pairs: DataFrame | None = None, chapter
 def mapping_details(pairs: DataFrame, chapters: DataFrame, mappings: DataFrame) -> DataFrame:
     t = chapters.select(F.col("doc_id").alias("template_doc_id"), F.col("seq").alias("t_seq"), F.col("title").alias("t_title"), F.col("level").alias("t_level"))
     g = chapters.select(F.col("doc_id").alias("target_doc_id"), F.col("seq").alias("g_seq"), F.col("title").alias("g_title"), F.col("level").alias("g_level"))
-    rows = mappings.join(pairs, "pair_id").join(t, ["template_doc_id", "t_seq"]).join(g, ["target_doc_id", "g_seq"], "left")
+    titles = S.with_template(pairs.select("pair_id", "template_doc_id", "target_doc_id"), t.withColumnRenamed("template_doc_id", "doc_id"))
+    rows = mappings.join(titles, ["pair_id", "t_seq"]).join(g, ["target_doc_id", "g_seq"], "left")
     return rows.drop("template_doc_id", "target_doc_id")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from folioscan.functions import titles as T
 
 SALTS = 32
 BLOCK = 1024
+DENSE = 10_000
+EPS = 1e-9
 
 
 @dataclass(frozen=True)
@@ -69,28 +72,143 @@ def with_template(pairs: DataFrame, rows: DataFrame, salts: int = SALTS, keep: b
     return dealt.join(templates, ["template_doc_id", "salt"], "left" if keep else "inner").drop("salt")
 
 
-def pair_scores(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame = "text", cfg: MappingConfig = CONFIG, block: int = BLOCK) -> DataFrame:
-    """pair_id, t_seq, g_seq, both levels, the four similarities, the semantic score and overall.
-
-    semantic: 'text' takes the title similarity, 'none' 0, a DataFrame (pair_id, t_seq, g_seq, score) its scores. The join is
-    on the target and blocks of ``block`` of its chapters, so a very long document is several tasks."""
+def _sides(pairs: DataFrame, chapters: DataFrame, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Template chapters for every pair and block of its target (t_ columns, n: how many the template has), target chapters with their
+    block (g_ columns), and the number of chapters per document."""
     known = features(chapters)
     counts = chapters.groupBy("doc_id").agg(F.count("*").alias("n"))
-    blocks = counts.select(F.col("doc_id").alias("target_doc_id"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    blocks = counts.select(F.col("doc_id").alias("target_doc_id"), F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.col("n").alias("g_n"))
     asked = pairs.select("pair_id", "template_doc_id", "target_doc_id").join(blocks, "target_doc_id")
     t = known.join(counts, "doc_id").select("doc_id", "n", *[F.col(c).alias(f"t_{c}") for c in known.columns[1:]])
     t = with_template(asked, t).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1
     g = known.select(F.col("doc_id").alias("target_doc_id"), F.floor(number / block).cast("int").alias("block"), *[F.col(c).alias(f"g_{c}") for c in known.columns[1:]])
-    rows = t.join(g, ["target_doc_id", "block"]).select(
-        "pair_id", "t_seq", "g_seq", "t_level", "g_level",
-        T.title_similarity(F.col("t_clean"), F.col("g_clean"), F.col("t_title_words"), F.col("g_title_words")).alias("title_sim"), T.jaccard(F.col("t_words"), F.col("g_words")).alias("content_sim"),
-        T.position_similarity(F.col("t_position"), F.col("g_position"), F.col("n")).alias("position_sim"), F.when(F.col("t_level") == F.col("g_level"), 1.0).otherwise(0.0).alias("structure_sim"),
-    )
+    return t, g, counts
+
+
+_SIMS = ["title_sim", "content_sim", "position_sim", "structure_sim"]
+_CELL = ["pair_id", "t_seq", "g_seq", "t_level", "g_level"]
+
+
+def _parts() -> list[Column]:
+    """Title, content, position and structure similarity of a joined row."""
+    title = T.title_similarity(F.col("t_clean"), F.col("g_clean"), F.col("t_title_words"), F.col("g_title_words"))
+    content = T.jaccard(F.col("t_words"), F.col("g_words"))
+    position = T.position_similarity(F.col("t_position"), F.col("g_position"), F.col("n"))
+    return [title, content, position, F.when(F.col("t_level") == F.col("g_level"), 1.0).otherwise(0.0)]
+
+
+def _exact() -> list[Column]:
+    return [part.alias(name) for part, name in zip(_parts(), _SIMS, strict=True)]
+
+
+def _fused(cfg: MappingConfig) -> Column:
+    return fused_score(base_score(*map(F.col, _SIMS), cfg), F.col("semantic"))
+
+
+def _with_semantic(rows: DataFrame, semantic: str | DataFrame) -> DataFrame:
     if isinstance(semantic, DataFrame):
         given = semantic.select("pair_id", "t_seq", "g_seq", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("semantic"))
-        rows = rows.join(given, ["pair_id", "t_seq", "g_seq"], "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
-    else:
-        rows = rows.withColumn("semantic", F.col("title_sim") if semantic == "text" else F.lit(0.0))
-    sims = [F.col(f"{k}_sim") for k in ("title", "content", "position", "structure")]
-    return rows.withColumn("overall", fused_score(base_score(*sims, cfg), F.col("semantic")))
+        return rows.join(given, ["pair_id", "t_seq", "g_seq"], "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
+    return rows.withColumn("semantic", F.col("title_sim") if semantic == "text" else F.lit(0.0))
+
+
+def pair_scores(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame = "text", cfg: MappingConfig = CONFIG, block: int = BLOCK) -> DataFrame:
+    """pair_id, t_seq, g_seq, both levels, the four similarities, the semantic score and overall, for every cell.
+
+    semantic: 'text' takes the title similarity, 'none' 0, a DataFrame (pair_id, t_seq, g_seq, score) its scores. The join is
+    on the target and blocks of ``block`` of its chapters, so a very long document is several tasks."""
+    t, g, _ = _sides(pairs, chapters, block)
+    rows = t.join(g, ["target_doc_id", "block"]).select(*_CELL, *_exact())
+    return _with_semantic(rows, semantic).withColumn("overall", _fused(cfg))
+
+
+def is_strong(cfg: MappingConfig = CONFIG) -> Column:
+    """The cells that a mapping can use: those of one level from the lower bound on, those one or two levels apart from the higher."""
+    apart = F.abs(F.col("t_level") - F.col("g_level"))
+    return ((apart == 0) & (F.col("overall") >= cfg.similarity)) | (apart.between(1, 2) & (F.col("overall") >= cfg.semantic))
+
+
+def strong_scores(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame = "text", cfg: MappingConfig = CONFIG, block: int = BLOCK, dense: int = DENSE) -> DataFrame:
+    """The rows of pair_scores that are strong, without making the others where a pair has over ``dense`` cells.
+
+    A score is a mean of its parts and of the semantic score, so it is at most the larger of the two; from level and position, title
+    words, and the sizes of word sets follows what it can reach. Pairs of up to ``dense`` cells (as many as one request may ask a
+    model about) are joined by level, and words are compared where the bound leaves it open; larger ones by candidates()."""
+    t, g, counts = _sides(pairs, chapters, block)
+    cells = F.col("n") * F.col("g_n")
+    title, _, position, structure = _parts()
+    apart = F.abs(F.col("t_level") - F.col("g_level"))
+    ratio = F.coalesce(F.try_divide(F.least(F.size("t_words"), F.size("g_words")), F.greatest(F.size("t_words"), F.size("g_words"))), F.lit(0.0))
+    reach = base_score(title, ratio, position, structure, cfg)
+    reach = F.greatest(reach, title) if isinstance(semantic, str) and semantic == "text" else reach
+    bound = F.when(apart == 0, reach >= cfg.similarity - EPS).otherwise(reach >= cfg.semantic - EPS) if isinstance(semantic, str) else F.lit(True)
+    small = t.filter(cells <= dense).join(g, ["target_doc_id", "block"]).filter(apart <= 2).filter(bound).select(*_CELL, *_exact())
+    large = pairs.join(t.filter(cells > dense).select("pair_id").distinct(), "pair_id", "left_semi")
+    found = candidates(large, chapters, semantic, cfg)
+    one = t.drop("block").dropDuplicates(["pair_id", "t_seq"]).filter(cells > dense)
+    rest = found.join(one, ["pair_id", "t_seq"]).join(g.drop("block"), ["target_doc_id", "g_seq"]).select(*_CELL, *_exact())
+    rows = _with_semantic(small.unionByName(rest), semantic)
+    return rows.withColumn("overall", _fused(cfg)).filter(is_strong(cfg))
+
+
+def _least_title(cfg: MappingConfig, semantic: str | DataFrame) -> float:
+    """The title similarity from which a cell of two levels can be strong, whatever its content and place."""
+    alone = (cfg.semantic - cfg.content_weight - cfg.position_weight) / cfg.title_weight if cfg.title_weight else 2.0
+    return min(alone, cfg.semantic) if isinstance(semantic, str) and semantic == "text" else alone
+
+
+def candidates(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame = "text", cfg: MappingConfig = CONFIG) -> DataFrame:
+    """pair_id, t_seq, g_seq of all cells that can be strong (and of some that are not), by equal keys, each once.
+
+    Of one level: cells whose places are near enough to count, by ranges of places; and of the others those that share a word of
+    their titles or contents. Of two levels: those that share a title word. Words go rarest first, and only as many of each set as
+    must hold a common one if the sets agree to the share that the bounds ask for. Titles that contain one another are found by the
+    shorter one's first two characters. Cells with a given score are candidates by that."""
+    spare = cfg.similarity - cfg.structure_weight  # what title, content and place must bring to a cell of one level
+    least = _least_title(cfg, semantic)
+    if spare <= 0 or least <= 0:
+        raise ValueError("with these weights every cell can be strong; use pair_scores")
+    known = features(chapters)
+    counts = chapters.groupBy("doc_id").agg(F.count("*").alias("n"))
+    asked = pairs.select("pair_id", "template_doc_id", "target_doc_id")
+    # of one level and near: |difference of places| < n - 1
+    place = known.select("doc_id", "seq", "level", "position")
+    width = F.greatest(F.col("n") - 1, F.lit(1))
+    sizes = with_template(asked, counts)
+    t = with_template(sizes, place.withColumnRenamed("seq", "t_seq")).withColumnRenamed("position", "at")
+    t = t.withColumn("bin", F.when(F.col("n") <= 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("at") / width) + d)))
+    t = t.select("pair_id", "target_doc_id", "n", "t_seq", "level", "at", F.explode("bin").alias("bin"))
+    g = sizes.join(place.select(F.col("doc_id").alias("target_doc_id"), F.col("seq").alias("g_seq"), "level", F.col("position").alias("g_at")), "target_doc_id")
+    g = g.select("pair_id", "g_seq", "level", "g_at", F.when(F.col("n") <= 1, F.lit(0).cast("long")).otherwise(F.floor(F.col("g_at") / width)).alias("bin"))
+    near = t.join(g, ["pair_id", "level", "bin"]).filter((F.col("n") <= 1) | (F.abs(F.col("at") - F.col("g_at")) < width)).select("pair_id", "t_seq", "g_seq")
+    # by shared words and contained titles
+    tokens = _tokens(known, pairs.select(F.col("template_doc_id").alias("doc_id")).distinct(), spare, least, cfg)
+    mine = with_template(asked, tokens.select("doc_id", F.col("seq").alias("t_seq"), F.col("level").alias("t_level"), F.col("kind"), F.col("token")))
+    other = tokens.select(F.col("doc_id").alias("target_doc_id"), F.col("seq").alias("g_seq"), F.col("level").alias("g_level"), F.translate("kind", "<>", "><").alias("kind"), "token")
+    apart = F.abs(F.col("t_level") - F.col("g_level"))
+    fits = F.when(F.col("kind").isin("s", "c"), apart == 0).when(F.col("kind") == "x", apart.between(1, 2)).otherwise(apart <= 2)
+    shared = mine.join(other, ["target_doc_id", "kind", "token"]).filter(fits).select("pair_id", "t_seq", "g_seq")
+    found = near.unionByName(shared)
+    if isinstance(semantic, DataFrame):
+        found = found.unionByName(semantic.select("pair_id", "t_seq", "g_seq").join(asked.select("pair_id"), "pair_id", "left_semi"))
+    return found.distinct()
+
+
+def _tokens(known: DataFrame, templates: DataFrame, spare: float, least: float, cfg: MappingConfig) -> DataFrame:
+    """doc_id, seq, level, kind and token. Kinds: s and x words of titles for cells of one and of two levels, c words of contents,
+    < what a title is looked for by inside others, > what it is found by."""
+    share = {"s": (spare / (2 * cfg.title_weight), "title_words"), "x": (least, "title_words"), "c": (spare / (2 * cfg.content_weight), "words")}
+    often = known.join(templates, "doc_id", "left_semi").select(F.explode(F.array_union("words", "title_words")).alias("token")).groupBy("token").agg(F.count("*").alias("often"))
+    parts = []
+    for kind, (least_share, column) in share.items():
+        size = F.size(column)
+        rows = known.select("doc_id", "seq", "level", (size - F.ceil(size * F.lit(min(1.0, least_share) - EPS)) + 1).alias("most"), F.explode(column).alias("token")).join(often, "token", "left")
+        rank = F.row_number().over(Window.partitionBy("doc_id", "seq").orderBy(F.coalesce("often", F.lit(0)), "token"))
+        parts.append(rows.withColumn("rank", rank).filter(F.col("rank") <= F.col("most")).select("doc_id", "seq", "level", F.lit(kind).alias("kind"), "token"))
+    clean = F.col("clean")
+    pieces = lambda n: F.when(F.length(clean) >= n, F.transform(F.sequence(F.lit(1), F.length(clean) - n + 1), lambda i: F.substring(clean, i, n))).otherwise(F.array().cast("array<string>"))
+    inside = known.select("doc_id", "seq", "level", F.lit("<").alias("kind"), F.xxhash64(F.substring(clean, 1, 2)).alias("token"))
+    around = F.explode(F.array_union(F.array_union(pieces(2), pieces(1)), F.array(F.lit(""))))
+    parts += [inside, known.select("doc_id", "seq", "level", F.lit(">").alias("kind"), around.alias("text")).select("doc_id", "seq", "level", "kind", F.xxhash64("text").alias("token"))]
+    return reduce(DataFrame.unionByName, parts)

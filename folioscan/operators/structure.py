@@ -42,5 +42,5 @@ def check_structure(documents: DataFrame, pairs: DataFrame, chapters: DataFrame,
 
 
 def structure_check(documents: DataFrame, pairs: DataFrame, chapters: DataFrame, cfg: S.MappingConfig = S.CONFIG) -> DataFrame:
-    scores = S.pair_scores(pairs, chapters, "text", cfg)
+    scores = S.strong_scores(pairs, chapters, "text", cfg)
     return check_structure(documents, pairs, chapters, M.map_chapters(pairs, chapters, scores, cfg))
