@@ -31,8 +31,9 @@ def clean_title(title: Column) -> Column:
 
 
 def keywords(text: Column, least: int = 2, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(text, NOT_WORD, " "), r"\p{Nd}+", " ")
-    return F.array_distinct(F.filter(F.split(bare, SPACE), lambda w: (F.length(w) >= least) & ~w.isin(*stop_words)))
+    """Words without digits and punctuation, which stand between them like spaces."""
+    runs = F.regexp_extract_all(text, F.lit(rf"[\p{{L}}\p{{Nl}}\p{{No}}_]{{{least},}}"), F.lit(0))
+    return F.array_distinct(F.filter(runs, lambda w: ~w.isin(*stop_words)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -5,7 +5,9 @@ from them inside each query, in both engines."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -645,7 +647,19 @@ def j6_content_results(spark, sf_dir):
 SELECT doc_id, seq, rule, severity FROM ch JOIN r ON regexp_matches(content, pattern)"""
 )
 def j8_regex_rules(spark, sf_dir):
-    own = spark.createDataFrame([("shout", "[A-Z]{4}", "info"), ("digits", "[0-9]{5}", "warning"), ("mail", "@", "critical")], "name string, pattern string, severity string")
+    """A rule that does not compile stops nothing."""
+    own = [("shout", "[A-Z]{4}", "info"), ("digits", "[0-9]{5}", None), ("mail", "@", "critical"), ("open", "[", "critical")]
+    return rules.regex_rule_violations(_chapters(spark, sf_dir)[1], spark.createDataFrame(own, "name string, pattern string, severity string"))
+
+
+_ITEM_RULES = "r AS (SELECT item_id, any_value(regexp_replace(substr(text, 1, 12), '[^A-Za-z ]', '.', 'g')) AS pattern FROM benchmark WHERE length(text) >= 12 GROUP BY item_id)"
+
+
+@query(f"WITH {CHAPTERS}, {_ITEM_RULES} SELECT doc_id, seq, CAST(item_id AS VARCHAR) AS rule, 'warning' AS severity FROM ch JOIN r ON regexp_matches(content, pattern)")
+def j8_item_rules(spark, sf_dir):
+    """A rule for the beginning of every benchmark item, so that the rules grow with their table."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("length(text) >= 12").groupBy("item_id").agg(F.first("text").alias("text"))
+    own = items.select(F.col("item_id").cast("string").alias("name"), F.regexp_replace(F.substring("text", 1, 12), "[^A-Za-z ]", ".").alias("pattern"), F.lit("warning").alias("severity"))
     return rules.regex_rule_violations(_chapters(spark, sf_dir)[1], own)
 
 
@@ -674,14 +688,17 @@ def k4_score_lines(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CHAPTERS}, c AS (SELECT doc_id, seq, CAST(seq + 1 AS INTEGER) AS candidate, (seq * 37 + doc_id) % 150 / 100::DOUBLE AS s FROM ch)
-SELECT doc_id AS request_id, candidate, least(1, s) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY least(1, s) DESC, seq) AS n FROM c) WHERE n = 1"""
+    f"""WITH {CHAPTERS}, c AS (SELECT doc_id, seq, CAST(seq + 1 AS INTEGER) AS candidate, (seq * 37 + doc_id) % 150 / 100::DOUBLE AS score FROM ch WHERE seq % 5 <> 4 AND seq % 7 <> 3 AND seq < 9)
+SELECT doc_id AS request_id, candidate, score, 'r' || seq AS reason FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, seq) AS n FROM c WHERE score > 0) WHERE n = 1"""
 )
 def k5_candidates(spark, sf_dir):
+    """Nine candidates a reply; among the lines are some that only mention a candidate, numbers beyond any count and lines without reason."""
     ch = _chapters(spark, sf_dir)[1]
-    said = F.concat(F.lit("候选"), F.col("seq") + 1, F.lit(": "), ((F.col("seq") * 37 + F.col("doc_id")) % 150 / 100).cast("string"), F.lit(" | 原因：x"))
-    replies = ch.groupBy(F.col("doc_id").alias("request_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", said.alias("s")))), lambda x: x["s"]), "\n").alias("text"))
-    return model_io.parse_candidates(replies)
+    line = F.concat(F.lit("候选"), F.col("seq") + 1, F.lit(": "), ((F.col("seq") * 37 + F.col("doc_id")) % 150 / 100).cast("string"))
+    noise = F.when(F.col("seq") % 5 == 4, F.concat(F.lit("见"), line, F.lit(" | 原因：x"))).when(F.col("seq") % 14 == 3, F.concat(F.lit("候选99999999999999999999: 0.9 | 原因："), "seq")).when(F.col("seq") % 7 == 3, line)
+    said = F.coalesce(noise, F.concat(F.lit("  "), line, F.lit(" | 原因： r"), "seq"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", said.alias("s")))), lambda x: x["s"]), "\n")
+    return model_io.parse_candidates(ch.groupBy(F.col("doc_id").alias("request_id")).agg(F.lit(9).alias("n_candidates"), text.alias("text")))
 
 
 @query(
@@ -735,7 +752,7 @@ def b8_chapter_images(spark, sf_dir):
     ch = _chapters(spark, sf_dir)[1]
     pages = D.html_from_chapters(ch)
     own = ch.select("doc_id", "seq", T.squeeze(F.col("title")).alias("title"), F.lit("none").alias("html_id"))
-    found = sections.chapter_images(own, html.html_regions(pages), html.html_images(pages), F.lit("http://x.org"))
+    found = sections.chapter_images(own, html.parsed(pages, "images", "regions"), F.lit("http://x.org"))
     return found.select("doc_id", "seq", "number", "url", "position")
 
 
@@ -791,10 +808,30 @@ def g9_validated_patterns(spark, sf_dir):
     return found.withColumns({"affected_levels": _listed("affected_levels"), "examples": _examples(), "confidence": F.round("confidence", 6)})
 
 
-@query("SELECT 'p' || page_id AS url, html FROM pages")
+@query("SELECT fmt, 'p' || page_id AS url, html FROM pages, (VALUES ('parquet'), ('json'), ('csv')) f(fmt)")
 def a1_read_pages(spark, sf_dir):
-    """The table of pages through the reader, with the page number as the address."""
-    return D.read_pages(spark, f"{sf_dir}/pages.parquet", url_column="page_id").select(F.concat(F.lit("p"), F.col("url").cast("string")).alias("url"), "html")
+    """The table of pages, written and read in every format: quotes and line ends come back as they were."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("url"), "html")
+    found = []
+    for fmt in ("parquet", "json", "csv"):
+        path = D.work_path(spark, f"pages-{fmt}")
+        D.write_result(pages, path, fmt=fmt)
+        found.append(D.read_pages(spark, path, fmt).select(F.lit(fmt).alias("fmt"), "url", "html"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    """SELECT CAST(count(*) FILTER (page_id % 3 <> 0 AND page_id % 5 <> 0) AS BIGINT) AS n_pages, CAST(count(*) FILTER (page_id % 3 = 0) AS BIGINT) AS n_broken,
+  CAST(count(*) FILTER (page_id % 3 <> 0 AND page_id % 5 = 0) AS BIGINT) AS n_without_url, 0 AS n_without_html FROM pages"""
+)
+def a1_a6_rejected(spark, sf_dir):
+    """Pages as lines of JSON, a third of them cut off and a fifth without address: what is no page is counted by reason."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    line = F.to_json(F.struct(F.when(F.col("page_id") % 5 != 0, F.col("url")).alias("url"), "html"))
+    path = D.work_path(spark, "lines")
+    pages.select(F.when(F.col("page_id") % 3 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    counts = D.load_counts(D.read_checked(spark, path, "json"))
+    return counts.agg(*[F.sum(c).alias(c) for c in counts.columns[1:]])
 
 
 @query(f"WITH {CHAPTERS}, {_DEPTHS.replace('depths', 'd0')}, anc AS (SELECT c.doc_id, c.seq, p.title, p.seq AS pseq FROM ch c JOIN ch p ON p.doc_id = c.doc_id AND p.seq < c.seq AND p.level < c.level WHERE NOT EXISTS (SELECT 1 FROM ch y WHERE y.doc_id = c.doc_id AND y.seq > p.seq AND y.seq < c.seq AND y.level <= p.level)), up AS (SELECT doc_id, seq, string_agg(title, ' > ' ORDER BY pseq) AS b FROM anc GROUP BY ALL) SELECT c.doc_id, c.seq, coalesce(b, '') AS breadcrumb FROM ch c LEFT JOIN up USING (doc_id, seq)")
@@ -860,6 +897,26 @@ def j6_rule_counts(spark, sf_dir):
     return rules.rule_counts(_violations(spark, sf_dir)[1])
 
 
+@query(
+    f"""WITH {CHAPTERS}, {_MARKED}, p AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), n AS (SELECT count(*) AS n FROM p),
+x AS (SELECT doc_id, rule, CASE WHEN rule = '{rules.LEVEL_RULE}' THEN 'critical' WHEN rule = '{rules.FENCE_RULE}' THEN 'info' ELSE 'warning' END AS severity FROM v)
+SELECT c.doc_id, c.n AS n_chapters, c.n * (3 + n.n) AS rules_checked, count(x.rule) AS n_violations, count(x.rule) FILTER (severity = 'critical') AS n_critical, count(x.rule) FILTER (severity = 'warning') AS n_warning,
+  count(x.rule) FILTER (severity = 'info') AS n_info FROM (SELECT doc_id, count(*) AS n FROM ch GROUP BY doc_id) c CROSS JOIN n LEFT JOIN x USING (doc_id) GROUP BY ALL"""
+)
+def a7_own_rules(spark, sf_dir):
+    """Rules from a file: three that are checked and one for each source; their severities come from it too."""
+    sources = [r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("source").distinct().collect() if r[0] is not None]
+    given = {"rules": {"own": [rules.TITLE_RULE, rules.LEVEL_RULE, rules.FENCE_RULE], "sources": sources}, "severity_levels": {"critical": [rules.LEVEL_RULE], "info": [rules.FENCE_RULE]}}
+    path = D.work_path(spark, "rules")
+    spark.createDataFrame([(json.dumps(given),)], "value string").coalesce(1).write.text(path)
+    own, severity = rules.read_rules(spark, f"{path}/*.txt")
+    ch, v = _violations(spark, sf_dir)
+    n_rules = own.count()
+    found = rules.content_results(ch, rules.with_severity(v.join(own.select("rule"), "rule", "left_semi"), severity))
+    checked = rules.chapter_results(ch, v, n_rules).groupBy("doc_id").agg(F.sum("rules_checked").alias("rules_checked"))
+    return found.join(checked, "doc_id").drop("passed")
+
+
 @query(
     f"""WITH {CHAPTERS}, {_MARKED}, r AS (SELECT * FROM (VALUES {', '.join(f"('{r}', '{c}')" for c, rs in rules.RULES.items() for r in rs)}) t(rule, category)), s AS (SELECT * FROM (VALUES {', '.join(f"('{r}', '{c}')" for c, rs in rules.SEVERITY.items() for r in rs)}) t(rule, severity))
 SELECT category, coalesce(severity, 'warning') AS severity, count(DISTINCT r.rule) AS n_rules FROM r LEFT JOIN s USING (rule) JOIN v USING (rule) GROUP BY ALL"""
@@ -880,8 +937,32 @@ def k2_k7_lists_and_answers(spark, sf_dir):
     return rows.select("doc_id", model_io.render_list(F.col("titles"), "T").alias("listed"), "n_yes")
 
 
-@query(f"WITH {CHAPTERS} SELECT DISTINCT t.title AS title1, g.title AS title2 FROM pairs JOIN ch t ON t.doc_id = template_doc_id JOIN ch g ON g.doc_id = target_doc_id AND g.seq = t.seq")
-def k8_title_pairs(spark, sf_dir):
+_CELLS = "cells AS (SELECT pair_id, t.seq AS t_seq, g.seq AS g_seq, t.title AS title1, g.title AS title2 FROM pairs JOIN ch t ON t.doc_id = template_doc_id JOIN ch g ON g.doc_id = target_doc_id)"
+
+
+def _cells(spark, sf_dir) -> DataFrame:
+    """All cells of all pairs with their titles."""
     _, ch, pairs = _chapters(spark, sf_dir)
-    t = S.with_template(pairs, ch.select("doc_id", "seq", F.col("title").alias("title1")))
-    return model_io.distinct_title_pairs(t.join(ch.select(F.col("doc_id").alias("target_doc_id"), "seq", F.col("title").alias("title2")), ["target_doc_id", "seq"]))
+    t = S.with_template(pairs, ch.select("doc_id", F.col("seq").alias("t_seq"), F.col("title").alias("title1")))
+    return t.join(ch.select(F.col("doc_id").alias("target_doc_id"), F.col("seq").alias("g_seq"), F.col("title").alias("title2")), "target_doc_id").select("pair_id", "t_seq", "g_seq", "title1", "title2")
+
+
+@query(f"WITH {CHAPTERS}, {_CELLS} SELECT DISTINCT title1, title2 FROM cells")
+def k8_title_pairs(spark, sf_dir):
+    return model_io.distinct_title_pairs(_cells(spark, sf_dir))
+
+
+@query(
+    f"""WITH {CHAPTERS}, {_CELLS}, known AS (SELECT DISTINCT title1, title2 FROM cells WHERE t_seq = g_seq), asked AS (SELECT DISTINCT title1, title2 FROM cells)
+SELECT title1, title2, k.title1 IS NOT NULL AS known, (length(a.title1) * 7 + length(a.title2)) % 100 / 100::DOUBLE + CASE WHEN k.title1 IS NULL THEN 1 ELSE 0 END AS score FROM asked a LEFT JOIN known k USING (title1, title2)"""
+)
+def k8_answers_over_runs(spark, sf_dir):
+    """A first run answers the title pairs of chapters in equal places, a second one all that is then open; neither asks twice."""
+    kept = model_io.Answers(spark, D.work_path(spark, "answers"))
+    cells, score = _cells(spark, sf_dir), (F.length("title1") * 7 + F.length("title2")) % 100 / F.lit(100.0)
+    first = kept.to_ask(cells.filter("t_seq = g_seq")).select("title1", "title2", score.alias("score"), F.lit("first").alias("reason"))
+    kept.save(first, "first")
+    second = kept.to_ask(cells).select("title1", "title2", (score + 1).alias("score"), F.lit("second").alias("reason"))
+    for _ in range(2):  # the second time changes nothing
+        kept.save(second, "second")
+    return kept.rows().select("title1", "title2", (F.col("run") == "first").alias("known"), "score")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def attach_descriptions(images: DataFrame, descriptions: DataFrame) -> DataFrame:
@@ -41,22 +47,42 @@ def truncate_at_lines(text: Column, most: int | Column) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(kept, notice))
 
 
-def split_chapters(chapters: DataFrame, most: int | Column, separator: str = "\n\n") -> DataFrame:
-    """A row per part: paragraphs fill a part up to most characters (separators not counted); an oversized one stays whole.
+def cut(text: str, most: int, separator: str) -> list[str]:
+    """Parts of a text: paragraphs while their lengths add up to at most ``most``, one at least. Sums of lengths are searched for the
+    last paragraph of each part, and a part is a stretch of the text, so nothing is built up piece by piece."""
+    parts = text.split(separator)
+    sums = list(accumulate(map(len, parts), initial=0))
+    out, at, k = [], 0, 0
+    while k < len(parts):
+        stop = max(k + 1, bisect_right(sums, sums[k] + most, k + 1) - 1)
+        size = sums[stop] - sums[k] + (stop - k - 1) * len(separator)
+        out.append(text[at : at + size])
+        at, k = at + size + len(separator), stop
+    return out
 
-    Chapters that fit are part 0 under their own title. A column images stays with the first part; other parts have none."""
-    kind = "array<struct<n:int,text:string>>"
 
-    def add(acc, p):
-        last = F.element_at(acc, -1)
-        new = (F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1))["n"] + F.length(p) > most)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct((last["n"] + F.length(p)).alias("n"), F.concat(last["text"], F.lit(separator), p).alias("text"))))
-        return F.when(new, F.concat(acc, F.array(F.struct(F.length(p).alias("n"), p.alias("text"))))).otherwise(grown).cast(kind)
+def split_chapters(chapters: DataFrame, most: int | Column, separator: str = "\n\n") -> DataFrame:
+    """A row per part: paragraphs fill a part up to most characters (separators not counted); an oversized one stays whole.
 
-    parts = F.transform(F.aggregate(F.split("content", separator, -1), F.array().cast(kind), add), lambda x: x["text"])
-    large = F.length("content") > most
+    Chapters that fit are part 0 under their own title; a null content is one of them. A column images stays with the first part;
+    other parts have none."""
     images = ["images"] if "images" in chapters.columns else []
-    rows = chapters.select("doc_id", "seq", "title", *images, large.alias("large"), F.posexplode(F.when(large, parts).otherwise(F.array("content"))).alias("i", "text"))
+    limit = F.lit(most) if isinstance(most, int) else most
+    rows = chapters.select("doc_id", "seq", "title", "content", limit.cast("long").alias("_most"), *images)
+    schema = T.StructType([*[f for f in rows.schema if f.name in ("doc_id", "seq", "title", "images")], T.StructField("large", T.BooleanType()), T.StructField("i", T.IntegerType()), T.StructField("text", T.StringType())])
+    kept = [f.name for f in schema][: -3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows_of, large, place, texts = [], [], [], []
+            for r, (text, limit) in enumerate(zip(b.column("content").to_pylist(), b.column("_most").to_pylist(), strict=True)):
+                big = text is not None and len(text) > limit
+                for i, part in enumerate(cut(text, limit, separator) if big else [text]):
+                    rows_of.append(r), large.append(big), place.append(i), texts.append(part)
+            at = pa.array(rows_of, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in kept], pa.array(large, pa.bool_()), pa.array(place, pa.int32()), pa.array(texts, pa.string())], [f.name for f in schema])
+
+    rows = rows.mapInArrow(run, schema)
     part = F.when(F.col("large"), F.col("i") + 1).otherwise(0)
     title = F.when(F.col("large"), F.concat("title", F.lit(" (第"), part.cast("string"), F.lit("部分)"))).otherwise(F.col("title"))
     own = [F.when(F.col("i") == 0, F.col("images")).otherwise(F.array().cast(rows.schema["images"].dataType)).alias("images") for _ in images]

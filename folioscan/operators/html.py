@@ -8,11 +8,10 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-BLOCKS = "doc_id long, parent_id int, idx int, ord int, tag string, text string, html_id string, images int"
-META = "doc_id long, title string, description string, author string, keywords array<string>, language string"
 
 
 class _Node:
@@ -71,7 +70,6 @@ class _Tree(HTMLParser):
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
-
     def ends(self) -> list[int]:
         """The last node below each node; nodes are numbered as they open."""
         out = list(range(len(self.nodes)))
@@ -124,79 +122,86 @@ def page_meta_of(tree: _Tree) -> tuple:
     return ("".join(titles[0].texts()).strip() if titles else "", found["description"], found["author"], found["keywords"], found["language"])
 
 
-def _arrow(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
-
-
-def html_blocks(pages: DataFrame) -> DataFrame:
-    """The elements of every parent that holds a heading: their order among each other (idx) and in the page (ord), tag, text, id."""
-    fields = [("doc_id", pa.int64()), ("parent_id", pa.int32()), ("idx", pa.int32()), ("ord", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("html_id", pa.string()), ("images", pa.int32())]
+def blocks_of(tree: _Tree) -> list[dict]:
+    """The elements of every parent that holds a heading."""
+    out = []
+    for parent in tree.nodes:
+        own = parent.elements()
+        if any(x.tag in HEADINGS for x in own):
+            for i, x in enumerate(own):
+                images = sum(isinstance(y, _Node) and y.tag == "img" and bool(y.attrs.get("src")) for y in [x, *x.children])
+                out.append({"parent_id": parent.ord, "idx": i, "ord": x.ord, "tag": x.tag, "text": x.text(), "html_id": x.attrs.get("id", ""), "images": images})
+    return out
+
+
+def images_of(tree: _Tree) -> list[dict]:
+    found = [n for n in tree.nodes if n.tag == "img"]
+    return [{"ord": n.ord, "src": n.attrs.get("src", ""), "alt_text": n.attrs.get("alt", ""), "title": n.attrs.get("title", ""), "context": image_context(n)} for n in found]
+
+
+def regions_of(tree: _Tree) -> list[dict]:
+    """The first element of each id, and for the first heading of each text the nearest section, article, div or body around it (the
+    heading itself if there is none), as ranges of ord."""
+    ends, ids, texts, out = tree.ends(), set(), set(), []
+    for n in tree.nodes[1:]:
+        if (own := n.attrs.get("id")) and own not in ids:
+            ids.add(own)
+            out.append({"html_id": own, "heading": None, "first": n.ord, "last": ends[n.ord]})
+        if n.tag in HEADINGS and (text := n.text()) not in texts:
+            texts.add(text)
+            box = n.parent
+            while box is not None and box.tag not in ("section", "article", "div", "body"):
+                box = box.parent
+            box = box or n
+            out.append({"html_id": None, "heading": text, "first": box.ord, "last": ends[box.ord]})
+    return out
+
+
+_INT, _TEXT = pa.int32(), pa.string()
+_BLOCK = pa.struct([("parent_id", _INT), ("idx", _INT), ("ord", _INT), ("tag", _TEXT), ("text", _TEXT), ("html_id", _TEXT), ("images", _INT)])
+_IMAGE = pa.struct([("ord", _INT), ("src", _TEXT), ("alt_text", _TEXT), ("title", _TEXT), ("context", _TEXT)])
+_REGION = pa.struct([("html_id", _TEXT), ("heading", _TEXT), ("first", _INT), ("last", _INT)])
+_META = pa.struct([("title", _TEXT), ("description", _TEXT), ("author", _TEXT), ("keywords", pa.list_(_TEXT)), ("language", _TEXT)])
+#: What a page gives: its form in Spark and in Arrow, and how it is taken from the tree.
+PARTS = {
+    "blocks": ("array<struct<parent_id:int,idx:int,ord:int,tag:string,text:string,html_id:string,images:int>>", pa.list_(_BLOCK), blocks_of),
+    "images": ("array<struct<ord:int,src:string,alt_text:string,title:string,context:string>>", pa.list_(_IMAGE), images_of),
+    "regions": ("array<struct<html_id:string,heading:string,first:int,last:int>>", pa.list_(_REGION), regions_of),
+    "meta": ("struct<title:string,description:string,author:string,keywords:array<string>,language:string>", _META, lambda tree: dict(zip([f.name for f in _META], page_meta_of(tree), strict=True))),
+}
+
+
+def parsed(pages: DataFrame, *parts: str) -> DataFrame:
+    """doc_id and, from one parse of each page, the parts that are asked for (all, if none is named) as nested columns: blocks, images,
+    regions, meta. A job that needs several writes this table once, or takes all it needs from one row of it. A null page is an empty
+    one; pages go one at a time, so a batch holds only their results."""
+    names = parts or tuple(PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, page in zip(b.column("doc_id").to_pylist(), b.column("html").to_pylist(), strict=True):
-                for parent in _Tree(page or "").nodes:
-                    own = parent.elements()
-                    if any(x.tag in HEADINGS for x in own):
-                        images = [sum(isinstance(y, _Node) and y.tag == "img" and bool(y.attrs.get("src")) for y in [x, *x.children]) for x in own]
-                        rows += [(doc, parent.ord, i, x.ord, x.tag, x.text(), x.attrs.get("id", ""), images[i]) for i, x in enumerate(own)]
-            yield _arrow(rows, fields)
+            trees = (_Tree(page or "") for page in b.column("html").to_pylist())
+            rows = [[PARTS[n][2](tree) for n in names] for tree in trees]
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, PARTS[n][1]) for n, c in zip(names, columns, strict=True)]], ["doc_id", *names])
 
-    return pages.select("doc_id", "html").mapInArrow(run, BLOCKS)
+    schema = ", ".join(["doc_id long", *[f"{n} {PARTS[n][0]}" for n in names]])
+    return pages.select(F.col("doc_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, schema)
 
 
-def page_meta(pages: DataFrame) -> DataFrame:
-    fields = [("doc_id", pa.int64()), ("title", pa.string()), ("description", pa.string()), ("author", pa.string()), ("keywords", pa.list_(pa.string())), ("language", pa.string())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield _arrow([(d, *page_meta_of(_Tree(p or ""))) for d, p in zip(b.column("doc_id").to_pylist(), b.column("html").to_pylist(), strict=True)], fields)
-
-    return pages.select("doc_id", "html").mapInArrow(run, META)
+def html_blocks(pages: DataFrame) -> DataFrame:
+    """The elements of every parent that holds a heading: their order among each other (idx) and in the page (ord), tag, text, id."""
+    return parsed(pages, "blocks").select("doc_id", F.inline("blocks"))
 
 
-IMAGES = "doc_id long, ord int, src string, alt_text string, title string, context string"
-REGIONS = "doc_id long, html_id string, heading string, first int, last int"
+def page_meta(pages: DataFrame) -> DataFrame:
+    return parsed(pages, "meta").select("doc_id", "meta.*")
 
 
 def html_images(pages: DataFrame) -> DataFrame:
     """Every image of a page in order, also those without source, which only count."""
-    fields = [("doc_id", pa.int64()), ("ord", pa.int32()), ("src", pa.string()), ("alt_text", pa.string()), ("title", pa.string()), ("context", pa.string())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc, page in zip(b.column("doc_id").to_pylist(), b.column("html").to_pylist(), strict=True):
-                rows += [(doc, n.ord, n.attrs.get("src", ""), n.attrs.get("alt", ""), n.attrs.get("title", ""), image_context(n)) for n in _Tree(page or "").nodes if n.tag == "img"]
-            yield _arrow(rows, fields)
-
-    return pages.select("doc_id", "html").mapInArrow(run, IMAGES)
+    return parsed(pages, "images").select("doc_id", F.inline("images"))
 
 
 def html_regions(pages: DataFrame) -> DataFrame:
-    """Where chapters may have their images, as a range of ord: the first element of each id, and for the first heading of each
-    text the nearest section, article, div or body around it (the heading itself if there is none)."""
-    fields = [("doc_id", pa.int64()), ("html_id", pa.string()), ("heading", pa.string()), ("first", pa.int32()), ("last", pa.int32())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc, page in zip(b.column("doc_id").to_pylist(), b.column("html").to_pylist(), strict=True):
-                tree = _Tree(page or "")
-                ends, ids, texts = tree.ends(), set(), set()
-                for n in tree.nodes[1:]:
-                    if (own := n.attrs.get("id")) and own not in ids:
-                        ids.add(own)
-                        rows.append((doc, own, None, n.ord, ends[n.ord]))
-                    if n.tag in HEADINGS and (text := n.text()) not in texts:
-                        texts.add(text)
-                        box = n.parent
-                        while box is not None and box.tag not in ("section", "article", "div", "body"):
-                            box = box.parent
-                        box = box or n
-                        rows.append((doc, None, text, box.ord, ends[box.ord]))
-            yield _arrow(rows, fields)
-
-    return pages.select("doc_id", "html").mapInArrow(run, REGIONS)
+    """Where chapters may have their images, as a range of ord."""
+    return parsed(pages, "regions").select("doc_id", F.inline("regions"))

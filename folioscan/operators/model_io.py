@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscan.operators.similarity import with_template
 
 #: Fixed value.
 SCORE_MARKER = "SIMILARITY_MATRIX:"
@@ -17,11 +18,16 @@ def render_list(items: Column, prefix: str) -> Column:
 
 
 def semantic_requests(pairs: DataFrame, chapters: DataFrame, small: int = 400, medium: int = 10_000, size: int = 10) -> DataFrame:
-    """pair_id, batch, template_titles, target_titles: one request for small pairs, batches of template titles for medium ones."""
-    titles = chapters.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "title"))), lambda x: x["title"]).alias("titles"))
-    rows = pairs.join(titles.select(F.col("doc_id").alias("template_doc_id"), F.col("titles").alias("t")), "template_doc_id").join(titles.select(F.col("doc_id").alias("target_doc_id"), F.col("titles").alias("g")), "target_doc_id")
-    cells = F.size("t") * F.size("g")
-    rows = rows.filter(cells <= medium).withColumn("step", F.when(cells <= small, F.size("t")).otherwise(size))
+    """pair_id, batch, template_titles, target_titles: one request for small pairs, batches of template titles for medium ones.
+
+    Pairs are counted first, so no titles are gathered for those above ``medium`` cells."""
+    counts = chapters.groupBy("doc_id").agg(F.count("*").alias("n"))
+    asked = with_template(pairs.select("pair_id", "template_doc_id", "target_doc_id"), counts.withColumnRenamed("n", "n_t"))
+    asked = asked.join(counts.select(F.col("doc_id").alias("target_doc_id"), F.col("n").alias("n_g")), "target_doc_id").filter(F.col("n_t") * F.col("n_g") <= medium)
+    ids = asked.select(F.explode(F.array("template_doc_id", "target_doc_id")).alias("doc_id")).distinct()
+    titles = chapters.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "title"))), lambda x: x["title"]).alias("titles"))
+    rows = with_template(asked, titles.withColumnRenamed("titles", "t")).join(titles.select(F.col("doc_id").alias("target_doc_id"), F.col("titles").alias("g")), "target_doc_id")
+    rows = rows.withColumn("step", F.when(F.col("n_t") * F.col("n_g") <= small, F.col("n_t")).otherwise(size).cast("int"))
     rows = rows.select("pair_id", "t", "g", "step", F.explode(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / F.col("step")).cast("int"))).alias("batch"))
     return rows.select("pair_id", "batch", F.slice("t", F.col("batch") * F.col("step") + 1, F.col("step")).alias("template_titles"), F.col("g").alias("target_titles"))
 
@@ -59,12 +65,21 @@ def parse_score_lines(replies: DataFrame) -> DataFrame:
 
 
 def parse_candidates(replies: DataFrame) -> DataFrame:
-    """The best candidate of each reply from lines '候选1: 0.9 | ...'; the first wins ties."""
-    pattern = r"候选(\d+):[\s]*([0-9]+(?:\.[0-9]+)?)"
-    rows = replies.select("request_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "said")).filter(F.rlike("said", F.lit(pattern)))
-    rows = rows.select("request_id", "line", F.regexp_extract("said", pattern, 1).cast("int").alias("candidate"), F.least(F.lit(1.0), F.regexp_extract("said", pattern, 2).cast("double")).alias("score"))
-    first = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "line"))
-    return rows.withColumn("_n", first).filter("_n = 1").select("request_id", "candidate", "score")
+    """request_id, candidate, score and reason: the best candidate of each reply from lines '候选1: 0.9 | 原因：...'.
+
+    replies: request_id, n_candidates and text. A line counts from its start, with a reason; candidates that were not asked about are
+    passed over, scores are taken as they are, and only one above 0 is an answer; the first wins ties. A score that is no number
+    ends the reply: what stood before it counts. Digits may be full-width."""
+    pattern = r"^候选(\p{Nd}+):[\s\p{Z}]*([\p{Nd}.]+)[\s\p{Z}]*\|[\s\p{Z}]*原因：(.+)"
+    rows = replies.select("request_id", "n_candidates", F.posexplode(F.split("text", "\n", -1)).alias("line", "said"))
+    rows = rows.withColumn("said", F.regexp_replace("said", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).filter(F.rlike("said", F.lit(pattern)))
+    part = lambda i: F.regexp_extract("said", pattern, i)
+    ascii_digits = lambda x: F.translate(x, "０１２３４５６７８９", "0123456789")
+    rows = rows.select("request_id", "n_candidates", "line", ascii_digits(part(1)).try_cast("long").alias("candidate"), ascii_digits(part(2)).try_cast("double").alias("score"), F.regexp_replace(part(3), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("reason"))
+    bad = F.min(F.when(F.col("score").isNull(), F.col("line"))).over(Window.partitionBy("request_id"))
+    rows = rows.withColumn("bad", bad).filter("bad is null or line < bad").filter("candidate between 1 and n_candidates and score > 0")
+    best = rows.groupBy("request_id").agg(F.max_by(F.struct("candidate", "score", "reason"), F.struct("score", -F.col("line"))).alias("x"))
+    return best.select("request_id", F.col("x.candidate").cast("int").alias("candidate"), "x.score", "x.reason")
 
 
 def parse_violations(replies: DataFrame) -> DataFrame:
@@ -90,3 +105,46 @@ def parse_yes_no(reply: Column) -> Column:
 
 def distinct_title_pairs(scores: DataFrame) -> DataFrame:
     return scores.select("title1", "title2").distinct()
+
+
+class Answers:
+    """Answers about pairs of titles (title1, title2, score, reason), kept over runs in a table at ``path``.
+
+    A run's answers are one partition of it, which a repeated run replaces as a whole: writers work beside the table and move the
+    partition in when all of it is there. A pair of titles has at most one answer, the first run's. Titles may be null."""
+
+    SCHEMA = "title1 string, title2 string, score double, reason string, run string"
+    KEYS = ("title1", "title2")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        """All answers; none if there is no table yet."""
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        there = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if there else self.spark.createDataFrame([], self.SCHEMA)
+
+    def _same(self, a: DataFrame, b: DataFrame) -> Column:
+        return a["title1"].eqNullSafe(b["title1"]) & a["title2"].eqNullSafe(b["title2"])
+
+    def to_ask(self, title_pairs: DataFrame) -> DataFrame:
+        """The pairs of titles, each once, that have no answer yet."""
+        asked, known = distinct_title_pairs(title_pairs), self.rows()
+        return asked.join(known, self._same(asked, known), "left_anti")
+
+    def save(self, answers: DataFrame, run: str) -> None:
+        """Adds the run's answers to pairs that other runs have not answered; of several to one pair the best, then the reason that
+        sorts first. A run that is saved again with the same answers changes nothing."""
+        best = answers.filter("score is not null").groupBy(*self.KEYS).agg(F.min(F.struct((-F.col("score")).alias("s"), "reason")).alias("x"))
+        best = best.select(*self.KEYS, (-F.col("x.s")).alias("score"), "x.reason")
+        others = self.rows().filter(F.col("run") != run)
+        fresh = best.join(others, self._same(best, others), "left_anti").withColumn("run", F.lit(run))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(self.path)
+
+    def scores(self, cells: DataFrame) -> DataFrame:
+        """pair_id, t_seq, g_seq, score of the cells (with title1 and title2) that have an answer, as pair_scores takes them. Cells of
+        one pair of titles, of which there may be many, are dealt by their own keys only after the join; the answer is one row."""
+        known = self.rows()
+        return cells.join(known, self._same(cells, known)).select("pair_id", "t_seq", "g_seq", "score")

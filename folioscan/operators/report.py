@@ -10,14 +10,17 @@ from folioscan.operators.rules import N_RULES
 from folioscan.operators.similarity import with_template
 
 
-def report(pairs: DataFrame, structure: DataFrame | None, content: DataFrame | None, outline: DataFrame) -> DataFrame:
-    """Figures of both checks and overall ones; a check that is off (None) counts nothing, passes and has similarity 100."""
+def report(pairs: DataFrame, structure: DataFrame | None, content: DataFrame | None, outline: DataFrame, rules_checked: int = N_RULES) -> DataFrame:
+    """Figures of both checks and overall ones; a check that is off (None) counts nothing, passes and has similarity 100.
+
+    ``rules_checked``: how many rules were held against each chapter. A pair without a structure row was not compared: it fails the
+    check with similarity 0; a target without a content row has no chapters and passes."""
     per_doc = outline.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("parent_seq").isNull()).alias("top"))
     rows = with_template(pairs, per_doc.select("doc_id", F.col("n").alias("template_chapters"), F.col("top").alias("n_top")), keep=True)
     rows = rows.join(per_doc.select(F.col("doc_id").alias("target_doc_id"), F.col("n").alias("total_chapters")), "target_doc_id", "left")
     if structure is not None:
         own = structure.select("pair_id", "n_missing", "n_extra", F.round(F.col("similarity") * 100, 1).alias("structure_similarity"), F.col("passed").alias("structure_passed"))
-        rows = rows.join(own, "pair_id", "left")
+        rows = rows.join(own, "pair_id", "left").fillna(False, ["structure_passed"])
     else:
         rows = rows.withColumns({"n_missing": F.lit(0), "n_extra": F.lit(0), "structure_similarity": F.lit(100.0), "structure_passed": F.lit(True), "n_top": F.lit(0)})
     kinds = ("n_critical", "n_warning", "n_info")
@@ -28,7 +31,7 @@ def report(pairs: DataFrame, structure: DataFrame | None, content: DataFrame | N
         rows = rows.withColumns({"n_violations": F.lit(0), **dict.fromkeys(kinds, F.lit(0)), "n_chapters": F.lit(0), "content_passed": F.lit(True)})
     rows = rows.fillna(0).fillna(True)
     issues = (F.col("n_missing") + F.col("n_violations")).cast("long")
-    checks = (F.col("n_top") + F.col("n_chapters") * N_RULES).cast("long")
+    checks = (F.col("n_top") + F.col("n_chapters") * rules_checked).cast("long")
     rate = F.when(checks > 0, F.round((checks - issues) / checks * 100, 1)).otherwise(100.0)
     return rows.select(
         "pair_id", issues.alias("total_issues"), checks.alias("total_checks"), rate.alias("pass_rate"), (F.col("structure_passed") & F.col("content_passed")).alias("overall_passed"), "structure_passed", "content_passed",

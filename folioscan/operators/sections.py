@@ -65,17 +65,20 @@ def sub_sections(blocks: DataFrame, skip_first: bool = True) -> DataFrame:
     )
 
 
-def chapter_images(chapters: DataFrame, regions: DataFrame, images: DataFrame, origin=None) -> DataFrame:
+def chapter_images(chapters: DataFrame, pages: DataFrame, origin=None) -> DataFrame:
     """doc_id, seq, number, url, alt_text, image_title, context, position: the images in the region of a chapter's id, or else of its
-    title. Chapters that share a container get all its images each. Numbers count images without source, which are left out."""
-    by_id = regions.filter("html_id is not null").select("doc_id", "html_id", F.struct("first", "last").alias("own"))
-    by_title = regions.filter("heading is not null").select("doc_id", F.col("heading").alias("title"), F.struct("first", "last").alias("around"))
-    rows = chapters.select("doc_id", "seq", "title", "html_id").join(by_id, ["doc_id", "html_id"], "left").join(by_title, ["doc_id", "title"], "left")
-    rows = rows.withColumn("at", F.coalesce("own", "around")).filter("at is not null").select("doc_id", "seq", "title", "at.first", "at.last")
-    rows = rows.join(images.withColumnRenamed("title", "image_title"), "doc_id").filter("ord between first and last")
-    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "seq").orderBy("ord"))).filter("src <> ''")
-    url = F.col("src") if origin is None else absolute_url(F.col("src"), origin)
-    return rows.select("doc_id", "seq", "number", url.alias("url"), "alt_text", "image_title", "context", F.concat("title", F.lit(" - 图片"), F.col("number").cast("string")).alias("position"))
+    title. Chapters that share a container get all its images each. Numbers count images without source, which are left out.
+
+    pages: doc_id, images and regions of html.parsed(), one row a page, so a page is parsed once and its images are never joined."""
+    rows = chapters.select("doc_id", "seq", "title", "html_id").join(pages.select("doc_id", "images", "regions"), "doc_id")
+    first = lambda cond: F.try_element_at(F.filter("regions", cond), F.lit(1))
+    at = F.coalesce(first(lambda r: r["html_id"] == F.col("html_id")), first(lambda r: r["heading"] == F.col("title")))
+    rows = rows.withColumn("at", at).filter("at is not null")
+    inside = F.filter("images", lambda i: i["ord"].between(F.col("at.first"), F.col("at.last")))
+    rows = rows.select("doc_id", "seq", F.col("title").alias("chapter"), F.posexplode(inside).alias("n", "i")).filter("i.src <> ''")
+    url = F.col("i.src") if origin is None else absolute_url(F.col("i.src"), origin)
+    number = F.col("n") + 1
+    return rows.select("doc_id", "seq", number.alias("number"), url.alias("url"), "i.alt_text", F.col("i.title").alias("image_title"), "i.context", F.concat("chapter", F.lit(" - 图片"), number.cast("string")).alias("position"))
 
 
 def page_chapters(blocks: DataFrame, skip_first: bool = True) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,18 +70,28 @@ def with_template(pairs: DataFrame, rows: DataFrame, salts: int = SALTS, keep: b
     return dealt.join(templates, ["template_doc_id", "salt"], "left" if keep else "inner").drop("salt")
 
 
-def _sides(pairs: DataFrame, chapters: DataFrame, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Template chapters for every pair and block of its target (t_ columns, n: how many the template has), target chapters with their
-    block (g_ columns), and the number of chapters per document."""
-    known = features(chapters)
+def by_cells(pairs: DataFrame, chapters: DataFrame, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
+    """The pairs of up to and of over ``dense`` cells; pairs without cells are in neither."""
+    counts = chapters.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    rows = with_template(pairs.select("pair_id", "template_doc_id", "target_doc_id"), counts)
+    rows = rows.join(counts.select(F.col("doc_id").alias("target_doc_id"), F.col("_n").alias("_g")), "target_doc_id")
+    fits = F.col("_n") * F.col("_g") <= dense
+    return rows.filter(fits).drop("_n", "_g"), rows.filter(~fits).drop("_n", "_g")
+
+
+def _sides(pairs: DataFrame, chapters: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Template chapters for every pair and block of its target (t_ columns, n: how many the template has), and target chapters with
+    their block (g_ columns)."""
     counts = chapters.groupBy("doc_id").agg(F.count("*").alias("n"))
-    blocks = counts.select(F.col("doc_id").alias("target_doc_id"), F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.col("n").alias("g_n"))
+    blocks = counts.select(F.col("doc_id").alias("target_doc_id"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     asked = pairs.select("pair_id", "template_doc_id", "target_doc_id").join(blocks, "target_doc_id")
-    t = known.join(counts, "doc_id").select("doc_id", "n", *[F.col(c).alias(f"t_{c}") for c in known.columns[1:]])
+    templates = features(chapters.join(pairs.select(F.col("template_doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    t = templates.join(counts, "doc_id").select("doc_id", "n", *[F.col(c).alias(f"t_{c}") for c in templates.columns[1:]])
     t = with_template(asked, t).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1
+    known = features(chapters)
     g = known.select(F.col("doc_id").alias("target_doc_id"), F.floor(number / block).cast("int").alias("block"), *[F.col(c).alias(f"g_{c}") for c in known.columns[1:]])
-    return t, g, counts
+    return t, g
 
 
 _SIMS = ["title_sim", "content_sim", "position_sim", "structure_sim"]
@@ -118,7 +126,7 @@ def pair_scores(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame
 
     semantic: 'text' takes the title similarity, 'none' 0, a DataFrame (pair_id, t_seq, g_seq, score) its scores. The join is
     on the target and blocks of ``block`` of its chapters, so a very long document is several tasks."""
-    t, g, _ = _sides(pairs, chapters, block)
+    t, g = _sides(pairs, chapters, block)
     rows = t.join(g, ["target_doc_id", "block"]).select(*_CELL, *_exact())
     return _with_semantic(rows, semantic).withColumn("overall", _fused(cfg))
 
@@ -135,19 +143,22 @@ def strong_scores(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFra
     A score is a mean of its parts and of the semantic score, so it is at most the larger of the two; from level and position, title
     words, and the sizes of word sets follows what it can reach. Pairs of up to ``dense`` cells (as many as one request may ask a
     model about) are joined by level, and words are compared where the bound leaves it open; larger ones by candidates()."""
-    t, g, counts = _sides(pairs, chapters, block)
-    cells = F.col("n") * F.col("g_n")
-    title, _, position, structure = _parts()
+    few, many = by_cells(pairs, chapters, dense)
+    t, g = _sides(few, chapters, block)
+    title, content, position, structure = _parts()
     apart = F.abs(F.col("t_level") - F.col("g_level"))
     ratio = F.coalesce(F.try_divide(F.least(F.size("t_words"), F.size("g_words")), F.greatest(F.size("t_words"), F.size("g_words"))), F.lit(0.0))
-    reach = base_score(title, ratio, position, structure, cfg)
-    reach = F.greatest(reach, title) if isinstance(semantic, str) and semantic == "text" else reach
-    bound = F.when(apart == 0, reach >= cfg.similarity - EPS).otherwise(reach >= cfg.semantic - EPS) if isinstance(semantic, str) else F.lit(True)
-    small = t.filter(cells <= dense).join(g, ["target_doc_id", "block"]).filter(apart <= 2).filter(bound).select(*_CELL, *_exact())
-    large = pairs.join(t.filter(cells > dense).select("pair_id").distinct(), "pair_id", "left_semi")
-    found = candidates(large, chapters, semantic, cfg)
-    one = t.drop("block").dropDuplicates(["pair_id", "t_seq"]).filter(cells > dense)
-    rest = found.join(one, ["pair_id", "t_seq"]).join(g.drop("block"), ["target_doc_id", "g_seq"]).select(*_CELL, *_exact())
+    # a generator, since a filter is not moved below one: what it tests is worked out once a cell
+    quick = F.inline(F.array(F.struct(title.alias("title_sim"), position.alias("position_sim"), structure.alias("structure_sim"), ratio.alias("ratio"))))
+    rows = t.join(g, ["target_doc_id", "block"]).filter(apart <= 2).select(*_CELL, "t_words", "g_words", quick)
+    if isinstance(semantic, str):
+        reach = base_score(F.col("title_sim"), F.col("ratio"), F.col("position_sim"), F.col("structure_sim"), cfg)
+        reach = F.greatest(reach, F.col("title_sim")) if semantic == "text" else reach
+        rows = rows.filter(reach >= F.when(F.col("structure_sim") == 1, cfg.similarity - EPS).otherwise(cfg.semantic - EPS))
+    small = rows.select(*_CELL, "title_sim", content.alias("content_sim"), "position_sim", "structure_sim")
+    own = chapters.join(many.select(F.explode(F.array("template_doc_id", "target_doc_id")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    t, g = _sides(many, own, 1 << 30)  # one block
+    rest = candidates(many, own, semantic, cfg).join(t, ["pair_id", "t_seq"]).join(g.drop("block"), ["target_doc_id", "g_seq"]).select(*_CELL, *_exact())
     rows = _with_semantic(small.unionByName(rest), semantic)
     return rows.withColumn("overall", _fused(cfg)).filter(is_strong(cfg))
 
@@ -169,11 +180,10 @@ def candidates(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame
     least = _least_title(cfg, semantic)
     if spare <= 0 or least <= 0:
         raise ValueError("with these weights every cell can be strong; use pair_scores")
-    known = features(chapters)
     counts = chapters.groupBy("doc_id").agg(F.count("*").alias("n"))
     asked = pairs.select("pair_id", "template_doc_id", "target_doc_id")
     # of one level and near: |difference of places| < n - 1
-    place = known.select("doc_id", "seq", "level", "position")
+    place = chapters.select("doc_id", "seq", "level", "position")
     width = F.greatest(F.col("n") - 1, F.lit(1))
     sizes = with_template(asked, counts)
     t = with_template(sizes, place.withColumnRenamed("seq", "t_seq")).withColumnRenamed("position", "at")
@@ -183,7 +193,7 @@ def candidates(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame
     g = g.select("pair_id", "g_seq", "level", "g_at", F.when(F.col("n") <= 1, F.lit(0).cast("long")).otherwise(F.floor(F.col("g_at") / width)).alias("bin"))
     near = t.join(g, ["pair_id", "level", "bin"]).filter((F.col("n") <= 1) | (F.abs(F.col("at") - F.col("g_at")) < width)).select("pair_id", "t_seq", "g_seq")
     # by shared words and contained titles
-    tokens = _tokens(known, pairs.select(F.col("template_doc_id").alias("doc_id")).distinct(), spare, least, cfg)
+    tokens = _tokens(features(chapters), pairs.select(F.col("template_doc_id").alias("doc_id")).distinct(), spare, least, cfg)
     mine = with_template(asked, tokens.select("doc_id", F.col("seq").alias("t_seq"), F.col("level").alias("t_level"), F.col("kind"), F.col("token")))
     other = tokens.select(F.col("doc_id").alias("target_doc_id"), F.col("seq").alias("g_seq"), F.col("level").alias("g_level"), F.translate("kind", "<>", "><").alias("kind"), "token")
     apart = F.abs(F.col("t_level") - F.col("g_level"))
@@ -198,17 +208,21 @@ def candidates(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame
 def _tokens(known: DataFrame, templates: DataFrame, spare: float, least: float, cfg: MappingConfig) -> DataFrame:
     """doc_id, seq, level, kind and token. Kinds: s and x words of titles for cells of one and of two levels, c words of contents,
     < what a title is looked for by inside others, > what it is found by."""
-    share = {"s": (spare / (2 * cfg.title_weight), "title_words"), "x": (least, "title_words"), "c": (spare / (2 * cfg.content_weight), "words")}
     often = known.join(templates, "doc_id", "left_semi").select(F.explode(F.array_union("words", "title_words")).alias("token")).groupBy("token").agg(F.count("*").alias("often"))
-    parts = []
-    for kind, (least_share, column) in share.items():
-        size = F.size(column)
-        rows = known.select("doc_id", "seq", "level", (size - F.ceil(size * F.lit(min(1.0, least_share) - EPS)) + 1).alias("most"), F.explode(column).alias("token")).join(often, "token", "left")
-        rank = F.row_number().over(Window.partitionBy("doc_id", "seq").orderBy(F.coalesce("often", F.lit(0)), "token"))
-        parts.append(rows.withColumn("rank", rank).filter(F.col("rank") <= F.col("most")).select("doc_id", "seq", "level", F.lit(kind).alias("kind"), "token"))
-    clean = F.col("clean")
+    clean, whole = F.col("clean"), F.lit(1 << 30)
     pieces = lambda n: F.when(F.length(clean) >= n, F.transform(F.sequence(F.lit(1), F.length(clean) - n + 1), lambda i: F.substring(clean, i, n))).otherwise(F.array().cast("array<string>"))
-    inside = known.select("doc_id", "seq", "level", F.lit("<").alias("kind"), F.xxhash64(F.substring(clean, 1, 2)).alias("token"))
-    around = F.explode(F.array_union(F.array_union(pieces(2), pieces(1)), F.array(F.lit(""))))
-    parts += [inside, known.select("doc_id", "seq", "level", F.lit(">").alias("kind"), around.alias("text")).select("doc_id", "seq", "level", "kind", F.xxhash64("text").alias("token"))]
-    return reduce(DataFrame.unionByName, parts)
+
+    def of(kind: str, tokens: Column, most: Column = whole) -> Column:
+        return F.transform(tokens, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("token"), most.cast("int").alias("most")))
+
+    def first(kind: str, words: str, share: float) -> Column:
+        return of(kind, F.col(words), F.size(words) - F.ceil(F.size(words) * F.lit(min(1.0, share) - EPS)) + 1)
+
+    around = F.array_union(F.array_union(pieces(2), pieces(1)), F.array(F.lit("")))
+    tokens = F.concat(
+        first("s", "title_words", spare / (2 * cfg.title_weight)), first("x", "title_words", least), first("c", "words", spare / (2 * cfg.content_weight)),
+        of("<", F.array(F.xxhash64(F.substring(clean, 1, 2)))), of(">", _hashes(around)),
+    )
+    rows = known.select("doc_id", "seq", "level", F.explode(tokens).alias("x")).select("doc_id", "seq", "level", "x.*").join(often, "token", "left")
+    rank = F.row_number().over(Window.partitionBy("doc_id", "seq", "kind").orderBy(F.coalesce("often", F.lit(0)), "token"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= F.col("most")).select("doc_id", "seq", "level", "kind", "token")

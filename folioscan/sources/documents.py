@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,16 +12,59 @@ from pyspark.sql import functions as F
 LEVELS = (1, 2, 3, 2, 4, 1, 3)
 
 
-def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """Pages (url, html) from Parquet, JSON or CSV, or one page per text file."""
+#: Why a record is not a page.
+BROKEN, NO_URL, NO_HTML = "broken record", "no address", "no page"
+
+
+def read_checked(spark: SparkSession, path: str, fmt: str = "parquet", url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """url, html, file, record and reason of every record of Parquet, JSON (a record a line), CSV (with a header; quoted fields may
+    hold quotes, doubled, and line ends) or text (a file a page). Columns are read as given, nothing is inferred. reason is null for
+    pages; a record that does not parse keeps its raw form in record."""
     if fmt == "text":
-        return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"))
-    rows = spark.read.format(fmt).options(header=True).load(path)
-    return rows.select(F.col(url_column).alias("url"), F.col(html_column).alias("html"))
+        rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"), F.lit(None).cast("string").alias("record"))
+    elif fmt in ("csv", "json"):
+        own = {"multiLine": True, "header": True, "enforceSchema": False, "quote": '"', "escape": '"'} if fmt == "csv" else {"encoding": "UTF-8"}
+        rows = spark.read.format(fmt).options(mode="PERMISSIVE", columnNameOfCorruptRecord="_record", **own)
+        names = spark.read.options(**own).csv(path).columns if fmt == "csv" else [url_column, html_column]
+        rows = rows.schema(", ".join([*[f"`{n}` string" for n in names], "_record string"])).load(path)
+        rows = rows.select(F.col(f"`{url_column}`").alias("url"), F.col(f"`{html_column}`").alias("html"), F.col("_record").alias("record"))
+    else:
+        rows = spark.read.format(fmt).load(path).select(F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"), F.lit(None).cast("string").alias("record"))
+    reason = F.when(F.col("record").isNotNull(), BROKEN).when(F.coalesce("url", F.lit("")) == "", NO_URL).when(F.col("html").isNull(), NO_HTML)
+    return rows.select("url", "html", F.input_file_name().alias("file"), "record", reason.alias("reason"))
+
+
+def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """Pages (url, html); other records are in rejected()."""
+    return read_checked(spark, path, fmt, url_column, html_column).filter("reason is null").select("url", "html")
+
+
+def rejected(records: DataFrame) -> DataFrame:
+    """file, url, record and reason of the records of read_checked() that are no pages."""
+    return records.filter("reason is not null").select("file", "url", "record", "reason")
+
+
+def load_counts(records: DataFrame) -> DataFrame:
+    """Per file: pages, and rejected records by reason."""
+    by = {"n_pages": F.col("reason").isNull(), "n_broken": F.col("reason") == BROKEN, "n_without_url": F.col("reason") == NO_URL, "n_without_html": F.col("reason") == NO_HTML}
+    return records.groupBy("file").agg(*[F.count_if(c).alias(n) for n, c in by.items()])
 
 
 def write_result(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
-    df.write.partitionBy(*(partition_by or [])).format(fmt).save(path)
+    own = {"header": True, "quote": '"', "escape": '"'} if fmt == "csv" else {}
+    df.write.partitionBy(*(partition_by or [])).format(fmt).options(**own).save(path)
+
+
+def work_path(spark: SparkSession, what: str) -> str:
+    """A new path for a table that a job keeps for itself, in the folder that driver and executors share; a local session without one
+    gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def filter_min_length(pages: DataFrame, least: int = 100) -> DataFrame:

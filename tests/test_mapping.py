@@ -163,7 +163,7 @@ def test_images_of_chapters(spark):
     <section id="s"><img src="//c/d.png"></section><h1 id="s">B</h1><p>text</p></body>"""
     pages = spark.createDataFrame([(1, page), (2, None)], "doc_id long, html string")
     own = spark.createDataFrame([(1, 0, "A", ""), (1, 1, "B", "s"), (1, 2, "none", "")], "doc_id long, seq int, title string, html_id string")
-    rows = sections.chapter_images(own, html.html_regions(pages), html.html_images(pages), F.lit("http://h")).orderBy("seq", "number").collect()
+    rows = sections.chapter_images(own, html.parsed(pages), F.lit("http://h")).orderBy("seq", "number").collect()
     assert [(x.seq, x.number, x.url, x.position) for x in rows] == [(0, 1, "http://h/a.png", "A - 图片1"), (0, 3, "http://h/b.png", "A - 图片3"), (1, 1, "http://c/d.png", "B - 图片1")]
     assert rows[0].context == "before the picture | after it" and rows[1].context == "caption | caption" and rows[1].image_title == "t"
 
