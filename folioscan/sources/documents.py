@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 LEVELS = (1, 2, 3, 2, 4, 1, 3)
 
 
+#: What stands for null in CSV, so that an empty text comes back as one.
+NULL = "\\N"
 #: Why a record is not a page.
 BROKEN, NO_URL, NO_HTML = "broken record", "no address", "no page"
 
@@ -23,7 +25,7 @@ def read_checked(spark: SparkSession, path: str, fmt: str = "parquet", url_colum
     if fmt == "text":
         rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"), F.lit(None).cast("string").alias("record"))
     elif fmt in ("csv", "json"):
-        own = {"multiLine": True, "header": True, "enforceSchema": False, "quote": '"', "escape": '"'} if fmt == "csv" else {"encoding": "UTF-8"}
+        own = {"multiLine": True, "header": True, "enforceSchema": False, "quote": '"', "escape": '"', "nullValue": NULL} if fmt == "csv" else {"encoding": "UTF-8"}
         rows = spark.read.format(fmt).options(mode="PERMISSIVE", columnNameOfCorruptRecord="_record", **own)
         names = spark.read.options(**own).csv(path).columns if fmt == "csv" else [url_column, html_column]
         rows = rows.schema(", ".join([*[f"`{n}` string" for n in names], "_record string"])).load(path)
@@ -51,7 +53,7 @@ def load_counts(records: DataFrame) -> DataFrame:
 
 
 def write_result(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
-    own = {"header": True, "quote": '"', "escape": '"'} if fmt == "csv" else {}
+    own = {"header": True, "quote": '"', "escape": '"', "nullValue": NULL} if fmt == "csv" else {}
     df.write.partitionBy(*(partition_by or [])).format(fmt).options(**own).save(path)
 
 
