@@ -80,6 +80,15 @@ def placed(df: DataFrame, groups: Sequence[str], order: Sequence[str], what: str
     return found
 
 
+def spread_join(rows: DataFrame, one: DataFrame, key: str, hot: int = 1000) -> DataFrame:
+    """rows joined with ``one``, which has a row for each key. Keys that hold over a ``hot``-th of the rows, so at most ``hot`` keys,
+    are joined with a broadcast of their rows of ``one`` and stay where they are; the others are shuffled. rows are read three times."""
+    least = max(1, rows.count() // hot)
+    crowded = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(key)
+    there = F.broadcast(one.join(crowded, key, "left_semi"))
+    return rows.join(there, key).unionByName(rows.join(F.broadcast(crowded), key, "left_anti").join(one, key))
+
+
 def small_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
     """Bounds what one Arrow batch holds, for tables in which some texts are very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -248,7 +248,8 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_by
     empty = [F.lit(0).cast("long"), F.array().cast("array<struct<start:long,end:long>>"), F.array().cast("array<string>")]
     names = [x.split(" ")[0] for x in ADDED.split(", ")]
     texts = [c for c in docs.columns if c == "text" or c.lower() not in (*names, "text")]  # a column TEXT beside text is left out
-    found = only(docs, *texts).select(*texts, *[e.alias(n) for n, e in zip(names, empty, strict=True)])
+    own = [t if t == "text" else f"_{i}" for i, t in enumerate(texts)]  # names may clash but for case; they come back at the end
+    found = only(docs, *texts).toDF(*own).select("*", *[e.alias(n) for n, e in zip(names, empty, strict=True)])
     last = None
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
@@ -261,7 +262,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_by
             if last:
                 last.drop()
             found, last = held.rows, held
-    return found
+    return found.toDF(*texts, *names)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -283,7 +284,7 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    rows = verdicts(found)
+    rows = verdicts(only(found, "doc_id", "n_words", "spans", "items"))  # other columns may clash with these but for case
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 

@@ -14,25 +14,30 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from folioscan.llm.common import as_bytes, is_held_out, pick, small_batches
+from folioscan.llm.common import as_bytes, is_held_out, pick, small_batches, stored
 
 HIDDEN = 12
-WINDOW = 192
+WINDOW = 2048
 CONTEXT = 64
 PER_LANG = 400
 SNIPPET = 600
-LETTER = re.compile(r"[^\W\d_]")
+MOST_ROWS = 24_000
 UNKNOWN = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter; numerals such as a half or a Roman one are none."""
+    return text is not None and any(map(str.isalpha, text))
+
+
 def _sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -201,28 +206,31 @@ class ByteGRU:
             np.add.at(out, d, self.windows(x, here, context).T)
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, snippet: int = SNIPPET) -> ByteGRU | None:
-    """Trains on documents that are not held out; None if no document has a language. At most 3 * per_lang stretches of a
-    language come to the driver."""
+def fit(docs: DataFrame, per_lang: int = PER_LANG, snippet: int = SNIPPET, most: int = MOST_ROWS) -> ByteGRU | None:
+    """Trains on documents that are not held out; None if no document has a language. At most ``per_lang`` stretches of a language, and
+    ``most`` in all (or one of each language, if there are more of these), come to the driver.
+
+    Rows are drawn by the hash of id and text, as many of each language as it may have, and the smallest hash of each always; copies
+    of a row count once."""
     rows = pick(docs, doc_id="long", text="string", lang="string")
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id"), 3, 1) & (F.length("text") > 0))
-    counts = rows.groupBy("lang").count().collect()  # a row per language
-    if not counts:
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")), "languages")
+    names = counts.rows.count()
+    if not names:
         return None
-    names = sorted(r["lang"] for r in counts)
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(2.0 * per_lang / r["count"])) for r in counts])
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - snippet, F.lit(1)))
-    some = rows.filter(drawn < share).select("doc_id", "lang", F.substring("text", start.cast("int"), F.lit(snippet)).alias("text"))
+    each = max(1, min(per_lang, most // names))
+    drawn = F.pmod("h", F.lit(1 << 20)) / float(1 << 20) < 2.0 * each / F.col("n")
+    start = 1 + F.pmod(F.xxhash64("h", F.lit(1)), F.greatest(F.length("text") - snippet, F.lit(1)))
     small_batches(docs.sparkSession)
-    got = some.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(3 * per_lang * len(names)).collect()  # bounded
-    texts, labels, used = [], [], dict.fromkeys(names, 0)
-    for r in got:
-        if used[r["lang"]] < per_lang:
-            used[r["lang"]] += 1
-            texts.append(r["text"].encode("utf-8", "surrogatepass"))
-            labels.append(names.index(r["lang"]))
-    return ByteGRU(names).train(texts, np.array(labels))
+    some = rows.join(counts.rows, "lang").filter(drawn | (F.col("h") == F.col("least")))
+    some = some.select("lang", "h", F.substring("text", start.cast("int"), F.lit(snippet)).alias("text")).dropDuplicates(["lang", "h"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))  # about 2 * each rows a language
+    got = some.withColumn("rank", rank).filter(F.col("rank") <= each).orderBy("lang", "rank").collect()
+    counts.drop()
+    langs = sorted({r["lang"] for r in got})
+    place = {lang: k for k, lang in enumerate(langs)}
+    return ByteGRU(langs).train([r["text"].encode("utf-8", "surrogatepass") for r in got], np.array([place[r["lang"]] for r in got]))
 
 
 def label(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
@@ -233,7 +241,7 @@ def label(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, net = b.column("text").to_pylist(), sent.value
-            lettered = [net is not None and t is not None and LETTER.search(t) is not None for t in texts]
+            lettered = [net is not None and has_letter(t) for t in texts]
             prob = net.documents([r if ok else b"" for r, ok in zip(as_bytes(texts), lettered, strict=True)]) if net is not None else np.zeros((len(texts), 1))
             at = prob.argmax(1)
             names = [net.langs[k] if ok else UNKNOWN for k, ok in zip(at, lettered, strict=True)]

@@ -126,8 +126,9 @@ class BoostedTrees:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> BoostedTrees:
-    """Trees from at most ``max_rows`` labelled rows, those with the smallest hash of doc_id, none of them held out."""
+    """Trees from at most ``max_rows`` labelled rows that have a document, those with the smallest hash of doc_id, none held out."""
     marks = pick(labels, doc_id="long", quality="int").filter("doc_id is not null and quality in (0, 1)")
+    marks = marks.join(pick(docs, doc_id="long"), "doc_id", "left_semi")  # labels without documents take no place
     marks = marks.filter(~is_held_out(F.col("doc_id"), 4, 2)).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
     marks = marks.groupBy("doc_id").agg(F.collect_list("quality").alias("marks"))
 

@@ -54,3 +54,9 @@ def test_cut_and_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.search(spark.createDataFrame([], "doc_id long, text string"), bench).count() == 0
     assert D.verdicts(D.search(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), bench)).first().n_hit == 0
+
+
+def test_columns_that_clash_but_for_case(spark):
+    docs = spark.createDataFrame([(1, "a b c", 9, "x", "y"), (2, None, 9, "x", "y")], "doc_id long, text string, Doc_Id long, TEXT string, Spans string")
+    items = spark.createDataFrame([("i", "b")], "item_id string, text string")
+    assert sorted((r[0], r[1], r[2]) for r in D.digest(D.search(docs, items)).collect()) == [(1, 3, 1), (2, 0, 0)]

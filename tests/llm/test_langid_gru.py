@@ -64,3 +64,21 @@ def test_edges(spark):
 def test_every_language_is_learnt(spark):
     rows = [(i, f"text of language {i % 70}", f"l{i % 70:02}", "", "") for i in range(420)] + [(i, "rare words", "rare", "", "") for i in range(1000, 1006)]
     assert L.fit(spark.createDataFrame(rows, SCHEMA)).langs == [*(f"l{i:02}" for i in range(70)), "rare"]
+
+
+def test_a_language_of_one_repeated_id_and_many_languages(spark):
+    rows = [(7, f"ein Satz {i} hier", "one", "", "") for i in range(3000)] + [(i, "la phrase", "two", "", "") for i in range(100, 200)] + [(8, "copy", "copies", "", "")] * 500
+    net = L.fit(spark.createDataFrame(rows, SCHEMA), per_lang=20)
+    assert net.langs == ["copies", "one", "two"]
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i % 3000:04}", "", "") for i in range(9000)], SCHEMA)
+    counted = []
+    L.ByteGRU.train, kept = lambda self, texts, labels: counted.append(np.bincount(labels)) or self, L.ByteGRU.train
+    try:
+        assert len(L.fit(many, most=6000).langs) > 2800  # the others have held-out rows only
+    finally:
+        L.ByteGRU.train = kept
+    assert counted[0].max() <= 2 and counted[0].min() == 1
+
+
+def test_numerals_are_no_letters(spark):
+    assert [L.has_letter(t) for t in (None, "", "½ 10²", "①Ⅷ", "_-", "é", "1a", "語")] == [False] * 5 + [True] * 3

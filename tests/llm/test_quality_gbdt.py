@@ -40,3 +40,10 @@ def test_edges(spark):
     assert len(got) == 5 and all(r.score == 0.5 and r.predicted == 0 for r in got)
     marked = spark.createDataFrame([(1, 1, ""), (None, 1, ""), (7, 0, ""), (2, None, ""), (1, 5, "")], marks)
     assert len(Q.classify(spark.createDataFrame(rows, docs), marked).collect()) == 5
+
+
+def test_labels_without_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, "good words here " * 9 if i % 2 else "!!" * 40) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40_000)], "doc_id long, quality int")
+    got = Q.classify(docs, labels, max_rows=200).collect()
+    assert sum((r.score > 0.5) == (r.doc_id % 2 == 1) for r in got) == 400
