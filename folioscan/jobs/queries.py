@@ -800,7 +800,7 @@ def d3_outline_status(spark, sf_dir):
     f"""{_MERGED}, lv AS (SELECT pair_id, pattern_type, unnest(levels) AS level FROM merged WHERE pattern_type IN ('insertion', 'deletion')),
 grown AS (SELECT lv.pair_id, pattern_type, sum(coalesce(g.n, 0)) - sum(coalesce(t.n, 0)) AS d FROM lv JOIN pairs p USING (pair_id) LEFT JOIN per t ON t.doc_id = p.template_doc_id AND t.level = lv.level LEFT JOIN per g ON g.doc_id = p.target_doc_id AND g.level = lv.level GROUP BY ALL)
 SELECT pair_id, pattern_type, array_to_string(levels, ',') AS affected_levels, round(confidence, 6) AS confidence, CAST(offset_value AS BIGINT) AS offset_value, array_to_string(ex, ',') AS examples, said AS description, CAST(rank AS INTEGER) AS rank,
-  confidence >= 0.3 AND CASE pattern_type WHEN 'offset' THEN offset_value <> 0 AND len(ex) >= 2 WHEN 'insertion' THEN d > 0 WHEN 'deletion' THEN d < 0 ELSE true END AS valid FROM merged LEFT JOIN grown USING (pair_id, pattern_type)"""
+  confidence >= 0.3 AND CASE pattern_type WHEN 'offset' THEN offset_value <> 0 AND len(ex) >= 2 AND len(list_filter(ex, lambda e: CAST(string_split(string_split(e, '>')[2], '.')[-1] AS BIGINT) - CAST(string_split(string_split(e, '>')[1], '.')[-1] AS BIGINT) <> offset_value)) = 0 WHEN 'insertion' THEN d > 0 WHEN 'deletion' THEN d < 0 ELSE true END AS valid FROM merged LEFT JOIN grown USING (pair_id, pattern_type)"""
 )
 def g9_validated_patterns(spark, sf_dir):
     _, ch, pairs = _chapters(spark, sf_dir)

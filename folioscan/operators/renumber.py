@@ -1,106 +1,174 @@
 """Patterns of renumbered chapters between a template and a target, per pair and level.
 
-All patterns start from numbered(): the chapters of both sides whose titles hold a number. Offsets are counted from
-histograms of (depth, last number), so no product of chapters is formed. Examples are (template number, target number);
-those of insertions and deletions are the smallest numbers."""
+All patterns start from numbered(): for each pair and level the numbered chapters of both sides, in one row. A document's chapters
+are gathered once; templates, which are few and serve many pairs, are salted; and one pass over the rows finds all patterns. Offsets
+are counted from histograms of (depth, last number), so no product of chapters is formed. Examples are (template number, target
+number); those of insertions and deletions are the smallest numbers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions.titles import number_sequence
+from folioscan.operators.similarity import with_template
 
 KEYS = ["pair_id", "level"]
 COLUMNS = [*KEYS, "pattern_type", "offset_value", "confidence", "examples", "description"]
 #: Types in the order in which a level's patterns are looked for.
 TYPES = ("offset", "reorder", "insertion", "deletion", "mixed")
 EXAMPLES, MERGED_EXAMPLES = 3, 5
-
-
-def _example(t: Column, g: Column) -> Column:
-    return F.struct(t.alias("t"), g.alias("g"))
-
-
-def _first(rows: DataFrame, keys: list[str], order: list[str], example: Column, most: int = EXAMPLES) -> DataFrame:
-    """The first examples of each key; at most ``most`` rows of a key are gathered."""
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    few = rows.withColumn("_i", number).filter(F.col("_i") <= most).groupBy(*keys)
-    return few.agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", example.alias("e")))), lambda x: x["e"]).alias("examples"))
+#: The fewest numbers a side must have, and the least confidence, by type.
+LEAST = {"offset": (2, 0.6), "reorder": (3, 0.3), "insertion": (2, 0.1), "deletion": (2, 0.1)}
+FOUND = "pair_id long, level int, pattern_type string, offset_value long, confidence double, examples array<struct<t:string,g:string>>, description string"
+_EXAMPLES = pa.list_(pa.struct([("t", pa.string()), ("g", pa.string())]))
+_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.float64(), _EXAMPLES, pa.string()]
+#: From so many differences on, they are counted by numpy.
+_MANY = 4096
 
 
 def numbered(pairs: DataFrame, chapters: DataFrame) -> DataFrame:
-    """pair_id, side ('t' or 'g'), level, seq, nums, last, depth, number (the dotted text)."""
-    nums = number_sequence(F.col("title"))
-    known = chapters.select("doc_id", "level", "seq", nums.alias("nums")).filter("nums is not null")
-    sides = [pairs.select("pair_id", F.col(c).alias("doc_id"), F.lit(s).alias("side")) for s, c in (("t", "template_doc_id"), ("g", "target_doc_id"))]
-    rows = sides[0].unionByName(sides[1]).join(known, "doc_id")
-    return rows.select("pair_id", "side", "level", "seq", "nums", F.element_at("nums", -1).alias("last"), F.size("nums").alias("depth"), F.array_join(F.col("nums").cast("array<string>"), ".").alias("number"))
-
-
-def level_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*KEYS).agg(F.count_if(F.col("side") == "t").alias("n_t"), F.count_if(F.col("side") == "g").alias("n_g"))
+    """pair_id, level, t and g: the numbered chapters (seq and nums) of the template and of the target at that level, in order. Levels
+    at which a side has none are left out."""
+    known = chapters.select("doc_id", F.col("level").cast("int").alias("level"), "seq", number_sequence(F.col("title")).alias("nums")).filter("nums is not null and level is not null")
+    known = known.groupBy("doc_id", "level").agg(F.array_sort(F.collect_list(F.struct("seq", "nums"))).alias("t"))
+    rows = with_template(pairs.select("pair_id", "template_doc_id", "target_doc_id"), known)
+    return rows.join(known.select(F.col("doc_id").alias("target_doc_id"), "level", F.col("t").alias("g")), ["target_doc_id", "level"]).select(*KEYS, "t", "g")
+
+
+def _text(nums: list[int]) -> str:
+    return ".".join(map(str, nums))
+
+
+def differences(t: list[int], g: list[int]) -> Counter:
+    """How often each difference of a number of g and one of t occurs, from the numbers' own counts."""
+    one, two, found = Counter(t), Counter(g), Counter()
+    if len(one) * len(two) > _MANY and max(map(abs, (*one, *two))) < 1 << 61:
+        b, m = np.array(list(two), np.int64), np.array(list(two.values()), np.int64)
+        for a, n in one.items():
+            found.update(dict(zip((b - a).tolist(), (m * n).tolist(), strict=True)))
+        return found
+    for a, n in one.items():
+        for b, m in two.items():
+            found[b - a] += n * m
+    return found
+
+
+def offset_of(t: list[tuple], g: list[tuple], least: int, share: float) -> tuple | None:
+    """(offset, confidence, examples): the most frequent difference of last numbers over pairs of equal depth, unless it is 0; of
+    equally frequent ones the first that occurs."""
+    if len(t) < least or len(g) < least:
+        return None
+    sides: dict[int, tuple[list, list]] = {}
+    for k, rows in enumerate((t, g)):
+        for seq, nums in rows:
+            sides.setdefault(len(nums), ([], []))[k].append((nums[-1], seq, nums))
+    counts = Counter()
+    for one, two in sides.values():
+        if one and two:
+            counts.update(differences([x[0] for x in one], [x[0] for x in two]))
+    if not counts:
+        return None
+    most, total = max(counts.values()), sum(counts.values())
+    # the first chapters of each number, by depth: enough to see which of the offsets comes first, and for the examples
+    early = {}
+    for depth, (one, two) in sides.items():
+        early[depth] = ([], {})
+        seen = Counter()
+        for last, seq, nums in one:
+            if seen[last] < EXAMPLES:
+                early[depth][0].append((seq, last, nums))
+                seen[last] += 1
+        for last, seq, nums in two:
+            held = early[depth][1].setdefault(last, [])
+            if len(held) < EXAMPLES:
+                held.append((seq, nums))
+
+    def met(offset: int) -> list[tuple]:
+        """(seq, seq, nums, nums) of its first pairs."""
+        pairs = [(a, b, x, y) for one, two in early.values() for a, last, x in one for b, y in two.get(last + offset, ())]
+        return sorted(pairs, key=lambda p: p[:2])[:EXAMPLES]
+
+    tied = [k for k, n in counts.items() if n == most]
+    best = min(tied, key=lambda k: met(k)[0][:2]) if len(tied) > 1 else tied[0]
+    if best == 0 or most / total < share:
+        return None
+    return best, most / total, [(_text(x), _text(y)) for _, _, x, y in met(best)]
+
+
+def reorder_of(t: list[tuple], g: list[tuple], least: int, share: float) -> tuple | None:
+    """(confidence, examples): the same last numbers in another order; confidence is the share of places that keep theirs."""
+    one, two = [x[1][-1] for x in t], [x[1][-1] for x in g]
+    if len(one) < least or len(one) != len(two) or one == two or Counter(one) != Counter(two):
+        return None
+    moved = [(str(a), str(b)) for a, b in zip(one, two, strict=True) if a != b]
+    confidence = 1.0 - len(moved) / len(one)
+    return (confidence, moved[:EXAMPLES]) if confidence >= share else None
+
+
+def new_numbers(here: list[tuple], there: list[tuple], least: int, share: float) -> tuple | None:
+    """(confidence, how many, smallest): numbers of the longer side that the other lacks, by its distinct numbers."""
+    if len(here) <= len(there) or len(there) < least:
+        return None
+    own, other = {tuple(x[1]) for x in here}, {tuple(x[1]) for x in there}
+    new = own - other
+    return (len(new) / len(own), len(new), [_text(x) for x in sorted(new)[:EXAMPLES]]) if new and len(new) / len(own) >= share else None
+
+
+def patterns_of(level: int, t: list[tuple], g: list[tuple], least: dict[str, tuple[int, float]]) -> Iterator[tuple]:
+    """Type, offset, confidence, examples and description of the patterns of one level, of the types in ``least``."""
+    if "offset" in least and (x := offset_of(t, g, *least["offset"])):
+        yield "offset", x[0], x[1], x[2], f"H{level} 章节编号整体偏移 {'+' if x[0] > 0 else ''}{x[0]}"
+    if "reorder" in least and (x := reorder_of(t, g, *least["reorder"])):
+        yield "reorder", 0, x[0], x[1], f"H{level} 章节顺序重新排列"
+    if "insertion" in least and (x := new_numbers(g, t, *least["insertion"])):
+        yield "insertion", 0, x[0], [("", n) for n in x[2]], f"H{level} 插入了 {x[1]} 个新章节"
+    if "deletion" in least and (x := new_numbers(t, g, *least["deletion"])):
+        yield "deletion", 0, x[0], [(n, "") for n in x[2]], f"H{level} 删除了 {x[1]} 个章节"
+
+
+def all_patterns(rows: DataFrame, least: dict[str, tuple[int, float]] = LEAST) -> DataFrame:
+    """The patterns of numbered() rows; see FOUND."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for pair, level, *sides in zip(*[b.column(c).to_pylist() for c in ("pair_id", "level", "t", "g")], strict=True):
+                t, g = ([(x["seq"], x["nums"]) for x in side] for side in sides)
+                for kind, offset, confidence, examples, text in patterns_of(level, t, g, least):
+                    out.append((pair, level, kind, offset, confidence, [{"t": x, "g": y} for x, y in examples], text))
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], COLUMNS)
+
+    return rows.mapInArrow(run, FOUND)
 
 
 def offset_patterns(rows: DataFrame, least: int = 2, share: float = 0.6) -> DataFrame:
-    """The most frequent difference of last numbers over pairs of equal depth; of equally frequent ones the first that occurs."""
-    bins = rows.groupBy(*KEYS, "depth", "last", "side").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    side = lambda s: bins.filter(F.col("side") == s).select(*KEYS, "depth", F.col("last").alias(f"{s}_last"), F.col("n").alias(f"{s}_n"), F.col("first").alias(f"{s}_first"))
-    both = side("t").join(side("g"), [*KEYS, "depth"])
-    by = both.groupBy(*KEYS, (F.col("g_last") - F.col("t_last")).alias("offset_value")).agg(F.sum(F.col("t_n") * F.col("g_n")).alias("n"), F.min(F.struct("t_first", "g_first")).alias("first"))
-    w = Window.partitionBy(*KEYS)
-    best = by.withColumn("total", F.sum("n").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "first"))).filter("rank = 1")
-    found = best.join(level_counts(rows), KEYS).filter((F.col("n_t") >= least) & (F.col("n_g") >= least))
-    found = found.withColumn("confidence", F.col("n") / F.col("total")).filter((F.col("confidence") >= share) & (F.col("offset_value") != 0))
-    # only the first chapters of a number can be in the first examples
-    early = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*KEYS, "depth", "last", "side").orderBy("seq"))).filter(F.col("_k") <= EXAMPLES)
-    one = lambda s, *more: early.filter(F.col("side") == s).select(*KEYS, "depth", F.col("seq").alias(f"{s}_seq"), F.col("number").alias(f"{s}_number"), *more)
-    met = found.select(*KEYS, "offset_value").join(one("t", F.col("last").alias("t_last")), KEYS).withColumn("last", F.col("t_last") + F.col("offset_value")).join(one("g", "last"), [*KEYS, "depth", "last"])
-    text = F.concat(F.lit("H"), "level", F.lit(" 章节编号整体偏移 "), F.when(F.col("offset_value") > 0, "+").otherwise(""), F.col("offset_value"))
-    found = found.join(_first(met, KEYS, ["t_seq", "g_seq"], _example(F.col("t_number"), F.col("g_number"))), KEYS)
-    return found.withColumns({"pattern_type": F.lit("offset"), "description": text}).select(*COLUMNS)
+    return all_patterns(rows, {"offset": (least, share)})
 
 
 def reorder_patterns(rows: DataFrame, least: int = 3, share: float = 0.3) -> DataFrame:
-    """The same last numbers in another order; confidence is the share of places that keep theirs."""
-    order = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("seq", "last")))), lambda x: x["last"]).alias(s)
-    both = rows.groupBy(*KEYS).agg(order("t"), order("g"))
-    both = both.filter((F.size("t") >= least) & (F.size("t") == F.size("g")) & (F.array_sort("t") == F.array_sort("g")) & (F.col("t") != F.col("g")))
-    moved = F.filter(F.zip_with("t", "g", lambda a, b: _example(a.cast("string"), b.cast("string"))), lambda x: x["t"] != x["g"])
-    found = both.withColumn("moved", moved).withColumn("confidence", 1.0 - F.size("moved") / F.size("t")).filter(F.col("confidence") >= share)
-    text = F.concat(F.lit("H"), "level", F.lit(" 章节顺序重新排列"))
-    return found.withColumns({"pattern_type": F.lit("reorder"), "offset_value": F.lit(0).cast("long"), "examples": F.slice("moved", 1, EXAMPLES), "description": text}).select(*COLUMNS)
-
-
-def _only(rows: DataFrame, here: str, there: str, kind: str, share: float) -> DataFrame:
-    numbers = rows.select("side", *KEYS, "nums", "number").distinct()
-    own = numbers.filter(F.col("side") == here).drop("side")
-    new = own.join(numbers.filter(F.col("side") == there).select(*KEYS, "number"), [*KEYS, "number"], "left_anti")
-    counts = own.groupBy(*KEYS).agg(F.count("*").alias("n_own"))
-    found = new.groupBy(*KEYS).agg(F.count("*").alias("n_new")).join(counts, KEYS).join(level_counts(rows), KEYS).filter(F.col(f"n_{here}") > F.col(f"n_{there}"))
-    # levels with fewer than two numbers on a side are not compared
-    found = found.filter((F.col("n_t") >= 2) & (F.col("n_g") >= 2)).withColumn("confidence", F.col("n_new") / F.col("n_own")).filter(F.col("confidence") >= share)
-    none = F.lit("")
-    example = _example(none, F.col("number")) if here == "g" else _example(F.col("number"), none)
-    said = (" 插入了 ", " 个新章节") if here == "g" else (" 删除了 ", " 个章节")
-    text = F.concat(F.lit("H"), "level", F.lit(said[0]), "n_new", F.lit(said[1]))
-    found = found.join(_first(new, KEYS, ["nums"], example), KEYS)
-    return found.withColumns({"pattern_type": F.lit(kind), "offset_value": F.lit(0).cast("long"), "description": text}).select(*COLUMNS)
+    return all_patterns(rows, {"reorder": (least, share)})
 
 
 def insertion_patterns(rows: DataFrame, share: float = 0.1) -> DataFrame:
-    return _only(rows, "g", "t", "insertion", share)
+    return all_patterns(rows, {"insertion": (2, share)})
 
 
 def deletion_patterns(rows: DataFrame, share: float = 0.1) -> DataFrame:
-    return _only(rows, "t", "g", "deletion", share)
+    return all_patterns(rows, {"deletion": (2, share)})
 
 
 def mixed_patterns(pairs: DataFrame, chapters: DataFrame) -> DataFrame:
     """Among levels that both sides have, some grew and some shrank. Levels come in the template's order."""
     per = chapters.groupBy("doc_id", "level").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    t = pairs.join(per.select(F.col("doc_id").alias("template_doc_id"), "level", F.col("n").alias("n_t"), "first"), "template_doc_id").select("pair_id", "level", "n_t", "first")
+    t = with_template(pairs.select("pair_id", "template_doc_id"), per.withColumnRenamed("n", "n_t")).drop("template_doc_id")
     g = pairs.join(per.select(F.col("doc_id").alias("target_doc_id"), "level", F.col("n").alias("n_g")), "target_doc_id").select("pair_id", "level", "n_g")
     levels = F.transform(F.array_sort(F.collect_list(F.when(F.col("n_t") != F.col("n_g"), F.struct("first", "level")))), lambda x: x["level"])
     found = t.join(g, KEYS).groupBy("pair_id").agg(F.max(F.col("n_g") > F.col("n_t")).alias("grew"), F.max(F.col("n_g") < F.col("n_t")).alias("shrank"), levels.alias("affected_levels"))
@@ -108,10 +176,6 @@ def mixed_patterns(pairs: DataFrame, chapters: DataFrame) -> DataFrame:
     return found.filter("grew and shrank").select("pair_id", F.lit("mixed").alias("pattern_type"), "affected_levels", F.lit(0.7).alias("confidence"), text.alias("description"))
 
 
-def all_patterns(rows: DataFrame) -> DataFrame:
-    return offset_patterns(rows).unionByName(reorder_patterns(rows)).unionByName(insertion_patterns(rows)).unionByName(deletion_patterns(rows))
-
-
 def merge_patterns(patterns: DataFrame, mixed: DataFrame | None = None) -> DataFrame:
     """One row per pair and type; several levels lose their offset and keep the first examples. ``rank`` goes by confidence,
     then by the order in which the types were found."""
@@ -147,8 +211,8 @@ def validate_patterns(merged: DataFrame, pairs: DataFrame, chapters: DataFrame,
     that offset; insertions and deletions agree with the chapter counts of the levels."""
     per = chapters.groupBy("doc_id", "level").agg(F.count("*").alias("n"))
     levels = merged.filter(F.col("pattern_type").isin("insertion", "deletion")).select("pair_id", "pattern_type", F.explode("affected_levels").alias("level")).join(pairs, "pair_id")
-    side = lambda c, n: per.select(F.col("doc_id").alias(c), "level", F.col("n").alias(n))
-    counts = levels.join(side("template_doc_id", "n_t"), ["template_doc_id", "level"], "left").join(side("target_doc_id", "n_g"), ["target_doc_id", "level"], "left").fillna(0)
+    t = with_template(pairs.select("pair_id", "template_doc_id"), per.withColumnRenamed("n", "n_t")).drop("template_doc_id")
+    counts = levels.join(t, KEYS, "left").join(per.select(F.col("doc_id").alias("target_doc_id"), "level", F.col("n").alias("n_g")), ["target_doc_id", "level"], "left").fillna(0)
     counts = counts.groupBy("pair_id", "pattern_type").agg((F.sum("n_g") - F.sum("n_t")).alias("grown"))
     kind, last = F.col("pattern_type"), lambda x: F.element_at(F.split(x, r"\."), -1).cast("long")
     of_offset = F.forall("examples", lambda e: (e["t"] == "") | (e["g"] == "") | (F.size(F.split(e["t"], r"\.")) != F.size(F.split(e["g"], r"\."))) | (last(e["g"]) - last(e["t"]) == F.col("offset_value")))
