@@ -252,10 +252,10 @@ def _images(ch: DataFrame) -> DataFrame:
     return ch.filter("seq % 5 = 0").select("doc_id", F.concat(F.lit("/i/"), F.col("seq"), F.lit(".png")).alias("url"))
 
 
-@query(f"WITH {CHAPTERS}, s AS (SELECT doc_id, {_SIZES} FROM ch GROUP BY doc_id) SELECT d.doc_id, coalesce(source, '未知文档') AS title, 'u' || d.doc_id AS url, s.* EXCLUDE (doc_id) REPLACE (coalesce(n_chapters, 0) AS n_chapters) FROM documents d JOIN s USING (doc_id)")
+@query(f"WITH {CHAPTERS}, s AS (SELECT doc_id, {_SIZES} FROM ch GROUP BY doc_id) SELECT d.doc_id, coalesce(source, '未知文档') AS title, 'u' || d.doc_id AS url, coalesce(COLUMNS(s.* EXCLUDE (doc_id)), 0) FROM documents d LEFT JOIN s USING (doc_id)")
 def c1_document_summary(spark, sf_dir):
     docs, ch, _ = _chapters(spark, sf_dir)
-    known = docs.filter("text is not null").select("doc_id", F.col("source").alias("title"), F.concat(F.lit("u"), "doc_id").alias("url"))
+    known = docs.select("doc_id", F.col("source").alias("title"), F.concat(F.lit("u"), "doc_id").alias("url"))
     return outline.document_summary(ch, known, _images(ch))
 
 
@@ -577,22 +577,22 @@ def h9_tree_similarity(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CHAPTERS} SELECT doc_id, seq, '# 章节: ' || title || chr(10) || '层级: H' || CAST(level AS VARCHAR) || chr(10) || CASE WHEN seq > 0 THEN '路径: up > ' || title || chr(10) ELSE '' END || chr(10)
-  || '## 文本内容' || chr(10) || content || chr(10) AS combined FROM ch WHERE content <> ''"""
+    f"""WITH {CHAPTERS} SELECT doc_id, seq, '# 章节: ' || title || chr(10) || '层级: H' || CAST(level AS VARCHAR) || chr(10) || CASE WHEN seq > 0 THEN '路径: up > ' || title || chr(10) ELSE '' END
+  || CASE WHEN content <> '' THEN chr(10) || '## 文本内容' || chr(10) || content || chr(10) ELSE '' END AS combined FROM ch"""
 )
 def i2_combined(spark, sf_dir):
-    ch = _chapters(spark, sf_dir)[1].filter("content <> ''")
+    ch = _chapters(spark, sf_dir)[1]
     return ch.select("doc_id", "seq", assemble.combine_content(F.col("title"), F.col("level"), F.when(F.col("seq") > 0, "up"), F.col("content")).alias("combined"))
 
 
 @query(
-    """WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    """WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 x AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS s FROM l), r AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM x),
 k AS (SELECT doc_id, coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (n <= 32000), '') AS kept FROM r GROUP BY doc_id)
-SELECT l.doc_id, CASE WHEN length(text) <= 32000 THEN text ELSE kept || chr(10) || chr(10) || '[注意: 内容因长度限制被截断，原长度: ' || length(text) || ' 字符，截断后: ' || length(kept) || ' 字符]' END AS text FROM l JOIN k USING (doc_id)"""
+SELECT l.doc_id, CASE WHEN length(text) <= 32000 THEN text ELSE kept || chr(10) || chr(10) || '[注意: 内容因长度限制被截断，原长度: ' || length(text) || ' 字符，截断后: ' || length(kept) || ' 字符]' END AS text FROM l LEFT JOIN k USING (doc_id)"""
 )
 def i3_truncated(spark, sf_dir):
-    docs = _chapters(spark, sf_dir)[0].filter("text is not null")
+    docs = _chapters(spark, sf_dir)[0]
     return docs.select("doc_id", assemble.truncate_at_lines(F.col("text"), 32_000).alias("text"))
 
 
@@ -966,3 +966,73 @@ def k8_answers_over_runs(spark, sf_dir):
     for _ in range(2):  # the second time changes nothing
         kept.save(second, "second")
     return kept.rows().select("title1", "title2", (F.col("run") == "first").alias("known"), "score")
+
+
+def _pick(values, at: str) -> str:
+    """DuckDB: one of a list of texts."""
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][({at}) % {len(values)} + 1]"
+
+
+def _one_of(values, at):
+    return F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+
+
+_STAMPS, _CLASSES, _JOINTS = ("上传时间", "修改时间", "创建时间", "发布时间", "记录时间"), (*T.NAVIGATION_CLASSES, "main", "text"), (" > ", "›", " - ")
+_MARKS = (*T.GENERIC, "x", "模块3")
+
+
+@query(
+    rf"""WITH {CHAPTERS}, x AS (SELECT *, CASE WHEN seq % 3 = 0 THEN {_pick(T.NAVIGATION, 'doc_id + seq')} || {_pick(_JOINTS, 'seq // 3 + doc_id')} || content WHEN seq % 3 = 1 THEN {_pick(_STAMPS, 'doc_id + seq')} || ' 2024-05-01' ELSE content END AS t,
+  CASE WHEN seq % 2 = 0 THEN upper({_pick(_CLASSES, 'doc_id + seq // 2')}) || ' x' ELSE 'main' END AS c, length(content) * (seq % 5) // 4 AS l, title || {_pick(_MARKS, 'doc_id + seq')} AS marked, CASE WHEN seq % 4 = 0 THEN 'a > b ' || seq ELSE '' END AS path FROM ch)
+SELECT doc_id, seq, length(trim(t)) >= 10 AND NOT (l > 0 AND length(t) > 0 AND l / length(t) > 0.8) AND NOT regexp_matches(t, '({"|".join(T.NAVIGATION)})\s*[>›]') AND NOT regexp_matches(trim(t), '^(上传时间|修改时间|创建时间|发布时间)')
+    AND NOT regexp_matches(lower(c), '({"|".join(T.NAVIGATION_CLASSES)})') AS valid, regexp_matches(marked, '\(|/|XX|{"|".join(T.GENERIC[3:])}') AS generic,
+  CASE WHEN path <> '' THEN 'b ' || seq WHEN seq % 4 = 1 THEN '第' || seq || '级章节' WHEN level > 1 THEN 'H' || (level - 1) || '级章节' ELSE '' END AS parent FROM x"""
+)
+def b11_e16_h2_branches(spark, sf_dir):
+    """Every navigation word, class, time stamp and placeholder mark, and all four ways to name a parent."""
+    ch, at = _chapters(spark, sf_dir)[1], F.col("doc_id") + F.col("seq")
+    text = F.when(F.col("seq") % 3 == 0, F.concat(_one_of(T.NAVIGATION, at), _one_of(_JOINTS, F.floor(F.col("seq") / 3) + F.col("doc_id")), "content")).when(F.col("seq") % 3 == 1, F.concat(_one_of(_STAMPS, at), F.lit(" 2024-05-01"))).otherwise(F.col("content"))
+    css = F.when(F.col("seq") % 2 == 0, F.concat(F.upper(_one_of(_CLASSES, F.col("doc_id") + F.floor(F.col("seq") / 2))), F.lit(" x"))).otherwise("main")
+    links = F.floor(F.length("content") * (F.col("seq") % 5) / 4)
+    path = F.when(F.col("seq") % 4 == 0, F.concat(F.lit("a > b "), "seq")).otherwise("")
+    title = F.when(F.col("seq") % 4 == 1, F.concat("seq", F.lit(".2 x"))).otherwise("x")
+    return ch.select("doc_id", "seq", T.is_valid_content(text, links, css).alias("valid"), T.is_generic_title(F.concat("title", _one_of(_MARKS, at))).alias("generic"), T.parent_title(title, F.col("level"), path).alias("parent"))
+
+
+@query(f"WITH {CHAPTERS} SELECT doc_id, seq, level, title, content FROM ch")
+def a8_written_chapters(spark, sf_dir):
+    """Results written by level, in folders, and read back."""
+    path = D.work_path(spark, "chapters")
+    D.write_result(_chapters(spark, sf_dir)[1].select("doc_id", "seq", "level", "title", "content"), path, ["level"])
+    return spark.read.parquet(path).select("doc_id", "seq", "level", "title", "content")
+
+
+@query(
+    f"""{_MERGED}, {SCORES}, {BEST}, m AS (SELECT b.*, t.level, t.title AS tt, g.title AS gt, p.template_doc_id FROM best b JOIN pairs p USING (pair_id) JOIN ch t ON t.doc_id = p.template_doc_id AND t.seq = b.t_seq JOIN ch g ON g.doc_id = p.target_doc_id AND g.seq = b.g_seq),
+x AS (SELECT *, string_agg(tt || ' → ' || gt, '; ') OVER (PARTITION BY pair_id ORDER BY level, t_seq ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS s FROM m),
+anc AS (SELECT c.doc_id, c.seq, p.title, p.seq AS pseq FROM ch c JOIN ch p ON p.doc_id = c.doc_id AND p.seq < c.seq AND p.level < c.level WHERE NOT EXISTS (SELECT 1 FROM ch y WHERE y.doc_id = c.doc_id AND y.seq > p.seq AND y.seq < c.seq AND y.level <= p.level)),
+up AS (SELECT doc_id, seq, string_agg(title, ' > ' ORDER BY pseq) AS path FROM anc GROUP BY ALL), pat AS (SELECT pair_id, string_agg(said, '; ' ORDER BY rank) AS said FROM merged GROUP BY ALL)
+SELECT x.pair_id, t_seq, '章节层级: H' || level || coalesce(chr(10) || '父章节路径: ' || path, '') || chr(10) || '章节位置: 第' || (t_seq + 1) || '个' || coalesce(chr(10) || '检测到的重编号模式: ' || said, '') || coalesce(chr(10) || '同级章节映射: ' || s, '') AS context
+FROM x LEFT JOIN up ON up.doc_id = x.template_doc_id AND up.seq = x.t_seq LEFT JOIN pat ON pat.pair_id = x.pair_id"""
+)
+def k3_full_context(spark, sf_dir):
+    """Context lines with the chapters' paths and the pairs' renumbering patterns."""
+    _, ch, pairs, found = _best(spark, sf_dir)
+    rows = mapping.mapping_details(pairs, ch, found)
+    paths = S.with_template(pairs.select("pair_id", "template_doc_id"), outline.breadcrumbs(ch).withColumnRenamed("seq", "t_seq")).select("pair_id", "t_seq", F.col("breadcrumb").alias("parent_path"))
+    said = renumber.shift_analysis(pairs, renumber.detect_patterns(pairs, ch)).select("pair_id", F.col("summary").alias("patterns"))
+    rows = rows.join(paths, ["pair_id", "t_seq"]).join(said, "pair_id")
+    return model_io.context_info(rows.select("pair_id", "t_seq", F.col("t_level").alias("level"), "parent_path", F.col("t_seq").alias("position"), "patterns", "t_title", "g_title"))
+
+
+@query(
+    f"""{_MAPPED}, {OUTLINE}, {_VERDICTS}, tops AS (SELECT doc_id, count(*) FILTER (parent_seq IS NULL) AS top, count(*) AS n FROM outline GROUP BY ALL)
+SELECT pair_id, CAST(n_missing AS BIGINT) AS total_issues, CAST(t.top AS BIGINT) AS total_checks, CASE WHEN t.top > 0 THEN round((t.top - n_missing) / t.top * 100, 1) ELSE 100 END AS pass_rate, n_missing <= 3 AND n_issues = 0 AS overall_passed, n_missing <= 3 AND n_issues = 0 AS structure_passed,
+  true AS content_passed, t.n AS template_chapters, coalesce(g.n, 0) AS total_chapters, n_missing, n_extra, 0 AS n_violations, 0 AS n_critical, 0 AS n_warning, 0 AS n_info, round(round(similarity, 6) * 100, 1) AS structure_similarity
+FROM verdicts v JOIN tops t ON t.doc_id = v.template_doc_id LEFT JOIN tops g ON g.doc_id = v.target_doc_id"""
+)
+def l2_structure_only_report(spark, sf_dir):
+    """The report with content checks off, as they are by default."""
+    docs, ch, pairs, found = _mapped(spark, sf_dir)
+    verdicts = structure.check_structure(docs, pairs, ch, found).withColumn("similarity", F.round("similarity", 6))
+    return report.report(pairs, verdicts, None, outline.build_outline(ch))
