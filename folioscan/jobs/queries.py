@@ -529,6 +529,18 @@ def h5_missing_critical(spark, sf_dir):
     return structure.missing_critical(docs, ch.withColumn("title", F.concat("title", mark)))
 
 
+@query(
+    f"""WITH {CHAPTERS}, r AS (SELECT doc_id, unnest(['可靠性', '安全性', 'la']) AS required FROM documents),
+yes AS (SELECT doc_id, '可靠性' AS required FROM ch GROUP BY doc_id HAVING count(*) % 2 = 0)
+SELECT r.doc_id, r.required FROM r WHERE NOT EXISTS (SELECT 1 FROM ch m WHERE m.doc_id = r.doc_id AND m.level BETWEEN 1 AND 3 AND contains({_clean('m.title')}, r.required)) AND NOT EXISTS (SELECT 1 FROM yes y WHERE y.doc_id = r.doc_id AND y.required = r.required)"""
+)
+def h5_with_verdicts(spark, sf_dir):
+    """Required words of the user, and verdicts for documents with an even number of chapters."""
+    docs, ch, _ = _chapters(spark, sf_dir)
+    yes = ch.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n % 2 = 0").select("doc_id", F.lit("可靠性").alias("required"))
+    return structure.missing_critical(docs, ch, ("可靠性", "安全性", "la"), yes)
+
+
 _CLEANED = f"cl AS (SELECT o.*, {_clean('o.title')} AS clean FROM outline o)"
 _DESCENT = """
 RECURSIVE_BODY AS (

@@ -26,14 +26,15 @@ def missing_critical(documents: DataFrame, chapters: DataFrame, required: tuple[
     return documents.select("doc_id", words).join(found.distinct(), ["doc_id", "required"], "left_anti")
 
 
-def check_structure(documents: DataFrame, pairs: DataFrame, chapters: DataFrame, mappings: DataFrame, required: tuple[str, ...] = REQUIRED, most_missing: int = MOST_MISSING) -> DataFrame:
+def check_structure(documents: DataFrame, pairs: DataFrame, chapters: DataFrame, mappings: DataFrame, required: tuple[str, ...] = REQUIRED, most_missing: int = MOST_MISSING, verdicts: DataFrame | None = None) -> DataFrame:
     """Per pair: n_missing, n_extra, n_issues (level jumps of the target and missing required chapters), similarity, passed.
 
-    A pair whose target has no chapters fails with all of the template's missing and similarity 0."""
+    A pair whose target has no chapters fails with all of the template's missing and similarity 0. verdicts: (doc_id, required) that
+    another judge found to be there."""
     score = mappings.groupBy("pair_id").agg(F.count_if(M.is_missing()).alias("n_missing"), F.avg("confidence").alias("similarity"), F.count_if(F.col("g_seq").isNotNull()).alias("n_used"))
     per_doc = chapters.groupBy("doc_id").agg(F.count("*").alias("n"))
     jumps = O.level_issues(O.build_outline(chapters)).groupBy("doc_id").agg(F.count("*").alias("n_jumps"))
-    critical = missing_critical(documents, chapters, required).groupBy("doc_id").agg(F.count("*").alias("n_critical"))
+    critical = missing_critical(documents, chapters, required, verdicts).groupBy("doc_id").agg(F.count("*").alias("n_critical"))
     target = documents.select("doc_id").join(per_doc, "doc_id", "left").join(jumps, "doc_id", "left").join(critical, "doc_id", "left").fillna(0)
     rows = pairs.join(target, F.col("target_doc_id") == F.col("doc_id")).join(score, "pair_id", "left").fillna(0)
     issues = F.when(F.col("n") == 0, 1).otherwise(F.col("n_jumps") + F.col("n_critical"))
