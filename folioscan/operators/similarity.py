@@ -83,14 +83,13 @@ def _sides(pairs: DataFrame, chapters: DataFrame, block: int) -> tuple[DataFrame
     """Template chapters for every pair and block of its target (t_ columns, n: how many the template has), and target chapters with
     their block (g_ columns)."""
     counts = chapters.groupBy("doc_id").agg(F.count("*").alias("n"))
-    blocks = counts.select(F.col("doc_id").alias("target_doc_id"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    part = F.floor(F.col("seq") / block).cast("long").alias("block")
+    blocks = chapters.select(F.col("doc_id").alias("target_doc_id"), part).distinct()
     asked = pairs.select("pair_id", "template_doc_id", "target_doc_id").join(blocks, "target_doc_id")
     templates = features(chapters.join(pairs.select(F.col("template_doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    t = templates.join(counts, "doc_id").select("doc_id", "n", *[F.col(c).alias(f"t_{c}") for c in templates.columns[1:]])
-    t = with_template(asked, t).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1
+    t = with_template(asked, templates.join(counts, "doc_id").select("doc_id", "n", *[F.col(c).alias(f"t_{c}") for c in templates.columns[1:]]))
     known = features(chapters)
-    g = known.select(F.col("doc_id").alias("target_doc_id"), F.floor(number / block).cast("int").alias("block"), *[F.col(c).alias(f"g_{c}") for c in known.columns[1:]])
+    g = known.select(F.col("doc_id").alias("target_doc_id"), part, *[F.col(c).alias(f"g_{c}") for c in known.columns[1:]])
     return t, g
 
 
@@ -125,7 +124,7 @@ def pair_scores(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame
     """pair_id, t_seq, g_seq, both levels, the four similarities, the semantic score and overall, for every cell.
 
     semantic: 'text' takes the title similarity, 'none' 0, a DataFrame (pair_id, t_seq, g_seq, score) its scores. The join is
-    on the target and blocks of ``block`` of its chapters, so a very long document is several tasks."""
+    on the target and blocks of its chapters (by seq, ``block`` in each), so a very long document is several tasks."""
     t, g = _sides(pairs, chapters, block)
     rows = t.join(g, ["target_doc_id", "block"]).select(*_CELL, *_exact())
     return _with_semantic(rows, semantic).withColumn("overall", _fused(cfg))
@@ -157,8 +156,8 @@ def strong_scores(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFra
         rows = rows.filter(reach >= F.when(F.col("structure_sim") == 1, cfg.similarity - EPS).otherwise(cfg.semantic - EPS))
     small = rows.select(*_CELL, "title_sim", content.alias("content_sim"), "position_sim", "structure_sim")
     own = chapters.join(many.select(F.explode(F.array("template_doc_id", "target_doc_id")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    t, g = _sides(many, own, 1 << 30)  # one block
-    rest = candidates(many, own, semantic, cfg).join(t, ["pair_id", "t_seq"]).join(g.drop("block"), ["target_doc_id", "g_seq"]).select(*_CELL, *_exact())
+    t, g = _sides(many, own, 1 << 40)  # one block, 0
+    rest = candidates(many, own, semantic, cfg).join(t.drop("block").dropDuplicates(["pair_id", "t_seq"]), ["pair_id", "t_seq"]).join(g.drop("block"), ["target_doc_id", "g_seq"]).select(*_CELL, *_exact())
     rows = _with_semantic(small.unionByName(rest), semantic)
     return rows.withColumn("overall", _fused(cfg)).filter(is_strong(cfg))
 

@@ -19,9 +19,8 @@ def table(spark, seed, sizes):
     return spark.createDataFrame(rows, CHAPTERS)
 
 
-@pytest.mark.parametrize("dense", [0, 150])
-@pytest.mark.parametrize("semantic", ["text", "none", "given"])
-def test_no_strong_cell_is_lost(spark, dense, semantic):
+@pytest.mark.parametrize(("semantic", "dense"), [("text", 0), ("none", 150), ("given", 0)])
+def test_no_strong_cell_is_lost(spark, semantic, dense):
     ch = table(spark, 5, {1: 30, 2: 45, 3: 4, 4: 1, 5: 0, 6: 200})
     pairs = spark.createDataFrame([(1, 1, 2), (2, 1, 3), (3, 4, 2), (4, 1, 6), (5, 3, 5), (6, 5, 3), (7, 6, 1)], PAIRS)
     if semantic == "given":
@@ -42,8 +41,7 @@ def test_mappings_are_the_same_from_all_cells(spark):
     ch = table(spark, 9, {d: 3 + d for d in range(25)})
     pairs = spark.createDataFrame([(d, 0, d) for d in range(1, 25)], PAIRS)  # one template serves all pairs
     want = sorted(map(tuple, mapping.map_chapters(pairs, ch, S.pair_scores(pairs, ch)).collect()))
-    for dense in (0, 10_000):
-        assert sorted(map(tuple, mapping.map_chapters(pairs, ch, S.strong_scores(pairs, ch, dense=dense)).collect())) == want
+    assert sorted(map(tuple, mapping.map_chapters(pairs, ch, S.strong_scores(pairs, ch, dense=0)).collect())) == want
 
 
 def test_other_weights(spark):
