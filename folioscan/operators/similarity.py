@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions import titles as T
+from folioscan.sources.documents import work_path
 
 SALTS = 32
 BLOCK = 1024
@@ -61,35 +62,34 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def with_template(pairs: DataFrame, rows: DataFrame, salts: int = SALTS, keep: bool = False) -> DataFrame:
-    """pairs with each of the template's rows (doc_id and others); keep: also pairs without any. One template may serve a third of all pairs, so pairs are dealt
+def with_template(pairs: DataFrame, rows: DataFrame, salts: int = SALTS, keep: bool = False, known: bool = False) -> DataFrame:
+    """pairs with each of the template's rows (doc_id and others); keep: also pairs without any; known: the rows are those of templates only. One template may serve a third of all pairs, so pairs are dealt
     to ``salts`` parts and the rows of templates, which are few, go to each of them."""
-    templates = rows.join(pairs.select(F.col("template_doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    templates = rows if known else rows.join(pairs.select(F.col("template_doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     templates = templates.withColumnRenamed("doc_id", "template_doc_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("pair_id"), F.lit(salts)).cast("int"))
     return dealt.join(templates, ["template_doc_id", "salt"], "left" if keep else "inner").drop("salt")
 
 
-def by_cells(pairs: DataFrame, chapters: DataFrame, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
-    """The pairs of up to and of over ``dense`` cells; pairs without cells are in neither."""
+def large_pairs(pairs: DataFrame, chapters: DataFrame, dense: int = DENSE) -> DataFrame:
+    """The pairs of over ``dense`` cells."""
     counts = chapters.groupBy("doc_id").agg(F.count("*").alias("_n"))
     rows = with_template(pairs.select("pair_id", "template_doc_id", "target_doc_id"), counts)
     rows = rows.join(counts.select(F.col("doc_id").alias("target_doc_id"), F.col("_n").alias("_g")), "target_doc_id")
-    fits = F.col("_n") * F.col("_g") <= dense
-    return rows.filter(fits).drop("_n", "_g"), rows.filter(~fits).drop("_n", "_g")
+    return rows.filter(F.col("_n") * F.col("_g") > dense).drop("_n", "_g")
 
 
 def _sides(pairs: DataFrame, chapters: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Template chapters for every pair and block of its target (t_ columns, n: how many the template has), and target chapters with
-    their block (g_ columns)."""
-    counts = chapters.groupBy("doc_id").agg(F.count("*").alias("n"))
-    part = F.floor(F.col("seq") / block).cast("long").alias("block")
-    blocks = chapters.select(F.col("doc_id").alias("target_doc_id"), part).distinct()
-    asked = pairs.select("pair_id", "template_doc_id", "target_doc_id").join(blocks, "target_doc_id")
+    """Template chapters for every pair and block of its target (t_ columns, n and g_n: how many the two have), and target chapters
+    with their block (g_ columns)."""
+    part = F.floor(F.col("seq") / block).cast("long")
+    counts = chapters.groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set(part).alias("blocks"))
+    targets = counts.select(F.col("doc_id").alias("target_doc_id"), F.col("n").alias("g_n"), F.explode("blocks").alias("block"))
+    asked = pairs.select("pair_id", "template_doc_id", "target_doc_id").join(targets, "target_doc_id")
     templates = features(chapters.join(pairs.select(F.col("template_doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    t = with_template(asked, templates.join(counts, "doc_id").select("doc_id", "n", *[F.col(c).alias(f"t_{c}") for c in templates.columns[1:]]))
+    t = with_template(asked, templates.join(counts.drop("blocks"), "doc_id").select("doc_id", "n", *[F.col(c).alias(f"t_{c}") for c in templates.columns[1:]]), known=True)
     known = features(chapters)
-    g = known.select(F.col("doc_id").alias("target_doc_id"), part, *[F.col(c).alias(f"g_{c}") for c in known.columns[1:]])
+    g = known.select(F.col("doc_id").alias("target_doc_id"), part.alias("block"), *[F.col(c).alias(f"g_{c}") for c in known.columns[1:]])
     return t, g
 
 
@@ -141,25 +141,40 @@ def strong_scores(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFra
 
     A score is a mean of its parts and of the semantic score, so it is at most the larger of the two; from level and position, title
     words, and the sizes of word sets follows what it can reach. Pairs of up to ``dense`` cells (as many as one request may ask a
-    model about) are joined by level, and words are compared where the bound leaves it open; larger ones by candidates()."""
-    few, many = by_cells(pairs, chapters, dense)
-    t, g = _sides(few, chapters, block)
+    model about) are joined by target, and contents are compared where the bound leaves it open; whether there are larger ones, which go
+    by candidates(), is counted at once."""
+    t, g = _sides(pairs, chapters, block)
     title, content, position, structure = _parts()
     apart = F.abs(F.col("t_level") - F.col("g_level"))
     ratio = F.coalesce(F.try_divide(F.least(F.size("t_words"), F.size("g_words")), F.greatest(F.size("t_words"), F.size("g_words"))), F.lit(0.0))
     # a generator, since a filter is not moved below one: what it tests is worked out once a cell
     quick = F.inline(F.array(F.struct(title.alias("title_sim"), position.alias("position_sim"), structure.alias("structure_sim"), ratio.alias("ratio"))))
-    rows = t.join(g, ["target_doc_id", "block"]).filter(apart <= 2).select(*_CELL, "t_words", "g_words", quick)
+    rows = t.filter(F.col("n") * F.col("g_n") <= dense).join(g, ["target_doc_id", "block"]).filter(apart <= 2).select(*_CELL, "t_words", "g_words", quick)
     if isinstance(semantic, str):
         reach = base_score(F.col("title_sim"), F.col("ratio"), F.col("position_sim"), F.col("structure_sim"), cfg)
         reach = F.greatest(reach, F.col("title_sim")) if semantic == "text" else reach
         rows = rows.filter(reach >= F.when(F.col("structure_sim") == 1, cfg.similarity - EPS).otherwise(cfg.semantic - EPS))
     small = rows.select(*_CELL, "title_sim", content.alias("content_sim"), "position_sim", "structure_sim")
-    own = chapters.join(many.select(F.explode(F.array("template_doc_id", "target_doc_id")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    t, g = _sides(many, own, 1 << 40)  # one block, 0
-    rest = candidates(many, own, semantic, cfg).join(t.drop("block").dropDuplicates(["pair_id", "t_seq"]), ["pair_id", "t_seq"]).join(g.drop("block"), ["target_doc_id", "g_seq"]).select(*_CELL, *_exact())
-    rows = _with_semantic(small.unionByName(rest), semantic)
-    return rows.withColumn("overall", _fused(cfg)).filter(is_strong(cfg))
+    many = large_pairs(pairs, chapters, dense)
+    found = small if many.isEmpty() else small.unionByName(_of_large(many, chapters, semantic, cfg))
+    return _with_semantic(found, semantic).withColumn("overall", _fused(cfg)).filter(is_strong(cfg))
+
+
+def _of_large(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame, cfg: MappingConfig) -> DataFrame:
+    """The candidates of large pairs with their exact parts. These pairs and their chapters are kept as tables first: they are few and
+    read many times."""
+    pairs = _kept(pairs, "large-pairs")
+    own = _kept(chapters.join(pairs.select(F.explode(F.array("template_doc_id", "target_doc_id")).alias("doc_id")).distinct(), "doc_id", "left_semi"), "large-chapters")
+    t, g = _sides(pairs, own, 1 << 40)
+    t = t.drop("block").dropDuplicates(["pair_id", "t_seq"])
+    cells = candidates(pairs, own, semantic, cfg)
+    return cells.join(t, ["pair_id", "t_seq"]).join(g.drop("block"), ["target_doc_id", "g_seq"]).select(*_CELL, *_exact())
+
+
+def _kept(rows: DataFrame, what: str) -> DataFrame:
+    path = work_path(rows.sparkSession, what)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _least_title(cfg: MappingConfig, semantic: str | DataFrame) -> float:
