@@ -11,6 +11,7 @@ from folioscan.functions import titles as T
 from folioscan.sources.documents import work_path
 
 SALTS = 32
+HOT_PAIRS = 20_000
 BLOCK = 1024
 DENSE = 10_000
 EPS = 1e-9
@@ -62,12 +63,19 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def with_template(pairs: DataFrame, rows: DataFrame, salts: int = SALTS, keep: bool = False, known: bool = False) -> DataFrame:
-    """pairs with each of the template's rows (doc_id and others); keep: also pairs without any; known: the rows are those of templates only. One template may serve a third of all pairs, so pairs are dealt
-    to ``salts`` parts and the rows of templates, which are few, go to each of them."""
-    templates = rows if known else rows.join(pairs.select(F.col("template_doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    templates = templates.withColumnRenamed("doc_id", "template_doc_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("pair_id"), F.lit(salts)).cast("int"))
+def with_template(pairs: DataFrame, rows: DataFrame, salts: int = SALTS, keep: bool = False, known: bool = False, least: int = HOT_PAIRS) -> DataFrame:
+    """pairs with each of the template's rows (doc_id and others); keep: also pairs without any; known: the rows are those of templates only.
+
+    One template may serve a third of all pairs. Templates of ``least`` pairs or more are hot: their ids, of which there are at most
+    the pairs divided by ``least`` (4 MB for 10^10 pairs), are broadcast, their pairs dealt to ``salts`` parts and their rows go to
+    each part. The rows of other templates are sent once."""
+    counts = pairs.groupBy("template_doc_id").agg(F.count("*").alias("_n"))
+    hot = counts.filter(F.col("_n") >= least).select(F.col("template_doc_id").alias("_hot"))
+    templates = rows if known else rows.join(counts.select(F.col("template_doc_id").alias("doc_id")), "doc_id", "left_semi")
+    templates = templates.withColumnRenamed("doc_id", "template_doc_id").join(F.broadcast(hot), F.col("template_doc_id") == F.col("_hot"), "left")
+    templates = templates.withColumn("salt", F.explode(F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1))))).drop("_hot")
+    dealt = pairs.join(F.broadcast(hot), F.col("template_doc_id") == F.col("_hot"), "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("pair_id"), F.lit(salts)).cast("int"))).drop("_hot")
     return dealt.join(templates, ["template_doc_id", "salt"], "left" if keep else "inner").drop("salt")
 
 

@@ -34,6 +34,16 @@ def test_scores_do_not_depend_on_blocks_and_salts(spark):
     assert {r.pair_id for r in S.with_template(pairs, ch.select("doc_id", "seq"), 3, keep=True).collect()} == {1, 2, 3, 4}
 
 
+def test_hot_templates_are_dealt_and_others_sent_once(spark):
+    pairs = spark.createDataFrame([(i, 1 if i < 900 else i, 5000 + i) for i in range(1000)], "pair_id long, template_doc_id long, target_doc_id long")
+    rows = spark.createDataFrame([(d, i) for d in (1, *range(900, 990), 4000) for i in range(3)], "doc_id long, seq int")
+    for least in (100, 10_000):  # one hot template, and none
+        found = S.with_template(pairs, rows, 8, least=least)
+        assert sorted((r.pair_id, r.seq) for r in found.collect()) == [(i, k) for i in range(990) for k in range(3)]
+        kept = S.with_template(pairs, rows, 8, keep=True, least=least)
+        assert kept.count() == 990 * 3 + 10
+
+
 def test_score_lines_end_at_a_score_that_is_no_number(spark):
     said = "T1-G1: 0.9 | 原因：early\n SIMILARITY_MATRIX: \n  T1-G1: 2 | 原因： a b \nT3-G1: 0.5 | 原因：out\nT2-G2: 0.4\nT2-G1: 1.2.3 | 原因：bad\nT1-G2: 0.5 | 原因：late"
     replies = spark.createDataFrame([(1, 2, 2, said), (2, 2, 2, "T1-G1: 0.9 | 原因：no marker"), (3, 2, 2, None)], "request_id long, n_t int, n_g int, text string")
