@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from folioscan.llm.common import as_bytes, is_held_out, pick, small_batches, stored
 
 HIDDEN = 12
-WINDOW = 2048
+WINDOW = 512
 CONTEXT = 64
 PER_LANG = 400
 SNIPPET = 600
@@ -180,7 +180,7 @@ class ByteGRU:
             total += prob if there is None else prob * there
         return total
 
-    def documents(self, raws: list[bytes], window: int = WINDOW, context: int = CONTEXT, block: int = 1024) -> np.ndarray:
+    def documents(self, raws: list[bytes], window: int = WINDOW, context: int = CONTEXT, block: int = 512) -> np.ndarray:
         """Mean label probabilities (documents, C); zero rows for empty texts."""
         out = np.zeros((len(raws), len(self.langs)))
         sizes = np.fromiter(map(len, raws), np.int64, len(raws))
