@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.operators.outline import document_summary
@@ -10,6 +10,12 @@ from folioscan.operators.rules import N_RULES
 from folioscan.operators.similarity import with_template
 
 
+def percent(share: Column) -> Column:
+    """In hundredths with one decimal, halves away from zero. Spark's round goes by the decimal form of a double: 0.5695 * 100 is
+    56.949999999999996 and would be 56.9, so the tenths are rounded as whole numbers."""
+    return F.round(share * 100 * 10) / 10
+
+
 def report(pairs: DataFrame, structure: DataFrame | None, content: DataFrame | None, outline: DataFrame, rules_checked: int = N_RULES) -> DataFrame:
     """Figures of both checks and overall ones; a check that is off (None) counts nothing, passes and has similarity 100.
 
@@ -19,7 +25,7 @@ def report(pairs: DataFrame, structure: DataFrame | None, content: DataFrame | N
     rows = with_template(pairs, per_doc.select("doc_id", F.col("n").alias("template_chapters"), F.col("top").alias("n_top")), keep=True)
     rows = rows.join(per_doc.select(F.col("doc_id").alias("target_doc_id"), F.col("n").alias("total_chapters")), "target_doc_id", "left")
     if structure is not None:
-        own = structure.select("pair_id", "n_missing", "n_extra", F.round(F.col("similarity") * 100, 1).alias("structure_similarity"), F.col("passed").alias("structure_passed"))
+        own = structure.select("pair_id", "n_missing", "n_extra", percent(F.col("similarity")).alias("structure_similarity"), F.col("passed").alias("structure_passed"))
         rows = rows.join(own, "pair_id", "left").fillna(False, ["structure_passed"])
     else:
         rows = rows.withColumns({"n_missing": F.lit(0), "n_extra": F.lit(0), "structure_similarity": F.lit(100.0), "structure_passed": F.lit(True), "n_top": F.lit(0)})
@@ -32,7 +38,7 @@ def report(pairs: DataFrame, structure: DataFrame | None, content: DataFrame | N
     rows = rows.fillna(0).fillna(True)
     issues = (F.col("n_missing") + F.col("n_violations")).cast("long")
     checks = (F.col("n_top") + F.col("n_chapters") * rules_checked).cast("long")
-    rate = F.when(checks > 0, F.round((checks - issues) / checks * 100, 1)).otherwise(100.0)
+    rate = F.when(checks > 0, percent((checks - issues) / checks)).otherwise(100.0)
     return rows.select(
         "pair_id", issues.alias("total_issues"), checks.alias("total_checks"), rate.alias("pass_rate"), (F.col("structure_passed") & F.col("content_passed")).alias("overall_passed"), "structure_passed", "content_passed",
         *[F.col(c).cast("long").alias(c) for c in ("template_chapters", "total_chapters", "n_missing", "n_extra", "n_violations", *kinds)], "structure_similarity",
