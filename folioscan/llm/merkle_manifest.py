@@ -149,7 +149,7 @@ def _upper(top: dict, tree: str | None, place: int, arity: int) -> tuple[str, li
 
 def prove(manifest: Manifest, siblings: bool = False) -> DataFrame:
     """Per row doc_id, leaf, subroot, root, proof_sha256 (H of all siblings on the way up), folded_root (from the tampered leaf, where
-    there is one) and verified; with ``siblings`` the lists of them."""
+    there is one, else from the row's own: every row's siblings are folded) and verified; with ``siblings`` the lists of them."""
     arity, depth = manifest.arity, manifest.depth
     size, root = arity**depth, manifest.root
     spark = manifest.leaves.rows.sparkSession
@@ -189,7 +189,7 @@ def prove(manifest: Manifest, siblings: bool = False) -> DataFrame:
                 shared = i // arity, rest, "".join(a + b for a, b in rest)
             own = path_of(levels[:2], i, arity) if len(levels) > 1 else []
             proofs.append(_h("".join(a + b for a, b in own) + (shared[2] if own else end)))
-            folded.append(root if other is None else fold(other, own + shared[1]))
+            folded.append(fold(leaf if other is None else other, own + shared[1]))
             if siblings:
                 lists.append([[x[k : k + 64] for x in (a + b,) for k in range(0, len(x), 64)] for a, b in own + shared[1]])
         n = len(leaves)

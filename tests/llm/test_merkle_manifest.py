@@ -78,6 +78,14 @@ def test_siblings_verify(spark):
         assert h(*[d for level in r["siblings"] for d in level]) == r["proof_sha256"] and r["verified"]
 
 
+@pytest.mark.parametrize("top", [2, 1 << 14])
+def test_every_row_is_folded(spark, top):
+    """Against a root that is not the table's own no row verifies, and what the rows fold to is the table's."""
+    manifest = M.build(spark.createDataFrame([(i, "a" if i % 3 else "b", "x", i, f"T{i}", 0, "") for i in range(70)], SCHEMA), depth=1, top=top)
+    found = M.prove(manifest._replace(top=manifest.top | {"root": h("other")})).collect()
+    assert {r["folded_root"] for r in found} == {manifest.root} and not any(r["verified"] for r in found) and len(found) == 70
+
+
 def test_empty(spark):
     manifest = M.build(spark.createDataFrame([], SCHEMA))
     assert manifest.root is None and M.prove(manifest).count() == 0
