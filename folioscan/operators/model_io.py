@@ -131,16 +131,20 @@ class Answers:
 
     def to_ask(self, title_pairs: DataFrame) -> DataFrame:
         """The pairs of titles, each once, that have no answer yet."""
-        asked, known = distinct_title_pairs(title_pairs), self.rows()
-        return asked.join(known, self._same(asked, known), "left_anti")
+        return self._without(title_pairs.select(*self.KEYS), self.rows(), F.lit(True)).select(*self.KEYS)
+
+    def _without(self, rows: DataFrame, known: DataFrame, x: Column) -> DataFrame:
+        """KEYS and the least x of the rows' pairs of titles that ``known`` has none of: one grouping of both tables, which leaves rows
+        where they are if both are dealt by KEYS already, as those of to_ask() are."""
+        both = rows.select(*self.KEYS, x.alias("x"), F.lit(0).alias("known")).unionAll(known.select(*self.KEYS, F.lit(None).alias("x"), F.lit(1).alias("known")))
+        return both.groupBy(*self.KEYS).agg(F.min("x").alias("x"), F.max("known").alias("known")).filter("known = 0").drop("known")
 
     def save(self, answers: DataFrame, run: str) -> None:
         """Adds the run's answers to pairs that other runs have not answered; of several to one pair the best, then the reason that
         sorts first. A run that is saved again with the same answers changes nothing."""
-        best = answers.filter("score is not null").groupBy(*self.KEYS).agg(F.min(F.struct((-F.col("score")).alias("s"), "reason")).alias("x"))
-        best = best.select(*self.KEYS, (-F.col("x.s")).alias("score"), "x.reason")
-        others = self.rows().filter(F.col("run") != run)
-        fresh = best.join(others, self._same(best, others), "left_anti").withColumn("run", F.lit(run))
+        others = self.rows().filter(F.col("run") != run).repartition(*self.KEYS)
+        best = self._without(answers.filter("score is not null"), others, F.struct((-F.col("score")).alias("s"), "reason"))
+        fresh = best.select(*self.KEYS, (-F.col("x.s")).alias("score"), "x.reason", F.lit(run).alias("run"))
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(self.path)
 
     def scores(self, cells: DataFrame) -> DataFrame:

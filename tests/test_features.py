@@ -114,6 +114,19 @@ def test_answers_are_asked_once(spark, tmp_path):
     assert sorted(map(tuple, kept.scores(cells).collect())) == [(1, 0, 0, 0.9), (1, 0, 1, 0.2), (2, 3, 4, 0.9)]
 
 
+def test_answers_to_what_was_asked_move_once(spark, tmp_path):
+    """to_ask() deals the pairs of titles, and save() leaves them there, however many answers there are."""
+    kept = model_io.Answers(spark, f"{tmp_path}/answers")
+    pairs = spark.range(40).select(F.col("id").cast("string").alias("title1"), F.when(F.col("id") % 3 > 0, "b").alias("title2"))
+    kept.save(kept.to_ask(pairs.filter("title1 < '2'")).withColumns({"score": F.lit(0.5), "reason": F.lit("x")}), "1")
+    asked = kept.to_ask(pairs).withColumns({"score": F.lit(0.7), "reason": F.lit("y")})
+    others = kept.rows().repartition(*kept.KEYS)
+    plan = kept._without(asked, others, F.struct("score", "reason"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan  # of asked and known together, and of the others
+    kept.save(asked, "2")
+    assert {(r.title1, r.title2, r.run) for r in kept.rows().collect()} == {(r.title1, r.title2, "1" if r.title1 < "2" else "2") for r in pairs.collect()}
+
+
 def plain_candidates(text, n):
     best = (0.0, None, None)
     try:
