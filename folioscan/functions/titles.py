@@ -36,16 +36,16 @@ def keywords(text: Column, least: int = 2, stop_words: tuple[str, ...] = STOP_WO
     return F.array_distinct(F.filter(runs, lambda w: ~w.isin(*stop_words)))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Of arrays without repeats; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b))  # outside of any condition, so that it is worked out once
+def jaccard(a: Column, b: Column, both: Column | None = None) -> Column:
+    """Of arrays without repeats; 0 if either is empty. both: how many they share, where that is worked out already."""
+    both = F.size(F.array_intersect(a, b)) if both is None else both  # outside of any condition, so that it is worked out once
     return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))
 
 
-def title_similarity(a: Column, b: Column, words_a: Column | None = None, words_b: Column | None = None, inclusion: float = 0.8) -> Column:
+def title_similarity(a: Column, b: Column, words_a: Column | None = None, words_b: Column | None = None, inclusion: float = 0.8, both: Column | None = None) -> Column:
     """Of cleaned titles; their keywords may be given where they were worked out before a join."""
     words_a, words_b = keywords(a) if words_a is None else words_a, keywords(b) if words_b is None else words_b
-    return F.when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), inclusion).otherwise(jaccard(words_a, words_b))
+    return F.when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), inclusion).otherwise(jaccard(words_a, words_b, both))
 
 
 def content_similarity(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,6 +46,12 @@ class Greedy:
         return k
 
 
+def _lists(column: pa.ListArray) -> Callable[[int], list]:
+    """The lists of a column by row, from one conversion of its values; a null has none."""
+    ends, values, null = column.offsets.to_pylist(), column.values.to_pylist(), column.is_null().to_pylist()
+    return lambda i: [] if null[i] else values[ends[i] : ends[i + 1]]
+
+
 def map_chapters(pairs: DataFrame, chapters: DataFrame, scores: DataFrame, cfg: S.MappingConfig = S.CONFIG) -> DataFrame:
     """mappings: pair_id, t_seq, g_seq (null if none), match_type, confidence, confidence_level and the similarities.
 
@@ -65,14 +71,15 @@ def map_chapters(pairs: DataFrame, chapters: DataFrame, scores: DataFrame, cfg:
         pair, pair_of = None, None
         for b in batches:
             col = {n: b.column(n) for n in b.schema.names}
+            o, g_seq, g_level, *sims = [_lists(col[n]) for n in ("o", "g_seq", "g_level", *SIMS)]
             picked: list[tuple] = []
             for i, (at, t, level) in enumerate(zip(col["pair_id"].to_pylist(), col["t_seq"].to_pylist(), col["t_level"].to_pylist(), strict=True)):
                 if pair is None or at != pair_of:
                     held_here = dict(zip(col["levels"][i].as_py() or (), col["counts"][i].as_py() or (), strict=True))
                     pair, pair_of = Greedy(held_here, cfg), at
-                overall = [-x for x in col["o"][i].as_py() or ()]
-                k, crossed = pair.choose(level, overall, col["g_level"][i].as_py() or (), col["g_seq"][i].as_py() or ())
-                picked.append((at, t, None, False, *[None] * 5) if k < 0 else (at, t, col["g_seq"][i][k].as_py(), crossed, overall[k], *[col[f][i][k].as_py() for f in SIMS]))
+                overall, seqs = [-x for x in o(i)], g_seq(i)
+                k, crossed = pair.choose(level, overall, g_level(i), seqs)
+                picked.append((at, t, None, False, *[None] * 5) if k < 0 else (at, t, seqs[k], crossed, overall[k], *[of(i)[k] for of in sims]))
             types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.float64()] * 5]
             names = ["pair_id", "t_seq", "g_seq", "crossed", "score", *SIMS]
             columns = list(zip(*picked, strict=True)) if picked else [[]] * len(names)

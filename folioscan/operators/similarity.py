@@ -105,10 +105,15 @@ _SIMS = ["title_sim", "content_sim", "position_sim", "structure_sim"]
 _CELL = ["pair_id", "t_seq", "g_seq", "t_level", "g_level"]
 
 
-def _parts() -> list[Column]:
-    """Title, content, position and structure similarity of a joined row."""
-    title = T.title_similarity(F.col("t_clean"), F.col("g_clean"), F.col("t_title_words"), F.col("g_title_words"))
-    content = T.jaccard(F.col("t_words"), F.col("g_words"))
+def _common(words: str) -> Column:
+    """_both: how many words the two sides share, as a generator."""
+    return F.inline(F.array(F.struct(F.size(F.array_intersect(f"t_{words}", f"g_{words}")).alias("_both"))))
+
+
+def _parts(both: Column | None = None) -> list[Column]:
+    """Title, content, position and structure similarity of a joined row; both: the number of words in common of the sets asked about."""
+    title = T.title_similarity(F.col("t_clean"), F.col("g_clean"), F.col("t_title_words"), F.col("g_title_words"), both=both)
+    content = T.jaccard(F.col("t_words"), F.col("g_words"), both)
     position = T.position_similarity(F.col("t_position"), F.col("g_position"), F.col("n"))
     return [title, content, position, F.when(F.col("t_level") == F.col("g_level"), 1.0).otherwise(0.0)]
 
@@ -152,17 +157,17 @@ def strong_scores(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFra
     model about) are joined by target, and contents are compared where the bound leaves it open; whether there are larger ones, which go
     by candidates(), is counted at once."""
     t, g = _sides(pairs, chapters, block)
-    title, content, position, structure = _parts()
+    title, content, position, structure = _parts(F.col("_both"))
     apart = F.abs(F.col("t_level") - F.col("g_level"))
     ratio = F.coalesce(F.try_divide(F.least(F.size("t_words"), F.size("g_words")), F.greatest(F.size("t_words"), F.size("g_words"))), F.lit(0.0))
-    # a generator, since a filter is not moved below one: what it tests is worked out once a cell
-    quick = F.inline(F.array(F.struct(title.alias("title_sim"), position.alias("position_sim"), structure.alias("structure_sim"), ratio.alias("ratio"))))
-    rows = t.filter(F.col("n") * F.col("g_n") <= dense).join(g, ["target_doc_id", "block"]).filter(apart <= 2).select(*_CELL, "t_words", "g_words", quick)
+    # generators, since a filter is not moved below one: what it tests is worked out once a cell, and so are the words in common
+    rows = t.filter(F.col("n") * F.col("g_n") <= dense).join(g, ["target_doc_id", "block"]).filter(apart <= 2).select("*", _common("title_words"))
+    rows = rows.select(*_CELL, "t_words", "g_words", F.inline(F.array(F.struct(title.alias("title_sim"), position.alias("position_sim"), structure.alias("structure_sim"), ratio.alias("ratio")))))
     if isinstance(semantic, str):
         reach = base_score(F.col("title_sim"), F.col("ratio"), F.col("position_sim"), F.col("structure_sim"), cfg)
         reach = F.greatest(reach, F.col("title_sim")) if semantic == "text" else reach
         rows = rows.filter(reach >= F.when(F.col("structure_sim") == 1, cfg.similarity - EPS).otherwise(cfg.semantic - EPS))
-    small = rows.select(*_CELL, "title_sim", content.alias("content_sim"), "position_sim", "structure_sim")
+    small = rows.select("*", _common("words")).select(*_CELL, "title_sim", content.alias("content_sim"), "position_sim", "structure_sim")
     many = large_pairs(pairs, chapters, dense)
     found = small if many.isEmpty() else small.unionByName(_of_large(many, chapters, semantic, cfg))
     return _with_semantic(found, semantic).withColumn("overall", _fused(cfg)).filter(is_strong(cfg))
@@ -171,15 +176,16 @@ def strong_scores(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFra
 def _of_large(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame, cfg: MappingConfig) -> DataFrame:
     """The candidates of large pairs with their exact parts. These pairs and their chapters are kept as tables first: they are few and
     read many times."""
-    pairs = _kept(pairs, "large-pairs")
-    own = _kept(chapters.join(pairs.select(F.explode(F.array("template_doc_id", "target_doc_id")).alias("doc_id")).distinct(), "doc_id", "left_semi"), "large-chapters")
+    pairs = kept(pairs, "large-pairs")
+    own = kept(chapters.join(pairs.select(F.explode(F.array("template_doc_id", "target_doc_id")).alias("doc_id")).distinct(), "doc_id", "left_semi"), "large-chapters")
     t, g = _sides(pairs, own, 1 << 40)
     t = t.drop("block").dropDuplicates(["pair_id", "t_seq"])
     cells = candidates(pairs, own, semantic, cfg)
     return cells.join(t, ["pair_id", "t_seq"]).join(g.drop("block"), ["target_doc_id", "g_seq"]).select(*_CELL, *_exact())
 
 
-def _kept(rows: DataFrame, what: str) -> DataFrame:
+def kept(rows: DataFrame, what: str) -> DataFrame:
+    """The rows as a table of the job's own, for what is read more than once."""
     path = work_path(rows.sparkSession, what)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

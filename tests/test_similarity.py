@@ -51,3 +51,9 @@ def test_other_weights(spark):
     assert sorted(map(tuple, S.strong_scores(pairs, ch, "text", cfg, dense=0).collect())) == want
     with pytest.raises(ValueError):
         S.candidates(pairs, ch, "text", replace(S.CONFIG, structure_weight=0.5))
+
+
+def test_words_in_common_are_counted_once_a_cell(spark):
+    ch, pairs = table(spark, 3, {1: 5, 2: 6}), spark.createDataFrame([(1, 1, 2)], PAIRS)
+    plan = S.strong_scores(pairs, ch)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(") == 2  # of titles and of contents
