@@ -11,8 +11,9 @@ dealt by hash to batches of about ``batch_bytes``, and batches learn about each
    always holds one of the two. Where surroundings also occur in a smaller document, all strings with the anchor go.
 3. Left are anchors whose surroundings are new but whose left or right half occurs with other surroundings too. The
    smallest document's text around them goes through a suffix array of its batch, built by grouping suffixes under Lyndon
-   prefixes (``suffix_groups``): neighbours in it that share ``length`` bytes are one string. The batches report these
-   strings with the smallest doc_id of each, hear where another batch has a smaller one, then mark and cut.
+   prefixes (``suffix_groups``), ranks of eight bytes being the symbols: neighbours in it that share ``length`` bytes are one
+   string. The batches report these strings with the smallest doc_id of each, hear where another batch has a smaller one,
+   then mark and cut.
 
 Nothing is dropped or capped, and no key's messages grow with the number of documents in a batch: a batch sends two entries
 at most for a key. Batches and buckets of messages grow in number with the input, documents counting 64 bytes besides their
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import as_bytes, pick, small_batches, total_bytes
-from folioscan.llm.suffix_groups import suffix_array
+from folioscan.llm.suffix_groups import suffix_array, widened
 
 LENGTH = 50
 SEED = 24
@@ -73,6 +74,20 @@ def _words(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _words_at(data: np.ndarray) -> np.ndarray:
+    """The same without a copy, for picking single ones."""
+    return np.ndarray((len(data) - 8,), "<u8", data, strides=(1,))
+
+
+def joined(first: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs that ranges of documents cover, in order; ranges that touch are one run if one document owns both."""
+    order = np.argsort(first, kind="stable")
+    first, owner, far = first[order], owner[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(order), bool)
+    new[1:] = (first[1:] > far[:-1]) | (owner[1:] != owner[:-1])
+    return first[new], far[np.concatenate((np.flatnonzero(new)[1:], [len(order)])) - 1] if len(order) else far, owner[new]
+
+
 def _sliding(x: np.ndarray, width: int, f, edge: int) -> np.ndarray:
     """f (minimum or maximum) over x[i : i + width]; past the end counts as edge."""
     out, have = x.copy(), 1
@@ -197,7 +212,7 @@ class Batch:
         sizes = np.array([len(r) for r in self.raws], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(sizes)))
         self.data = np.frombuffer(b"".join(self.raws) + bytes(length + 64), np.uint8)
-        self.words = _words(self.data)
+        self.words = _words_at(self.data)
         self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.seed, self.reach = min(SEED, length), length - min(SEED, length)
         self.at = np.flatnonzero(np.concatenate([np.zeros(0, bool), *(anchors[k] for k in order)]))
@@ -227,13 +242,14 @@ class Batch:
     def strings(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Start places of all strings that lie in the surroundings of an anchor of left and hold the half to its left, or of one
         of right and hold the half to its right."""
-        delta, half = np.zeros(int(self.starts[-1]) + 2, np.int32), (self.reach + 1) // 2
+        half = (self.reach + 1) // 2
         last = np.minimum(self.at, self.right - self.length)
-        for a, b in ((self.left[left], np.minimum(last, self.at - half)[left]), (np.maximum(self.left, self.at - self.reach + half)[right], last[right])):
-            some = a <= b
-            np.add.at(delta, a[some], 1)
-            np.add.at(delta, b[some] + 1, -1)
-        return np.flatnonzero(np.cumsum(delta) > 0)
+        a = np.concatenate((self.left[left], np.maximum(self.left, self.at - self.reach + half)[right]))
+        b = np.concatenate((np.minimum(last, self.at - half)[left], last[right])) + 1
+        some = a < b
+        a, b, _ = joined(a[some], b[some], np.concatenate((self.doc[left], self.doc[right]))[some])
+        sizes = b - a
+        return np.repeat(a - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
     def grouped(self, places: np.ndarray, most: int = SORTED_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys and smallest document of the different strings at places, found in suffix arrays of the parts they cover.
@@ -267,7 +283,7 @@ class Batch:
             text += [np.frombuffer(part, np.uint8).astype(np.int64) + 2, np.ones(1, np.int64)]
             source.append(np.arange(a, a + n + 1))
             inside.append(np.arange(n + 1) <= n - self.length)
-        order = np.array(suffix_array(np.concatenate([*text, np.zeros(1, np.int64)])))[1:]
+        order = np.array(suffix_array(widened(np.concatenate([*text, np.zeros(1, np.int64)]))))[1:]
         order = order[np.concatenate(inside)[order]]
         at = np.concatenate(source)[order]
         same = np.ones(len(at) - 1, bool)
@@ -282,22 +298,16 @@ class Batch:
 
     def covered(self, hits: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
         """Result rows; hits: first and last byte (exclusive) of what goes."""
-        n = int(self.starts[-1])
-        delta = np.zeros(n + 1, np.int32)
-        for a, b in hits:
-            np.add.at(delta, a, 1)
-            np.add.at(delta, b, -1)
-        gone = np.cumsum(delta)[:n] > 0
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*hits, strict=True))
+        some = a < b
+        a, b, owner = joined(a[some], b[some], self.owner[a[some]])
+        starts, edges = self.starts.tolist(), np.searchsorted(owner, np.arange(len(self.raws) + 1)).tolist()
+        a, b = a.tolist(), b.tolist()
         out = []
         for d, raw in enumerate(self.raws):
-            a, b = int(self.starts[d]), int(self.starts[d + 1])
-            own = gone[a:b]
-            if own.any():
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
-                spans = edge.reshape(-1, 2).tolist()
-                kept = self.data[a:b][~own].tobytes()
-            else:
-                spans, kept = [], raw
+            at, lo, hi = starts[d], edges[d], edges[d + 1]
+            spans = [(a[k] - at, b[k] - at) for k in range(lo, hi)]
+            kept = raw if lo == hi else b"".join(raw[x:y] for x, y in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)], strict=True))
             out.append((self.ids[d], len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans]))
         return out
 

@@ -94,6 +94,18 @@ def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[int], list[int]]
     return order, group, prev
 
 
+def widened(text: np.ndarray, width: int = 8) -> np.ndarray:
+    """Ranks of the strings of ``width`` symbols (a power of two) from each place on, as symbols. Suffixes keep their order, and the
+    groups that the first phase begins with are small."""
+    have = 1
+    while have < width:
+        pairs = text * (int(text.max(initial=0)) + 1)
+        pairs[:-have] += text[have:]
+        text = np.unique(pairs, return_inverse=True)[1]
+        have *= 2
+    return text
+
+
 def suffix_array(text: Sequence[int]) -> list[int]:
     """Second phase: positions of the suffixes in order. The last symbol must be the smallest and occur once."""
     n = len(text)

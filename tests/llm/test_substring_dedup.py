@@ -66,3 +66,23 @@ def test_keys_of_96_bits():
     some = np.array([5, 5, 5, 9], np.uint64), np.array([7, 2, 3, 0], np.uint32)
     assert D.among_full(high, low, some).tolist() == [False, True, False, False, False]
     assert not D.among_full(high, low, (some[0][:0], some[1][:0])).any()
+
+
+def test_wider_symbols_keep_the_order():
+    import numpy as np
+
+    from folioscan.llm.suffix_groups import widened
+
+    r = random.Random(2)
+    for _ in range(500):
+        s = [r.randrange(1, r.choice([2, 4, 200])) for _ in range(r.randrange(60))] + [0]
+        wide = widened(np.array(s, np.int64))
+        assert suffix_array(wide) == suffix_array(s) and len(set(wide.tolist())) >= len(set(s))
+
+
+def test_ranges_are_joined_within_a_document():
+    import numpy as np
+
+    first, end, owner = np.array([9, 0, 3, 7, 12, 13]), np.array([12, 3, 5, 8, 14, 15]), np.array([0, 0, 0, 0, 1, 1])
+    assert [x.tolist() for x in D.joined(first, end, owner)] == [[0, 7, 9, 12], [5, 8, 12, 15], [0, 0, 0, 1]]
+    assert [len(x) for x in D.joined(first[:0], end[:0], owner[:0])] == [0, 0, 0]
