@@ -33,7 +33,8 @@ def clean_title(title: Column) -> Column:
 def keywords(text: Column, least: int = 2, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Words without digits and punctuation, which stand between them like spaces."""
     runs = F.regexp_extract_all(text, F.lit(rf"[\p{{L}}\p{{Nl}}\p{{No}}_]{{{least},}}"), F.lit(0))
-    return F.array_distinct(F.filter(runs, lambda w: ~w.isin(*stop_words)))
+    stop_words = tuple(w for w in stop_words if len(w) >= least)  # shorter ones are no words anyway
+    return F.array_distinct(F.filter(runs, lambda w: ~w.isin(*stop_words)) if stop_words else runs)
 
 
 def jaccard(a: Column, b: Column, both: Column | None = None) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,10 +48,9 @@ class Greedy:
         return k
 
 
-def _lists(column: pa.ListArray) -> Callable[[int], list]:
-    """The lists of a column by row, from one conversion of its values; a null has none."""
-    ends, values, null = column.offsets.to_pylist(), column.values.to_pylist(), column.is_null().to_pylist()
-    return lambda i: [] if null[i] else values[ends[i] : ends[i + 1]]
+def _values(column: pa.ListArray) -> np.ndarray:
+    """The values of all lists of a column, one after the other."""
+    return column.flatten().to_numpy(zero_copy_only=False)
 
 
 def map_chapters(pairs: DataFrame, chapters: DataFrame, scores: DataFrame, cfg: S.MappingConfig = S.CONFIG) -> DataFrame:
@@ -71,19 +72,23 @@ def map_chapters(pairs: DataFrame, chapters: DataFrame, scores: DataFrame, cfg:
         pair, pair_of = None, None
         for b in batches:
             col = {n: b.column(n) for n in b.schema.names}
-            o, g_seq, g_level, *sims = [_lists(col[n]) for n in ("o", "g_seq", "g_level", *SIMS)]
-            picked: list[tuple] = []
-            for i, (at, t, level) in enumerate(zip(col["pair_id"].to_pylist(), col["t_seq"].to_pylist(), col["t_level"].to_pylist(), strict=True)):
-                if pair is None or at != pair_of:
+            flat = {n: _values(col[n]) for n in ("o", "g_seq", "g_level", *SIMS)}
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(col["o"]), 0).to_numpy(zero_copy_only=False)).tolist()
+            overall, g_seq, g_level = (-flat["o"]).tolist(), flat["g_seq"].tolist(), flat["g_level"].tolist()
+            at, crossed, a = [], [], 0
+            for i, (own, level, e) in enumerate(zip(col["pair_id"].to_numpy().tolist(), col["t_level"].to_numpy().tolist(), ends, strict=True)):
+                if pair is None or own != pair_of:
                     held_here = dict(zip(col["levels"][i].as_py() or (), col["counts"][i].as_py() or (), strict=True))
-                    pair, pair_of = Greedy(held_here, cfg), at
-                overall, seqs = [-x for x in o(i)], g_seq(i)
-                k, crossed = pair.choose(level, overall, g_level(i), seqs)
-                picked.append((at, t, None, False, *[None] * 5) if k < 0 else (at, t, seqs[k], crossed, overall[k], *[of(i)[k] for of in sims]))
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.float64()] * 5]
-            names = ["pair_id", "t_seq", "g_seq", "crossed", "score", *SIMS]
-            columns = list(zip(*picked, strict=True)) if picked else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                    pair, pair_of = Greedy(held_here, cfg), own
+                k, far = pair.choose(level, overall[a:e], g_level[a:e], g_seq[a:e])
+                at.append(a + k if k >= 0 else None)
+                crossed.append(far)
+                a = e
+            which = pa.array(at, pa.int64())
+            of = lambda n, t: pa.array(flat[n], t).take(which)
+            score = pc.negate(of("o", pa.float64()))
+            columns = [col["pair_id"], col["t_seq"], of("g_seq", pa.int32()), pa.array(crossed, pa.bool_()), score, *[of(n, pa.float64()) for n in SIMS]]
+            yield pa.RecordBatch.from_arrays(columns, ["pair_id", "t_seq", "g_seq", "crossed", "score", *SIMS])
 
     chosen = rows.mapInArrow(run, PICKED)
     own = F.coalesce(S.confidence(*map(F.col, SIMS)), F.lit(0.0))

@@ -14,6 +14,8 @@ SALTS = 32
 HOT_PAIRS = 20_000
 BLOCK = 1024
 DENSE = 10_000
+#: So many templates' ids, a few MB, are broadcast at most.
+FEW = 100_000
 EPS = 1e-9
 
 
@@ -54,9 +56,14 @@ def match_type(overall: Column, title: Column, position: Column, cfg: MappingCon
 
 def features(chapters: DataFrame) -> DataFrame:
     """What the scores need of a chapter, worked out once: no text goes through the join of pairs. Words are 64-bit hashes, on
-    which arrays are compared several times faster; two words of a vocabulary of ten million agree with a chance of 3e-6."""
-    rows = chapters.select("doc_id", "seq", "level", "position", T.clean_title(F.col("title")).alias("clean"), _hashes(T.keywords(F.col("content"))).alias("words"))
-    return rows.withColumn("title_words", _hashes(T.keywords(F.col("clean"))))
+    which arrays are compared several times faster; two words of a vocabulary of ten million agree with a chance of 3e-6.
+    title_bits has a bit for each title word, of 64: titles without a bit in common share no word."""
+    names = ["doc_id", "seq", "level", "position", "clean", "words", "title_words", "title_bits"]
+    # generators, so that what later columns build on is worked out once
+    rows = chapters.select("doc_id", "seq", "level", "position", "content", F.explode(F.array(T.clean_title(F.col("title")))).alias("clean"))
+    rows = rows.select("*", F.explode(F.array(_hashes(T.keywords(F.col("clean"))))).alias("title_words"))
+    bits = F.aggregate("title_words", F.lit(0).cast("long"), lambda x, w: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
+    return rows.withColumns({"words": _hashes(T.keywords(F.col("content"))), "title_bits": bits}).select(names)
 
 
 def _hashes(words: Column) -> Column:
@@ -87,14 +94,16 @@ def large_pairs(pairs: DataFrame, chapters: DataFrame, dense: int = DENSE) -> Da
     return rows.filter(F.col("_n") * F.col("_g") > dense).drop("_n", "_g")
 
 
-def _sides(pairs: DataFrame, chapters: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def _sides(pairs: DataFrame, chapters: DataFrame, block: int, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Template chapters for every pair and block of its target (t_ columns, n and g_n: how many the two have), and target chapters
     with their block (g_ columns)."""
     part = F.floor(F.col("seq") / block).cast("long")
-    counts = chapters.groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set(part).alias("blocks"))
+    counts = (chapters if places is None else places).groupBy("doc_id", part.alias("block")).agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
     targets = counts.select(F.col("doc_id").alias("target_doc_id"), F.col("n").alias("g_n"), F.explode("blocks").alias("block"))
     asked = pairs.select("pair_id", "template_doc_id", "target_doc_id").join(targets, "target_doc_id")
-    templates = features(chapters.join(pairs.select(F.col("template_doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    ids = pairs.select(F.col("template_doc_id").alias("doc_id")).distinct()
+    few = ids.limit(FEW + 1).count() <= FEW  # then the other chapters' texts are not sent anywhere
+    templates = features(chapters.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
     t = with_template(asked, templates.join(counts.drop("blocks"), "doc_id").select("doc_id", "n", *[F.col(c).alias(f"t_{c}") for c in templates.columns[1:]]), known=True)
     known = features(chapters)
     g = known.select(F.col("doc_id").alias("target_doc_id"), part.alias("block"), *[F.col(c).alias(f"g_{c}") for c in known.columns[1:]])
@@ -105,9 +114,11 @@ _SIMS = ["title_sim", "content_sim", "position_sim", "structure_sim"]
 _CELL = ["pair_id", "t_seq", "g_seq", "t_level", "g_level"]
 
 
-def _common(words: str) -> Column:
-    """_both: how many words the two sides share, as a generator."""
-    return F.inline(F.array(F.struct(F.size(F.array_intersect(f"t_{words}", f"g_{words}")).alias("_both"))))
+def _common(words: str, bits: str | None = None) -> Column:
+    """_both: how many words the two sides share, as a generator; bits: those of the words, which tell most cells without any."""
+    both = F.size(F.array_intersect(f"t_{words}", f"g_{words}"))
+    both = both if bits is None else F.when(F.col(f"t_{bits}").bitwiseAND(F.col(f"g_{bits}")) == 0, 0).otherwise(both)
+    return F.inline(F.array(F.struct(both.alias("_both"))))
 
 
 def _parts(both: Column | None = None) -> list[Column]:
@@ -143,32 +154,46 @@ def pair_scores(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame
     return _with_semantic(rows, semantic).withColumn("overall", _fused(cfg))
 
 
+def _size_ratio(words: str) -> Column:
+    """The most that two sets' similarity can be."""
+    a, b = F.size(f"t_{words}"), F.size(f"g_{words}")
+    return F.coalesce(F.try_divide(F.least(a, b), F.greatest(a, b)), F.lit(0.0))
+
+
+def _may_agree(semantic: str | DataFrame, cfg: MappingConfig) -> Column:
+    """Of cells of two levels, at most two apart, only those whose titles can be as similar as they must; nothing costly is worked out."""
+    apart, least = F.abs(F.col("t_level") - F.col("g_level")), _least_title(cfg, semantic)
+    if not isinstance(semantic, str) or least <= EPS:
+        return apart <= 2
+    held = F.contains("t_clean", "g_clean") | F.contains("g_clean", "t_clean")
+    return (apart == 0) | (apart <= 2) & (held | (F.col("t_title_bits").bitwiseAND(F.col("g_title_bits")) != 0) & (_size_ratio("title_words") >= least - EPS))
+
+
 def is_strong(cfg: MappingConfig = CONFIG) -> Column:
     """The cells that a mapping can use: those of one level from the lower bound on, those one or two levels apart from the higher."""
     apart = F.abs(F.col("t_level") - F.col("g_level"))
     return ((apart == 0) & (F.col("overall") >= cfg.similarity)) | (apart.between(1, 2) & (F.col("overall") >= cfg.semantic))
 
 
-def strong_scores(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame = "text", cfg: MappingConfig = CONFIG, block: int = BLOCK, dense: int = DENSE) -> DataFrame:
+def strong_scores(pairs: DataFrame, chapters: DataFrame, semantic: str | DataFrame = "text", cfg: MappingConfig = CONFIG, block: int = BLOCK, dense: int = DENSE, places: DataFrame | None = None) -> DataFrame:
     """The rows of pair_scores that are strong, without making the others where a pair has over ``dense`` cells.
 
     A score is a mean of its parts and of the semantic score, so it is at most the larger of the two; from level and position, title
     words, and the sizes of word sets follows what it can reach. Pairs of up to ``dense`` cells (as many as one request may ask a
     model about) are joined by target, and contents are compared where the bound leaves it open; whether there are larger ones, which go
-    by candidates(), is counted at once."""
-    t, g = _sides(pairs, chapters, block)
+    by candidates(), is counted at once. places: doc_id and seq of the chapters, where a smaller table holds them."""
+    t, g = _sides(pairs, chapters, block, places)
     title, content, position, structure = _parts(F.col("_both"))
-    apart = F.abs(F.col("t_level") - F.col("g_level"))
-    ratio = F.coalesce(F.try_divide(F.least(F.size("t_words"), F.size("g_words")), F.greatest(F.size("t_words"), F.size("g_words"))), F.lit(0.0))
+    ratio = _size_ratio("words")
     # generators, since a filter is not moved below one: what it tests is worked out once a cell, and so are the words in common
-    rows = t.filter(F.col("n") * F.col("g_n") <= dense).join(g, ["target_doc_id", "block"]).filter(apart <= 2).select("*", _common("title_words"))
+    rows = t.filter(F.col("n") * F.col("g_n") <= dense).join(g, ["target_doc_id", "block"]).filter(_may_agree(semantic, cfg)).select("*", _common("title_words", "title_bits"))
     rows = rows.select(*_CELL, "t_words", "g_words", F.inline(F.array(F.struct(title.alias("title_sim"), position.alias("position_sim"), structure.alias("structure_sim"), ratio.alias("ratio")))))
     if isinstance(semantic, str):
         reach = base_score(F.col("title_sim"), F.col("ratio"), F.col("position_sim"), F.col("structure_sim"), cfg)
         reach = F.greatest(reach, F.col("title_sim")) if semantic == "text" else reach
         rows = rows.filter(reach >= F.when(F.col("structure_sim") == 1, cfg.similarity - EPS).otherwise(cfg.semantic - EPS))
     small = rows.select("*", _common("words")).select(*_CELL, "title_sim", content.alias("content_sim"), "position_sim", "structure_sim")
-    many = large_pairs(pairs, chapters, dense)
+    many = large_pairs(pairs, chapters if places is None else places, dense)
     found = small if many.isEmpty() else small.unionByName(_of_large(many, chapters, semantic, cfg))
     return _with_semantic(found, semantic).withColumn("overall", _fused(cfg)).filter(is_strong(cfg))
 

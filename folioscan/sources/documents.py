@@ -88,7 +88,7 @@ def chapters_from_documents(documents: DataFrame, levels: tuple[int, ...] = LEVE
     lines = documents.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("seq", "content"))
     level = F.element_at(F.array(*map(F.lit, levels)), ((F.col("seq") + F.col("doc_id")) % len(levels) + 1).cast("int"))
     number = (F.col("seq") + 1 + F.col("doc_id") % 3).cast("string")
-    title = F.concat(number, F.lit(". "), F.array_join(F.slice(F.split("content", " ", -1), 1, 4), " "))
+    title = F.concat(number, F.lit(". "), F.substring_index("content", " ", 4))
     return lines.select("doc_id", "source", "seq", title.alias("title"), level.alias("level"), "content", F.col("seq").alias("position"))
 
 

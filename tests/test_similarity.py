@@ -57,3 +57,23 @@ def test_words_in_common_are_counted_once_a_cell(spark):
     ch, pairs = table(spark, 3, {1: 5, 2: 6}), spark.createDataFrame([(1, 1, 2)], PAIRS)
     plan = S.strong_scores(pairs, ch)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_intersect(") == 2  # of titles and of contents
+
+
+def test_bits_are_those_of_the_title_words_and_places_may_be_given(spark):
+    ch, pairs = table(spark, 4, {1: 12, 2: 15}), spark.createDataFrame([(1, 1, 2)], PAIRS)
+    known = S.features(ch)
+    for r in known.collect():
+        bits = 0
+        for w in r.title_words:
+            bits |= 1 << (w & 63)
+        assert r.title_bits & (1 << 64) - 1 == bits
+    want = sorted(map(tuple, S.pair_scores(pairs, ch).filter(S.is_strong()).collect()))
+    assert sorted(map(tuple, S.strong_scores(pairs, ch, places=ch.select("doc_id", "seq")).collect())) == want
+
+
+def test_cells_of_two_levels_are_told_by_titles_before_words_are_compared(spark):
+    rows = [(1, 0, "one two three", 1, "a b", 0), (2, 0, "four five six", 2, "a b", 0), (2, 1, "one two three", 2, "c d", 1), (2, 2, "two", 3, "c d", 2), (2, 3, "one two six", 3, "c d", 3), (2, 4, "four", 1, "x", 4)]
+    ch, pairs = spark.createDataFrame(rows, CHAPTERS), spark.createDataFrame([(1, 1, 2)], PAIRS)
+    t, g = S._sides(pairs, ch, S.BLOCK)
+    kept = t.join(g, ["target_doc_id", "block"]).filter(S._may_agree("text", S.CONFIG)).select("g_seq").collect()
+    assert {r.g_seq for r in kept} == {1, 2, 3, 4}
