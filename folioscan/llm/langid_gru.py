@@ -55,6 +55,7 @@ class ByteGRU:
             self.p[f"u{d}"] = r.normal(0, h**-0.5, (h, 2 * h))
             self.p[f"v{d}"] = r.normal(0, h**-0.5, (h, h))
         self.p["w"], self.p["b"] = r.normal(0, 0.3, (2 * h, len(langs))), np.zeros(len(langs))
+        self.room: dict[str, np.ndarray] = {}
 
     def _read(self, d: str, x: np.ndarray):
         """States (T, N, H) and what the way back needs, for windows x (T, N) in reading order."""
@@ -137,47 +138,64 @@ class ByteGRU:
                 self.p[k] -= now * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)
         return self
 
-    def _states(self, d: str, x: np.ndarray, here: list[np.ndarray | None]) -> list[np.ndarray]:
-        """As _read, for use: states (H, N) in single precision; where here (a row for each step, or None) is 0 the state is zero."""
-        n, f = self.hidden, np.float32
-        half = np.concatenate((np.full(2 * n, 0.5), np.ones(n)))
-        e, u, v = (self.p[f"e{d}"] * half).T.astype(f), (self.p[f"u{d}"] * 0.5).T.astype(f).copy(), self.p[f"v{d}"].T.astype(f).copy()
-        e, h, out = np.ascontiguousarray(e), np.zeros((n, x.shape[1]), f), []
-        g, a, rh, c = (np.empty((k * n, x.shape[1]), f) for k in (3, 2, 1, 1))
-        for row, there in zip(x, here, strict=True):
+    def _room(self, d: str, *shape: int) -> np.ndarray:
+        """Space for the states of a direction, which is used again: new pages cost as much as the arithmetic that fills them."""
+        size = int(np.prod(shape))
+        if d not in self.room or len(self.room[d]) < size:
+            self.room[d] = np.empty(size, np.float32)
+        return self.room[d][:size].reshape(shape)
+
+    def _states(self, d: str, x: np.ndarray, here: list[np.ndarray | None], out: np.ndarray) -> None:
+        """As _read, for use: fills out with states (T, N, H) in single precision; where here (a row for each step, or None) is 0 the state is zero.
+
+        Each gate has an array (N, H) of its own, so a byte's weights are taken as whole rows and all arithmetic runs over contiguous
+        memory."""
+        n, f, size = self.hidden, np.float32, x.shape[1]
+        e = (self.p[f"e{d}"].reshape(256, 3, n) * np.array([0.5, 0.5, 1])[:, None]).transpose(1, 0, 2).astype(f, order="C")
+        u = (self.p[f"u{d}"] * 0.5).reshape(n, 2, n).transpose(1, 0, 2).astype(f, order="C")
+        v = (self.p[f"v{d}"] * 0.5).astype(f)
+        h, g, a, rh, c = np.zeros((size, n), f), np.empty((3, size, n), f), np.empty((2, size, n), f), np.empty((size, n), f), np.empty((size, n), f)
+        for row, there, to in zip(x, here, out, strict=True):
             np.take(e, row, axis=1, out=g, mode="clip")
-            np.matmul(u, h, out=a)
-            a += g[: 2 * n]
+            np.matmul(h, u, out=a)
+            a += g[:2]
             np.tanh(a, out=a)
-            a *= 0.5
-            a += 0.5
-            np.multiply(a[n:], h, out=rh)
-            np.matmul(v, rh, out=c)
-            c += g[2 * n :]
+            a += 1  # twice the gates; v and the last step halve them
+            np.multiply(a[1], h, out=rh)
+            np.matmul(rh, v, out=c)
+            c += g[2]
             np.tanh(c, out=c)
             c -= h
-            c *= a[:n]
-            h = h + c
+            c *= a[0]
+            c *= 0.5
+            h = np.add(h, c, out=to)
             if there is not None:
-                h *= there
-            out.append(h)
-        return out
+                h *= there[:, None]
 
     def windows(self, x: np.ndarray, here: list[np.ndarray | None], context: int) -> np.ndarray:
-        """Sums (C, N) of the label probabilities of windows x (T, N) over their positions but the first and last ``context``."""
-        last, n = len(x) - context, self.hidden
-        f = self._states("f", x[:last], here[:last])[context:]
-        b = self._states("b", x[context:][::-1], here[context:][::-1])[::-1]
-        wf, wb = (np.ascontiguousarray(self.p["w"][k].T.astype(np.float32)) for k in (slice(n), slice(n, None)))
-        bias, total = self.p["b"].astype(np.float32)[:, None], np.zeros((len(self.langs), x.shape[1]), np.float32)
-        for t, there in enumerate(here[context:last]):
-            prob = wf @ f[t]
-            prob += wb @ b[t]
-            prob += bias
-            np.clip(prob, -40, 40, out=prob)
+        """Sums (N, C) of the label probabilities of windows x (T, N) over their positions but the first and last ``context``."""
+        last, n, f, size, k = len(x) - context, self.hidden, np.float32, x.shape[1], len(self.langs)
+        ahead, back = self._room("f", last, size, n), self._room("b", last, size, n)
+        self._states("f", x[:last], here[:last], ahead)
+        self._states("b", x[context:][::-1], here[context:][::-1], back[::-1])
+        ahead, back = ahead[context:], back[: last - context]
+        wf, wb = (np.ascontiguousarray(self.p["w"][part].astype(f)) for part in (slice(n), slice(n, None)))
+        most = (np.abs(self.p["w"]).sum(0) + np.abs(self.p["b"])).max()  # states lie within -1 and 1
+        steps = max(1, 32 // k)
+        bias, total, ones = np.tile(self.p["b"].astype(f), (steps * size, 1)), np.zeros((size, k), f), np.ones((k, k), f)
+        for t in range(0, len(ahead), steps):
+            prob = ahead[t : t + steps].reshape(-1, n) @ wf
+            prob += back[t : t + steps].reshape(-1, n) @ wb
+            prob += bias[: len(prob)]
+            if most > 40:
+                np.clip(prob, -40, 40, out=prob)
             np.exp(prob, out=prob)
-            prob /= prob.sum(0)
-            total += prob if there is None else prob * there
+            prob /= prob @ ones if k <= 16 else prob.sum(1, keepdims=True)  # a product is the faster sum of a few
+            prob = prob.reshape(-1, size, k)
+            for p, there in zip(prob, here[context + t : context + t + len(prob)], strict=True):
+                if there is not None:
+                    p *= there[:, None]
+            total += prob.sum(0)
         return total
 
     def documents(self, raws: list[bytes], window: int = WINDOW, context: int = CONTEXT, block: int = 512) -> np.ndarray:
@@ -203,7 +221,7 @@ class ByteGRU:
             inside = (place >= 0) & (place < sizes[d])
             here = [None if row.all() else row.astype(np.float32) for row in inside]
             x = data[np.where(inside, starts[d] + place, len(data) - 1)].astype(np.intp)
-            np.add.at(out, d, self.windows(x, here, context).T)
+            np.add.at(out, d, self.windows(x, here, context))
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, snippet: int = SNIPPET, most: int = MOST_ROWS) -> ByteGRU | None:

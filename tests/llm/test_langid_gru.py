@@ -82,3 +82,21 @@ def test_a_language_of_one_repeated_id_and_many_languages(spark):
 
 def test_numerals_are_no_letters(spark):
     assert [L.has_letter(t) for t in (None, "", "½ 10²", "①Ⅷ", "_-", "é", "1a", "語")] == [False] * 5 + [True] * 3
+
+
+def test_space_of_states_is_used_again():
+    """Results do not depend on what was read before, and reading on takes no new space for the states."""
+    raws = [bytes(range(32, 122)) * k for k in (1, 9, 2, 0, 30)]
+    net, other = L.ByteGRU(["a", "b", "c"]), L.ByteGRU(["a", "b", "c"])
+    want = other.documents(raws)
+    net.documents(raws[::-1])
+    room = {d: id(a) for d, a in net.room.items()}
+    assert np.array_equal(net.documents(raws), want)
+    assert len(room) == 2 and {d: id(a) for d, a in net.room.items()} == room
+
+
+def test_large_weights_and_many_languages():
+    net = L.ByteGRU([f"l{k}" for k in range(40)])
+    net.p["w"] *= 1000
+    got = net.documents([b"some text of a few words"])
+    assert np.isfinite(got).all() and abs(got.sum() - 1) < 1e-4
