@@ -48,46 +48,78 @@ class Greedy:
         return k
 
 
-def _values(column: pa.ListArray) -> np.ndarray:
-    """The values of all lists of a column, one after the other."""
-    return column.flatten().to_numpy(zero_copy_only=False)
+_KEY = ["pair_id", "kind", "t_level", "t_seq"]
+
+
+def _changes(b: pa.RecordBatch) -> np.ndarray:
+    """Where a row's key differs from that of the row before; a level that is null differs from all."""
+    keys = [b.column(c).to_numpy(zero_copy_only=False) for c in _KEY]
+    return np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))) if b.num_rows else np.zeros(0, bool)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of sorted batches, cut anew so that rows of one key stay together; only the last key's rows wait."""
+    wait: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(wait).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cut = int(np.flatnonzero(_changes(b))[-1])
+        if cut:
+            wait.append(b.slice(0, cut))
+            yield joined()
+            wait = []
+        elif wait and any(wait[-1].column(c)[-1] != b.column(c)[0] for c in _KEY):
+            yield joined()
+            wait = []
+        wait.append(b.slice(cut))
+    if wait:
+        yield joined()
 
 
 def map_chapters(pairs: DataFrame, chapters: DataFrame, scores: DataFrame, cfg: S.MappingConfig = S.CONFIG) -> DataFrame:
     """mappings: pair_id, t_seq, g_seq (null if none), match_type, confidence, confidence_level and the similarities.
 
-    scores: rows of pair_scores or strong_scores. Each choice depends on the ones before it, so a pair's template chapters go one after the other through sorted partitions;
-    a row holds only the scores that can win, and of a pair only the used targets are kept."""
-    cand = F.struct((-F.col("overall")).alias("o"), "g_seq", "g_level", *SIMS)
-    cands = scores.filter(S.is_strong(cfg)).groupBy("pair_id", "t_seq").agg(F.array_sort(F.collect_list(cand)).alias("c"))
-    held = chapters.groupBy("doc_id", "level").agg(F.count("*").cast("int").alias("n")).groupBy(F.col("doc_id").alias("target_doc_id"))
-    held = held.agg(F.array_sort(F.collect_list(F.struct("level", "n"))).alias("held"))
+    scores: rows of pair_scores or strong_scores. Each choice depends on the ones before it, so a pair's rows go one after the other
+    through sorted partitions: first how many targets each level has, then each template chapter, followed by the scores that can win,
+    the best first. Of a pair only the used targets are kept, and of the scores those of one template chapter."""
+    none = {c: F.lit(None).cast("double").alias(c) for c in ("o", *SIMS)}
+    known = [F.col(c).cast("int").alias(c) for c in ("t_level", "t_seq", "g_level", "g_seq")]
+    cands = scores.filter(S.is_strong(cfg)).select("pair_id", F.lit(1).alias("kind"), *known, (-F.col("overall")).alias("o"), *SIMS)
+    held = chapters.filter("level is not null").groupBy(F.col("doc_id").alias("target_doc_id"), F.col("level").cast("int").alias("g_level")).agg(F.count("*").cast("int").alias("g_seq"))
+    held = pairs.select("pair_id", "target_doc_id").join(held, "target_doc_id").select("pair_id", F.lit(0).alias("kind"), F.lit(0).alias("t_level"), F.lit(0).alias("t_seq"), "g_level", "g_seq", *none.values())
     asked = S.with_template(pairs.select("pair_id", "template_doc_id", "target_doc_id"), chapters.select("doc_id", F.col("seq").alias("t_seq"), F.col("level").alias("t_level")))
-    rows = asked.join(held, "target_doc_id", "left").select("pair_id", "t_seq", "t_level", "held").join(cands, ["pair_id", "t_seq"], "left")
-    flat = [F.col(f"c.{f}").alias(f) for f in ("o", "g_seq", "g_level", *SIMS)]
-    rows = rows.repartition("pair_id").sortWithinPartitions("pair_id", "t_level", "t_seq")
-    rows = rows.select("pair_id", "t_seq", "t_level", F.col("held.level").alias("levels"), F.col("held.n").alias("counts"), *flat)
+    asked = asked.withColumns({"g_level": F.lit(None), "g_seq": F.lit(None)}).select("pair_id", F.lit(1).alias("kind"), *known, *none.values())
+    rows = held.unionByName(asked).unionByName(cands).repartition("pair_id").sortWithinPartitions(*_KEY, F.asc_nulls_first("o"), "g_seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, pair_of = None, None
-        for b in batches:
+        pair, pair_of, held = None, None, {}
+        for b in _whole_groups(batches):
             col = {n: b.column(n) for n in b.schema.names}
-            flat = {n: _values(col[n]) for n in ("o", "g_seq", "g_level", *SIMS)}
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(col["o"]), 0).to_numpy(zero_copy_only=False)).tolist()
-            overall, g_seq, g_level = (-flat["o"]).tolist(), flat["g_seq"].tolist(), flat["g_level"].tolist()
-            at, crossed, a = [], [], 0
-            for i, (own, level, e) in enumerate(zip(col["pair_id"].to_numpy().tolist(), col["t_level"].to_numpy().tolist(), ends, strict=True)):
-                if pair is None or own != pair_of:
-                    held_here = dict(zip(col["levels"][i].as_py() or (), col["counts"][i].as_py() or (), strict=True))
-                    pair, pair_of = Greedy(held_here, cfg), own
-                k, far = pair.choose(level, overall[a:e], g_level[a:e], g_seq[a:e])
-                at.append(a + k if k >= 0 else None)
+            owner, g_level, g_seq = (pc.fill_null(col[n], 0).to_numpy().tolist() for n in ("pair_id", "g_level", "g_seq"))
+            is_held = col["kind"].to_numpy() == 0
+            is_asked = ~is_held & col["o"].is_null().to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(is_held).tolist():
+                held.setdefault(owner[i], {})[g_level[i]] = g_seq[i]
+            at, fresh = np.flatnonzero(is_asked), _changes(b)
+            stops = np.append(np.flatnonzero(fresh | is_asked), b.num_rows)
+            first, last = at + 1, stops[np.searchsorted(stops, at, "right")]
+            for j in np.flatnonzero((at[1:] == at[:-1] + 1) & ~fresh[at[1:]])[::-1]:  # a chapter that is there twice: its scores follow the last
+                first[j], last[j] = first[j + 1], last[j + 1]
+            overall = (-col["o"].to_numpy(zero_copy_only=False)).tolist()
+            where, crossed = [], []
+            for i, level, x, y in zip(at.tolist(), col["t_level"].take(pa.array(at)).to_numpy(zero_copy_only=False).tolist(), first.tolist(), last.tolist(), strict=True):
+                if pair is None or owner[i] != pair_of:
+                    pair, pair_of = Greedy(held.get(owner[i], {}), cfg), owner[i]
+                k, far = pair.choose(level, overall[x:y], g_level[x:y], g_seq[x:y]) if x < y else (-1, False)
+                where.append(x + k if k >= 0 else None)
                 crossed.append(far)
-                a = e
-            which = pa.array(at, pa.int64())
-            of = lambda n, t: pa.array(flat[n], t).take(which)
-            score = pc.negate(of("o", pa.float64()))
-            columns = [col["pair_id"], col["t_seq"], of("g_seq", pa.int32()), pa.array(crossed, pa.bool_()), score, *[of(n, pa.float64()) for n in SIMS]]
+            held = {owner[-1]: held.get(owner[-1], {})}
+            which, at = pa.array(where, pa.int64()), pa.array(at)
+            columns = [col["pair_id"].take(at), col["t_seq"].take(at), col["g_seq"].take(which), pa.array(crossed, pa.bool_()), pc.negate(col["o"].take(which)), *[col[n].take(which) for n in SIMS]]
             yield pa.RecordBatch.from_arrays(columns, ["pair_id", "t_seq", "g_seq", "crossed", "score", *SIMS])
 
     chosen = rows.mapInArrow(run, PICKED)

@@ -178,3 +178,41 @@ def test_rules_inventory_and_validation(spark):
     merged = renumber.merge_patterns(renumber.all_patterns(renumber.numbered(pairs, ch)))
     got = {x.pattern_type: x.valid for x in renumber.validate_patterns(merged, pairs, ch).collect()}
     assert got == {"deletion": False}
+
+
+def test_mapping_over_many_small_batches(spark):
+    """Rows of a template chapter that several batches share, chapters without scores or level, one that is there twice, and pairs without any target chapter."""
+    r = random.Random(8)
+    docs = {d: [(r.choice([1, 2, 2, 3, None]), f"{r.choice('abc')}") for _ in range(r.randrange(1, 12))] for d in range(1, 9)}
+    ch = chapters(spark, docs)
+    pairs = pairs_of(spark, *[(10 * t + g, t, g) for t in (1, 2) for g in range(3, 10)])
+    scores = [(10 * t + g, i, j, n, m, r.choice([0.3, 0.45, 0.6, 0.7, 0.95]), 0.5, 0.5, 0.5, 0.5) for t in (1, 2) for g in range(3, 9) for i, (n, _) in enumerate(docs[t]) for j, (m, _) in enumerate(docs[g])]
+    scores.append((777, 0, 0, 1, 1, 0.9, 0.5, 0.5, 0.5, 0.5))  # of a pair that is not asked about
+    given = spark.createDataFrame(scores, "pair_id long, t_seq int, g_seq int, t_level int, g_level int, overall double, title_sim double, content_sim double, position_sim double, structure_sim double")
+    want = {}
+    for t in (1, 2):
+        for g in range(3, 10):
+            own = {(x[1], x[2]): x[5] for x in scores if x[0] == 10 * t + g}
+            levels = [n for n, _ in docs[t]]
+            known, places = [i for i, n in enumerate(levels) if n], [j for j, (m, _) in enumerate(docs.get(g, [])) if m]
+            got = plain_greedy([levels[i] for i in known], [docs[g][j][0] for j in places], [[own[i, j] for j in places] for i in known])
+            want |= {(10 * t + g, i): None for i in range(len(levels))} | {(10 * t + g, known[k]): None if at < 0 else places[at] for k, (at, _) in got.items()}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in ("1", "3", size):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            found = mapping.map_chapters(pairs, ch, given).collect()
+            assert len(found) == len(want) and {(x.pair_id, x.t_seq): x.g_seq for x in found} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    twice = mapping.map_chapters(pairs_of(spark, (1, 1, 2)), chapters(spark, {1: [(1, "a")], 2: [(1, "a"), (1, "b")]}).union(chapters(spark, {1: [(1, "a")]})), given.limit(0).union(
+        spark.createDataFrame([(1, 0, j, 1, 1, 0.9, *[0.5] * 4) for j in (0, 1)], given.schema)))
+    assert sorted(x.g_seq for x in twice.collect()) == [0, 1]
+
+
+def test_mapping_sends_its_rows_once(spark):
+    """Scores go to the greedy step flat: they are neither gathered to lists nor joined to the template chapters."""
+    ch, pairs = chapters(spark, {1: [(1, "a")], 2: [(1, "a")]}), pairs_of(spark, (1, 1, 2))
+    names = "pair_id long, t_seq int, g_seq int, t_level int, g_level int, overall double, title_sim double, content_sim double, position_sim double, structure_sim double"
+    scores = spark.createDataFrame([(1, 0, 0, 1, 1, *[0.9] * 5)], names)
+    assert "collect_list" not in mapping.map_chapters(pairs, ch, scores)._jdf.queryExecution().optimizedPlan().toString()
